@@ -17,9 +17,11 @@ from tabassay.llm._shared import lower_ascii, within
 #: More rules than this are joined on host suffixes instead of being written into the plan.
 MAX_LITERAL_RULES = 64
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)(\?[^#]*)?"
-_LINK = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-_REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\bcontent\s*=\s*[\"']?[^\"'>;]*;\s*url\s*=\s*[\"']?([^\"'\s>]+)"
-_TRACKING = r"(?<=[?&])(?:utm_[a-z]+|gclid|fbclid|ref)=[^&]*&?"
+_LINK = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
+_HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
+_REFRESH = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
+_TO = r"(?is)\bcontent\s*=\s*[\"']?[^\"'>;]*;\s*url\s*=\s*[\"']?([^\"'\s>]+)"
+_TRACKING = r"([?&])(?:(?:utm_[a-z]+|gclid|fbclid|ref)=[^&]*(?:&|$))+"
 
 
 def _part(url: Column, group: int) -> Column:
@@ -43,7 +45,7 @@ def key_of(url: Column) -> Column:
 
 def canonical_key(key: Column) -> Column:
     """Key without tracking parameters and without a closing slash: aliases by their form alone."""
-    return F.regexp_replace(F.regexp_replace(key, _TRACKING, ""), r"[/?&]+$", "")
+    return F.regexp_replace(F.regexp_replace(key, _TRACKING, "$1"), r"[/?&]+$", "")
 
 
 def _target(base: Column, href: Column) -> Column:
@@ -54,7 +56,7 @@ def _target(base: Column, href: Column) -> Column:
         .when(href.startswith("/"), F.concat(F.lit("x://"), host, href))
         .otherwise(F.concat(F.lit("x://"), host, F.regexp_replace(path, r"[^/]*$", ""), href))
     )
-    return F.when(href != "", key_of(whole))
+    return F.when(href != "", canonical_key(key_of(whole)))
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
@@ -62,7 +64,7 @@ def alias_edges(pages: DataFrame) -> DataFrame:
     url = F.col("url")
     targets = [canonical_key(key_of(url))]
     if "html" in pages.columns:
-        targets += [_target(url, F.regexp_extract("html", pattern, 1)) for pattern in (_LINK, _REFRESH)]
+        targets += [_target(url, F.regexp_extract(F.regexp_extract("html", tag, 0), place, 1)) for tag, place in ((_LINK, _HREF), (_REFRESH, _TO))]
     edges = pages.select(key_of(url).alias("a"), F.explode(F.array(*targets)).alias("b"))
     return edges.filter("a IS NOT NULL AND b IS NOT NULL AND a != b")
 
