@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabassay.llm import decontamination, line_dedup, near_dedup, packing, quality
-from tabassay.llm._repeats import join_rows
 from tabassay.llm._shared import read, table
 from tabassay.llm.queries import CAPACITY, tokenizer_path
 
@@ -35,7 +34,9 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold benchmark passages by the contamination rule."""
     found = decontamination.contamination(docs, read(spark, sf_dir, "benchmark")).filter("contaminated").select("doc_id", "t").distinct()
-    return join_rows(docs.withColumn("t", F.xxhash64("text")), found, "left_anti").select(*docs.columns)
+    found = found.select(F.col("doc_id").alias("_id"), F.col("t").alias("_hash"))
+    same = docs["doc_id"].eqNullSafe(found["_id"]) & (F.xxhash64(docs["text"]) == found["_hash"])
+    return docs.join(found, same, "left_anti").select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

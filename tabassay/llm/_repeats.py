@@ -45,6 +45,8 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     out, have = values.copy(), 1
     while have < width:
         step = min(have, width - have)
+        if step >= len(out):
+            break  # no text is as long as a window
         out[: len(out) - step] = np.minimum(out[: len(out) - step], out[step:])
         have += step
     return out
@@ -158,6 +160,5 @@ def covered(n_units: int, marks: list[dict], size: int) -> np.ndarray:
 
 def rewrite(documents: DataFrame, marks: DataFrame, make: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], columns: list[str], schema: str) -> DataFrame:
     """Runs make over batches of (text, marks, columns...) for every row of documents."""
-    keyed = documents.withColumn("t", F.xxhash64("text"))
-    renamed = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "t", "text", *[F.col(c).alias(f"_c{i}") for i, c in enumerate(columns)])
+    renamed = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text", *[F.col(c).alias(f"_c{i}") for i, c in enumerate(columns)])
     return join_rows(renamed, marks, "left").select("text", "marks", *[f"_c{i}" for i in range(len(columns))]).mapInArrow(make, schema)
