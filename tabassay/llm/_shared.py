@@ -42,5 +42,13 @@ def within(df: DataFrame, limit: int) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
+def hashed_sample(df: DataFrame, n: int, total: int, *keys: str) -> DataFrame:
+    """At most n of df's total rows, chosen by the hash of keys; what reaches the last task stays near n at any size."""
+    span = 1 << 30
+    most = min(span, -(-span * (n + n // 4 + 256) // max(1, total)))
+    some = df.filter(F.pmod(F.xxhash64(*keys, F.lit("sample")), F.lit(span)) < most)
+    return some.orderBy(F.xxhash64(*keys), *keys).limit(n)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabassay.llm._shared import hashed_sample
 from tabassay.llm._text import LOWER, column_bytes, slices
 
 #: Bounds of the labelled sample that the automata are built from, for each language.
@@ -102,7 +103,8 @@ class Model:
     def phrases(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Phrases that each row needs in each language (rows x languages), and each row's folded length.
 
-        Rows are parsed in pieces of PIECE bytes, in step; a piece's end closes a phrase in every language alike.
+        Rows are parsed in pieces of PIECE bytes, in step. A phrase is closed by every byte that
+        does not continue it, and by the piece's end in every language alike.
         """
         classes, flat, roots, _ = self.tables()
         rows = len(offsets) - 1
@@ -136,12 +138,10 @@ class Model:
 def train(labelled: DataFrame, docs: int = SAMPLE_DOCS, text: int = SAMPLE_TEXT, size: int = SAMPLE_BYTES) -> Model:
     """Model of (doc_id, text, lang): for each lang a sample of at most docs texts and size bytes, short texts first, by hash."""
     rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL AND text != ''")
-    langs = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
-    sample = {
-        lang: rows.filter(F.col("lang") == lang).select("text", (F.length("text") > text).alias("long"), F.xxhash64("doc_id").alias("h"), "doc_id")
-        .filter(~F.col("long")).orderBy("h", "doc_id", "text").limit(docs).select("text").collect()
-        for lang in langs
-    }
+    short = F.length("text") <= text
+    found = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count_if(short).alias("n")).collect()}
+    langs = sorted(found)
+    sample = {lang: hashed_sample(rows.filter((F.col("lang") == lang) & short).select("doc_id", "text"), docs, n, "doc_id", "text").collect() for lang, n in found.items()}
     for lang in [x for x in langs if not sample[x]]:  # no short text: the shortest of the long ones
         sample[lang] = rows.filter(F.col("lang") == lang).orderBy(F.length("text"), "doc_id", "text").limit(1).select("text").collect()
     return Model(langs, [b"\n".join(r["text"].encode() for r in sample[lang])[:size] for lang in langs])
