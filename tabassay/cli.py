@@ -50,8 +50,11 @@ def cmd_analyze(args: argparse.Namespace) -> None:
 
 
 def cmd_recommend(args: argparse.Namespace) -> None:
-    from tabassay.plans.report import recommendation
+    from tabassay.plans.report import all_profiles, recommendation
 
+    if args.all:
+        print(all_profiles(_results(args.results)))
+        return
     if args.weights:
         weights, name = json.loads(args.weights), "Custom"
     elif args.profile in PROFILES:
@@ -101,6 +104,7 @@ def parser() -> argparse.ArgumentParser:
     sub.choices["analyze"].add_argument("--value-refs")
     sub.choices["recommend"].add_argument("--profile", default="balanced")
     sub.choices["recommend"].add_argument("--weights")
+    sub.choices["recommend"].add_argument("--all", action="store_true", help="every profile")
     sub.choices["voi"].add_argument("--n-simulations", type=int, default=50_000)
     sub.choices["voi"].add_argument("--latex", action="store_true")
     return out

@@ -383,6 +383,9 @@ def oracle_sql() -> dict[str, str]:
         "typical_distance": _with(_vec(8), some, pair_distance, select="SELECT count(*) AS pairs, round(quantile_cont(d, 0.5), 6) AS typical_distance FROM pd"),
         "dcr_privacy": _with(_vec(8).replace("train AS", "raw_train AS").replace("synth AS", "raw_synth AS"), scaled, dcr_near[1], DCR, some, pair_distance, "ty AS (SELECT quantile_cont(d, 0.5) AS typical_distance FROM pd)",
           select=f"SELECT {_r('dcr_percentile', 'dcr_mean', 'typical_distance')}, round(least(1e0, dcr_percentile / (2e0 * typical_distance)), 6) AS privacy_score FROM dcr, ty"),
+        "dcr_per_record_measure": per_record("euclidean", 8).replace("closest FROM near", "closest AS closest_train_id FROM near"),
+        "union_by_name": _with(MICRO, select="SELECT row_id, segment, age, 0 AS label FROM micro UNION ALL SELECT row_id, segment, NULL, 1 FROM micro WHERE row_id % 3 = 0"),
+        "running_means": _with(RESULTS, select="SELECT method, count(*) AS n, " + ", ".join(f"round(avg({m}), 6) AS {m}" for m in CORE_METRICS) + " FROM results GROUP BY 1"),
         "auc_exact_ranks": _auc(""),
         "auc_by_group": _auc("grp"),
         "f1_by_subgroup": _with(CLASSIFIED, _subgroups(7500), select=f"SELECT subgroup, n, {_r('f1_real', 'f1_synth', 'f1_ratio')}, kept FROM sr"),

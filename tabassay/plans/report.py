@@ -51,6 +51,15 @@ def recommendation(results: DataFrame, weights: dict[str, float], profile_name:
     return "\n".join(lines)
 
 
+def all_profiles(results: DataFrame) -> str:
+    """The recommendation of every profile, and a table of the leaders."""
+    ranked = D.recommend(results).cache()
+    lead = {r["profile"]: r for r in D.leaders(ranked).collect()}
+    lines = [recommendation(results, w, PROFILE_NAMES[p]) for p, w in PROFILES.items()]
+    lines += ["", "LEADERS"] + [f"  {PROFILE_NAMES[p]:<30} {_label(lead[p]['leader'])} (+{_number(lead[p]['advantage'])})" for p in PROFILES if p in lead]
+    return "\n".join(lines)
+
+
 def statistics(results: DataFrame) -> str:
     """Descriptive statistics, assumptions, omnibus and pairwise tests, middle tier, correlations, data quality."""
     n = results.count()

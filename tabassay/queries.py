@@ -16,6 +16,7 @@ from tabassay.plans import experiment, plotdata
 from tabassay.plans import simulation as V
 from tabassay.plans import statistics as S
 from tabassay.sources import io
+from tabassay.streaming.results import running_means
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Order priorities stand for the five methods, in their order.
@@ -243,6 +244,33 @@ def _fairness(spark: SparkSession, d: str) -> DataFrame:
     return measures.compare_fairness_across_methods(train, {"independent_marginals": synthetic}, test, "target", "segment", 20, n_estimators=5)
 
 
+def _propensity_training(spark: SparkSession, d: str) -> DataFrame:
+    train, _, synthetic = _tables(spark, d)
+    return _row(spark, measures.propensity_auc_no_cv(train, synthetic, n_estimators=5), "auc", "auc_fidelity")
+
+
+def _subgroup_utility(spark: SparkSession, d: str) -> DataFrame:
+    train, test, synthetic = _tables(spark, d)
+    return measures.tstr_utility_per_subgroup(train, synthetic, test, "target", "segment", 20, n_estimators=5)["table"]
+
+
+def _compared_dcr(spark: SparkSession, d: str) -> DataFrame:
+    train, synthetic, names = vectors(spark, d)
+    tables = {"odd": synthetic, "copies": train.withColumn(names[0], F.col(names[0]) + F.lit(0.0))}
+    return r6(measures.compare_dcr_distributions(train, tables).select("method", "dcr_percentile", "dcr_mean", "dcr_min", "n_synthetic", "typical_distance", "privacy_score"))
+
+
+def _dcr_records(spark: SparkSession, d: str) -> DataFrame:
+    train, synthetic, _ = vectors(spark, d)
+    return r6(measures.dcr_privacy_per_record(train, synthetic, normalize=False).select("row_id", "dcr", "closest_train_id"))
+
+
+def _appended(spark: SparkSession, d: str) -> DataFrame:
+    """Real and synthetic rows by column name, labelled; a column that one side lacks is null."""
+    df = micro(spark, d)
+    return df.select("row_id", "segment", "age").withColumn("label", F.lit(0)).unionByName(df.filter("row_id % 3 = 0").select("segment", "row_id").withColumn("label", F.lit(1)), allowMissingColumns=True)
+
+
 def _auc(spark: SparkSession, d: str) -> DataFrame:
     return r6(metrics.auc(classified(spark, d)))
 
@@ -371,6 +399,10 @@ QUERIES: dict[str, Query] = {
     "dcr_summary": _dcr_summary,
     "typical_distance": _typical,
     "dcr_privacy": _dcr_privacy,
+    "dcr_compared": _compared_dcr,
+    "dcr_per_record_measure": _dcr_records,
+    "union_by_name": _appended,
+    "running_means": _res(running_means),
     "auc_exact_ranks": _auc,
     "auc_by_group": _auc_by,
     "f1_by_subgroup": _subgroups,
@@ -390,6 +422,8 @@ QUERIES: dict[str, Query] = {
     "propensity_gbt": _propensity,
     "propensity_holdout": _propensity_holdout,
     "propensity_lr": _propensity_linear,
+    "propensity_no_cv": _propensity_training,
+    "tstr_per_subgroup": _subgroup_utility,
     "mi_lr": _membership,
     "mi_per_record": _membership_records,
     "tstr_gbt": _utility("gbt"),
