@@ -3,15 +3,15 @@
 Copies with equal shingle sets collapse into one class first. Inside a band bucket every class is
 tried against one pivot instead of against every other member; links found that way are closed
 into components. Only buckets whose members are still in different components are compared across
-those components, where an odd sketch (the parity bitmap of the MinHash samples; the XOR's
-population count estimates the similarity) must come near the threshold before texts are read.
-Every link that counts has been confirmed on whole shingle sets.
+those components, in blocks, where an odd sketch (the parity bitmap of the MinHash samples; the
+XOR's population count estimates the similarity) must come near the threshold before sets are
+compared. Every link that counts has been confirmed on whole shingle sets.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import partial
 
 import numpy as np
@@ -29,6 +29,8 @@ SAMPLES, SKETCH_WORDS = BANDS * ROWS, 8
 MARGIN = 0.27
 #: Partitions that the partners of one pivot are spread over while they are confirmed.
 SALTS = 16
+#: Documents and text bytes of a block, of which two meet in a task.
+BLOCK_ROWS, BLOCK_BYTES = 1024, 8 << 20
 
 _RANDOM = np.random.Generator(np.random.PCG64(77))
 _XOR = _RANDOM.integers(0, 2**32, SAMPLES, dtype=np.uint32)
@@ -124,21 +126,90 @@ def _confirm(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def confirm(pairs: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs (a, b) whose documents' whole shingle sets have 100 * shared >= percent * united.
+def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Those of pairs (a, b) whose whole shingle sets, made of texts (cid, text), have 100 * shared >= percent * united.
 
     A pivot's text travels once to each of the salted partitions that hold its partners, and
     partners stream past it, so one popular pivot neither fills a task nor collects its partners.
     """
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
-    asked = salted.select("a", "salt", F.col("b").alias("partner"), F.col("b").alias("doc_id")).union(
+    asked = salted.select("a", "salt", F.col("b").alias("partner"), F.col("b").alias("cid")).union(
         salted.select("a", "salt").distinct().select("a", "salt", F.lit(None).cast("long"), "a")
     )
-    ids = documents.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
-    rows = asked.join(ids, "doc_id").select("a", "salt", "partner", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("partner").asc_nulls_first())
+    rows = asked.join(texts.hint("merge"), "cid").select("a", "salt", "partner", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("partner").asc_nulls_first())
     return rows.mapInArrow(partial(_confirm, percent=percent), "a long, b long").distinct()
 
 
+_LINKED = "a long, b long"
+
+
+def _match(group: pa.Table, percent: int, most: int) -> pa.Table:
+    """Links between documents of different components in a pair of blocks, one for each two components that a link joins.
+
+    Only pairs that share a band and whose sketches are near enough are confirmed, the nearest
+    first; once two components are joined, their other pairs need no look.
+    """
+    group = group.combine_chunks()
+    get = lambda c, n: np.array(group.column(c).to_pylist(), np.int64).reshape(-1, n)
+    cid, label, n, block = (group.column(c).to_numpy() for c in ("cid", "label", "n_shingles", "block"))
+    lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
+    left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+    bands, sketch = get("bands", BANDS), get("sketch", SKETCH_WORDS).view(U64)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for x in left.tolist():
+        y = right[right > x] if lo == hi else right
+        y = y[(label[y] != label[x]) & (np.minimum(n[y], n[x]) * 100 >= np.maximum(n[y], n[x]) * percent)]
+        y = y[(bands[y] == bands[x]).any(axis=1)]
+        apart = np.bitwise_count(sketch[y] ^ sketch[x]).sum(axis=1)
+        y, apart = y[apart <= most], apart[apart <= most]
+        found.append((np.full(len(y), x), y, apart))
+    i, j, apart = (np.concatenate(c) if found else np.zeros(0, int) for c in (zip(*found, strict=True) if found else ([], [], [])))
+    order = np.argsort(apart, kind="stable")
+    data, offsets = column_bytes(group.column("text").combine_chunks() if isinstance(group.column("text"), pa.ChunkedArray) else group.column("text"))
+    used, sets, parent = set(i.tolist()) | set(j.tolist()), {}, {}
+
+    def root(x: int) -> int:
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    for r in sorted(used):
+        sets[r] = shingle_sets(data[offsets[r] : offsets[r + 1]], np.array([0, offsets[r + 1] - offsets[r]]))[0]
+    a, b = [], []
+    for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
+        p, q = root(int(label[x])), root(int(label[y]))
+        if p != q and _linked(sets[x], sets[y], percent):
+            parent[max(p, q)] = min(p, q)
+            a.append(int(cid[x]))
+            b.append(int(cid[y]))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _matcher(percent: int, most: int) -> Callable[[pa.Table], pa.Table]:
+    def match(group: pa.Table) -> pa.Table:
+        return _match(group, percent, most)
+
+    return match
+
+
+def _across(open_members: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components that share a bucket; open_members: (bucket, cid, label).
+
+    Buckets that overlap are one family. A family is cut into blocks of bounded rows and bytes and
+    every two blocks meet in a task of their own, which sends back links only.
+    """
+    hubs = open_members.groupBy("bucket").agg(F.min("cid").alias("hub"))
+    family = components(open_members.join(hubs, "bucket").select(F.col("cid").alias("a"), F.col("hub").alias("b")))
+    docs = family.select(F.col("node").alias("cid"), F.col("component").alias("family")).join(open_members.select("cid", "label").distinct(), "cid")
+    docs = table(docs.join(classes.select("cid", "n_shingles", "bands", "sketch"), "cid").join(texts.hint("merge"), "cid"), "families")
+    need = F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES))
+    sizes = docs.groupBy("family").agg(F.greatest(need, F.lit(1)).cast("int").alias("blocks"))
+    placed = docs.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("block", "other").cast("int")).withColumn("hi", F.greatest("block", "other").cast("int"))
+    most = most_different_bits(percent / 100 - MARGIN)
+    return pairs.drop("other", "blocks").groupBy("family", "lo", "hi").applyInArrow(_matcher(percent, most), _LINKED)
+
+
 def groups(documents: DataFrame, percent: int = 75) -> DataFrame:
     """One row for each row of documents (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -158,23 +229,17 @@ def groups(documents: DataFrame, percent: int = 75) -> DataFrame:
     banded = classes.select("cid", F.posexplode("bands").alias("i", "h")).select("cid", F.xxhash64("i", "h").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.min("cid").alias("pivot"), F.max("cid").alias("top")).filter("pivot < top").drop("top")
     members = table(banded.join(shared, "bucket"), "buckets")
+    ids = documents.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("cid"), "text")
+    texts = table(ids.join(members.select("cid").distinct().hint("merge"), "cid", "left_semi"), "texts")
     stars = members.filter("cid != pivot").groupBy("cid").agg(F.min("pivot").alias("a")).select("a", F.col("cid").alias("b"))
-    links = table(confirm(stars, documents, percent), "links")
+    links = table(confirm(stars, texts, percent), "links")
     labels = components(links)
 
     placed = members.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("bucket", "cid", F.coalesce("component", "cid").alias("label"))
     mixed = placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("bucket")
-    open_members = table(placed.join(mixed, "bucket").join(classes.select("cid", "sketch", "n_shingles"), "cid"), "open")
-    left = open_members.select("bucket", F.col("cid").alias("a"), F.col("label").alias("la"), F.col("sketch").alias("sa"), F.col("n_shingles").alias("na"))
-    right = open_members.select(F.col("bucket"), F.col("cid").alias("b"), F.col("label").alias("lb"), F.col("sketch").alias("sb"), F.col("n_shingles").alias("nb"))
-    apart = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(SKETCH_WORDS)), F.lit(0))
-    near = (apart <= most_different_bits(percent / 100 - MARGIN)) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    cross = left.join(right, "bucket").filter((F.col("la") < F.col("lb")) & near).select("a", "b").distinct()
-    cross = table(cross.join(stars.withColumn("_seen", F.lit(True)), (F.least(cross.a, cross.b) == stars.a) & (F.greatest(cross.a, cross.b) == stars.b), "left_anti"), "cross")
-    every = same_id
-    late = table(confirm(cross, documents, percent), "links") if cross.take(1) else None
-    for found in (links, late):
-        every = every if found is None else every.union(found)
+    open_members = table(placed.join(mixed, "bucket"), "open")
+    late = table(_across(open_members, classes, texts, percent), "links")
+    every = same_id.union(links).union(late)
     component = components(every)
     return signed.join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id", F.col("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.col("component") == F.col("doc_id"), F.lit(True)).alias("kept")
