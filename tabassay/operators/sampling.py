@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabassay.functions.rng import order_key
@@ -13,31 +13,41 @@ def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
     return df if name in df.columns else df.withColumn(name, F.monotonically_increasing_id())
 
 
-def _bounded_cut(df: DataFrame, n: int, seed: int, row_id: str, buckets: int = 4096) -> tuple[str, int]:
-    """First hash prefix bucket that is only partly among the n first rows, and how many rows stand before it."""
-    prefix = F.conv(F.substring(order_key(F.col(row_id), "shuffle", seed), 1, 3), 16, 10).cast("int")
-    counts = {r["b"]: r["n"] for r in df.select(prefix.alias("b")).groupBy("b").agg(F.count("*").alias("n")).collect()}
-    before = 0
-    for b in range(buckets):
-        if before + counts.get(b, 0) > n:
-            return b, before
-        before += counts.get(b, 0)
-    return buckets, before
+#: Rows of one hash prefix that are ranked in a single task at most, unless keys repeat.
+EDGE_ROWS = 100_000
+_DIGITS = 3
+
+
+def _cut(df: DataFrame, n: int, key: Column) -> tuple[str, int]:
+    """The hash prefix in which the n-th row falls (beyond every key if there are no more than n rows), and the rows before it."""
+    prefix, before = "", 0
+    while len(prefix) < 30:
+        own = df.filter(key.startswith(prefix)) if prefix else df
+        counts = {r["p"]: r["n"] for r in own.groupBy(F.substring(key, 1, len(prefix) + _DIGITS).alias("p")).agg(F.count("*").alias("n")).collect()}
+        for p in sorted(counts):
+            if before + counts[p] > n:
+                prefix = p
+                break
+            before += counts[p]
+        else:
+            return "g", before
+        if counts[prefix] <= EDGE_ROWS:
+            break
+    return prefix, before
 
 
 def first_by_hash(df: DataFrame, n: int, seed: int, row_id: str = "row_id") -> DataFrame:
-    """The n rows that come first in hash order (all, if fewer), with a boolean column _first on every row of df.
+    """df with a boolean column _first: whether a row is among the n first in hash order.
 
-    A histogram of 4096 hash prefixes finds the bucket in which the cut falls; only that bucket is
-    ranked, so no task ever sorts the table.
+    Histograms of hash prefixes, each of 4096 counts, narrow down where the cut falls until few
+    rows share the prefix; only those are ranked, so no task ever sorts the table.
     """
-    at, before = _bounded_cut(df, n, seed, row_id)
     key = order_key(F.col(row_id), "shuffle", seed)
-    prefix = F.conv(F.substring(key, 1, 3), 16, 10).cast("int")
+    at, before = _cut(df, n, key)
+    prefix = F.substring(key, 1, len(at))
     edge = df.filter(prefix == at).select(row_id, key.alias("_k")).withColumn("_n", F.row_number().over(Window.orderBy("_k", row_id)))
     edge = edge.filter(F.col("_n") <= n - before).select(F.col(row_id).alias("_edge"))
-    out = df.join(edge, df[row_id] == edge["_edge"], "left").withColumn("_first", (prefix < at) | F.col("_edge").isNotNull()).drop("_edge")
-    return out
+    return df.join(edge, df[row_id] == edge["_edge"], "left").withColumn("_first", (prefix < at) | F.col("_edge").isNotNull()).drop("_edge")
 
 
 def sample_exact(df: DataFrame, n: int, seed: int = 42, row_id: str = "row_id") -> DataFrame:

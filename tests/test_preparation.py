@@ -42,6 +42,14 @@ def test_split_is_exact_disjoint_and_stable(spark, n):
     assert a == {r[0] for r in sampling.train_test_split(df.repartition(5), 0.7, 42)[0].collect()}
 
 
+def test_cut_narrows_down(spark, monkeypatch):
+    df = spark.range(3000).withColumnRenamed("id", "row_id")
+    whole = sorted(r[0] for r in sampling.sample_exact(df, 1234).collect())
+    monkeypatch.setattr(sampling, "EDGE_ROWS", 1)
+    monkeypatch.setattr(sampling, "_DIGITS", 1)
+    assert sorted(r[0] for r in sampling.sample_exact(df, 1234).collect()) == whole and len(whole) == 1234
+
+
 def test_sample_size(spark):
     df = spark.range(300).withColumnRenamed("id", "row_id")
     assert sampling.sample_exact(df, 77).count() == 77 and sampling.sample_exact(df, 1000).count() == 300
