@@ -13,9 +13,13 @@ theirs by their distributed rank among equal lengths.
 from __future__ import annotations
 
 import bisect
+import os
+import re
+import struct
 import zlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache, partial
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,52 +27,97 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabassay.llm._shared import table
+from tabassay.llm._text import column_bytes, slices
 
-CACHE_WORDS = 400_000
+#: Words, and parts of words, whose ids a worker remembers at most; others are encoded whenever they come.
+CACHE_WORDS = 1_000_000
 #: Rows of one length in one rank group; further rows of that length open further groups.
 RANK_GROUP = 20_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-@lru_cache(maxsize=2)
-def _encoder(path: str) -> Callable[[list[bytes]], list[bytes]]:
-    """Packed ids of many words, by the tokenizer or from a bounded cache."""
-    from tokenizers import Tokenizer
+# The tokenizer's pre-token pattern over Latin-1 bytes in lower case, and that lower case.
+_LETTER, _NUMBER, _SPACE = rb"a-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", rb"0-9\xb2\xb3\xb9\xbc-\xbe", rb"\x09-\x0d\x20\x85\xa0"
+_PARTS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[" + _LETTER + rb"]+|[" + _NUMBER + rb"]|[^" + _SPACE + _LETTER + _NUMBER + rb"]+").findall
+_LOWER_LATIN = bytes(b + 32 if 65 <= b <= 90 or (192 <= b <= 222 and b != 215) else b for b in range(256))
+
+
+class _Known(dict):
+    """Remembered ids; others are looked for among those of the batch at hand."""
+
+    batch: dict[bytes, bytes]
+
+    def __missing__(self, key: bytes) -> bytes:
+        return self.batch[key]
 
-    tokenizer = Tokenizer.from_file(path)
-    pack = lambda ids: np.array(ids, "<u4").tobytes()
-    cache: dict[bytes, bytes] = {}
 
-    def words(parts: list[bytes]) -> list[bytes]:
-        new = list(set(parts).difference(cache))
-        if len(cache) + len(new) > CACHE_WORDS:
-            cache.clear()
-            new = list(set(parts))
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            cache.update(zip(some, (pack(e.ids) for e in tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)), strict=True))
-        return list(map(cache.__getitem__, parts))
+class _Encoder:
+    """Packed ids of texts from the remembered ids of their pre-tokens.
 
-    def text_ids(text: str) -> bytes:
-        if "<|" in text:  # a special token's string may stand here; only the tokenizer itself splits those
-            return pack(tokenizer.encode(text, add_special_tokens=False).ids)
-        return b"".join(words(text.encode().split()))
+    In Latin-1 texts, which normalisation leaves as they are but for case, pre-tokens are read off
+    by the tokenizer's own pattern. In other texts the units are words, as white space always ends
+    a pre-token. A text with a special token's string goes to the tokenizer whole.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known = {"latin-1": _Known(), "utf-8": _Known()}
+
+    def _encode(self, new: list[str]) -> Iterator[bytes]:
+        for i in range(0, len(new), 8192):
+            for e in self.tokenizer.encode_batch_fast(new[i : i + 8192], add_special_tokens=False):
+                yield struct.pack(f"<{len(ids := e.ids)}I", *ids)
+
+    def _learn(self, kind: str, units: set[bytes]) -> None:
+        known = self.known[kind]
+        new = list(units.difference(known))
+        known.batch = dict(zip(new, self._encode([u.decode(kind) for u in new]), strict=True))
+        if room := max(0, CACHE_WORDS - len(known)):
+            known.update(known.batch if len(new) <= room else islice(known.batch.items(), room))
+
+    def texts(self, texts: list[str]) -> Iterator[bytes]:
+        split: list[tuple[str, list[bytes]]] = []
+        for t in texts:
+            if "<|" in t:
+                split.append(("", []))
+                continue
+            try:
+                split.append(("latin-1", _PARTS(t.encode("latin-1").translate(_LOWER_LATIN))))
+            except UnicodeEncodeError:
+                split.append(("utf-8", t.encode().split()))
+        for kind in self.known:
+            self._learn(kind, set().union(*[units for k, units in split if k == kind]))
+        for text, (kind, units) in zip(texts, split, strict=True):
+            if kind:
+                yield b"".join(map(self.known[kind].__getitem__, units))
+            else:
+                one = self.tokenizer.encode(text, add_special_tokens=False).ids
+                yield struct.pack(f"<{len(one)}I", *one)
 
-    return text_ids
+
+@lru_cache(maxsize=2)
+def _encoder(path: str) -> _Encoder:
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+    return _Encoder(path)
 
 
 def token_bytes(text: str | None, path: str) -> bytes:
-    """Little-endian 32-bit ids of a text. White space always ends a word for this tokenizer, so words are encoded alone."""
-    return _encoder(path)(text or "")
+    """Little-endian 32-bit ids of a text."""
+    return next(_encoder(path).texts([text or ""]))
 
 
 def _pieces(batches: Iterable[pa.RecordBatch], path: str, capacity: int, end: bytes) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows: list[tuple] = []
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            ids = token_bytes(text.as_py(), path) + end
-            step = 4 * capacity
-            rows += [(doc, i // step, i // 4, len(part := ids[i : i + step]) // 4, zlib.crc32(part)) for i in range(0, len(ids), step)]
+        step, encoder, ids_of = 4 * capacity, _encoder(path), batch.column(0).to_pylist()
+        _, offsets = column_bytes(batch.column(1))
+        for lo, hi in slices(offsets, 8 << 20):
+            texts = [t or "" for t in batch.column(1).slice(lo, hi - lo).to_pylist()]
+            for doc, ids in zip(ids_of[lo:hi], encoder.texts(texts), strict=True):
+                ids += end
+                rows += [(doc, i // step, i // 4, len(part := ids[i : i + step]) // 4, zlib.crc32(part)) for i in range(0, len(ids), step)]
         columns = list(zip(*rows, strict=True)) or [[]] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
