@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabassay.llm._shared import table
+from tabassay.llm._shared import discard, table
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -36,8 +36,9 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     for _ in range(max_rounds):
         if not state[0]:
             break
-        now = table(_stars(_stars(now, True), False), "edges")
+        earlier, now = now, table(_stars(_stars(now, True), False), "edges")
         state, before = _state(now), state
+        discard(earlier)
         if state == before:
             break
     else:

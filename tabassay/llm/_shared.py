@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -23,7 +24,17 @@ def table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables written by table() that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._written_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fold(column: str | F.Column, parts: int) -> F.Column:
@@ -45,7 +56,7 @@ def within(df: DataFrame, limit: int) -> bool:
 def hashed_sample(df: DataFrame, n: int, total: int, *keys: str) -> DataFrame:
     """At most n of df's total rows, chosen by the hash of keys; what reaches the last task stays near n at any size."""
     span = 1 << 30
-    most = min(span, -(-span * (n + n // 4 + 256) // max(1, total)))
+    most = min(span, -(-span * (n + 4 * math.isqrt(n) + 16) // max(1, total)))
     some = df.filter(F.pmod(F.xxhash64(*keys, F.lit("sample")), F.lit(span)) < most)
     return some.orderBy(F.xxhash64(*keys), *keys).limit(n)
 

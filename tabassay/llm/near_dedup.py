@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabassay.llm._components import components
-from tabassay.llm._shared import table
+from tabassay.llm._shared import discard, table
 from tabassay.llm._text import U64, column_bytes, mix, prefix_sums, slices, span_hashes, words
 
 SHINGLE, BANDS, ROWS = 5, 25, 4
@@ -207,7 +207,9 @@ def _across(open_members: DataFrame, classes: DataFrame, texts: DataFrame, perce
     placed = docs.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("block", "other").cast("int")).withColumn("hi", F.greatest("block", "other").cast("int"))
     most = most_different_bits(percent / 100 - MARGIN)
-    return pairs.drop("other", "blocks").groupBy("family", "lo", "hi").applyInArrow(_matcher(percent, most), _LINKED)
+    links = table(pairs.drop("other", "blocks").groupBy("family", "lo", "hi").applyInArrow(_matcher(percent, most), _LINKED), "links")
+    discard(docs)
+    return links
 
 
 def groups(documents: DataFrame, percent: int = 75) -> DataFrame:
@@ -238,9 +240,10 @@ def groups(documents: DataFrame, percent: int = 75) -> DataFrame:
     placed = members.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("bucket", "cid", F.coalesce("component", "cid").alias("label"))
     mixed = placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("bucket")
     open_members = table(placed.join(mixed, "bucket"), "open")
-    late = table(_across(open_members, classes, texts, percent), "links")
+    late = _across(open_members, classes, texts, percent)
     every = same_id.union(links).union(late)
     component = components(every)
+    discard(members, texts, open_members, links, late)  # the components are a table of their own
     return signed.join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id", F.col("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.col("component") == F.col("doc_id"), F.lit(True)).alias("kept")
     )
