@@ -9,6 +9,7 @@ are parsed in step by array lookups.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import partial
@@ -18,7 +19,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabassay.llm._shared import hashed_sample
 from tabassay.llm._text import LOWER, column_bytes, slices
 
 #: Bounds of the labelled sample that the automata are built from, for each language.
@@ -141,7 +141,12 @@ def train(labelled: DataFrame, docs: int = SAMPLE_DOCS, text: int = SAMPLE_TEXT,
     short = F.length("text") <= text
     found = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count_if(short).alias("n")).collect()}
     langs = sorted(found)
-    sample = {lang: hashed_sample(rows.filter((F.col("lang") == lang) & short).select("doc_id", "text"), docs, n, "doc_id", "text").collect() for lang, n in found.items()}
+    # One pass for all languages: each has its own share of the hashes, a little over what is wanted.
+    span, most = 1 << 30, F.lit(0)
+    for lang, n in found.items():
+        most = F.when(F.col("lang") == lang, min(span, span * (docs + 4 * math.isqrt(docs) + 16) // max(1, n))).otherwise(most)
+    picked = rows.filter(short & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(span)) < most)).select("lang", "text", F.xxhash64("doc_id", "text").alias("h")).collect()
+    sample = {lang: sorted((r for r in picked if r["lang"] == lang), key=lambda r: (r["h"], r["text"]))[:docs] for lang in langs}
     for lang in [x for x in langs if not sample[x]]:  # no short text: the shortest of the long ones
         sample[lang] = rows.filter(F.col("lang") == lang).orderBy(F.length("text"), "doc_id", "text").limit(1).select("text").collect()
     return Model(langs, [b"\n".join(r["text"].encode() for r in sample[lang])[:size] for lang in langs])
