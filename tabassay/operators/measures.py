@@ -103,7 +103,7 @@ def dcr_privacy(train: DataFrame, synthetic: DataFrame, metric: str = "euclidean
     typical = linking.pairwise_sample(t, names, metric, seed=random_state).agg(F.percentile("d", F.lit(0.5)).alias("typical_distance"))
     out = linking.dcr_summary(found, percentile).crossJoin(typical)
     score = F.least(F.lit(1.0), F.try_divide(F.col("dcr_percentile"), F.col("typical_distance") * F.lit(2.0)))
-    return out.withColumn("privacy_score", score).withColumnRenamed("n", "n_synthetic").withColumn("metric", F.lit(metric))
+    return out.withColumns({"privacy_score": score, "percentile_used": F.lit(percentile), "metric_used": F.lit(metric)}).withColumnRenamed("n_close_matches", "num_close_matches").withColumnRenamed("n", "n_synthetic")
 
 
 def dcr_privacy_per_record(train: DataFrame, synthetic: DataFrame, metric: str = "euclidean", normalize: bool = True) -> DataFrame:
@@ -151,8 +151,9 @@ def membership_inference_privacy(train: DataFrame, test: DataFrame, synthetic: D
     hit = _attacked(synthetic, fitted, _columns(train), names, known, middle).agg(metrics.membership_rates(None, "score").alias("rate"), F.avg("score").alias("mean")).first()
     valid = auc is not None and auc >= min_attack_auc
     return {
-        "attack_success_rate": hit["rate"], "attack_auc": auc, "attack_valid": valid, "mean_membership_prob": hit["mean"],
-        "privacy_score": 1 - 2 * abs(hit["rate"] - 0.5) if valid else None, "min_attack_auc": min_attack_auc,
+        "attack_success_rate": hit["rate"], "attack_auc": auc, "attack_valid": valid, "mean_membership_confidence": hit["mean"],
+        "privacy_score": 1 - 2 * abs(hit["rate"] - 0.5) if valid else None,
+        "warning": None if valid else f"the attack's own AUC is below {min_attack_auc}: it cannot tell members from others, so the score means nothing",
     }
 
 
@@ -161,7 +162,7 @@ def membership_inference_per_record(train: DataFrame, test: DataFrame, synthetic
     flat, names, known, middle = _membership(train, test)
     fitted = learn.classifier("lr", len(names), flat.count()).fit(learn.vectors(flat, names, "label"))
     scored = _attacked(synthetic, fitted, _columns(train), names, known, middle)
-    return synthetic.join(scored.select("row_id", F.col("score").alias("membership_prob"), (F.col("score") > 0.5).alias("is_likely_member")), "row_id", "left")
+    return synthetic.join(scored.select("row_id", F.col("score").alias("membership_prob"), (F.col("score") > 0.5).cast("int").alias("is_likely_member")), "row_id", "left")
 
 
 class Utility:
@@ -207,24 +208,24 @@ def tstr_utility(train: DataFrame, synthetic: DataFrame, test: DataFrame, target
     ratio = lambda s, r: s / r if r > 0 else 0.0
     f1_ratio = ratio(row["s"], row["r"])
     return {
-        "f1_real": row["r"], "f1_synth": row["s"], "f1_ratio": f1_ratio, "auc_real": aucs[0], "auc_synth": aucs[1], "auc_ratio": ratio(aucs[1], aucs[0]),
-        "utility_score": min(1.0, f1_ratio), "evaluator": evaluator,
+        "f1_real": row["r"], "f1_synthetic": row["s"], "f1_ratio": f1_ratio, "auc_real": aucs[0], "auc_synthetic": aucs[1], "auc_ratio": ratio(aucs[1], aucs[0]),
+        "utility_score": min(1.0, f1_ratio),
     }
 
 
 def tstr_utility_mlp(train: DataFrame, synthetic: DataFrame, test: DataFrame, target: str, **settings) -> dict:
-    return tstr_utility(train, synthetic, test, target, "mlp", **settings)
+    return tstr_utility(train, synthetic, test, target, "mlp", **settings) | {"evaluator": "mlp"}
 
 
-def tstr_utility_per_subgroup(train: DataFrame, synthetic: DataFrame, test: DataFrame, target: str, subgroup: str, min_subgroup_size: int = 100, overall: dict | None = None, **settings) -> dict:
-    """overall (with the subgroup as a feature) and F1 ratios by subgroup (models without it); smaller subgroups are listed as excluded."""
+def tstr_utility_per_subgroup(train: DataFrame, synthetic: DataFrame, test: DataFrame, target: str, subgroup: str, min_subgroup_size: int = 100, overall: dict | None = None, without: Utility | None = None, **settings) -> dict:
+    """overall_f1_ratio (with the subgroup as a feature) and F1 ratios by subgroup (models without it); smaller subgroups are listed as excluded."""
     whole = overall or tstr_utility(train, synthetic, test, target, **settings)
-    without = Utility(train, test, target, exclude=(subgroup,), **settings)
+    without = without or Utility(train, test, target, exclude=(subgroup,), **settings)
     marked = without.predictions(synthetic).join(test.select("row_id", subgroup), "row_id")
     table = metrics.by_subgroup(marked, subgroup, min_subgroup_size).cache()
     each = {r["subgroup"]: r for r in table.collect()}
     return {
-        "overall": whole, "subgroup_ratios": {k: r["f1_ratio"] for k, r in each.items() if r["kept"]}, "subgroup_sizes": {k: r["n"] for k, r in each.items() if r["kept"]},
+        "overall_f1_ratio": whole["f1_ratio"], "subgroup_f1_ratios": {k: r["f1_ratio"] for k, r in each.items() if r["kept"]}, "subgroup_sizes": {k: r["n"] for k, r in each.items() if r["kept"]},
         "excluded_subgroups": sorted(str(k) for k, r in each.items() if not r["kept"]), "table": table,
     }
 
@@ -232,19 +233,25 @@ def tstr_utility_per_subgroup(train: DataFrame, synthetic: DataFrame, test: Data
 def fairness_gap(train: DataFrame, synthetic: DataFrame, test: DataFrame, target: str, subgroup: str, min_subgroup_size: int = 100, **settings) -> dict:
     """Largest and mean distance of subgroup F1 ratios from the overall one, and fairness_score = max(0, 1 - max_gap / 0.5)."""
     found = tstr_utility_per_subgroup(train, synthetic, test, target, subgroup, min_subgroup_size, **settings)
-    overall = found["overall"]["f1_ratio"]
+    overall = found["overall_f1_ratio"]
     row = metrics.gaps(found["table"], F.lit(float(overall))).first()
-    each = {k: abs(v - overall) for k, v in found["subgroup_ratios"].items()}
-    return row.asDict() | {"subgroup_gaps": each, "overall": found["overall"], "subgroup_sizes": found["subgroup_sizes"], "excluded_subgroups": found["excluded_subgroups"]}
+    ratios = found["subgroup_f1_ratios"]
+    return row.asDict() | {
+        "subgroup_gaps": {k: abs(v - overall) for k, v in ratios.items()}, "overall_utility": overall, "subgroup_utilities": ratios,
+        "subgroup_sizes": found["subgroup_sizes"], "excluded_subgroups": found["excluded_subgroups"],
+    }
 
 
 def compare_fairness_across_methods(train: DataFrame, tables: dict[str, DataFrame], test: DataFrame, target: str, subgroup: str, min_subgroup_size: int = 100, **settings) -> DataFrame:
-    """(method, max_gap, mean_gap, worst_subgroup, fairness_score, overall_ratio) for each named synthetic table."""
+    """(method, max_gap, mean_gap, worst_subgroup, overall_utility, fairness_score) for each named synthetic table; the real models are fitted once."""
+    whole = Utility(train, test, target, **settings)
+    without = Utility(train, test, target, exclude=(subgroup,), **settings)
     rows = []
     for name, df in tables.items():
-        r = fairness_gap(train, df, test, target, subgroup, min_subgroup_size, **settings)
-        rows.append((name, float(r["max_gap"]), float(r["mean_gap"]), r["worst_subgroup"], float(r["fairness_score"]), float(r["overall"]["f1_ratio"])))
-    return train.sparkSession.createDataFrame(rows, "method string, max_gap double, mean_gap double, worst_subgroup string, fairness_score double, overall_ratio double")
+        overall = tstr_utility(train, df, test, target, real=whole)
+        r = fairness_gap(train, df, test, target, subgroup, min_subgroup_size, overall=overall, without=without)
+        rows.append((name, float(r["max_gap"]), float(r["mean_gap"]), r["worst_subgroup"], float(r["overall_utility"]), float(r["fairness_score"])))
+    return train.sparkSession.createDataFrame(rows, "method string, max_gap double, mean_gap double, worst_subgroup string, overall_utility double, fairness_score double")
 
 
 def with_target(df: DataFrame, target: str, rule: dict | None) -> DataFrame:

@@ -68,7 +68,7 @@ def seed_of(replicate: int) -> int:
     return SEEDS[replicate] if replicate < len(SEEDS) else int(hashlib.md5(f"replicate:{replicate}".encode()).hexdigest()[:7], 16)
 
 
-def compute_all_measures(train: DataFrame, test: DataFrame, synthetic: DataFrame, config: DatasetConfig, trees: int = 100, min_subgroup_size: int = 100, real: measures.Utility | None = None) -> dict:
+def compute_all_measures(train: DataFrame, test: DataFrame, synthetic: DataFrame, config: DatasetConfig, trees: int = 100, min_subgroup_size: int = 100, real: measures.Utility | None = None, without: measures.Utility | None = None) -> dict:
     """The six result numbers; a measure that fails is None and does not stop the others."""
     tr, te, sy = (measures.with_target(df, config.target_variable, config.target_binarize) for df in (train, test, synthetic))
     out: dict = dict.fromkeys(("fidelity_auc", "privacy_dcr", "privacy_mi_auc", "privacy_mi_valid", "utility_tstr", "fairness_gap"))
@@ -93,7 +93,7 @@ def compute_all_measures(train: DataFrame, test: DataFrame, synthetic: DataFrame
 
     guarded(membership)
     guarded(utility)
-    guarded(lambda: {"fairness_gap": measures.fairness_gap(tr, sy, te, config.target_variable, config.subgroup_column, min_subgroup_size, overall=whole or None, n_estimators=trees)["max_gap"]})
+    guarded(lambda: {"fairness_gap": measures.fairness_gap(tr, sy, te, config.target_variable, config.subgroup_column, min_subgroup_size, overall=whole or None, without=without, n_estimators=trees)["max_gap"]})
     return out
 
 
@@ -118,7 +118,11 @@ def run(
     state = io.load_checkpoint(checkpoint)
     train, test = (df.cache() for df in load_and_preprocess(spark, config))
     n = n_synthetic or train.count()
-    real = None if skip_measures else measures.Utility(*(measures.with_target(df, config.target_variable, config.target_binarize) for df in (train, test)), config.target_variable, n_estimators=trees)
+    real = without = None
+    if not skip_measures:  # what is fitted on real rows alone serves every run
+        tables = [measures.with_target(df, config.target_variable, config.target_binarize) for df in (train, test)]
+        real = measures.Utility(*tables, config.target_variable, n_estimators=trees)
+        without = measures.Utility(*tables, config.target_variable, n_estimators=trees, exclude=(config.subgroup_column,))
 
     def one(method: str, r: int) -> tuple[str, dict | None, bool]:
         run_id, seed, began = f"{method}_rep{r + 1}", seed_of(r), time.time()
@@ -132,7 +136,7 @@ def run(
         synthetic = sampling.with_row_id(io.restore_types(synthetic, train)).cache()
         if skip_measures:
             return run_id, None, True
-        found = compute_all_measures(train, test, synthetic, config, trees, min_subgroup_size, real)
+        found = compute_all_measures(train, test, synthetic, config, trees, min_subgroup_size, real, without)
         synthetic.unpersist()
         row = {"method": method, "replicate": r + 1, "seed": seed, "n_samples": n, **found, "timestamp": datetime.now(timezone.utc).isoformat(), "seconds": time.time() - began}
         return run_id, row, True

@@ -223,7 +223,7 @@ def _propensity_linear(spark: SparkSession, d: str) -> DataFrame:
 
 def _membership(spark: SparkSession, d: str) -> DataFrame:
     found = measures.membership_inference_privacy(*_tables(spark, d))
-    return _row(spark, found, "attack_success_rate", "attack_auc", "mean_membership_prob")
+    return _row(spark, found, "attack_success_rate", "attack_auc", "mean_membership_confidence")
 
 
 def _membership_records(spark: SparkSession, d: str) -> DataFrame:
@@ -234,7 +234,7 @@ def _utility(kind: str) -> Query:
     def query(spark: SparkSession, d: str) -> DataFrame:
         train, test, synthetic = _tables(spark, d)
         settings = {"n_estimators": 5} if kind == "gbt" else {}
-        return _row(spark, measures.tstr_utility(train, synthetic, test, "target", kind, **settings), "f1_real", "f1_synth", "f1_ratio", "auc_real", "auc_synth", "utility_score")
+        return _row(spark, measures.tstr_utility(train, synthetic, test, "target", kind, **settings), "f1_real", "f1_synthetic", "f1_ratio", "auc_real", "auc_synthetic", "utility_score")
 
     return query
 
