@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from tabassay.functions.rng import order_key, uniform
 from tabassay.operators.encode import quoted
+from tabassay.operators.ranking import ranked
 from tabassay.sources.io import read_external, restore_types
 
 #: Distinct values up to which a numeric column is drawn like a category.
@@ -45,18 +46,8 @@ def frequencies(df: DataFrame, column: str) -> DataFrame:
 
 
 def indexed(df: DataFrame, order: list[Column], keys: list[str] | None = None, buckets: int = 64) -> DataFrame:
-    """Adds i = 1..n in each key's rows. Ranks are taken in hash buckets and shifted, so no key fills one task."""
-    keys = keys or []
-    b = df.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(buckets)))
-    own = b.withColumn("_o", F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(*order)))
-    shift = b.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
-    shift = shift.withColumn("_s", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).drop("_n")
-    joined = own
-    for_key = [own[k].eqNullSafe(shift[k]) for k in keys] + [own["_b"] == shift["_b"]]
-    condition = for_key[0]
-    for c in for_key[1:]:
-        condition = condition & c
-    return joined.join(shift, condition).select(*[own[c] for c in df.columns], (own["_o"] + shift["_s"]).alias("i"))
+    """Adds i = 1..n in each key's rows; ranks are taken in hash buckets, so no key fills one task."""
+    return ranked(df, keys or [], F.pmod(F.xxhash64(*order), F.lit(buckets)), order, "i")
 
 
 class IndependentMarginals:

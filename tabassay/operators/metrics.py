@@ -2,24 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabassay.operators.ranking import range_bucket, shifted
+
 
 def auc(scored: DataFrame, label: str = "label", score: str = "score", by: list[str] | None = None) -> DataFrame:
     """(by..., auc): exact ROC AUC by average ranks; null if a class is missing.
 
-    Equal scores are counted together first and only the counts are ordered, so a popular score
-    costs one row and the ranks of a large table come from one running sum over distinct scores.
+    Equal scores are counted together first. The running count of negatives below a score is taken
+    in ranges of scores and shifted by the ranges before, so no task orders all scores.
     """
-    from pyspark.sql import Window
-
     by = by or []
     tied = scored.filter(F.col(score).isNotNull()).groupBy(*by, score).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum((1 - F.col(label)).cast("long")).alias("n"))
-    below = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = tied.withColumn("below", F.coalesce(F.sum("n").over(below), F.lit(0)))
-    wins = F.sum(F.col("p") * (F.col("below") + F.col("n") / F.lit(2.0)))
-    return ranked.groupBy(*by).agg(F.try_divide(wins, F.sum("p") * F.sum("n")).alias("auc"))
+    rows = tied.withColumn("_b", range_bucket(scored, score))
+    below = Window.partitionBy(*by, "_b").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    counted = shifted(rows.withColumn("below", F.coalesce(F.sum("n").over(below), F.lit(0))), by, F.col("n"), "_before")
+    wins = F.sum(F.col("p") * (F.col("below") + F.col("_before") + F.col("n") / F.lit(2.0)))
+    return counted.groupBy(*by).agg(F.try_divide(wins, F.sum("p") * F.sum("n")).alias("auc"))
 
 
 def f1(prediction: Column, label: Column) -> Column:

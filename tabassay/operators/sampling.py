@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabassay.functions.rng import order_key
+from tabassay.operators.ranking import range_bucket, ranked
 
 
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
@@ -62,11 +63,19 @@ def train_test_split(df: DataFrame, fraction: float = 0.7, seed: int = 42, row_i
 
 
 def stratified_folds(df: DataFrame, label: str, k: int, seed: int = 42, row_id: str = "row_id", shuffle: bool = True) -> DataFrame:
-    """Adds fold (0..k-1): rows of each label dealt in hash order, or in blocks of row order if not shuffled."""
-    order = [order_key(F.col(row_id), "fold", seed), F.col(row_id)] if shuffle else [F.col(row_id)]
-    w = Window.partitionBy(label).orderBy(*order)
-    fold = (F.row_number().over(w) - 1) % k if shuffle else F.ntile(k).over(w) - 1
-    return df.withColumn("fold", fold.cast("int"))
+    """Adds fold (0..k-1): rows of each label dealt in hash order, or in blocks of numeric row order if not shuffled."""
+    if shuffle:
+        key = order_key(F.col(row_id), "fold", seed)
+        dealt = ranked(df, [label], F.substring(key, 1, _DIGITS), [key, F.col(row_id)])
+        return dealt.withColumn("fold", ((F.col("_rank") - 1) % k).cast("int")).drop("_rank")
+    dealt = ranked(df, [label], range_bucket(df, row_id), [F.col(row_id)])
+    sizes = df.groupBy(F.col(label).alias("_l")).agg(F.count("*").alias("_n"))
+    dealt = dealt.join(F.broadcast(sizes), dealt[label].eqNullSafe(F.col("_l"))).drop("_l")  # a label has few values
+    small, longer = F.floor(F.col("_n") / k), F.col("_n") % k
+    at = F.col("_rank") - 1
+    beyond = F.floor((at - longer * (small + 1)) / F.nullif(small, F.lit(0))) + longer
+    fold = F.when(at < longer * (small + 1), F.floor(at / (small + 1))).otherwise(beyond)
+    return dealt.withColumn("fold", fold.cast("int")).drop("_rank", "_n")
 
 
 def halves(df: DataFrame, row_id: str = "row_id") -> tuple[DataFrame, DataFrame]:
