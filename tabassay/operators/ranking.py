@@ -21,11 +21,12 @@ def range_bucket(df: DataFrame, column: str, buckets: int = BUCKETS) -> Column:
 
 def shifted(df: DataFrame, by: list[str], weight: Column, name: str) -> DataFrame:
     """Adds to rows with a bucket _b the sum of weight over their group's earlier buckets; a group has few buckets."""
-    each = df.groupBy(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.col("_b").alias("_kb")).agg(F.sum(weight).alias("_w"))
+    narrow = df.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.col("_b").alias("_kb"), weight.alias("_v"))
+    each = narrow.groupBy(*[f"_k{i}" for i in range(len(by))], "_kb").agg(F.sum("_v").alias("_w"))
     keys = [f"_k{i}" for i in range(len(by))]
     earlier = Window.partitionBy(*keys).orderBy("_kb").rowsBetween(Window.unboundedPreceding, -1) if keys else Window.partitionBy(F.lit(1)).orderBy("_kb").rowsBetween(Window.unboundedPreceding, -1)
     each = each.withColumn(name, F.coalesce(F.sum("_w").over(earlier), F.lit(0))).drop("_w")
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(by, keys, strict=True)], F.col("_b") == F.col("_kb"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(by, keys, strict=True)], F.col("_b").eqNullSafe(F.col("_kb")))
     return df.join(each, same).drop(*keys, "_kb")
 
 
