@@ -25,7 +25,8 @@ from tabassay.llm._shared import table
 from tabassay.llm._text import U64, column_bytes, prefix_sums, slices, span_hashes
 
 _RUNS = "doc_id long, t long, ah long, rh long, pos int, n int, self boolean"
-_WINDOWS = "ah long, rh long, o int, wh long"
+_WINDOWS = "ah long, rh long, c long, o int, wh long"
+_PLACE = ", doc_id long, t long, pos int"
 
 
 @dataclass(frozen=True)
@@ -88,22 +89,26 @@ def _emit_runs(batches: Iterable[pa.RecordBatch], shape: Shape) -> Iterator[pa.R
             )
 
 
-def _emit_windows(batches: Iterable[pa.RecordBatch], shape: Shape) -> Iterator[pa.RecordBatch]:
-    """From (text, list of runs) the windows of those runs."""
+def _emit_windows(batches: Iterable[pa.RecordBatch], shape: Shape, place: bool) -> Iterator[pa.RecordBatch]:
+    """From (text, list of runs, doc_id, t) the windows of those runs, and where they stand if place is set."""
     for batch in batches:
         data, offsets = column_bytes(batch.column(0))
         wanted = batch.column(1).to_pylist()
         for lo, hi in slices(offsets):
             units = shape.units(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
             sums = prefix_sums(units.hashes())
-            asked = [(units.first[r - lo] + x["pos"], x["n"], x["ah"], x["rh"]) for r in range(lo, hi) for x in wanted[r]]
+            asked = [(r, x["pos"], x["n"], x["ah"], x["rh"], x["c"]) for r in range(lo, hi) for x in wanted[r]]
             if not asked:
                 continue
-            first, n, ah, rh = (np.array(x, np.int64) for x in zip(*asked, strict=True))
+            row, pos, n, ah, rh, c = (np.array(x, np.int64) for x in zip(*asked, strict=True))
             run = np.repeat(np.arange(len(n)), n)
             o = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
-            wh = span_hashes(sums, first[run] + o, first[run] + o + shape.size).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ah[run]), pa.array(rh[run]), pa.array(o.astype(np.int32)), pa.array(wh)], names=["ah", "rh", "o", "wh"])
+            first = (units.first[row - lo] + pos)[run] + o
+            columns = {"ah": pa.array(ah[run]), "rh": pa.array(rh[run]), "c": pa.array(c[run]), "o": pa.array(o.astype(np.int32)), "wh": pa.array(span_hashes(sums, first, first + shape.size).view(np.int64))}
+            if place:
+                at = pa.array(row[run])
+                columns |= {"doc_id": batch.column(2).take(at), "t": batch.column(3).take(at), "pos": pa.array((pos[run] + o).astype(np.int32))}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
 def repeated(documents: DataFrame, shape: Shape, keep_first: bool) -> DataFrame:
@@ -123,14 +128,15 @@ def repeated(documents: DataFrame, shape: Shape, keep_first: bool) -> DataFrame:
     spans = table(spans, "spans")
     varied = spans.groupBy("ah").agg(F.count("*").alias("k"), F.max("s").alias("s")).filter("k > 1 OR s").select("ah")
     mixed = table(spans.join(varied, "ah", "left_semi"), "mixed")
-    asked = mixed.select("f.doc_id", "f.t", F.struct(F.col("f.pos").alias("pos"), "n", "ah", "rh").alias("x")).groupBy("doc_id", "t").agg(F.collect_list("x").alias("wanted"))
-    windows = join_rows(keyed, asked).select("text", "wanted").mapInArrow(partial(_emit_windows, shape=shape), _WINDOWS).distinct()
-    placed = windows.join(mixed.select("ah", "rh", "c", "f"), ["ah", "rh"]).select("ah", "rh", "o", "wh", "c", F.struct(F.col("f.doc_id").alias("doc_id"), F.col("f.t").alias("t"), (F.col("f.pos") + F.col("o")).alias("pos")).alias("at"))
-    placed = table(placed, "windows")
-    totals = placed.groupBy("ah", "wh").agg(F.sum("c").alias("total"), F.min("at").alias("first")).filter("total > 1")
-    own = placed.join(totals, ["ah", "wh"])
+    asked = mixed.select("f.doc_id", "f.t", F.struct(F.col("f.pos").alias("pos"), "n", "ah", "rh", "c").alias("x")).groupBy("doc_id", "t").agg(F.collect_list("x").alias("wanted"))
+    # A repeated row sends its windows again, but its spans count twice or more in any case.
+    emit = partial(_emit_windows, shape=shape, place=keep_first)
+    windows = table(join_rows(keyed, asked).select("text", "wanted", "doc_id", "t").mapInArrow(emit, _WINDOWS + _PLACE * keep_first), "windows")
+    at = F.struct("doc_id", "t", "pos")
+    totals = windows.groupBy("ah", "wh").agg(F.sum("c").alias("total"), *([F.min(at).alias("first")] if keep_first else [])).filter("total > 1")
+    own = windows.join(totals, ["ah", "wh"])
     if keep_first:
-        own = own.filter(~F.col("at").eqNullSafe(F.col("first")))
+        own = own.filter(~at.eqNullSafe(F.col("first")))
     own = own.groupBy("ah", "rh").agg(F.collect_list("o").alias("offsets"))
     # For the first occurrence of each span its own offsets; every other occurrence repeats whole.
     state = spans.join(own, ["ah", "rh"], "left").filter("c > 1 OR offsets IS NOT NULL").select("ah", "rh", "f", "offsets", "c")
