@@ -30,7 +30,7 @@ from tabassay.llm._shared import table
 from tabassay.llm._text import column_bytes, slices
 
 #: Words, and parts of words, whose ids a worker remembers at most; others are encoded whenever they come.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 800_000
 #: Rows of one length in one rank group; further rows of that length open further groups.
 RANK_GROUP = 20_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -113,7 +113,7 @@ def _pieces(batches: Iterable[pa.RecordBatch], path: str, capacity: int, end: by
         rows: list[tuple] = []
         step, encoder, ids_of = 4 * capacity, _encoder(path), batch.column(0).to_pylist()
         _, offsets = column_bytes(batch.column(1))
-        for lo, hi in slices(offsets, 8 << 20):
+        for lo, hi in slices(offsets, 4 << 20):
             texts = [t or "" for t in batch.column(1).slice(lo, hi - lo).to_pylist()]
             for doc, ids in zip(ids_of[lo:hi], encoder.texts(texts), strict=True):
                 ids += end
