@@ -16,7 +16,9 @@ DEFAULT_RESULTS = "results/experiments/all_results.csv"
 def session():
     from pyspark.sql import SparkSession
 
-    return SparkSession.builder.appName("tabassay").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    from tabassay.session import prepare
+
+    return prepare(SparkSession.builder.appName("tabassay").config("spark.sql.session.timeZone", "UTC").getOrCreate())
 
 
 def parse_value_refs(text: str | None) -> dict | str | None:
