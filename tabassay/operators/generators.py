@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabassay.functions.rng import order_key, uniform
-from tabassay.operators.encode import quoted
-from tabassay.operators.ranking import ranked
+from tabassay.operators.encode import is_text, quoted
+from tabassay.operators.ranking import ranked, shifted
 from tabassay.sources.io import read_external, restore_types
 
 #: Distinct values up to which a numeric column is drawn like a category.
@@ -28,20 +28,28 @@ def _numeric(df: DataFrame, column: str) -> bool:
     return isinstance(df.schema[column].dataType, T.NumericType)
 
 
-def value_column_types(df: DataFrame, threshold: int = CATEGORY_THRESHOLD) -> dict[str, bool]:
-    """Whether each column is categorical: not numeric, or at most threshold distinct values; one pass, stopping early is not needed."""
+def distinct_values(df: DataFrame) -> dict[str, int]:
+    """Number of distinct values of each column, in one pass."""
     columns = [c for c in df.columns if c != "row_id"]
     row = df.agg(*[F.count_distinct(quoted(c)).alias(c) for c in columns]).first()
-    return {c: not _numeric(df, c) or row[c] <= threshold for c in columns}
+    return {c: row[c] for c in columns}
+
+
+def value_column_types(df: DataFrame, threshold: int = CATEGORY_THRESHOLD, counts: dict[str, int] | None = None) -> dict[str, bool]:
+    """Whether each column is categorical: not numeric, or at most threshold distinct values."""
+    return {c: not _numeric(df, c) or n <= threshold for c, n in (counts or distinct_values(df)).items()}
 
 
 def frequencies(df: DataFrame, column: str) -> DataFrame:
-    """(value, p, lo, hi): share of each value, null included, and its interval in value order."""
+    """(value, p, lo, hi): share of each value, null included, and its interval in value order.
+
+    The running sum over many text values is taken by their first letters and shifted.
+    """
     counted = df.groupBy(quoted(column).alias("value")).agg(F.count("*").alias("n"))
-    w = Window.orderBy(F.col("value").asc_nulls_first())
-    total = counted.agg(F.sum("n").alias("_all"))
-    running = F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    spread = counted.withColumn("_run", running).crossJoin(F.broadcast(total))
+    letters = F.coalesce(F.substring("value", 1, 2), F.lit("")) if is_text(df, column) else F.lit("")
+    own = F.sum("n").over(Window.partitionBy("_b").orderBy(F.col("value").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    run = shifted(counted.withColumn("_b", letters).withColumn("_own", own), [], F.col("n"), "_before").withColumn("_run", F.col("_own") + F.col("_before"))
+    spread = run.crossJoin(F.broadcast(counted.agg(F.sum("n").alias("_all"))))
     return spread.select("value", (F.col("n") / F.col("_all")).alias("p"), ((F.col("_run") - F.col("n")) / F.col("_all")).alias("lo"), (F.col("_run") / F.col("_all")).alias("hi"))
 
 
@@ -57,7 +65,8 @@ class IndependentMarginals:
         self.seed = random_state
 
     def fit(self, df: DataFrame) -> IndependentMarginals:
-        self.df, self.kinds = df, value_column_types(df)
+        self.df, self.counts = df, distinct_values(df)
+        self.kinds = value_column_types(df, counts=self.counts)
         return self
 
     def sample(self, n: int) -> DataFrame:
@@ -67,9 +76,10 @@ class IndependentMarginals:
             u = uniform(F.col("row_id"), c, self.seed)
             if categorical:
                 table = frequencies(self.df, c).select(F.col("value").alias(f"_{c}"), "lo", "hi")
-                # Any draw lies in one interval; both sides meet in the cells of a fixed grid, so a long table is no cross product.
-                cells = table.withColumn("_g", F.explode(F.sequence(F.floor(F.col("lo") * 1024), F.ceil(F.col("hi") * 1024) - 1)))
-                drawn = out.withColumn("_u", u).withColumn("_g", F.floor(F.col("_u") * 1024))
+                # Any draw lies in one interval; both sides meet in the cells of a grid finer than the values are many.
+                grid = 1 << max(10, (4 * self.counts[c]).bit_length())
+                cells = table.withColumn("_g", F.explode(F.sequence(F.floor(F.col("lo") * grid), F.ceil(F.col("hi") * grid) - 1)))
+                drawn = out.withColumn("_u", u).withColumn("_g", F.floor(F.col("_u") * grid))
                 out = drawn.join(cells, "_g").filter("_u >= lo AND _u < hi").drop("_g", "_u", "lo", "hi").withColumnRenamed(f"_{c}", c)
             else:
                 values = self.df.filter(quoted(c).isNotNull()).select(quoted(c).alias(c), "row_id")
@@ -260,7 +270,10 @@ class SequentialCART:
 
 def _cut(df: DataFrame) -> DataFrame:
     """Ends the lineage of an iterative plan in the session's checkpoint folder, where there is one."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) or df.sparkSession.sparkContext.getCheckpointDir() else df.cache()
+    context, path = df.sparkSession.sparkContext, df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if path and not context.getCheckpointDir():
+        context.setCheckpointDir(path)
+    return df.checkpoint() if context.getCheckpointDir() else df.cache()
 
 
 def generate_synthpop(df: DataFrame, n: int, minbucket: int = 5, random_state: int = 42) -> DataFrame:
