@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 import brute
 
-from tabassay.llm import _repeats, decontamination, language_id, line_dedup, lm_scoring, near_dedup, packing, quality, substring_dedup, topk, url_filter
+from tabassay.llm import _components, _repeats, decontamination, language_id, line_dedup, lm_scoring, near_dedup, packing, quality, substring_dedup, topk, url_filter
 from tabassay.llm import queries as Q
 from tabassay.llm._components import components
 
@@ -55,6 +55,23 @@ def test_components(spark):
     assert components(edges.limit(0)).count() == 0
 
 
+def test_hubs_meet_a_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(_components, "HUBS_FROM", 0)
+    monkeypatch.setattr(_components, "HUB_SHARE", 8)
+    edges = spark.range(1, 400).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") + 1).alias("a"), F.col("id").alias("b"))
+    parent = list(range(401))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for r in edges.collect():
+        x, y = sorted((find(r["a"]), find(r["b"])))
+        parent[y] = x
+    assert dict(map(tuple, components(edges).collect())) == {i: find(i) for i in range(1, 401) if i < 400 or find(400) != 400}
+
+
 def test_aliases_share_decisions(spark):
     link = '<link rel="canonical" href="{}">'.format
     rows = [
