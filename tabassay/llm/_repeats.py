@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabassay.llm import _text
-from tabassay.llm._shared import table
+from tabassay.llm._shared import batched, table
 from tabassay.llm._text import U64, column_bytes, prefix_sums, slices, span_hashes
 
 _RUNS = "doc_id long, t long, ah long, rh long, pos int, n int, self boolean"
@@ -120,7 +120,7 @@ def repeated(documents: DataFrame, shape: Shape, keep_first: bool) -> DataFrame:
     such window in the order of doc_id, t and position.
     """
     keyed = documents.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("t"), "text")
-    found = keyed.mapInArrow(partial(_emit_runs, shape=shape), _RUNS)
+    found = keyed.transform(batched, partial(_emit_runs, shape=shape), _RUNS)
     seeds = found.groupBy("ah").agg(F.count("*").alias("c"), F.max("self").alias("s")).filter("c > 1 OR s").select("ah")
     hits = table(found.join(seeds, "ah", "left_semi"), "seeds")
 
@@ -131,7 +131,7 @@ def repeated(documents: DataFrame, shape: Shape, keep_first: bool) -> DataFrame:
     asked = mixed.select("f.doc_id", "f.t", F.struct(F.col("f.pos").alias("pos"), "n", "ah", "rh", "c").alias("x")).groupBy("doc_id", "t").agg(F.collect_list("x").alias("wanted"))
     # A repeated row sends its windows again, but its spans count twice or more in any case.
     emit = partial(_emit_windows, shape=shape, place=keep_first)
-    windows = table(join_rows(keyed, asked).select("text", "wanted", "doc_id", "t").mapInArrow(emit, _WINDOWS + _PLACE * keep_first), "windows")
+    windows = table(join_rows(keyed, asked).select("text", "wanted", "doc_id", "t").transform(batched, emit, _WINDOWS + _PLACE * keep_first), "windows")
     at = F.struct("doc_id", "t", "pos")
     totals = windows.groupBy("ah", "wh").agg(F.sum("c").alias("total"), *([F.min(at).alias("first")] if keep_first else [])).filter("total > 1")
     own = windows.join(totals, ["ah", "wh"])
@@ -167,4 +167,4 @@ def covered(n_units: int, marks: list[dict], size: int) -> np.ndarray:
 def rewrite(documents: DataFrame, marks: DataFrame, make: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], columns: list[str], schema: str) -> DataFrame:
     """Runs make over batches of (text, marks, columns...) for every row of documents."""
     renamed = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text", *[F.col(c).alias(f"_c{i}") for i, c in enumerate(columns)])
-    return join_rows(renamed, marks, "left").select("text", "marks", *[f"_c{i}" for i in range(len(columns))]).mapInArrow(make, schema)
+    return join_rows(renamed, marks, "left").select("text", "marks", *[f"_c{i}" for i in range(len(columns))]).transform(batched, make, schema)

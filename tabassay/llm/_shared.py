@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import suppress
+from functools import partial
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+Batches = Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+#: Rows of an Arrow batch at most; a smaller setting of the session stands.
+BATCH_ROWS = 3000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share; a temporary one only where the session names none."""
@@ -61,5 +70,21 @@ def hashed_sample(df: DataFrame, n: int, total: int, *keys: str) -> DataFrame:
     return some.orderBy(F.xxhash64(*keys), *keys).limit(n)
 
 
+def _released(batches: Iterable[pa.RecordBatch], work: Batches) -> Iterator[pa.RecordBatch]:
+    """work(batches), after which the worker, which lives on, gives freed memory back to the system."""
+    yield from work(batches)
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only some C libraries have it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def batched(df: DataFrame, work: Batches, schema: str) -> DataFrame:
+    """df.mapInArrow over batches of at most BATCH_ROWS rows: long texts make the usual batches of 10,000 heavy."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, BATCH_ROWS)
+    return df.mapInArrow(partial(_released, work=work), schema)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

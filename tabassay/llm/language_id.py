@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabassay.llm._shared import batched
 from tabassay.llm._text import LOWER, column_bytes, slices
 
 #: Bounds of the labelled sample that the automata are built from, for each language.
@@ -185,4 +186,4 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
     their length; repeated rows are predicted alike; other columns are not read. score is the
     softmax share of the winner over bits, of 64 bytes at most.
     """
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(partial(_predict, model=model), "doc_id long, lang_pred string, score double")
+    return documents.select(F.col("doc_id").cast("long"), "text").transform(batched, partial(_predict, model=model), "doc_id long, lang_pred string, score double")

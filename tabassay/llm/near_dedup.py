@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabassay.llm._components import components
-from tabassay.llm._shared import discard, table
+from tabassay.llm._shared import batched, discard, table
 from tabassay.llm._text import U64, column_bytes, mix, prefix_sums, slices, span_hashes, words
 
 SHINGLE, BANDS, ROWS = 5, 25, 4
@@ -137,7 +137,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
         salted.select("a", "salt").distinct().select("a", "salt", F.lit(None).cast("long"), "a")
     )
     rows = asked.join(texts.hint("merge"), "cid").select("a", "salt", "partner", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("partner").asc_nulls_first())
-    return rows.mapInArrow(partial(_confirm, percent=percent), "a long, b long").distinct()
+    return rows.transform(batched, partial(_confirm, percent=percent), "a long, b long").distinct()
 
 
 _LINKED = "a long, b long"
@@ -221,7 +221,7 @@ def groups(documents: DataFrame, percent: int = 75) -> DataFrame:
     null doc_id links with nothing, its component is null and it is kept. Bands of four samples miss
     a pair at similarity 0.75 with probability (1 - 0.75**4)**25, below 1 in 10,000.
     """
-    signed = table(documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sign, _SIGNED), "signatures")
+    signed = table(documents.select(F.col("doc_id").cast("long"), "text").transform(batched, _sign, _SIGNED), "signatures")
     usable = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = table(usable.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("cid"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
     # Rows of one doc_id with different texts, and rows of one text, are linked without a look at the texts.

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabassay.llm._shared import table
+from tabassay.llm._shared import batched, table
 from tabassay.llm._text import column_bytes, slices
 
 #: Words, and parts of words, whose ids a worker remembers at most; others are encoded whenever they come.
@@ -125,7 +125,7 @@ def _pieces(batches: Iterable[pa.RecordBatch], path: str, capacity: int, end: by
 def tokenised(documents: DataFrame, path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """Pieces of each document's ids and a closing end_id, cut every capacity ids; null texts are empty."""
     run = partial(_pieces, path=path, capacity=capacity, end=np.array([end_id], "<u4").tobytes())
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
+    return documents.select(F.col("doc_id").cast("long"), "text").transform(batched, run, PIECES)
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
