@@ -5,8 +5,8 @@ last bytes, the place, or all of the word so far) and the bits already known to
 which are gathered over every distinct token of all training documents. Stretched probabilities
 are mixed by weights that are gated by bit place and by each slot's evidence and learned online on
 held-out counts (a token's own share is taken away first), and an adaptive probability map refines
-the mix. That is the chance of a new token; a frequent token's discounted frequency, counted over
-every training document, is added to it, in all texts and in each group of texts. Along a document
+the mix. That is the chance of a new token; the discounted frequency of every counted token, however
+rare, is added to it, in all texts and in each group of texts. Along a document
 the groups, and caches of different strength that adapt to the words seen so far, are weighted by
 how well they have predicted; the document's probability is that of this mixture.
 """
@@ -31,7 +31,7 @@ from tabassay.llm._text import _BYTE_VALUES as BYTE_VALUES
 END, CLOSE = "\n", 32
 #: log2 of each predictor's slots: place, last byte, last two, three and four bytes, the word so far.
 SLOTS = (14, 16, 19, 20, 20, 20)
-#: Most frequent tokens that every worker knows; all others are looked up by a join.
+#: Most frequent tokens that every worker knows; all others are looked up by a join, to the same effect.
 HEAD = 1 << 18
 #: Distinct tokens that the mixer is fitted on at most, by hash.
 SAMPLE_TOKENS = 12_000
@@ -42,6 +42,7 @@ CACHES = (40.0, 300.0, 3000.0)  # and none
 #: Groups of training texts with frequencies of their own at most, the largest; all texts together are one more.
 MAX_GROUPS = 8
 APM = 33
+LN10 = float(np.log(10))
 _FIRST = np.concatenate([[0], np.cumsum([1 << s for s in SLOTS])])
 
 
@@ -223,12 +224,16 @@ def fit_mixer(ones: np.ndarray, total: np.ndarray, tokens: pa.Array, epochs: int
 
 @dataclass
 class Model:
-    """A mixer, the head (hash in order, count, log10 chance in each group, the last of them all texts), the end's, N and V.
+    """A mixer, sizes and chances by group (the last of them all texts), the head (hash in order, count, log10 chances), the end's, N and V.
 
-    escape: log10 of the factor that turns a spelling's chance into that of a token outside the head, by group.
+    size: tokens counted; rest: what discounted frequencies leave for the chances of spellings; escape: log10 of the factor
+    that turns a spelling's chance into that of a token that training lacks.
     """
 
     mixer: Mixer
+    discount: float
+    size: np.ndarray
+    rest: np.ndarray
     escape: np.ndarray
     head: np.ndarray
     head_c: np.ndarray
@@ -238,6 +243,14 @@ class Model:
     n: int
     v: int
 
+    def log10(self, spelt: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """log10 of tokens' chances (groups x tokens) from their spellings' log10 and their counts in each group."""
+        # Chances add up to 1: discounted frequencies, and the rest spread by spelling (in a group, a fifth of it as in all texts).
+        known = np.maximum(counts - self.discount, 0) / np.maximum(self.size, 1)[:, None]
+        known[:-1] += 0.2 * self.rest[:-1, None] * known[-1]
+        with np.errstate(divide="ignore"):
+            return np.logaddexp(np.log(known), (self.escape[:, None] + spelt) * LN10) / LN10
+
 
 def train(texts: DataFrame, block: int = 4096) -> tuple[Model, DataFrame]:
     """Model of texts (text, lang), and the written vocabulary (token, c, h). Every text counts; sizes sent to the driver are fixed."""
@@ -245,7 +258,9 @@ def train(texts: DataFrame, block: int = 4096) -> tuple[Model, DataFrame]:
     columns = ["c", *(f"g{i}" for i in range(len(groups)))]
     vocab = table(vocabulary(texts, groups).transform(batched, _hash_tokens, f"token string, {', '.join(f'{c} long' for c in columns)}, h long"), "vocabulary")
     once = lambda k: F.count(F.when(F.col("c") == k, 1))
-    n, v, n1, n2, *sizes = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), once(1), once(2), *[F.coalesce(F.sum(c), F.lit(0)) for c in columns[1:]]).first()
+    own = columns[1:]
+    n, v, n1, n2, *found = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), once(1), once(2), *[F.coalesce(F.sum(c), F.lit(0)) for c in own], *[F.count(F.when(F.col(c) > 0, 1)) for c in own]).first()
+    size, distinct = np.array([*found[: len(own)], n], float), np.array([*found[len(own) :], v], float)
     sums = vocab.select("token").coalesce(12).transform(batched, partial(_statistics, block=block), "block int, ones binary, total binary").groupBy("block").applyInArrow(_add_blocks, "block int, ones binary, total binary")
     ones, total = np.zeros(_FIRST[-1], np.float32), np.zeros(_FIRST[-1], np.float32)
     for r in sums.toLocalIterator():
@@ -264,29 +279,21 @@ def train(texts: DataFrame, block: int = 4096) -> tuple[Model, DataFrame]:
     mixer = fit_mixer(ones, total, single(sample, "token"))
     h, c, *own = (single(head, x).to_numpy(zero_copy_only=False) for x in ("h", *columns))
     discount = min(0.9, max(0.1, n1 / (n1 + 2 * n2))) if n1 else 0.5
+    rest = np.where(size > 0, discount * distinct / np.maximum(size, 1), 1.0)
+    escape = np.log10(np.r_[rest[:-1] * (0.8 + 0.2 * rest[-1]), rest[-1]])
     data, offsets = column_bytes(single(head, "token"))
     parts = [mixer.log10(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in slices(offsets, 1 << 18)]
-    spelt = 10.0 ** (np.concatenate(parts) if parts else np.zeros(0))
-    # Chances add up to 1: discounted frequencies in the head, and the rest spread by spelling (in a group, a fifth of it as in all texts).
-    less = lambda count, size: np.maximum(count - discount, 0) / max(size, 1)
-    escape = 1 - less(c, n).sum()
-    every, out = less(c, n) + escape * spelt, [escape]
-    chances = []
-    for count, size in zip(own, sizes, strict=True):
-        rest = 1 - less(count, size).sum()
-        chances.append(less(count, size) + rest * (0.8 * spelt + 0.2 * every))
-        out.append(rest * (0.8 + 0.2 * escape))
     order = np.argsort(h)
-    p = np.log10(np.stack([*chances, every], axis=0))[:, order].astype(np.float32)
-    out = np.log10(np.array([*out[1:], out[0]]))
-    end_c = (vocab.filter(F.col("token") == END).select("c").first() or {"c": 0})["c"]
-    end_h = span_hashes(prefix_sums(BYTE_VALUES[[ord(END)]]), np.array([0]), np.array([1])).view(np.int64)[0]
-    at = np.flatnonzero(h[order] == end_h)
-    end_p = p[:, at[0]] if len(at) else out + mixer.log10(np.frombuffer(END.encode(), np.uint8), np.array([0, 1]))[0]
-    return Model(mixer, out, h[order], c[order], p, end_c, end_p, n, v), vocab
+    model = Model(mixer, discount, size, rest, escape, h[order], c[order], np.zeros((len(size), 0), np.float32), 0, escape, n, v)
+    model.head_p = model.log10(np.concatenate(parts) if parts else np.zeros(0), np.stack([*own, c]))[:, order].astype(np.float32)
+    end = vocab.filter(F.col("token") == END).select(*columns[1:], "c").first()
+    model.end_c = end["c"] if end else 0
+    model.end_p = model.log10(mixer.log10(np.frombuffer(END.encode(), np.uint8), np.array([0, 1])), np.array([end or [0] * len(size)], float).T)[:, 0]
+    return model, vocab
 
 
-_SCORED = "rid long, doc_id long, n_bytes long, n_tokens long, score double, head_base double, head_known long, tail_h array<long>, tail_n array<int>"
+_SCORED = "rid long, doc_id long, n_bytes long, n_tokens long, sums array<double>, head_base double, head_known long, tail_h array<long>, tail_n array<int>, tail_s array<float>"
+_TAIL = "rid long, sums array<double>"
 
 
 def _earlier(row: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -300,25 +307,40 @@ def _earlier(row: np.ndarray, h: np.ndarray) -> np.ndarray:
     return out
 
 
-def _document_scores(u: Units, h: np.ndarray, p: np.ndarray, end_p: np.ndarray) -> np.ndarray:
-    """log10 of each text's probability; p: log10 of each word in each group.
+def _sums(row: np.ndarray, rows: int, before: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """By row, the sums over words of p (log10 chances, groups x words), then for each of CACHES of log10(before + a * chance)."""
+    again = np.flatnonzero(before)
+    earlier = before[again].astype(p.dtype)
+    out = [np.bincount(row, weights=x, minlength=rows) for x in p]
+    for a in CACHES:
+        for x in p:
+            cached = x + p.dtype.type(np.log10(a))
+            cached[again] = np.log(earlier + np.exp(cached[again] * p.dtype.type(LN10))) / p.dtype.type(LN10)
+            out.append(np.bincount(row, weights=cached, minlength=rows))
+    return np.stack(out, axis=1).astype(float)  # bincount of nothing is of integers
+
+
+def _document_scores(sums: np.ndarray, n: np.ndarray, end_p: np.ndarray) -> np.ndarray:
+    """log10 of each text's probability from _sums over all of its n words.
 
     The mixture's members are every group without a cache and with each of CACHES, of equal prior
     weight. Caches are followed for the group that fits a text best; leaving the others' shares
     out can only lower the probability.
     """
-    rows, n = len(u.first) - 1, np.diff(u.first)
-    plain = np.stack([np.bincount(u.row, weights=x, minlength=rows) for x in p]) + end_p[:, None]
+    sums = sums.reshape(len(n), 1 + len(CACHES), len(end_p))
+    plain = sums[:, 0].T + end_p[:, None]
     best = plain.argmax(axis=0)
-    mine = p[best[u.row], np.arange(len(h))]
-    place, before, chance = np.arange(len(h)) - u.first[u.row], _earlier(u.row, h), 10.0**mine
     members = list(plain)
-    for a in CACHES:
-        seen = np.bincount(u.row, weights=np.log10((before + a * chance) / (place + a)), minlength=rows)
-        members.append(seen + np.log10(a / (n + a)) + end_p[best])
+    for k, a in enumerate(CACHES):
+        places = np.r_[0, np.cumsum(np.log10(np.arange(n.max(initial=0)) + a))][n]
+        members.append(sums[np.arange(len(n)), 1 + k, best] - places + np.log10(a / (n + a)) + end_p[best])
     members = np.stack(members)
     most = members.max(axis=0)
-    return most + np.log10((10.0 ** (members - most)).sum(axis=0) / (len(p) * (1 + len(CACHES))))
+    return most + np.log10((10.0 ** (members - most)).sum(axis=0) / (len(end_p) * (1 + len(CACHES))))
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array((np.arange(len(x) + 1) * x.shape[1]).astype(np.int32)), pa.array(x.ravel()))
 
 
 def _score(batches: Iterable[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
@@ -334,14 +356,13 @@ def _score(batches: Iterable[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.
             h = u.hashes(lower=True).view(np.int64)
             where = np.minimum(np.searchsorted(model.head, h), max(0, len(model.head) - 1))
             known = model.head[where] == h if len(model.head) else np.zeros(len(h), bool)
-            p = np.zeros((len(model.escape), len(h)))
-            p[:, known] = model.head_p[:, where[known]]
+            sums = _sums(u.row[known], rows, _earlier(u.row, h)[known], model.head_p[:, where[known]])
             rare = np.flatnonzero(~known)
             _, first, back = np.unique(h[rare], return_index=True, return_inverse=True)
             pick = rare[first]
             size = np.r_[0, np.cumsum(u.ends[pick] - u.starts[pick])]
             gather = np.repeat(u.starts[pick] - size[:-1], np.diff(size)) + np.arange(size[-1])
-            p[:, rare] = model.escape[:, None] + model.mixer.log10(LOWER[part[gather]], size)[back]
+            spelt = model.mixer.log10(LOWER[part[gather]], size)[back].astype(np.float32)
             c = np.where(known, model.head_c[where] if len(model.head) else 0, 0)
             head_base = np.bincount(u.row[known], weights=np.log10(c[known] + 1) - per, minlength=rows) + np.log10(model.end_c + 1) - per
             pair_order = np.lexsort((h[rare], u.row[rare]))
@@ -351,14 +372,45 @@ def _score(batches: Iterable[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.
             n = np.diff(u.first)
             columns = {
                 "rid": pa.array(rid + np.arange(rows)), "doc_id": batch.column(0).slice(lo, rows), "n_bytes": pa.array(np.diff(at)), "n_tokens": pa.array(n + 1),
-                "score": pa.array(_document_scores(u, h, p, model.end_p)), "head_base": pa.array(head_base),
+                "sums": _lists(sums), "head_base": pa.array(head_base),
                 "head_known": pa.array(np.bincount(u.row[known], minlength=rows) + (model.end_c > 0)),
                 "tail_h": pa.ListArray.from_arrays(lists, pa.array(x[new])), "tail_n": pa.ListArray.from_arrays(lists, pa.array(np.diff(np.r_[new, len(r)]).astype(np.int32))),
+                "tail_s": pa.ListArray.from_arrays(lists, pa.array(spelt[pair_order][new])),
             }
             rid += rows
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
+def _tail_sums(batches: Iterable[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
+    """From (rid, k, s, counts in each group, c) of tail tokens: by rid their _sums, their part of base_score and the number known."""
+    model: Model = shared.value
+    per = np.log10(max(1, model.n + model.v + 1))
+    for batch in batches:
+        rid, k, s, *counts = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
+        ids, row = np.unique(rid, return_inverse=True)
+        i = np.repeat(np.arange(len(k)), k)
+        before = np.arange(len(i)) - np.repeat(np.cumsum(k) - k, k)
+        sums = _sums(row[i], len(ids), before, model.log10(s.astype(float), np.stack(counts))[:, i])
+        base = np.bincount(row, weights=k * (np.log10(counts[-1] + 1) - per), minlength=len(ids))
+        known = np.bincount(row, weights=k * (counts[-1] > 0), minlength=len(ids))
+        yield pa.RecordBatch.from_arrays([pa.array(ids), _lists(np.c_[sums, base, known])], names=["rid", "sums"])
+
+
+_FINISHED = "doc_id long, n_bytes long, n_tokens long, n_known long, base_score double, score double"
+
+
+def _finish(batches: Iterable[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
+    model: Model = shared.value
+    width = len(model.end_p) * (1 + len(CACHES))
+    for batch in batches:
+        n = batch.column(2).to_numpy(zero_copy_only=False)
+        head, tail = (batch.column(i).flatten().to_numpy(zero_copy_only=False).reshape(len(n), -1) for i in (5, 6)) if len(n) else (np.zeros((0, width)), np.zeros((0, width + 2)))
+        score = _document_scores(head + tail[:, :width], n - 1, model.end_p)
+        base = batch.column(4).to_numpy(zero_copy_only=False) + tail[:, width]
+        known = batch.column(3).to_numpy(zero_copy_only=False) + tail[:, width + 1].astype(np.int64)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(known), pa.array(base), pa.array(score)], names=["doc_id", "n_bytes", "n_tokens", "n_known", "base_score", "score"])
+
+
 def score(documents: DataFrame, training: DataFrame) -> DataFrame:
     """One row for each row of documents: doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
@@ -366,19 +418,21 @@ def score(documents: DataFrame, training: DataFrame) -> DataFrame:
     probability from the exact counts of training (text); score is the mixer's. A null text is an
     empty one: its end is its only token. training may have a column lang, whose values name the groups; documents' lang is not read. Repeated rows score alike. With no training rows every
     count is 0. Frequent tokens' counts travel with the model, of a fixed size; all others are
-    joined, one row for each document and token.
+    joined, one row for each document and token, and count in both scores just the same.
     """
     model, vocab = train(training if "lang" in training.columns else training.withColumn("lang", F.lit(None).cast("string")))
     shared = documents.sparkSession.sparkContext.broadcast(model)
     rows = table(documents.select(F.col("doc_id").cast("long"), "text").transform(batched, partial(_score, shared=shared), _SCORED), "scored")
-    rare = rows.select("rid", F.explode(F.arrays_zip("tail_h", "tail_n")).alias("x")).select("rid", F.col("x.tail_h").alias("h"), F.col("x.tail_n").alias("k"))
-    c = F.coalesce("c", F.lit(0))
-    found = rare.join(vocab.select("h", "c"), "h", "left").groupBy("rid").agg(
-        F.sum(F.col("k") * F.log10((c + 1) / F.lit(float(model.n + model.v + 1)))).alias("b"), F.sum(F.when(c > 0, F.col("k")).otherwise(0)).alias("k")
-    )
-    base = F.col("head_base") + F.coalesce("b", F.lit(0.0))
+    rare = rows.select("rid", F.explode(F.arrays_zip("tail_h", "tail_n", "tail_s")).alias("x")).select("rid", F.col("x.tail_h").alias("h"), F.col("x.tail_n").alias("k"), F.col("x.tail_s").alias("s"))
+    counts = [*(f"g{i}" for i in range(len(model.size) - 1)), "c"]
+    # The text's rows come together before they are summed, so that partial sums are few.
+    found = rare.join(vocab.select("h", *counts), "h", "left").select("rid", "k", "s", *[F.coalesce(x, F.lit(0)).alias(x) for x in counts])
+    sums = found.repartition("rid").sortWithinPartitions("rid").transform(batched, partial(_tail_sums, shared=shared), _TAIL)
+    width = len(model.size) * (1 + len(CACHES)) + 2
+    tail = sums.groupBy("rid").agg(*[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(width)]).select("rid", F.array(*[f"s{i}" for i in range(width)]).alias("tail"))
+    none = F.array(*[F.lit(0.0)] * width)
+    whole = rows.drop("tail_h", "tail_n", "tail_s").join(tail, "rid", "left").select("doc_id", "n_bytes", "n_tokens", "head_known", "head_base", "sums", F.coalesce("tail", none).alias("tail"))
     bits = -F.col("score") * float(np.log2(10)) / F.greatest("n_bytes", F.lit(1))
-    return rows.join(found, "rid", "left").select(
-        "doc_id", "n_tokens", (F.col("head_known") + F.coalesce("k", F.lit(0))).cast("long").alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"),
-        base.alias("base_score"), "score", bits.alias("bits_per_byte"),
+    return whole.transform(batched, partial(_finish, shared=shared), _FINISHED).select(
+        "doc_id", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score", bits.alias("bits_per_byte"),
     )
