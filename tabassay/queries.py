@@ -196,10 +196,10 @@ def _cart(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(train, test, synthetic) with a target; the synthetic table is drawn from the marginals."""
+    """(train, test, synthetic) with a target; the synthetic table, as long as train, is drawn from the marginals."""
     df = micro(spark, d).select("row_id", "segment", "status", "balance", (F.col("price") > 250_000).cast("int").alias("target"))
-    train, test = sampling.train_test_split(df.filter("row_id % 5 = 0"), 0.7, 42)
-    return train.cache(), test.cache(), generators.IndependentMarginals(42).fit_sample(train, 800).cache()
+    train, test = (part.cache() for part in sampling.train_test_split(df, 0.7, 42))
+    return train, test, generators.IndependentMarginals(42).fit_sample(train, train.count()).cache()
 
 
 def _row(spark: SparkSession, found: dict, *names: str) -> DataFrame:
@@ -208,12 +208,12 @@ def _row(spark: SparkSession, found: dict, *names: str) -> DataFrame:
 
 def _propensity(spark: SparkSession, d: str) -> DataFrame:
     train, _, synthetic = _tables(spark, d)
-    return _row(spark, measures.propensity_auc(train, synthetic, n_estimators=5), "auc", "auc_fidelity")
+    return _row(spark, measures.propensity_auc(train, synthetic), "auc", "auc_fidelity")
 
 
 def _propensity_holdout(spark: SparkSession, d: str) -> DataFrame:
     train, test, synthetic = _tables(spark, d)
-    return _row(spark, measures.propensity_auc_holdout(train, test, synthetic, n_estimators=5), "auc", "auc_fidelity")
+    return _row(spark, measures.propensity_auc_holdout(train, test, synthetic), "auc", "auc_fidelity")
 
 
 def _propensity_linear(spark: SparkSession, d: str) -> DataFrame:
@@ -233,25 +233,24 @@ def _membership_records(spark: SparkSession, d: str) -> DataFrame:
 def _utility(kind: str) -> Query:
     def query(spark: SparkSession, d: str) -> DataFrame:
         train, test, synthetic = _tables(spark, d)
-        settings = {"n_estimators": 5} if kind == "gbt" else {}
-        return _row(spark, measures.tstr_utility(train, synthetic, test, "target", kind, **settings), "f1_real", "f1_synthetic", "f1_ratio", "auc_real", "auc_synthetic", "utility_score")
+        return _row(spark, measures.tstr_utility(train, synthetic, test, "target", kind), "f1_real", "f1_synthetic", "f1_ratio", "auc_real", "auc_synthetic", "utility_score")
 
     return query
 
 
 def _fairness(spark: SparkSession, d: str) -> DataFrame:
     train, test, synthetic = _tables(spark, d)
-    return measures.compare_fairness_across_methods(train, {"independent_marginals": synthetic}, test, "target", "segment", 20, n_estimators=5)
+    return measures.compare_fairness_across_methods(train, {"independent_marginals": synthetic}, test, "target", "segment", 20)
 
 
 def _propensity_training(spark: SparkSession, d: str) -> DataFrame:
     train, _, synthetic = _tables(spark, d)
-    return _row(spark, measures.propensity_auc_no_cv(train, synthetic, n_estimators=5), "auc", "auc_fidelity")
+    return _row(spark, measures.propensity_auc_no_cv(train, synthetic), "auc", "auc_fidelity")
 
 
 def _subgroup_utility(spark: SparkSession, d: str) -> DataFrame:
     train, test, synthetic = _tables(spark, d)
-    return measures.tstr_utility_per_subgroup(train, synthetic, test, "target", "segment", 20, n_estimators=5)["table"]
+    return measures.tstr_utility_per_subgroup(train, synthetic, test, "target", "segment", 20)["table"]
 
 
 def _compared_dcr(spark: SparkSession, d: str) -> DataFrame:
