@@ -5,7 +5,7 @@ last bytes, the place, or all of the word so far) and the bits already known to
 which are gathered over every distinct token of all training documents. Stretched probabilities
 are mixed by weights that are gated by bit place and by each slot's evidence and learned online on
 held-out counts (a token's own share is taken away first), and an adaptive probability map refines
-the mix. That is the chance of a new token; the discounted frequency of every counted token, however
+the mix; both are fitted on every distinct token. That is the chance of a new token; the discounted frequency of every counted token, however
 rare, is added to it, in all texts and in each group of texts. Along a document
 the groups, and caches of different strength that adapt to the words seen so far, are weighted by
 how well they have predicted; the document's probability is that of this mixture.
@@ -23,7 +23,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabassay.llm._shared import batched, hashed_sample, table
+from tabassay.llm._shared import batched, table
 from tabassay.llm._text import LOWER, U64, Units, column_bytes, mix, prefix_sums, slices, span_hashes, words
 from tabassay.llm._text import _BYTE_VALUES as BYTE_VALUES
 
@@ -33,8 +33,8 @@ END, CLOSE = "\n", 32
 SLOTS = (14, 16, 19, 20, 20, 20)
 #: Most frequent tokens that every worker knows; all others are looked up by a join, to the same effect.
 HEAD = 1 << 18
-#: Distinct tokens that the mixer is fitted on at most, by hash.
-SAMPLE_TOKENS = 12_000
+#: Parts of the vocabulary that each learn mixer weights of their own, and bytes of tokens that one holds at a time.
+FIT_PARTS, FIT_BYTES = 12, 1 << 14
 #: Text that a task counts before it passes its counts on.
 COUNT_BYTES = 16 << 20
 LEVELS = 6  # of evidence: none, 1, 2-3, 4-15, 16-255, more
@@ -182,44 +182,62 @@ def _add_blocks(group: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array([group.column("block")[0].as_py()], pa.int32()), "ones": pa.array(sums[:1], pa.binary()), "total": pa.array(sums[1:], pa.binary())})
 
 
-def fit_mixer(ones: np.ndarray, total: np.ndarray, tokens: pa.Array, epochs: int = 4, batch: int = 1 << 14) -> Mixer:
-    """Mixer of slot sums, its weights learned online over the bits of sample tokens, each without its own share."""
-    data, offsets = column_bytes(tokens)
-    code, _, contexts = _coded(data, offsets)
-    total, ones = total.astype(np.float32, copy=False), ones.astype(np.float32, copy=False)
-    x, level, bits, places = [], [], [], []
-    for place, node, bit in _bits(code):
-        slots = _slots(contexts, node)
-        n = [np.maximum(total[s] - 1, 0) for s in slots]
-        x.append(np.stack([_stretched(np.maximum(ones[s] - bit, 0), m) for s, m in zip(slots, n, strict=True)], axis=1))
-        level.append(np.stack([_level(m) for m in n], axis=1))
-        bits.append(bit.astype(np.float32))
-        places.append(np.full(len(code), place, np.int8))
-    x, level, bits, places = (np.concatenate(a) for a in (x, level, bits, places))
+_FITTED = "bits long, weights binary, hit binary, seen binary"
+
+
+def _fit(batches: Iterable[pa.RecordBatch], shared: Broadcast, batch: int = 1 << 12) -> Iterator[pa.RecordBatch]:
+    """Weights learned online over the bits of a partition's tokens, each without its own share, and the map's ones and bits by place and mix."""
+    ones, total = shared.value
     weights = np.full((8, len(SLOTS), LEVELS), 1 / len(SLOTS), np.float32)
     slow, fast = np.zeros(weights.size), np.zeros(weights.size)
-    draw, step = np.random.Generator(np.random.PCG64(3)), 0
-    at = ((places[:, None].astype(np.int16) * len(SLOTS) + np.arange(len(SLOTS), dtype=np.int16)) * LEVELS + level).astype(np.int16)
-    del level
-    mixed = lambda i: (x[i] * weights.ravel()[at[i]]).sum(axis=1)
-    for epoch in range(epochs if len(bits) else 0):
-        order = draw.permutation(len(bits))
-        for j in range(0, len(order), batch):
-            i, step = order[j : j + batch], step + 1
-            error = bits[i] - 1 / (1 + np.exp(-np.clip(mixed(i), -14, 14)))
-            slope = np.bincount(at[i].ravel(), weights=(error[:, None] * x[i]).ravel(), minlength=weights.size) / len(i)
-            slow, fast = 0.9 * slow + 0.1 * slope, 0.999 * fast + 0.001 * slope**2
-            weights += ((0.02 / (1 + epoch)) * (slow / (1 - 0.9**step)) / (np.sqrt(fast / (1 - 0.999**step)) + 1e-8)).reshape(weights.shape).astype(np.float32)
+    hit, seen = np.zeros(8 * APM), np.zeros(8 * APM)
+    draw, step, count = np.random.Generator(np.random.PCG64(3)), 0, 0
+    for rows in batches:
+        every, bounds = column_bytes(rows.column(0))
+        for lo, hi in slices(bounds, FIT_BYTES):
+            code, _, contexts = _coded(every[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo])
+            x, at, bits = [], [], []
+            for place, node, bit in _bits(code):
+                slots = _slots(contexts, node)
+                n = [np.maximum(total[s] - 1, 0) for s in slots]
+                x.append(np.stack([_stretched(np.maximum(ones[s] - bit, 0), m) for s, m in zip(slots, n, strict=True)], axis=1))
+                at.append(np.stack([(place * len(SLOTS) + k) * LEVELS + _level(m).astype(np.int16) for k, m in enumerate(n)], axis=1))
+                bits.append(bit.astype(np.float32))
+            x, at, bits = (np.concatenate(a) for a in (x, at, bits))
+            order = draw.permutation(len(bits))
+            for j in range(0, len(order), batch):
+                i, step = order[j : j + batch], step + 1
+                some, where = x[i], at[i]
+                dot = (some * weights.ravel()[where]).sum(axis=1)
+                near = where[:, 0] // (len(SLOTS) * LEVELS) * APM + np.rint((np.clip(dot, -8, 8) + 8) * ((APM - 1) / 16)).astype(np.int64)
+                hit += np.bincount(near, weights=bits[i], minlength=len(hit))
+                seen += np.bincount(near, minlength=len(seen))
+                error = bits[i] - 1 / (1 + np.exp(-np.clip(dot, -14, 14)))
+                slope = np.bincount(where.ravel(), weights=(error[:, None] * some).ravel(), minlength=weights.size) / len(i)
+                slow, fast = 0.9 * slow + 0.1 * slope, 0.999 * fast + 0.001 * slope**2
+                rate = 0.02 / (1 + step // 200)
+                weights += (rate * (slow / (1 - 0.9**step)) / (np.sqrt(fast / (1 - 0.999**step)) + 1e-8)).reshape(weights.shape).astype(np.float32)
+            count += len(bits)
+    if count:
+        yield pa.RecordBatch.from_arrays([pa.array([count]), *(pa.array([a.astype(float).tobytes()], pa.binary()) for a in (weights, hit, seen))], names=["bits", "weights", "hit", "seen"])
+
+
+def fit_mixer(ones: np.ndarray, total: np.ndarray, tokens: DataFrame) -> Mixer:
+    """Mixer of slot sums, fitted on every row of tokens (token, h); weights are the mean of the parts' by their bits."""
+    shared = tokens.sparkSession.sparkContext.broadcast((ones, total))
+    # By hash and in its order, so that a vocabulary gives the same mixer however it was written.
+    parts = tokens.repartition(FIT_PARTS, "h").sortWithinPartitions("h", "token").select("token").transform(batched, partial(_fit, shared=shared), _FITTED).collect()
+    shared.unpersist()
+    parts.sort(key=lambda r: (r["bits"], bytes(r["weights"])))
+    summed = lambda c: np.sum([np.frombuffer(r[c]) for r in parts], axis=0)
     centres = np.linspace(-8, 8, APM)
-    refine = np.tile(centres, (8, 1)).astype(np.float32)
-    final = np.concatenate([mixed(np.arange(i, min(i + (1 << 18), len(bits)))) for i in range(0, len(bits), 1 << 18)]) if len(bits) else np.zeros(0)
-    near = np.rint((np.clip(final, -8, 8) + 8) * ((APM - 1) / 16)).astype(np.int64)
-    for place in range(8):
-        m = places == place
-        hit, all_ = (np.bincount(near[m], weights=v, minlength=APM) for v in (bits[m], np.ones(m.sum())))
-        prior = 20 / (1 + np.exp(-centres))
-        refine[place] = np.log((hit + prior) / (all_ - hit + 20 - prior))
-    return Mixer(_stretched(ones, total), _level(total), weights, refine)
+    if not parts:
+        return Mixer(_stretched(ones, total), _level(total), np.full((8, len(SLOTS), LEVELS), 1 / len(SLOTS), np.float32), np.tile(centres, (8, 1)).astype(np.float32))
+    weights = np.sum([r["bits"] * np.frombuffer(r["weights"]) for r in parts], axis=0) / sum(r["bits"] for r in parts)
+    hit, seen = summed("hit").reshape(8, APM), summed("seen").reshape(8, APM)
+    prior = 20 / (1 + np.exp(-centres))
+    refine = np.log((hit + prior) / (seen - hit + 20 - prior)).astype(np.float32)
+    return Mixer(_stretched(ones, total), _level(total), weights.astype(np.float32).reshape(8, len(SLOTS), LEVELS), refine)
 
 
 @dataclass
@@ -274,9 +292,8 @@ def train(texts: DataFrame, block: int = 4096) -> tuple[Model, DataFrame]:
             break
         cut = r["k"]
     head = vocab.filter(F.col("c") >= cut).toArrow().combine_chunks()
-    sample = hashed_sample(vocab.select("token", "h"), SAMPLE_TOKENS, v, "h").toArrow().combine_chunks()
     single = lambda t, c: t.column(c).combine_chunks() if isinstance(t.column(c), pa.ChunkedArray) else t.column(c)
-    mixer = fit_mixer(ones, total, single(sample, "token"))
+    mixer = fit_mixer(ones, total, vocab.select("token", "h"))
     h, c, *own = (single(head, x).to_numpy(zero_copy_only=False) for x in ("h", *columns))
     discount = min(0.9, max(0.1, n1 / (n1 + 2 * n2))) if n1 else 0.5
     rest = np.where(size > 0, discount * distinct / np.maximum(size, 1), 1.0)
