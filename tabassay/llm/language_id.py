@@ -137,7 +137,7 @@ class Model:
 
 
 def train(labelled: DataFrame, docs: int = SAMPLE_DOCS, text: int = SAMPLE_TEXT, size: int = SAMPLE_BYTES) -> Model:
-    """Model of (doc_id, text, lang): for each lang a sample of at most docs texts and size bytes, short texts first, by hash."""
+    """Model of (doc_id, text, lang): for each lang a sample of at most docs short texts, then long ones, to size bytes, by hash."""
     rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL AND text != ''")
     short = F.length("text") <= text
     found = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count_if(short).alias("n")).collect()}
@@ -148,8 +148,8 @@ def train(labelled: DataFrame, docs: int = SAMPLE_DOCS, text: int = SAMPLE_TEXT,
         most = F.when(F.col("lang") == lang, min(span, span * (docs + 4 * math.isqrt(docs) + 16) // max(1, n))).otherwise(most)
     picked = rows.filter(short & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(span)) < most)).select("lang", "text", F.xxhash64("doc_id", "text").alias("h")).collect()
     sample = {lang: sorted((r for r in picked if r["lang"] == lang), key=lambda r: (r["h"], r["text"]))[:docs] for lang in langs}
-    for lang in [x for x in langs if not sample[x]]:  # no short text: the shortest of the long ones
-        sample[lang] = rows.filter(F.col("lang") == lang).orderBy(F.length("text"), "doc_id", "text").limit(1).select("text").collect()
+    for lang in [x for x in langs if sum(len(r["text"].encode()) + 1 for r in sample[x]) <= size]:  # short texts do not reach size: long ones fill it
+        sample[lang] += rows.filter((F.col("lang") == lang) & ~short).orderBy(F.xxhash64("doc_id", "text"), "text").limit(-(-size // text)).select(F.substring("text", 1, size).alias("text")).collect()
     return Model(langs, [b"\n".join(r["text"].encode() for r in sample[lang])[:size] for lang in langs])
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from tabassay.llm import lm_scoring
+from tabassay.llm import language_id, lm_scoring
 
 
 def test_lm_score_counts_tokens_outside_the_head(spark, monkeypatch):
@@ -31,3 +31,9 @@ def test_lm_mixer_is_fitted_on_every_token(spark):
         patch.setattr(lm_scoring, "batched", lambda frame, work, schema, f=lm_scoring.batched: seen.append((schema, f(frame, work, schema))) or seen[-1][1])
         fitted = lm_scoring.fit_mixer(*[lm_scoring.np.zeros(lm_scoring._FIRST[-1], "f4")] * 2, vocab.select("token", "h"))
     assert isinstance(fitted, real) and sum(r["bits"] for s, frame in seen if s == lm_scoring._FITTED for r in frame.select("bits").collect()) == 8 * (sum(len(t) + 1 for t in tokens) + 2)
+
+
+def test_language_of_long_texts_is_not_learned_from_one_short_text(spark):
+    rows = [(0, "ok", "a"), (1, "the cat sat on the mat and ran away " * 200, "a"), (2, "der Hund lief durch den Wald nach Haus " * 50, "b")]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.texts == [f"ok\n{rows[1][1]}".encode(), rows[2][1].encode()]
