@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabassay.llm import _text
-from tabassay.llm._shared import batched, table
+from tabassay.llm._shared import batched, discard, table
 from tabassay.llm._text import U64, column_bytes, prefix_sums, slices, span_hashes
 
 _RUNS = "doc_id long, t long, ah long, rh long, pos int, n int, self boolean"
@@ -112,16 +112,17 @@ def _emit_windows(batches: Iterable[pa.RecordBatch], shape: Shape, place: bool)
 
 
 def repeated(documents: DataFrame, shape: Shape, keep_first: bool) -> DataFrame:
-    """Rows (doc_id, t, marks) for the documents with repeated windows; marks lists (pos, n, offsets).
+    """Written rows (doc_id, t, marks) for the documents with repeated windows; marks lists (pos, n, offsets).
 
     documents: doc_id and text; t is xxhash64(text), which tells apart different texts of one id.
     A mark means the windows at pos + o for o in offsets, or for all o < n if offsets is null.
     Marked are all windows whose units also stand elsewhere, or with keep_first all but the first
-    such window in the order of doc_id, t and position.
+    such window in the order of doc_id, t and position. What is grouped by a hash is written before
+    it is joined, so that a passage of very many texts can be split over tasks.
     """
     keyed = documents.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("t"), "text")
     found = keyed.transform(batched, partial(_emit_runs, shape=shape), _RUNS)
-    seeds = found.groupBy("ah").agg(F.count("*").alias("c"), F.max("self").alias("s")).filter("c > 1 OR s").select("ah")
+    seeds = table(found.groupBy("ah").agg(F.count("*").alias("c"), F.max("self").alias("s")).filter("c > 1 OR s").select("ah"), "anchors")
     hits = table(found.join(seeds, "ah", "left_semi"), "seeds")
 
     spans = hits.groupBy("ah", "rh").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "t", "pos")).alias("f"), F.first("n").alias("n"), F.max("self").alias("s"))
@@ -133,19 +134,22 @@ def repeated(documents: DataFrame, shape: Shape, keep_first: bool) -> DataFrame:
     emit = partial(_emit_windows, shape=shape, place=keep_first)
     windows = table(join_rows(keyed, asked).select("text", "wanted", "doc_id", "t").transform(batched, emit, _WINDOWS + _PLACE * keep_first), "windows")
     at = F.struct("doc_id", "t", "pos")
-    totals = windows.groupBy("ah", "wh").agg(F.sum("c").alias("total"), *([F.min(at).alias("first")] if keep_first else [])).filter("total > 1")
+    totals = table(windows.groupBy("ah", "wh").agg(F.sum("c").alias("total"), *([F.min(at).alias("first")] if keep_first else [])).filter("total > 1"), "totals")
     own = windows.join(totals, ["ah", "wh"])
     if keep_first:
         own = own.filter(~at.eqNullSafe(F.col("first")))
-    own = own.groupBy("ah", "rh").agg(F.collect_list("o").alias("offsets"))
+    own = own.groupBy("ah", "rh").agg(F.collect_set("o").alias("offsets"))
     # For the first occurrence of each span its own offsets; every other occurrence repeats whole.
-    state = spans.join(own, ["ah", "rh"], "left").filter("c > 1 OR offsets IS NOT NULL").select("ah", "rh", "f", "offsets", "c")
+    state = table(spans.join(own, ["ah", "rh"], "left").filter("c > 1 OR offsets IS NOT NULL").select("ah", "rh", "f", "offsets", "c"), "state")
     here = F.struct("doc_id", "t", "pos")
     marks = hits.join(state, ["ah", "rh"])
     is_first = here.eqNullSafe(F.col("f"))
     whole = ~is_first if keep_first else (F.col("c") > 1)
     marked = marks.filter(whole | F.col("offsets").isNotNull()).select("doc_id", "t", F.struct("pos", "n", F.when(~whole, F.col("offsets")).alias("offsets")).alias("x"))
-    return marked.groupBy("doc_id", "t").agg(F.collect_list("x").alias("marks"))
+    # Repeated rows of one document have the same marks, which count once.
+    out = table(marked.groupBy("doc_id", "t").agg(F.collect_set("x").alias("marks")), "marks")
+    discard(seeds, hits, spans, mixed, windows, totals, state)
+    return out
 
 
 def join_rows(keyed: DataFrame, other: DataFrame, how: str = "inner") -> DataFrame:

@@ -15,14 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Batches = Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]
-#: Rows of an Arrow batch at most; a smaller setting of the session stands.
-BATCH_ROWS = 3000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share; a temporary one only where the session names none."""
+    """Folder that driver and executors share, as spark.checkpoint.dir names it. Only a local session, which is one machine, gets one of its own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="tabassay-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -79,10 +79,7 @@ def _released(batches: Iterable[pa.RecordBatch], work: Batches) -> Iterator[pa.R
 
 
 def batched(df: DataFrame, work: Batches, schema: str) -> DataFrame:
-    """df.mapInArrow over batches of at most BATCH_ROWS rows: long texts make the usual batches of 10,000 heavy."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
-        conf.set(name, BATCH_ROWS)
+    """df.mapInArrow; the worker gives freed memory back when a task ends. session.prepare bounds the batches."""
     return df.mapInArrow(partial(_released, work=work), schema)
 
 

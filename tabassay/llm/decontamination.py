@@ -26,8 +26,8 @@ def words_of(text: Column) -> Column:
 
 
 def windows_of(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """Distinct windows (window array<string>, items array<string>) of benchmark (item_id, text)."""
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), words_of(F.col("text")).alias("w")).filter(F.size("w") > 0)
+    """Distinct windows (window array<string>, items array<string>) of benchmark (item_id, text); an item is = and its id, or empty for a null id."""
+    items = benchmark.select(F.coalesce(F.concat(F.lit("="), F.col("item_id").cast("string")), F.lit("")).alias("item"), words_of(F.col("text")).alias("w")).filter(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - size + 1, F.lit(1)))
     each = items.select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i, size))).alias("window"))
     return each.groupBy("window").agg(F.array_sort(F.collect_set("item")).alias("items"))
@@ -78,7 +78,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW
     occurring window, sorted as strings. A document is contaminated if n_hit > 0 and
     one_in * n_hit >= n_words. Null and empty texts have no words and are clean, items without
     words have no windows, an item of fewer words than a window is one window. Repeated rows are
-    judged alike, a null doc_id like any other, a null item_id counts as item 'null'.
+    judged alike, a null doc_id like any other; items of a null item_id count as one item, which
+    is listed first, as null. Texts of any length are searched whole. Other columns are not read.
     """
     base, places = hits(documents, benchmark, size)
     spans = F.collect_set(F.struct("start", "length"))
@@ -87,5 +88,6 @@ def contamination(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW
     marks = marks.select(F.col("doc_id").alias("_d"), F.col("t").alias("_t"), covered.cast("long").alias("n_hit"), "items")
     out = base.join(marks, base.doc_id.eqNullSafe(marks["_d"]) & base.t.eqNullSafe(marks["_t"]), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    items = F.coalesce("items", F.array().cast("array<string>"))
+    named = F.transform("items", lambda x: F.when(x != "", F.substring(x, 2, 2**31 - 1)))
+    items = F.coalesce(named, F.array().cast("array<string>"))
     return out.select("doc_id", "t", F.col("n_words").cast("long").alias("n_words"), n_hit.alias("n_hit"), items.alias("items"), ((n_hit > 0) & (n_hit * one_in >= F.col("n_words"))).alias("contaminated"))

@@ -1,8 +1,8 @@
 """Near-duplicate groups: MinHash bands propose pairs, odd sketches screen them, full shingle sets confirm them.
 
 Copies with equal shingle sets collapse into one class first. Inside a band bucket every class is
-tried against one pivot instead of against every other member; links found that way are closed
-into components. Only buckets whose members are still in different components are compared across
+tried against one pivot instead of against every other member: pairs whose odd sketches are near
+enough have their texts compared, and links found that way are closed into components. Only buckets whose members are still in different components are compared across
 those components, in blocks, where an odd sketch (the parity bitmap of the MinHash samples; the
 XOR's population count estimates the similarity) must come near the threshold before sets are
 compared. Every link that counts has been confirmed on whole shingle sets.
@@ -27,8 +27,8 @@ SHINGLE, BANDS, ROWS = 5, 25, 4
 SAMPLES, SKETCH_WORDS = BANDS * ROWS, 8
 #: A pair is dropped unread only if its estimate lies this far below the threshold: 5 standard deviations of the estimate.
 MARGIN = 0.27
-#: Partitions that the partners of one pivot are spread over while they are confirmed.
-SALTS = 16
+#: Parts that the partners of one pivot are dealt to while they are confirmed; a pivot with more than 1 in HEAVY of all pairs gets as many for each such share.
+SALTS, HEAVY = 16, 1024
 #: Documents and text bytes of a block, of which two meet in a task.
 BLOCK_ROWS, BLOCK_BYTES = 1024, 8 << 20
 
@@ -129,10 +129,14 @@ def _confirm(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Those of pairs (a, b) whose whole shingle sets, made of texts (cid, text), have 100 * shared >= percent * united.
 
-    A pivot's text travels once to each of the salted partitions that hold its partners, and
-    partners stream past it, so one popular pivot neither fills a task nor collects its partners.
+    A pivot's text travels once to each of the salted parts that hold its partners, and partners
+    stream past it, so one popular pivot neither fills a task nor collects its partners. There are
+    at most HEAVY pivots with more parts than SALTS, and they alone are broadcast.
     """
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    share = max(1, pairs.count() // HEAVY)
+    heavy = pairs.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") > share).select(F.col("a").alias("_a"), F.ceil(F.col("n") / share).alias("_n"))
+    parts = SALTS * F.coalesce("_n", F.lit(1))
+    salted = pairs.join(F.broadcast(heavy), F.col("a") == F.col("_a"), "left").select("a", "b", F.pmod(F.xxhash64("b"), parts).cast("int").alias("salt"))
     asked = salted.select("a", "salt", F.col("b").alias("partner"), F.col("b").alias("cid")).union(
         salted.select("a", "salt").distinct().select("a", "salt", F.lit(None).cast("long"), "a")
     )
@@ -198,28 +202,40 @@ def _across(open_members: DataFrame, classes: DataFrame, texts: DataFrame, perce
     Buckets that overlap are one family. A family is cut into blocks of bounded rows and bytes and
     every two blocks meet in a task of their own, which sends back links only.
     """
-    hubs = open_members.groupBy("bucket").agg(F.min("cid").alias("hub"))
+    hubs = table(open_members.groupBy("bucket").agg(F.min("cid").alias("hub")), "hubs")
     family = components(open_members.join(hubs, "bucket").select(F.col("cid").alias("a"), F.col("hub").alias("b")))
     docs = family.select(F.col("node").alias("cid"), F.col("component").alias("family")).join(open_members.select("cid", "label").distinct(), "cid")
     docs = table(docs.join(classes.select("cid", "n_shingles", "bands", "sketch"), "cid").join(texts.hint("merge"), "cid"), "families")
     need = F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES))
     sizes = docs.groupBy("family").agg(F.greatest(need, F.lit(1)).cast("int").alias("blocks"))
     placed = docs.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    # Without this the pairs would stay where their family is: one task for all of them.
     pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("block", "other").cast("int")).withColumn("hi", F.greatest("block", "other").cast("int"))
     most = most_different_bits(percent / 100 - MARGIN)
-    links = table(pairs.drop("other", "blocks").groupBy("family", "lo", "hi").applyInArrow(_matcher(percent, most), _LINKED), "links")
-    discard(docs)
+    spread = pairs.drop("other", "blocks").repartition("family", "lo", "hi")
+    links = table(spread.groupBy("family", "lo", "hi").applyInArrow(_matcher(percent, most), _LINKED), "links")
+    discard(docs, hubs)
     return links
 
 
+def screened(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Those of pairs (a, b) whose odd sketches and set sizes allow the similarity."""
+    one = lambda c: classes.select(F.col("cid").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
+    apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    near = (apart <= most_different_bits(percent / 100 - MARGIN)) & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+    return pairs.join(one("a"), "a").join(one("b"), "b").filter(near).select("a", "b")
+
+
 def groups(documents: DataFrame, percent: int = 75) -> DataFrame:
     """One row for each row of documents (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Words are lower-cased (A-Z) runs outside ASCII white space, shingles five of them. Rows of one
     doc_id are one document. component_id is the least doc_id that confirmed links reach, kept says
     whether it is the row's own. Null, empty and blank texts have no shingles and stay alone; a
-    null doc_id links with nothing, its component is null and it is kept. Bands of four samples miss
-    a pair at similarity 0.75 with probability (1 - 0.75**4)**25, below 1 in 10,000.
+    null doc_id links with nothing, its component is null and it is kept. An empty table gives an
+    empty one, texts of any length are read whole, other columns are not read. Bands of four
+    samples miss a pair at similarity 0.75 with probability (1 - 0.75**4)**25, below 1 in 10,000.
+    Shingles are compared by 64-bit hashes.
     """
     signed = table(documents.select(F.col("doc_id").cast("long"), "text").transform(batched, _sign, _SIGNED), "signatures")
     usable = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -229,21 +245,23 @@ def groups(documents: DataFrame, percent: int = 75) -> DataFrame:
     same_id = same_id.filter("doc_id != cid").select(F.col("doc_id").alias("a"), F.col("cid").alias("b"))
 
     banded = classes.select("cid", F.posexplode("bands").alias("i", "h")).select("cid", F.xxhash64("i", "h").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.min("cid").alias("pivot"), F.max("cid").alias("top")).filter("pivot < top").drop("top")
+    # What is grouped by bucket is written before it is joined, so that a crowded bucket can be split over tasks.
+    shared = table(banded.groupBy("bucket").agg(F.min("cid").alias("pivot"), F.max("cid").alias("top")).filter("pivot < top").drop("top"), "shared")
     members = table(banded.join(shared, "bucket"), "buckets")
     ids = documents.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("cid"), "text")
     texts = table(ids.join(members.select("cid").distinct().hint("merge"), "cid", "left_semi"), "texts")
     stars = members.filter("cid != pivot").groupBy("cid").agg(F.min("pivot").alias("a")).select("a", F.col("cid").alias("b"))
+    stars = table(screened(stars, classes, percent), "stars")
     links = table(confirm(stars, texts, percent), "links")
     labels = components(links)
 
     placed = members.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("bucket", "cid", F.coalesce("component", "cid").alias("label"))
-    mixed = placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("bucket")
+    mixed = table(placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("bucket"), "mixed")
     open_members = table(placed.join(mixed, "bucket"), "open")
     late = _across(open_members, classes, texts, percent)
     every = same_id.union(links).union(late)
     component = components(every)
-    discard(members, texts, open_members, links, late)  # the components are a table of their own
+    discard(shared, members, texts, stars, mixed, open_members, links, late)  # the components are a table of their own
     return signed.join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id", F.col("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.col("component") == F.col("doc_id"), F.lit(True)).alias("kept")
     )

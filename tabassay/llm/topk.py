@@ -76,7 +76,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, query_block: int
     a group of its own, so that no task holds more than one of each whatever the tables' sizes.
     """
     clean = lambda df: df.filter("vec_id IS NOT NULL AND v IS NOT NULL AND size(v) > 0 AND NOT exists(v, x -> x IS NULL)")
-    vectors, queries = (table(clean(df.select("vec_id", "v")), name) for df, name in ((vectors, "vectors"), (queries.dropDuplicates(["vec_id"]), "queries")))
+    vectors, queries = (table(clean(df.select("vec_id", "v")), name) for df, name in ((vectors, "vectors"), (queries.groupBy("vec_id").agg(F.min("v").alias("v")), "queries")))
     n_blocks, n_query_blocks = max(1, -(-vectors.count() // block)), max(1, -(-queries.count() // query_block))
     spread = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")
     right = vectors.withColumn("b", F.pmod(F.xxhash64("vec_id", "v"), F.lit(n_blocks)).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1))))
