@@ -8,8 +8,18 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+#: Rows of an Arrow batch at most; long texts make the usual batches of 10,000 heavy.
+BATCH_ROWS = 3000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Workers that share this file system find the package, whatever their working folder; elsewhere it must be installed."""
+    """Workers that share this file system find the package, whatever their working folder; elsewhere it must be installed.
+
+    Lowers the session's rows of an Arrow batch to BATCH_ROWS; a smaller setting stands.
+    """
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, BATCH_ROWS)
     root = str(Path(__file__).resolve().parents[1])
     environment = spark.sparkContext.environment
     known = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
