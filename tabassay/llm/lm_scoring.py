@@ -1,14 +1,19 @@
-"""Language-model scores of whole texts by logistic mixing of hashed-context bit predictors.
-
-A token is its bytes and a closing byte, coded bit by bit. Each predictor hashes one context (the
-last bytes, the place, or all of the word so far) and the bits already known to a slot of counts,
-which are gathered over every distinct token of all training documents. Stretched probabilities
-are mixed by weights that are gated by bit place and by each slot's evidence and learned online on
-held-out counts (a token's own share is taken away first), and an adaptive probability map refines
-the mix; both are fitted on every distinct token. That is the chance of a new token; the discounted frequency of every counted token, however
-rare, is added to it, in all texts and in each group of texts. Along a document
-the groups, and caches of different strength that adapt to the words seen so far, are weighted by
-how well they have predicted; the document's probability is that of this mixture.
+"""Language-model scores of whole texts by online logistic mixing of hashed-context bit predictors.
+
+A text is a stream of symbols: frequent words, an escape for every other word, that word's bytes
+after the escape, and the end. Each symbol is a path of bits in a Huffman tree. Three predictors
+know a bit's chance: its node alone, the node after the last word (or the last two bytes), and the
+node after the last two words (or the last four bytes); the latter two hash their context to a slot
+of counts. Stretched chances are mixed by weights that are gated by the evidence in both slots, and
+an adaptive map refines the mix. Counts, weights and map are learned online, bit by bit in running
+text, over every training text: each part of the corpus goes on from what it has read so far, and
+the parts' counts are added up, their weights averaged by the bits that each has seen.
+
+Two predictors grow with the corpus and are looked up by joins. Of every word, however rare, the
+exact count is known: after the escape a word costs its discounted frequency or its spelling. And of
+every stretch of text between two hash-chosen places the count is known: a gate, a bit predictor
+that adapts along the document, mixes the chance of a known stretch with that of its words. Caches
+of different strength that learn a document's own words are weighted by how well they predict it.
 """
 
 from __future__ import annotations
@@ -23,298 +28,461 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabassay.llm._shared import batched, table
-from tabassay.llm._text import LOWER, U64, Units, column_bytes, mix, prefix_sums, slices, span_hashes, words
+from tabassay.llm._shared import batched, discard, table
+from tabassay.llm._text import LOWER, U64, column_bytes, mix, prefix_sums, slices, span_hashes, words
 from tabassay.llm._text import _BYTE_VALUES as BYTE_VALUES
 
-#: The document's end as a token, and the byte that closes every token; neither can stand in a word.
+#: The document's end as a token, and the byte that closes a spelling; neither can stand in a word.
 END, CLOSE = "\n", 32
-#: log2 of each predictor's slots: place, last byte, last two, three and four bytes, the word so far.
-SLOTS = (14, 16, 19, 20, 20, 20)
-#: Most frequent tokens that every worker knows; all others are looked up by a join, to the same effect.
+#: Most frequent words that have a symbol of their own; every other word is an escape and is looked up by its exact count.
 HEAD = 1 << 18
-#: Parts of the vocabulary that each learn mixer weights of their own, and bytes of tokens that one holds at a time.
-FIT_PARTS, FIT_BYTES = 12, 1 << 14
+#: log2 of the slots of each of the two hashed contexts, and of those that are added up at a time.
+SLOT_BITS, BLOCK_BITS = 20, 16
+#: Words of a stretch of text on average, and tokens that the model's chances weigh against a document's own words in each cache.
+STRETCH, CACHES = 16, (60.0, 600.0)
+#: Text bytes, words and symbols that a task holds at a time, and bits between two looks at its counts.
+TEXT_BYTES, WINDOW, SYMBOLS, REFRESH = 1 << 20, 1 << 14, 1 << 11, 16_000_000
 #: Text that a task counts before it passes its counts on.
 COUNT_BYTES = 16 << 20
-LEVELS = 6  # of evidence: none, 1, 2-3, 4-15, 16-255, more
-CACHES = (40.0, 300.0, 3000.0)  # and none
-#: Groups of training texts with frequencies of their own at most, the largest; all texts together are one more.
-MAX_GROUPS = 8
-APM = 33
+LEVELS, BINS, SHELF_BITS = 8, 33, 19
+GATES = 2 * LEVELS * LEVELS
 LN10 = float(np.log(10))
-_FIRST = np.concatenate([[0], np.cumsum([1 << s for s in SLOTS])])
-
-
-def _coded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Bytes of all tokens with closing bytes, the token of each, and each predictor's context hash at each byte."""
-    n = len(offsets) - 1
-    ends = offsets + np.arange(n + 1)
-    code = np.full(ends[-1], CLOSE, np.uint8)
-    token = np.repeat(np.arange(n), np.diff(ends))
-    inner = np.ones(len(code), bool)
-    inner[ends[1:] - 1] = False
-    code[inner] = data
-    place = np.arange(len(code)) - ends[token]
-    values = code.astype(U64)
-    contexts, last = [mix(np.minimum(place, 5).astype(U64) + U64(11))], np.zeros(len(code), U64)
-    for back in range(1, 5):
-        before = np.zeros(len(code), U64)
-        before[back:] = values[:-back] + U64(1)
-        before[place < back] = 0
-        last = last * U64(257) + before
-        contexts.append(mix(last + U64(back * 0x5851F42D4C957F2D % 2**64)))
-    contexts.append(span_hashes(prefix_sums(BYTE_VALUES[code]), ends[token], np.arange(len(code))))
-    return code, token, contexts
-
-
-def _slots(contexts: list[np.ndarray], node: np.ndarray) -> list[np.ndarray]:
-    """Each predictor's slot for the bits known so far (node: 1, then those bits)."""
-    salt = node.astype(U64) * U64(0x9E3779B97F4A7C15)
-    return [(((c ^ salt) * U64(0xD6E8FEB86659FD93)) >> U64(64 - s)).astype(np.int64) + at for c, s, at in zip(contexts, SLOTS, _FIRST[:-1], strict=True)]
+#: Weights of bytes in the tree of spellings, before anything is read: letters and the close, digits, bytes beyond ASCII, others.
+_BYTE_WEIGHTS = [200 if b == CLOSE or 97 <= b <= 122 else 40 if 48 <= b <= 57 else 8 if b >= 128 else 4 for b in range(256)]
+_FIRST_WORD = U64(0x632BE59BD9B4E019)
+_END_HASH = span_hashes(prefix_sums(BYTE_VALUES[np.frombuffer(END.encode(), np.uint8)]), np.array([0]), np.array([1]))[0]
+
+
+def huffman(weights: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Parent (node, from the leaves' number on) and bit of every leaf and inner node; the last node is the root. Equal weights merge in order."""
+    n = len(weights)
+    order = sorted(range(n), key=weights.__getitem__)
+    parent, bit = np.zeros(max(1, 2 * n - 1), np.int64), np.zeros(max(1, 2 * n - 1), np.uint8)
+    inner: list[int] = []
+    a = b = 0
+    for node in range(n, 2 * n - 1):
+        total = 0
+        for side in (0, 1):
+            if a < n and (b >= len(inner) or weights[order[a]] <= inner[b]):
+                child, w, a = order[a], weights[order[a]], a + 1
+            else:
+                child, w, b = n + b, inner[b], b + 1
+            parent[child], bit[child], total = node, side, total + w
+        inner.append(total)
+    return parent, bit
+
+
+def paths(weights: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Steps (2 * node + bit) of every leaf's path from the root, where each path begins, and the stretched chance of a 1 at each node."""
+    n = len(weights)
+    parent, bit = huffman(weights)
+    weight = np.zeros(2 * n - 1)
+    weight[:n] = weights
+    ones = np.zeros(2 * n - 1)
+    at, steps = np.arange(n), []
+    live = np.arange(n) if n > 1 else np.arange(0)
+    while len(live):
+        steps.append((live, parent[at[live]], bit[at[live]]))
+        np.add.at(weight, parent[at[live]], weight[live])
+        np.add.at(ones, parent[at[live]], np.where(bit[at[live]] == 1, weight[live], 0))
+        at[live] = parent[at[live]]
+        live = live[at[live] != 2 * n - 2]
+    depth = np.zeros(n, np.int64)
+    for leaf, _, _ in steps:
+        depth[leaf] += 1
+    first = np.r_[0, np.cumsum(depth)]
+    taken = np.zeros(first[-1], np.int32)
+    for k, (leaf, node, b) in enumerate(steps):
+        taken[first[leaf + 1] - 1 - k] = 2 * (node - n) + b
+    p, total = ones[n:], weight[n:]
+    return taken, first, np.log((p + 0.4) / (total - p + 0.4)).astype(np.float32)
 
 
-def _bits(code: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    node = np.ones(len(code), np.int64)
-    for place in range(8):
-        bit = (code >> (7 - place)) & 1
-        yield place, node, bit
-        node = node * 2 + bit
-
+@dataclass
+class Codes:
+    """Frequent words (hashes in order, counts) and every symbol's path; symbols are those words, the escape, and 256 bytes."""
 
-def _level(total: np.ndarray) -> np.ndarray:
-    return np.searchsorted(np.array([0.5, 1.5, 3.5, 15.5, 255.5]), total).astype(np.int8)
+    head: np.ndarray
+    head_c: np.ndarray
+    steps: np.ndarray
+    first: np.ndarray
+    plain: np.ndarray
+    spelt_from: int
+    shelf: np.ndarray
+    depth: np.ndarray
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Place of each hash in the head, or any other place if it is not there."""
+        at = np.minimum(self.shelf[(h >> U64(64 - SHELF_BITS)).astype(np.int64)], len(self.head) - 1).astype(np.int64)
+        last = len(self.head) - 1
+        behind = np.flatnonzero((self.head[at] < h) & (at < last))
+        while len(behind):
+            at[behind] += 1
+            behind = behind[(self.head[at[behind]] < h[behind]) & (at[behind] < last)]
+        return at
+
+    @classmethod
+    def of(cls, head: np.ndarray, head_c: np.ndarray, rest: int) -> Codes:
+        order = np.argsort(head)
+        head, head_c = head[order], head_c[order]
+        word, byte = paths([*np.maximum(head_c, 1).tolist(), max(1, rest)]), paths(_BYTE_WEIGHTS)
+        inner = len(head)  # one less than the leaves
+        shelf = np.searchsorted(head, np.arange(1 << SHELF_BITS, dtype=U64) << U64(64 - SHELF_BITS)).astype(np.int32)
+        first = np.r_[word[1], byte[1][1:] + word[1][-1]]
+        return cls(head, head_c, np.r_[word[0], byte[0] + 2 * inner].astype(np.int32), first[:-1], np.r_[word[2], byte[2]].astype(np.float32), inner, shelf, np.diff(first))
 
 
-def _stretched(n1: np.ndarray, total: np.ndarray) -> np.ndarray:
-    return np.log((n1 + 0.05) / (total - n1 + 0.05)).astype(np.float32)
+@dataclass
+class Tokens:
+    """Words of some texts and each text's end, in order: hashes, places in data, text of each, first token of each text."""
+
+    data: np.ndarray
+    hashes: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    row: np.ndarray
+    first: np.ndarray
+
+    @classmethod
+    def of(cls, data: np.ndarray, offsets: np.ndarray) -> Tokens:
+        u, rows = words(data, offsets), len(offsets) - 1
+        first = u.first + np.arange(rows + 1)
+        at = np.arange(len(u.row)) + u.row
+        out = cls(data, np.full(first[-1], _END_HASH), np.zeros(first[-1], np.int64), np.zeros(first[-1], np.int64), np.repeat(np.arange(rows), np.diff(first)), first)
+        out.hashes[at], out.starts[at], out.ends[at] = u.hashes(lower=True), u.starts, u.ends
+        return out
+
+    def before(self, back: int) -> np.ndarray:
+        """Hash of the token so many places earlier in the text."""
+        out = np.full(len(self.hashes), _FIRST_WORD)
+        out[back:] = self.hashes[:-back] if back < len(out) else out[back:]
+        place = np.arange(len(out)) - self.first[self.row]
+        out[place < back] = _FIRST_WORD + U64(back)
+        return out
+
+    def stretches(self) -> tuple[np.ndarray, np.ndarray]:
+        """Each token's stretch (-1 for ends) and each stretch's key: a stretch ends where the last two words' hash says so, or with the text."""
+        is_end = np.zeros(len(self.hashes), bool)
+        is_end[self.first[1:] - 1] = True
+        marks = mix(self.hashes * U64(3) + self.before(1))
+        closing = (marks % U64(STRETCH) == 0) & ~is_end
+        last = np.zeros(len(is_end), bool)
+        last[:-1] = is_end[1:] & ~is_end[:-1]
+        inside = np.flatnonzero(~is_end)
+        stop = (closing | last)[inside]
+        which = np.full(len(is_end), -1, np.int64)
+        which[inside] = np.r_[0, np.cumsum(stop)[:-1]] if len(inside) else 0
+        ends = np.flatnonzero(stop) + 1
+        starts = np.r_[0, ends[:-1]] if len(ends) else ends
+        keys = span_hashes(prefix_sums(self.hashes[inside]), starts, ends)
+        return which, mix(keys ^ U64(0xA0761D6478BD642F))
+
+
+def spelling(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes (A-Z lower-cased) and closes of the words at starts:ends, the word and place of each, and both contexts."""
+    size = ends - starts + 1
+    bounds = np.r_[0, np.cumsum(size)]
+    word = np.repeat(np.arange(len(size)), size)
+    place = np.arange(bounds[-1]) - bounds[word]
+    code = LOWER[data[np.minimum(starts[word] + place, max(0, len(data) - 1))]] if len(data) else np.zeros(0, np.uint8)
+    code[bounds[1:] - 1] = CLOSE
+    earlier = np.zeros((5, len(code)), np.uint32)
+    for back in range(1, 5):
+        earlier[back, back:] = code[:-back].astype(np.uint32) + np.uint32(1) if back < len(code) else 0
+        earlier[back, place < back] = 0
+    two = earlier[1] * np.uint32(0x01000193) + earlier[2] * np.uint32(0x9E3779B1)
+    four = two + earlier[3] * np.uint32(0x85EBCA77) + earlier[4] * np.uint32(0xC2B2AE3D) + np.uint32(1)
+    return code, word, place, np.stack([two, four])
+
+
+def symbols(codes: Codes, tokens: Tokens, lo: int, hi: int, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of tokens lo:hi, both contexts of each, and where each token's symbols begin. contexts: both of every token."""
+    h = tokens.hashes[lo:hi]
+    at = codes.find(h)
+    rare = np.flatnonzero(codes.head[at] != h)
+    escape = len(codes.head)
+    at[rare] = escape
+    size = np.ones(len(h), np.int64)
+    starts, ends = tokens.starts[lo:hi][rare], tokens.ends[lo:hi][rare]
+    size[rare] += ends - starts + 1
+    first = np.r_[0, np.cumsum(size)]
+    if not len(rare):
+        return at, contexts[:, lo:hi], first
+    sym, ctx = np.empty(first[-1], np.int64), np.empty((2, first[-1]), np.uint32)
+    sym[first[:-1]], ctx[:, first[:-1]] = at, contexts[:, lo:hi]
+    code, word, place, inside = spelling(tokens.data, starts, ends)
+    where = first[:-1][rare][word] + 1 + place
+    sym[where], ctx[:, where] = code.astype(np.int64) + escape + 1, inside
+    return sym, ctx, first
+
+
+def word_contexts(tokens: Tokens) -> np.ndarray:
+    """Both hashed contexts of every token: the last word, and the last two."""
+    one, two = tokens.before(1), tokens.before(2)
+    return np.stack([(one >> U64(32)).astype(np.uint32), ((one * U64(0x9E3779B97F4A7C15) + two * U64(0xD6E8FEB86659FD93)) >> U64(32)).astype(np.uint32)])
+
+
+def packed(ones: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """A slot's counts in 16 bits: the stretched chance of a 1 in steps of 1/512 from -8, and the level of evidence."""
+    out = np.full(total.shape, 4096 << 3, np.uint16)
+    full = np.flatnonzero(total)
+    n, one = total.ravel()[full].astype(np.float32), ones.ravel()[full].astype(np.float32)
+    stretch = np.log((one + np.float32(0.3)) / (n - one + np.float32(0.3)))
+    level = (1 + (n > 1) + 2 * (n > 3) + 2 * (n > 15) + ((n > 1) & ((one == 0) | (one == n)))).astype(np.uint16)
+    out.ravel()[full] = (np.clip(np.rint((stretch + 8) * 512), 0, 8191).astype(np.uint16) << np.uint16(3)) | level
+    return out
 
 
 @dataclass
 class Mixer:
-    """Evidence and stretched probability of each slot, gated weights (bit place x predictor x level), and the map's logits."""
+    """Packed slots of both hashed contexts, weights (predictor x gate) and the map's logits (gate x bin)."""
 
-    stretch: np.ndarray
-    level: np.ndarray
+    slots: np.ndarray
     weights: np.ndarray
     refine: np.ndarray
 
-    def log10(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """log10 of each token's probability."""
-        code, token, contexts = _coded(data, offsets)
-        out = np.zeros(len(code), np.float32)
-        for place, node, bit in _bits(code):
-            dot = np.zeros(len(code), np.float32)
-            for k, slot in enumerate(_slots(contexts, node)):
-                dot += self.stretch[slot] * self.weights[place, k][self.level[slot]]
-            out += _log_probability(self._refined(place, dot), bit)
-        return np.bincount(token, weights=out, minlength=len(offsets) - 1) / np.log(10)
+    @classmethod
+    def new(cls) -> Mixer:
+        weights = np.tile(np.array([[0.6], [0.3], [0.3]], np.float32), (1, GATES))
+        return cls(packed(*np.zeros((2, 2, 1 << SLOT_BITS), np.uint8)), weights, np.tile(np.linspace(-8, 8, BINS), GATES).astype(np.float32))
+
+    def mixed(self, codes: Codes, sym: np.ndarray, ctx: np.ndarray) -> tuple:
+        """Of every bit of the symbols: where each symbol's begin, the bit, both slots, gate, the three stretched chances and their mix."""
+        depth, begin = codes.depth[sym], codes.first[sym]
+        bounds = np.zeros(len(sym) + 1, np.int64)
+        np.cumsum(depth, out=bounds[1:])
+        begin -= bounds[:-1]
+        index = np.repeat(begin, depth)
+        index += np.arange(bounds[-1])
+        step = codes.steps[index]
+        bit, node = step & 1, (step >> 1).astype(np.int64)
+        salt = step.view(np.uint32) >> np.uint32(1)
+        salt *= np.uint32(0x9E3779B1)
+        gate = (step >= 2 * codes.spelt_from).astype(np.uint16)
+        stretched, slots = [codes.plain.take(node, mode="clip")], []
+        for k in range(2):
+            slot = np.repeat(ctx[k], depth)
+            slot ^= salt
+            slot *= np.uint32(0x85EBCA6B)
+            slot ^= slot >> np.uint32(15)
+            slot *= np.uint32(0xC2B2AE35)
+            slot >>= np.uint32(32 - SLOT_BITS)
+            slot = slot.astype(np.int64)
+            state = self.slots[k].take(slot, mode="clip")
+            gate *= np.uint16(LEVELS)
+            gate |= state & np.uint16(LEVELS - 1)
+            s = (state >> np.uint16(3)).astype(np.float32)
+            s *= np.float32(1 / 512)
+            s -= np.float32(8)
+            stretched.append(s)
+            slots.append(slot)
+        gate = gate.astype(np.int64)
+        dot = self.weights[0][gate]
+        dot *= stretched[0]
+        for k in (1, 2):
+            part = self.weights[k][gate]
+            part *= stretched[k]
+            dot += part
+        return bounds, bit, slots, gate, stretched, np.clip(dot, -11, 11, out=dot)
+
+    def log(self, codes: Codes, sym: np.ndarray, ctx: np.ndarray) -> np.ndarray:
+        """Natural logarithm of each symbol's chance."""
+        out = np.zeros(len(sym))
+        for a in range(0, len(sym), SYMBOLS):
+            bounds, bit, _, gate, _, dot = self.mixed(codes, sym[a : a + SYMBOLS], ctx[:, a : a + SYMBOLS])
+            place = np.clip(dot, np.float32(-8), np.float32(7.999))
+            place += np.float32(8)
+            place *= np.float32((BINS - 1) / 16)
+            lo = place.astype(np.int32)
+            place -= lo
+            gate *= BINS
+            gate += lo
+            final = self.refine[gate]
+            gate += 1
+            place *= self.refine[gate] - final
+            final += place
+            final += dot
+            final *= np.float32(0.5) - bit.astype(np.float32)
+            log = np.log1p(np.exp(final, out=final), out=final)
+            out[a : a + SYMBOLS] = -np.add.reduceat(log, bounds[:-1])
+        return out
+
+
+class Learner:
+    """What one part of the corpus has taught so far: counts of both contexts' slots, weights, and the map's hits."""
+
+    def __init__(self, codes: Codes):
+        self.codes, self.mixer = codes, Mixer.new()
+        self.counts = np.zeros((2, 1 << SLOT_BITS), np.int64)  # of all bits, times 2**32, and of ones
+        self.slow, self.fast = np.zeros((3, GATES)), np.zeros((3, GATES))
+        self.hit, self.seen = np.zeros(GATES * BINS), np.zeros(GATES * BINS)
+        self.step, self.since, self.read = 0, 0, 0
+
+    def learn(self, sym: np.ndarray, ctx: np.ndarray) -> None:
+        """Reads the symbols in order: each run is predicted by what was read before it, then corrects the weights and enters the counts."""
+        for a in range(0, len(sym), SYMBOLS):
+            bounds, bit, slots, gate, stretched, dot = self.mixer.mixed(self.codes, sym[a : a + SYMBOLS], ctx[:, a : a + SYMBOLS])
+            near = np.rint((np.clip(dot, -8, 8) + np.float32(8)) * np.float32((BINS - 1) / 16)).astype(np.int64) + gate * BINS
+            error = bit.astype(np.float32)
+            seen, hit = np.divmod(np.bincount(near, weights=bit + float(1 << 24), minlength=len(self.seen)), 1 << 24)
+            self.seen += seen
+            self.hit += hit
+            error -= 1 / (1 + np.exp(-dot))
+            slope = np.stack([np.bincount(gate, weights=error * s, minlength=GATES) for s in stretched]) / len(bit)
+            self.step += 1
+            self.slow, self.fast = 0.9 * self.slow + 0.1 * slope, 0.99 * self.fast + 0.01 * slope**2
+            rate = 0.02 / (1 + self.step / 100)
+            self.mixer.weights += (rate * (self.slow / (1 - 0.9**self.step)) / (np.sqrt(self.fast / (1 - 0.99**self.step)) + 1e-9)).astype(np.float32)
+            one = bit.astype(np.int64)
+            one += 1 << 32
+            for k in range(2):
+                np.add.at(self.counts[k], slots[k], one)
+            self.read, self.since = self.read + len(bit), self.since + len(bit)
+            if self.since >= min(REFRESH, max(1 << 18, self.read // 2)):
+                self.mixer.slots, self.since = packed(self.counts & 0xFFFFFFFF, self.counts >> 32), 0
+
+    def read_texts(self, data: np.ndarray, offsets: np.ndarray) -> None:
+        for lo, hi in slices(offsets, TEXT_BYTES):
+            tokens = Tokens.of(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            contexts = word_contexts(tokens)
+            for a in range(0, len(tokens.hashes), WINDOW):
+                sym, ctx, _ = symbols(self.codes, tokens, a, min(a + WINDOW, len(tokens.hashes)), contexts)
+                self.learn(sym, ctx)
+
+
+_LEARNED = "block int, ones binary, total binary"
+
+
+def _learn(batches: Iterable[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
+    """A part's counts in blocks of slots; block -1 has its weights and the map's hits."""
+    learner = Learner(shared.value)
+    for batch in batches:
+        learner.read_texts(*column_bytes(batch.column(0)))
+    if not learner.read:
+        return
+    step, counts = 1 << BLOCK_BITS, learner.counts.ravel()
+    for i in range(0, len(counts), step):
+        if (own := counts[i : i + step]).any():
+            yield _blocks(i // step, (own & 0xFFFFFFFF).astype(np.uint32).tobytes(), (own >> 32).astype(np.uint32).tobytes())
+    yield _blocks(-1, np.r_[learner.mixer.weights.astype(float).ravel(), learner.hit].tobytes(), learner.seen.tobytes())
+
 
-    def _refined(self, place: int, dot: np.ndarray) -> np.ndarray:
-        at = (np.clip(dot, -8, 8) + 8) * ((APM - 1) / 16)
-        lo = np.minimum(at.astype(np.int32), APM - 2)
-        part = (at - lo).astype(np.float32)
-        mapped = self.refine[place][lo] * (1 - part) + self.refine[place][lo + 1] * part
-        return np.clip((dot + mapped) / 2, -14, 14)
+def _blocks(block: int, ones: bytes, total: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([ones], pa.binary()), pa.array([total], pa.binary())], names=["block", "ones", "total"])
 
 
-def _log_probability(logit: np.ndarray, bit: np.ndarray) -> np.ndarray:
-    return -np.logaddexp(np.float32(0), np.where(bit == 1, -logit, logit))
+def _add_blocks(group: pa.Table) -> pa.Table:
+    """Sums one block over all parts and packs it; of block -1, weights come to their mean by the bits seen through each gate."""
+    block = group.column("block")[0].as_py()
+    kind = float if block < 0 else np.uint32
+    ones, total = ([np.frombuffer(x, kind) for x in group.column(c).to_pylist()] for c in ("ones", "total"))
+    if block < 0:
+        own = np.array([t.reshape(GATES, BINS).sum(axis=1) + 1e-9 for t in total])
+        # In the order of their sizes, so that sums do not depend on which part came first.
+        order = sorted(range(len(own)), key=lambda i: (own[i].sum(), ones[i].tobytes()))
+        weights = sum(ones[i][: 3 * GATES].reshape(3, GATES) * own[i] for i in order) / sum(own[i] for i in order)
+        hit, seen = sum(ones[i][3 * GATES :] for i in order), sum(total[i] for i in order)
+        out = np.r_[weights.ravel(), hit, seen].tobytes()
+    else:
+        out = packed(np.sum(ones, axis=0, dtype=np.int64), np.sum(total, axis=0, dtype=np.int64)).tobytes()
+    return pa.table({"block": pa.array([block], pa.int32()), "packed": pa.array([out], pa.binary())})
+
+
+def learned(texts: DataFrame, codes: Codes) -> Mixer:
+    """Mixer learned online over every row of texts (text). Parts grow in number with the input, what each sends is of fixed size."""
+    spark = texts.sparkSession
+    shared = spark.sparkContext.broadcast(codes)
+    parts = max(2 * spark.sparkContext.defaultParallelism, texts.rdd.getNumPartitions() // 8)
+    sums = texts.select("text").coalesce(parts).transform(batched, partial(_learn, shared=shared), _LEARNED).groupBy("block").applyInArrow(_add_blocks, "block int, packed binary")
+    mixer, slots = Mixer.new(), None
+    slots, step = mixer.slots.ravel(), 1 << BLOCK_BITS
+    for r in sums.toLocalIterator():
+        if r["block"] >= 0:
+            slots[r["block"] * step : (r["block"] + 1) * step] = np.frombuffer(r["packed"], np.uint16)
+            continue
+        found = np.frombuffer(r["packed"])
+        weights, hit, seen = found[: 3 * GATES], *found[3 * GATES :].reshape(2, -1)
+        centres = np.tile(np.linspace(-8, 8, BINS), GATES)
+        prior = 20 / (1 + np.exp(-centres))
+        mixer.weights, mixer.refine = weights.reshape(3, GATES).astype(np.float32), np.log((hit + prior) / (seen - hit + 20 - prior)).astype(np.float32)
+    shared.unpersist()
+    return mixer
 
 
-def _count_tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each token's count in each group, summed over at most COUNT_BYTES of text at a time."""
+def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of every token (w = 1) and stretch (w = 0), summed over at most COUNT_BYTES of text at a time."""
     for batch in batches:
         every, bounds = column_bytes(batch.column(0))
-        groups = batch.column(1).to_numpy(zero_copy_only=False)
         for start, stop in slices(bounds, COUNT_BYTES):
-            data, offsets, group = every[bounds[start] : bounds[stop]], bounds[start : stop + 1] - bounds[start], groups[start:stop]
-            found: dict[str, list] = {"h": [], "s": [], "e": [], "g": []}
-            for lo, hi in slices(offsets):
-                u = words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                for k, x in (("h", u.hashes(lower=True)), ("s", u.starts + offsets[lo]), ("e", u.ends + offsets[lo]), ("g", group[u.row + lo].astype(np.int8))):
-                    found[k].append(x)
-            h, s, e, g = (np.concatenate(x) for x in found.values())
-            _, at, n = np.unique(h + (g + 2).astype(U64) * U64(0xC2B2AE3D27D4EB4F), return_index=True, return_counts=True)
-            low = LOWER[data].tobytes()
-            tokens = [low[a:b] for a, b in zip(s[at].tolist(), e[at].tolist(), strict=True)]
-            ends, each = np.unique(group, return_counts=True)
-            columns = [pa.array([*tokens, *[END.encode()] * len(ends)], pa.string()), pa.array(np.r_[g[at], ends].astype(np.int32)), pa.array(np.r_[n, each].astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, names=["token", "g", "c"])
-
-
-def vocabulary(texts: DataFrame, groups: list[str]) -> DataFrame:
-    """(token, c, g0, g1, ...): every token of texts (text, lang), its count, and its count in each group; the end counts once a text."""
-    group = F.lit(-1)
-    for i, name in enumerate(groups):
-        group = F.when(F.col("lang") == name, i).otherwise(group)
-    counted = texts.select("text", group.cast("int").alias("g")).transform(batched, _count_tokens, "token string, g int, c long")
-    own = [F.sum(F.when(F.col("g") == i, F.col("c")).otherwise(0)).alias(f"g{i}") for i in range(len(groups))]
-    return counted.groupBy("token").agg(F.sum("c").alias("c"), *own)
-
-
-def _hash_tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, offsets = column_bytes(batch.column(0))
-        h = span_hashes(prefix_sums(BYTE_VALUES[data]), offsets[:-1], offsets[1:]).view(np.int64)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(h)], names=[*batch.schema.names, "h"])
+            data, offsets = every[bounds[start] : bounds[stop]], bounds[start : stop + 1] - bounds[start]
+            keys: tuple[list, list] = ([], [])
+            for lo, hi in slices(offsets, TEXT_BYTES):
+                tokens = Tokens.of(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                keys[1].append(tokens.hashes)
+                keys[0].append(tokens.stretches()[1])
+            for w in (0, 1):
+                k, c = np.unique(np.concatenate(keys[w]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(np.full(len(k), w, np.int8)), pa.array(c)], names=["k", "w", "c"])
 
 
-def _statistics(batches: Iterable[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
-    """Sums, over a partition's tokens, of the ones and of all bits in every slot, in blocks."""
-    ones, total = np.zeros(_FIRST[-1], np.uint32), np.zeros(_FIRST[-1], np.uint32)
-    for batch in batches:
-        data, offsets = column_bytes(batch.column(0))
-        for lo, hi in slices(offsets):
-            code, _, contexts = _coded(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            for _, node, bit in _bits(code):
-                for k, slot in enumerate(_slots(contexts, node)):
-                    a, b = _FIRST[k], _FIRST[k + 1]
-                    total[a:b] += np.bincount(slot - a, minlength=b - a).astype(np.uint32)
-                    ones[a:b] += np.bincount(slot[bit == 1] - a, minlength=b - a).astype(np.uint32)
-    full = [i for i in range(0, len(total), block) if total[i : i + block].any()]
-    pack = lambda x: [x[i : i + block].tobytes() for i in full]
-    yield pa.RecordBatch.from_arrays([pa.array([i // block for i in full], pa.int32()), pa.array(pack(ones), pa.binary()), pa.array(pack(total), pa.binary())], names=["block", "ones", "total"])
-
-
-def _add_blocks(group: pa.Table) -> pa.Table:
-    sums = [np.sum([np.frombuffer(x, np.uint32).astype(np.int64) for x in group.column(c).to_pylist()], axis=0).tobytes() for c in ("ones", "total")]
-    return pa.table({"block": pa.array([group.column("block")[0].as_py()], pa.int32()), "ones": pa.array(sums[:1], pa.binary()), "total": pa.array(sums[1:], pa.binary())})
-
-
-_FITTED = "bits long, weights binary, hit binary, seen binary"
-
-
-def _fit(batches: Iterable[pa.RecordBatch], shared: Broadcast, batch: int = 1 << 12) -> Iterator[pa.RecordBatch]:
-    """Weights learned online over the bits of a partition's tokens, each without its own share, and the map's ones and bits by place and mix."""
-    ones, total = shared.value
-    weights = np.full((8, len(SLOTS), LEVELS), 1 / len(SLOTS), np.float32)
-    slow, fast = np.zeros(weights.size), np.zeros(weights.size)
-    hit, seen = np.zeros(8 * APM), np.zeros(8 * APM)
-    draw, step, count = np.random.Generator(np.random.PCG64(3)), 0, 0
-    for rows in batches:
-        every, bounds = column_bytes(rows.column(0))
-        for lo, hi in slices(bounds, FIT_BYTES):
-            code, _, contexts = _coded(every[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo])
-            x, at, bits = [], [], []
-            for place, node, bit in _bits(code):
-                slots = _slots(contexts, node)
-                n = [np.maximum(total[s] - 1, 0) for s in slots]
-                x.append(np.stack([_stretched(np.maximum(ones[s] - bit, 0), m) for s, m in zip(slots, n, strict=True)], axis=1))
-                at.append(np.stack([(place * len(SLOTS) + k) * LEVELS + _level(m).astype(np.int16) for k, m in enumerate(n)], axis=1))
-                bits.append(bit.astype(np.float32))
-            x, at, bits = (np.concatenate(a) for a in (x, at, bits))
-            order = draw.permutation(len(bits))
-            for j in range(0, len(order), batch):
-                i, step = order[j : j + batch], step + 1
-                some, where = x[i], at[i]
-                dot = (some * weights.ravel()[where]).sum(axis=1)
-                near = where[:, 0] // (len(SLOTS) * LEVELS) * APM + np.rint((np.clip(dot, -8, 8) + 8) * ((APM - 1) / 16)).astype(np.int64)
-                hit += np.bincount(near, weights=bits[i], minlength=len(hit))
-                seen += np.bincount(near, minlength=len(seen))
-                error = bits[i] - 1 / (1 + np.exp(-np.clip(dot, -14, 14)))
-                slope = np.bincount(where.ravel(), weights=(error[:, None] * some).ravel(), minlength=weights.size) / len(i)
-                slow, fast = 0.9 * slow + 0.1 * slope, 0.999 * fast + 0.001 * slope**2
-                rate = 0.02 / (1 + step // 200)
-                weights += (rate * (slow / (1 - 0.9**step)) / (np.sqrt(fast / (1 - 0.999**step)) + 1e-8)).reshape(weights.shape).astype(np.float32)
-            count += len(bits)
-    if count:
-        yield pa.RecordBatch.from_arrays([pa.array([count]), *(pa.array([a.astype(float).tobytes()], pa.binary()) for a in (weights, hit, seen))], names=["bits", "weights", "hit", "seen"])
-
-
-def fit_mixer(ones: np.ndarray, total: np.ndarray, tokens: DataFrame) -> Mixer:
-    """Mixer of slot sums, fitted on every row of tokens (token, h); weights are the mean of the parts' by their bits."""
-    shared = tokens.sparkSession.sparkContext.broadcast((ones, total))
-    # By hash and in its order, so that a vocabulary gives the same mixer however it was written.
-    parts = tokens.repartition(FIT_PARTS, "h").sortWithinPartitions("h", "token").select("token").transform(batched, partial(_fit, shared=shared), _FITTED).collect()
-    shared.unpersist()
-    parts.sort(key=lambda r: (r["bits"], bytes(r["weights"])))
-    summed = lambda c: np.sum([np.frombuffer(r[c]) for r in parts], axis=0)
-    centres = np.linspace(-8, 8, APM)
-    if not parts:
-        return Mixer(_stretched(ones, total), _level(total), np.full((8, len(SLOTS), LEVELS), 1 / len(SLOTS), np.float32), np.tile(centres, (8, 1)).astype(np.float32))
-    weights = np.sum([r["bits"] * np.frombuffer(r["weights"]) for r in parts], axis=0) / sum(r["bits"] for r in parts)
-    hit, seen = summed("hit").reshape(8, APM), summed("seen").reshape(8, APM)
-    prior = 20 / (1 + np.exp(-centres))
-    refine = np.log((hit + prior) / (seen - hit + 20 - prior)).astype(np.float32)
-    return Mixer(_stretched(ones, total), _level(total), weights.astype(np.float32).reshape(8, len(SLOTS), LEVELS), refine)
+def counted(texts: DataFrame) -> DataFrame:
+    """Written (k, w, c): the count of every token (w = 1) and of every stretch (w = 0) of texts, by its hash."""
+    rows = texts.select("text").transform(batched, _count, "k long, w byte, c long")
+    return table(rows.groupBy("k", "w").agg(F.sum("c").alias("c")), "counts")
 
 
 @dataclass
 class Model:
-    """A mixer, sizes and chances by group (the last of them all texts), the head (hash in order, count, log10 chances), the end's, N and V.
-
-    size: tokens counted; rest: what discounted frequencies leave for the chances of spellings; escape: log10 of the factor
-    that turns a spelling's chance into that of a token that training lacks.
-    """
+    """Codes, mixer, and what counts leave for words behind the escape: rare tokens, discount, the share of spellings; stretches; N and V."""
 
+    codes: Codes
     mixer: Mixer
+    rare: int
     discount: float
-    size: np.ndarray
-    rest: np.ndarray
-    escape: np.ndarray
-    head: np.ndarray
-    head_c: np.ndarray
-    head_p: np.ndarray
-    end_c: int
-    end_p: np.ndarray
+    rest: float
+    stretches: int
     n: int
     v: int
 
-    def log10(self, spelt: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """log10 of tokens' chances (groups x tokens) from their spellings' log10 and their counts in each group."""
-        # Chances add up to 1: discounted frequencies, and the rest spread by spelling (in a group, a fifth of it as in all texts).
-        known = np.maximum(counts - self.discount, 0) / np.maximum(self.size, 1)[:, None]
-        known[:-1] += 0.2 * self.rest[:-1, None] * known[-1]
+    def behind_escape(self, c: np.ndarray, spelt: np.ndarray) -> np.ndarray:
+        """Natural logarithm of the chance, behind the escape, of words of these counts and spelling logarithms."""
         with np.errstate(divide="ignore"):
-            return np.logaddexp(np.log(known), (self.escape[:, None] + spelt) * LN10) / LN10
-
-
-def train(texts: DataFrame, block: int = 4096) -> tuple[Model, DataFrame]:
-    """Model of texts (text, lang), and the written vocabulary (token, c, h). Every text counts; sizes sent to the driver are fixed."""
-    groups = [r["lang"] for r in texts.filter("lang IS NOT NULL").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_GROUPS).collect()]
-    columns = ["c", *(f"g{i}" for i in range(len(groups)))]
-    vocab = table(vocabulary(texts, groups).transform(batched, _hash_tokens, f"token string, {', '.join(f'{c} long' for c in columns)}, h long"), "vocabulary")
-    once = lambda k: F.count(F.when(F.col("c") == k, 1))
-    own = columns[1:]
-    n, v, n1, n2, *found = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), once(1), once(2), *[F.coalesce(F.sum(c), F.lit(0)) for c in own], *[F.count(F.when(F.col(c) > 0, 1)) for c in own]).first()
-    size, distinct = np.array([*found[: len(own)], n], float), np.array([*found[len(own) :], v], float)
-    sums = vocab.select("token").coalesce(12).transform(batched, partial(_statistics, block=block), "block int, ones binary, total binary").groupBy("block").applyInArrow(_add_blocks, "block int, ones binary, total binary")
-    ones, total = np.zeros(_FIRST[-1], np.float32), np.zeros(_FIRST[-1], np.float32)
-    for r in sums.toLocalIterator():
-        ones[r["block"] * block : (r["block"] + 1) * block], total[r["block"] * block : (r["block"] + 1) * block] = np.frombuffer(r["ones"], np.int64), np.frombuffer(r["total"], np.int64)
-    # The head is all tokens from a count on, the least count that leaves at most HEAD of them; a histogram of counts finds it.
-    capped = F.least("c", F.lit(1 << 20)).alias("k")
+            return np.logaddexp(np.log(np.maximum(c - self.discount, 0) / max(1, self.rare)), np.log(self.rest) + spelt)
+
+
+def train(texts: DataFrame) -> tuple[Model, DataFrame]:
+    """Model of texts (text), and the written counts (k, w, c). Every text counts; what reaches the driver is of fixed size."""
+    counts = counted(texts)
+    tokens = counts.filter("w = 1").select("k", "c")
+    once = lambda n: F.count(F.when(F.col("c") == n, 1))
+    n, v, n1, n2 = tokens.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), once(1), once(2)).first()
+    stretches = counts.filter("w = 0").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    # The head is all tokens from a count on, the least count from 2 that leaves at most HEAD of them; a histogram of counts
+    # finds it. Tokens that occur once teach the escape and spellings.
     running, cut = 0, (1 << 20) + 1
-    for r in vocab.groupBy(capped).count().orderBy(F.desc("k")).collect():
-        running += r["count"]
-        if running > HEAD:
+    for r in tokens.groupBy(F.least("c", F.lit(1 << 20)).alias("c")).agg(F.count("*").alias("n")).orderBy(F.desc("c")).collect():
+        running += r["n"]
+        if running > HEAD or r["c"] < 2:
             break
-        cut = r["k"]
-    head = vocab.filter(F.col("c") >= cut).toArrow().combine_chunks()
-    single = lambda t, c: t.column(c).combine_chunks() if isinstance(t.column(c), pa.ChunkedArray) else t.column(c)
-    mixer = fit_mixer(ones, total, vocab.select("token", "h"))
-    h, c, *own = (single(head, x).to_numpy(zero_copy_only=False) for x in ("h", *columns))
+        cut = r["c"]
+    end = int(_END_HASH.view(np.int64))
+    head = tokens.filter((F.col("c") >= cut) & (F.col("k") != end)).toArrow()
+    found = tokens.filter(F.col("k") == end).first()
+    h, c = (np.r_[head.column(x).to_numpy(), extra] for x, extra in (("k", end), ("c", found["c"] if found else 0)))
+    rare, kinds = n - int(c.sum()), v - len(h) + (not found)
     discount = min(0.9, max(0.1, n1 / (n1 + 2 * n2))) if n1 else 0.5
-    rest = np.where(size > 0, discount * distinct / np.maximum(size, 1), 1.0)
-    escape = np.log10(np.r_[rest[:-1] * (0.8 + 0.2 * rest[-1]), rest[-1]])
-    data, offsets = column_bytes(single(head, "token"))
-    parts = [mixer.log10(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in slices(offsets, 1 << 18)]
-    order = np.argsort(h)
-    model = Model(mixer, discount, size, rest, escape, h[order], c[order], np.zeros((len(size), 0), np.float32), 0, escape, n, v)
-    model.head_p = model.log10(np.concatenate(parts) if parts else np.zeros(0), np.stack([*own, c]))[:, order].astype(np.float32)
-    end = vocab.filter(F.col("token") == END).select(*columns[1:], "c").first()
-    model.end_c = end["c"] if end else 0
-    model.end_p = model.log10(mixer.log10(np.frombuffer(END.encode(), np.uint8), np.array([0, 1])), np.array([end or [0] * len(size)], float).T)[:, 0]
-    return model, vocab
+    codes = Codes.of(h.astype(np.int64).view(U64), c.astype(np.int64), rare)
+    return Model(codes, learned(texts, codes), rare, discount, discount * kinds / rare if rare else 1.0, stretches, n, v), counts
 
 
-_SCORED = "rid long, doc_id long, n_bytes long, n_tokens long, sums array<double>, head_base double, head_known long, tail_h array<long>, tail_n array<int>, tail_s array<float>"
-_TAIL = "rid long, sums array<double>"
+_SCORED = (
+    "rid long, doc_id long, n_bytes long, n_tokens long, head_base double, head_known long, end_log double, keys array<long>, logs array<double>, "
+    "rare array<long>, stretch array<int>, place array<int>, before array<int>, escape array<float>, spelt array<float>"
+)
 
 
 def _earlier(row: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """How often each token stood earlier in its row."""
+    """How often each hash stood earlier in its row."""
     order = np.lexsort((h, row))
     r, x = row[order], h[order]
     new = np.r_[True, (r[1:] != r[:-1]) | (x[1:] != x[:-1])] if len(r) else np.zeros(0, bool)
@@ -324,108 +492,118 @@ def _earlier(row: np.ndarray, h: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sums(row: np.ndarray, rows: int, before: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """By row, the sums over words of p (log10 chances, groups x words), then for each of CACHES of log10(before + a * chance)."""
-    again = np.flatnonzero(before)
-    earlier = before[again].astype(p.dtype)
-    out = [np.bincount(row, weights=x, minlength=rows) for x in p]
+def cached(log: np.ndarray, before: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
+    """Logarithms of the chances of words without a cache and with each of CACHES, from the model's, earlier occurrences and earlier tokens."""
+    out, again = [log], np.flatnonzero(before)
     for a in CACHES:
-        for x in p:
-            cached = x + p.dtype.type(np.log10(a))
-            cached[again] = np.log(earlier + np.exp(cached[again] * p.dtype.type(LN10))) / p.dtype.type(LN10)
-            out.append(np.bincount(row, weights=cached, minlength=rows))
-    return np.stack(out, axis=1).astype(float)  # bincount of nothing is of integers
-
-
-def _document_scores(sums: np.ndarray, n: np.ndarray, end_p: np.ndarray) -> np.ndarray:
-    """log10 of each text's probability from _sums over all of its n words.
-
-    The mixture's members are every group without a cache and with each of CACHES, of equal prior
-    weight. Caches are followed for the group that fits a text best; leaving the others' shares
-    out can only lower the probability.
-    """
-    sums = sums.reshape(len(n), 1 + len(CACHES), len(end_p))
-    plain = sums[:, 0].T + end_p[:, None]
-    best = plain.argmax(axis=0)
-    members = list(plain)
-    for k, a in enumerate(CACHES):
-        places = np.r_[0, np.cumsum(np.log10(np.arange(n.max(initial=0)) + a))][n]
-        members.append(sums[np.arange(len(n)), 1 + k, best] - places + np.log10(a / (n + a)) + end_p[best])
-    members = np.stack(members)
-    most = members.max(axis=0)
-    return most + np.log10((10.0 ** (members - most)).sum(axis=0) / (len(end_p) * (1 + len(CACHES))))
-
-
-def _lists(x: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array((np.arange(len(x) + 1) * x.shape[1]).astype(np.int32)), pa.array(x.ravel()))
+        x = log + np.log(a / (place + a))
+        x[again] = np.logaddexp(x[again], np.log(before[again] / (place[again] + a)))
+        out.append(x)
+    return out
 
 
 def _score(batches: Iterable[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
+    """Of each text what is known without a join: by stretch its key and its words' chances; of rare words key, stretch and spelling."""
     model: Model = shared.value
     context = TaskContext.get()
-    rid = (context.partitionId() if context else 0) << 40
-    per = np.log10(max(1, model.n + model.v + 1))
+    rid, per = (context.partitionId() if context else 0) << 40, np.log10(model.n + model.v + 1)
+    codes, escape = model.codes, len(model.codes.head)
     for batch in batches:
         data, offsets = column_bytes(batch.column(1))
-        for lo, hi in slices(offsets, 1 << 21):
-            part, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-            u, rows = words(part, at), hi - lo
-            h = u.hashes(lower=True).view(np.int64)
-            where = np.minimum(np.searchsorted(model.head, h), max(0, len(model.head) - 1))
-            known = model.head[where] == h if len(model.head) else np.zeros(len(h), bool)
-            sums = _sums(u.row[known], rows, _earlier(u.row, h)[known], model.head_p[:, where[known]])
-            rare = np.flatnonzero(~known)
-            _, first, back = np.unique(h[rare], return_index=True, return_inverse=True)
-            pick = rare[first]
-            size = np.r_[0, np.cumsum(u.ends[pick] - u.starts[pick])]
-            gather = np.repeat(u.starts[pick] - size[:-1], np.diff(size)) + np.arange(size[-1])
-            spelt = model.mixer.log10(LOWER[part[gather]], size)[back].astype(np.float32)
-            c = np.where(known, model.head_c[where] if len(model.head) else 0, 0)
-            head_base = np.bincount(u.row[known], weights=np.log10(c[known] + 1) - per, minlength=rows) + np.log10(model.end_c + 1) - per
-            pair_order = np.lexsort((h[rare], u.row[rare]))
-            r, x = u.row[rare][pair_order], h[rare][pair_order]
-            new = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (x[1:] != x[:-1])]) if len(r) else np.zeros(0, np.int64)
-            lists = pa.array(np.searchsorted(r[new], np.arange(rows + 1)).astype(np.int32))
-            n = np.diff(u.first)
+        for lo, hi in slices(offsets, TEXT_BYTES):
+            rows, size = hi - lo, np.diff(offsets[lo : hi + 1])
+            tokens = Tokens.of(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            contexts, (which, keys) = word_contexts(tokens), tokens.stretches()
+            n = len(tokens.hashes)
+            log, spelt, c = np.zeros(n), np.zeros(n), np.full(n, -1, np.int64)
+            for a in range(0, n, WINDOW):
+                b = min(a + WINDOW, n)
+                sym, ctx, first = symbols(codes, tokens, a, b, contexts)
+                each = model.mixer.log(codes, sym, ctx)
+                own = sym[first[:-1]]
+                log[a:b] = each[first[:-1]]
+                total = np.r_[0, np.cumsum(each)]
+                spelt[a:b] = total[first[1:]] - total[first[:-1] + 1]
+                c[a:b] = np.where(own < escape, codes.head_c[np.minimum(own, escape - 1)], -1)
+            rare, end = np.flatnonzero(c < 0), tokens.first[1:] - 1
+            place, before = np.arange(n) - tokens.first[tokens.row], _earlier(tokens.row, tokens.hashes)
+            known = np.where(c >= 0, np.log10(np.maximum(c, 0) + 1) - per, 0)
+            inner, head = np.flatnonzero(which >= 0), np.flatnonzero((which >= 0) & (c >= 0))
+            sums = [np.bincount(which[head], weights=x, minlength=len(keys)).astype(float) for x in cached(log[head], before[head], place[head])]
+            stretch_row = np.zeros(len(keys), np.int64)
+            stretch_row[which[inner]] = tokens.row[inner]
+            first_stretch = np.searchsorted(stretch_row, np.arange(rows + 1))
+            first_rare = np.searchsorted(tokens.row[rare], np.arange(rows + 1))
+            listed = lambda first, x: pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(x))
             columns = {
-                "rid": pa.array(rid + np.arange(rows)), "doc_id": batch.column(0).slice(lo, rows), "n_bytes": pa.array(np.diff(at)), "n_tokens": pa.array(n + 1),
-                "sums": _lists(sums), "head_base": pa.array(head_base),
-                "head_known": pa.array(np.bincount(u.row[known], minlength=rows) + (model.end_c > 0)),
-                "tail_h": pa.ListArray.from_arrays(lists, pa.array(x[new])), "tail_n": pa.ListArray.from_arrays(lists, pa.array(np.diff(np.r_[new, len(r)]).astype(np.int32))),
-                "tail_s": pa.ListArray.from_arrays(lists, pa.array(spelt[pair_order][new])),
+                "rid": pa.array(rid + np.arange(rows)), "doc_id": batch.column(0).slice(lo, rows), "n_bytes": pa.array(size), "n_tokens": pa.array(np.diff(tokens.first)),
+                "head_base": pa.array(np.bincount(tokens.row, weights=known, minlength=rows)), "head_known": pa.array(np.bincount(tokens.row[c > 0], minlength=rows)), "end_log": pa.array(log[end]),
+                "keys": listed(first_stretch, keys.view(np.int64)), "logs": listed(first_stretch * len(sums), np.stack(sums, axis=1).ravel()),
+                "rare": listed(first_rare, tokens.hashes[rare].view(np.int64)), "stretch": listed(first_rare, (which[rare] - first_stretch[tokens.row[rare]]).astype(np.int32)), "place": listed(first_rare, place[rare].astype(np.int32)),
+                "before": listed(first_rare, before[rare].astype(np.int32)), "escape": listed(first_rare, log[rare].astype(np.float32)), "spelt": listed(first_rare, spelt[rare].astype(np.float32)),
             }
             rid += rows
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
-def _tail_sums(batches: Iterable[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
-    """From (rid, k, s, counts in each group, c) of tail tokens: by rid their _sums, their part of base_score and the number known."""
-    model: Model = shared.value
-    per = np.log10(max(1, model.n + model.v + 1))
-    for batch in batches:
-        rid, k, s, *counts = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
-        ids, row = np.unique(rid, return_inverse=True)
-        i = np.repeat(np.arange(len(k)), k)
-        before = np.arange(len(i)) - np.repeat(np.cumsum(k) - k, k)
-        sums = _sums(row[i], len(ids), before, model.log10(s.astype(float), np.stack(counts))[:, i])
-        base = np.bincount(row, weights=k * (np.log10(counts[-1] + 1) - per), minlength=len(ids))
-        known = np.bincount(row, weights=k * (counts[-1] > 0), minlength=len(ids))
-        yield pa.RecordBatch.from_arrays([pa.array(ids), _lists(np.c_[sums, base, known])], names=["rid", "sums"])
+#: The gate before anything of a document is read: chance of a known stretch after an unknown and after a known one, each worth so many stretches.
+GATE_PRIOR, GATE_WORTH = (0.02, 0.9), 2.0
+
+
+def gates(known: np.ndarray, row: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Chance that each stretch is a known one, from those before it in its text: by the last one's kind, as often as that kind went on so."""
+    n = len(known)
+    place = np.arange(n) - first[row]
+    last = np.zeros(n, np.int64)
+    last[1:] = known[:-1]
+    last[place == 0] = 0
+    out = np.zeros(n)
+    for kind in (0, 1):
+        of = last == kind
+        tried, went = np.r_[0, np.cumsum(of)], np.r_[0, np.cumsum(of & known)]
+        a = first[row]
+        p = (went[np.arange(n)] - went[a] + GATE_PRIOR[kind] * GATE_WORTH) / (tried[np.arange(n)] - tried[a] + GATE_WORTH)
+        out[of] = p[of]
+    return out
 
 
 _FINISHED = "doc_id long, n_bytes long, n_tokens long, n_known long, base_score double, score double"
 
 
 def _finish(batches: Iterable[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
+    """Both scores from _score's rows and the counts found for their stretches and rare words."""
     model: Model = shared.value
-    width = len(model.end_p) * (1 + len(CACHES))
+    per = np.log10(model.n + model.v + 1)
     for batch in batches:
-        n = batch.column(2).to_numpy(zero_copy_only=False)
-        head, tail = (batch.column(i).flatten().to_numpy(zero_copy_only=False).reshape(len(n), -1) for i in (5, 6)) if len(n) else (np.zeros((0, width)), np.zeros((0, width + 2)))
-        score = _document_scores(head + tail[:, :width], n - 1, model.end_p)
-        base = batch.column(4).to_numpy(zero_copy_only=False) + tail[:, width]
-        known = batch.column(3).to_numpy(zero_copy_only=False) + tail[:, width + 1].astype(np.int64)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(known), pa.array(base), pa.array(score)], names=["doc_id", "n_bytes", "n_tokens", "n_known", "base_score", "score"])
+        rows = batch.num_rows
+        column = lambda name: batch.column(batch.schema.get_field_index(name))
+        value = lambda name: column(name).to_numpy(zero_copy_only=False)
+        flat = lambda x: x.flatten().to_numpy(zero_copy_only=False)
+        lengths = lambda x: np.r_[0, np.cumsum(np.diff(x.offsets.to_numpy()) if rows else [])].astype(np.int64)
+        first, first_rare = lengths(column("keys")), lengths(column("rare"))
+        row, rare_row = np.repeat(np.arange(rows), np.diff(first)), np.repeat(np.arange(rows), np.diff(first_rare))
+        logs, keys, spelt = flat(column("logs")).astype(float).reshape(-1, 1 + len(CACHES)).T.copy(), flat(column("keys")), flat(column("spelt")).astype(float)
+        counts = (np.zeros(len(keys), np.int64), np.zeros(len(spelt), np.int64))
+        found = column("found").fill_null([]) if column("found").null_count else column("found")
+        found_row = np.repeat(np.arange(rows), np.diff(lengths(found)))
+        if len(found_row):
+            w, at, c = (flat_part.to_numpy(zero_copy_only=False) for flat_part in found.flatten().flatten())
+            for kind, starts in ((0, first), (1, first_rare)):
+                of = w == kind
+                counts[kind][starts[found_row[of]] + at[of]] = c[of]
+        stretch = first[rare_row] + flat(column("stretch"))
+        for k, x in enumerate(cached(flat(column("escape")) + model.behind_escape(counts[1], spelt), flat(column("before")), flat(column("place")))):
+            logs[k] += np.bincount(stretch, weights=x, minlength=len(keys))
+        # A stretch is known by its count in training or from earlier in its own text, half of the chance each.
+        again, earlier = _earlier(row, keys), np.arange(len(keys)) - first[row]
+        gate = gates((counts[0] > 0) | (again > 0), row, first)
+        with np.errstate(divide="ignore"):
+            whole = np.log(gate) + np.log((counts[0] / max(1, model.stretches) + again / np.maximum(1, earlier)) / 2)
+            members = np.stack([np.bincount(row, weights=np.logaddexp(whole, np.log1p(-gate) + x), minlength=rows) for x in logs])
+        score = (np.logaddexp.reduce(members, axis=0) - np.log(len(members)) + value("end_log")) / LN10
+        base = value("head_base") + np.bincount(rare_row, weights=np.log10(counts[1] + 1) - per, minlength=rows)
+        n_known = value("head_known") + np.bincount(rare_row, weights=counts[1] > 0, minlength=rows).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([column("doc_id"), column("n_bytes"), column("n_tokens"), pa.array(n_known), pa.array(base), pa.array(score)], names=["doc_id", "n_bytes", "n_tokens", "n_known", "base_score", "score"])
 
 
 def score(documents: DataFrame, training: DataFrame) -> DataFrame:
@@ -433,23 +611,16 @@ def score(documents: DataFrame, training: DataFrame) -> DataFrame:
 
     Tokens are lower-cased (A-Z) words and one end. base_score is the add-one unigram log10
     probability from the exact counts of training (text); score is the mixer's. A null text is an
-    empty one: its end is its only token. training may have a column lang, whose values name the groups; documents' lang is not read. Repeated rows score alike. With no training rows every
-    count is 0. Frequent tokens' counts travel with the model, of a fixed size; all others are
-    joined, one row for each document and token, and count in both scores just the same.
+    empty one: its end is its only token. Repeated rows score alike. With no training rows every
+    count is 0 and words are spelled. Very long texts and words are read whole, in pieces. Columns
+    other than doc_id and text are not read. Frequent words travel with the model, of a fixed size;
+    all others, and stretches, are joined by their 64-bit hashes, one row for each that a text holds.
     """
-    model, vocab = train(training if "lang" in training.columns else training.withColumn("lang", F.lit(None).cast("string")))
+    model, counts = train(training)
     shared = documents.sparkSession.sparkContext.broadcast(model)
     rows = table(documents.select(F.col("doc_id").cast("long"), "text").transform(batched, partial(_score, shared=shared), _SCORED), "scored")
-    rare = rows.select("rid", F.explode(F.arrays_zip("tail_h", "tail_n", "tail_s")).alias("x")).select("rid", F.col("x.tail_h").alias("h"), F.col("x.tail_n").alias("k"), F.col("x.tail_s").alias("s"))
-    counts = [*(f"g{i}" for i in range(len(model.size) - 1)), "c"]
-    # The text's rows come together before they are summed, so that partial sums are few.
-    found = rare.join(vocab.select("h", *counts), "h", "left").select("rid", "k", "s", *[F.coalesce(x, F.lit(0)).alias(x) for x in counts])
-    sums = found.repartition("rid").sortWithinPartitions("rid").transform(batched, partial(_tail_sums, shared=shared), _TAIL)
-    width = len(model.size) * (1 + len(CACHES)) + 2
-    tail = sums.groupBy("rid").agg(*[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(width)]).select("rid", F.array(*[f"s{i}" for i in range(width)]).alias("tail"))
-    none = F.array(*[F.lit(0.0)] * width)
-    whole = rows.drop("tail_h", "tail_n", "tail_s").join(tail, "rid", "left").select("doc_id", "n_bytes", "n_tokens", "head_known", "head_base", "sums", F.coalesce("tail", none).alias("tail"))
+    asked = lambda column, w: rows.select("rid", F.lit(w).cast("byte").alias("w"), F.posexplode(column).alias("at", "k"))
+    found = asked("keys", 0).union(asked("rare", 1)).join(counts.hint("merge"), ["k", "w"]).groupBy("rid").agg(F.collect_list(F.struct("w", "at", "c")).alias("found"))
     bits = -F.col("score") * float(np.log2(10)) / F.greatest("n_bytes", F.lit(1))
-    return whole.transform(batched, partial(_finish, shared=shared), _FINISHED).select(
-        "doc_id", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score", bits.alias("bits_per_byte"),
-    )
+    out = rows.join(found, "rid", "left").transform(batched, partial(_finish, shared=shared), _FINISHED)
+    return out.select("doc_id", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score", bits.alias("bits_per_byte"))

@@ -258,12 +258,13 @@ def test_lm_without_a_head_joins_every_token(spark, monkeypatch):
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == want[r["doc_id"]][1:4] and r["base_score"] == pytest.approx(want[r["doc_id"]][4])
 
 
-def test_chances_of_tokens_add_up(spark):
-    df = spark.createDataFrame([(0, "a b a c"), (1, "b a")], "doc_id long, text string").withColumn("lang", F.lit("x"))
-    model, _ = lm_scoring.train(df)
-    spelt = 10.0 ** model.mixer.log10(np.frombuffer(b"zq", np.uint8), np.array([0, 1, 2]))
-    known = (10.0 ** model.head_p.astype(float)).sum(axis=1)
-    assert (known < 1.0001).all() and (known + 10.0**model.escape * spelt.sum() < 1.0001).all()
+def test_chances_of_symbols_add_up(spark):
+    model, _ = lm_scoring.train(spark.createDataFrame([(0, "a b a c b a"), (1, "b a")], "doc_id long, text string"))
+    for lo, hi in ((0, len(model.codes.head) + 1), (len(model.codes.head) + 1, len(model.codes.depth))):
+        sym = np.arange(lo, hi)
+        for context in ((0, 0), (12345, 99)):
+            chances = np.exp(model.mixer.log(model.codes, sym, np.tile(np.array(context, np.uint32)[:, None], len(sym))))
+            assert chances.sum() == pytest.approx(1, rel=1e-4)
 
 
 def test_contamination(spark, odd, empty, unique):
