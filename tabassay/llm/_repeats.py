@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tabassay.llm import _text
 from tabassay.llm._shared import batched, discard, table
-from tabassay.llm._text import U64, column_bytes, prefix_sums, slices, span_hashes
+from tabassay.llm._text import U64, column_bytes, mix, prefix_sums, slices, span_hashes
 
 _RUNS = "doc_id long, t long, ah long, rh long, pos int, n int, self boolean"
 _WINDOWS = "ah long, rh long, c long, o int, wh long"
@@ -31,11 +31,12 @@ _PLACE = ", doc_id long, t long, pos int"
 
 @dataclass(frozen=True)
 class Shape:
-    """Units ('words' or 'lines'), units in a window, and units in a gram that can be an anchor."""
+    """Units ('words' or 'lines'), units in a window, units in a gram that can be an anchor, and words from which a line is a window by itself (0: none is)."""
 
     unit: str
     size: int
     gram: int
+    long: int = 0
 
     def units(self, data: np.ndarray, offsets: np.ndarray) -> _text.Units:
         return (_text.words if self.unit == "words" else _text.lines)(data, offsets)
@@ -54,8 +55,17 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs(units: _text.Units, shape: Shape) -> dict[str, np.ndarray]:
-    """Maximal runs of neighbouring windows with one anchor: row, ah, rh (hash of the span), pos, n, self (a window may repeat inside)."""
+    """Maximal runs of neighbouring windows with one anchor: row, ah, rh (hash of the span), pos, n, self (a window may repeat inside).
+
+    A long line is a run by itself, with n = 0.
+    """
     hashes = units.hashes()
+    if shape.long:
+        found, alone = runs(units, Shape(shape.unit, shape.size, shape.gram)), long_lines(units, shape.long)
+        key = mix(hashes[alone] ^ U64(0x5851F42D4C957F2D)).view(np.int64)
+        row = units.row[alone]
+        own = {"row": row, "ah": key, "rh": key, "pos": alone - units.first[row], "n": np.zeros(len(alone), np.int64), "self": np.zeros(len(alone), bool)}
+        return {k: np.concatenate([found[k], own[k]]) for k in found}
     sums, index = prefix_sums(hashes), np.arange(len(hashes))
     end = units.first[units.row + 1]
     grams = np.full(len(hashes), np.iinfo(np.uint64).max, U64)
@@ -77,6 +87,19 @@ def runs(units: _text.Units, shape: Shape) -> dict[str, np.ndarray]:
     return {"row": row, "ah": anchors[heads].view(np.int64), "rh": span_hashes(sums, first, first + n - 1 + shape.size).view(np.int64), "pos": first - units.first[row], "n": n, "self": twice}
 
 
+def long_lines(units: _text.Units, least: int) -> np.ndarray:
+    """Units of at least so many words."""
+    inside = ~_text.WORD_BREAK[units.data]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    sums = np.r_[0, np.cumsum(begins)]
+    # A word that begins before the unit, at a text's edge, counts in it as well.
+    first = units.starts[units.ends > units.starts]
+    entered = np.zeros(len(units.starts), np.int64)
+    entered[units.ends > units.starts] = inside[first] & ~begins[first]
+    return np.flatnonzero(sums[units.ends] - sums[units.starts] + entered >= least)
+
+
 def _emit_runs(batches: Iterable[pa.RecordBatch], shape: Shape) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = column_bytes(batch.column(2))
@@ -115,7 +138,7 @@ def repeated(documents: DataFrame, shape: Shape, keep_first: bool) -> DataFrame:
     """Written rows (doc_id, t, marks) for the documents with repeated windows; marks lists (pos, n, offsets).
 
     documents: doc_id and text; t is xxhash64(text), which tells apart different texts of one id.
-    A mark means the windows at pos + o for o in offsets, or for all o < n if offsets is null.
+    A mark means the windows at pos + o for o in offsets, or for all o < n if offsets is null; n = 0 is the one unit at pos.
     Marked are all windows whose units also stand elsewhere, or with keep_first all but the first
     such window in the order of doc_id, t and position. What is grouped by a hash is written before
     it is joined, so that a passage of very many texts can be split over tasks.
@@ -162,6 +185,10 @@ def covered(n_units: int, marks: list[dict], size: int) -> np.ndarray:
     """Which of a text's units lie in a marked window."""
     edge = np.zeros(n_units + 1, np.int64)
     for m in marks:
+        if not m["n"]:
+            edge[m["pos"]] += 1
+            edge[m["pos"] + 1] -= 1
+            continue
         at = m["pos"] + (np.arange(m["n"]) if m["offsets"] is None else np.array(m["offsets"]))
         np.add.at(edge, at, 1)
         np.add.at(edge, at + size, -1)

@@ -19,10 +19,6 @@ def _url(x: str) -> dict[str, str]:
     return {"host": _low(part(1)), "path": part(2), "query": part(3)}
 
 
-def _canonical(key: str) -> str:
-    return rf"regexp_replace(regexp_replace({key}, '([?&])(?:(?:utm_[a-z]+|gclid|fbclid|ref)=[^&]*(?:&|$))+', '\1', 'g'), '[/?&]+$', '')"
-
-
 def _op1() -> str:
     u = _url("url")
     rules = ", ".join(f"('{h}', '{p}', '{a}')" for h, p, a in URL_RULES)
@@ -38,8 +34,9 @@ def _op1() -> str:
     return rf"""WITH RECURSIVE urls AS (SELECT page_id, url, html, {u['host']} AS host, {u['path']} AS path, CASE WHEN {u['host']} <> '' THEN {u['host']} || {u['path']} || {u['query']} END AS key FROM pages),
 rules(h, p, action) AS (VALUES {rules}),
 links AS (SELECT key, CASE WHEN contains(href, '://') THEN href WHEN starts_with(href, '//') THEN 'x:' || href WHEN starts_with(href, '/') THEN 'x://' || host || href
-  ELSE 'x://' || host || regexp_replace(path, '[^/]*$', '') || href END AS target FROM ({links}) WHERE href <> ''),
-edges AS (SELECT key AS a, {_canonical('key')} AS b FROM urls UNION SELECT key, {_canonical(f"{t['host']} || {t['path']} || {t['query']}")} FROM links WHERE {t['host']} <> ''),
+  WHEN starts_with(href, '?') THEN 'x://' || host || path || href ELSE 'x://' || host || regexp_replace(path, '[^/]*$', '') || href END AS target
+  FROM (SELECT key, host, path, replace(href, '&amp;', '&') AS href FROM ({links})) WHERE href <> '' AND NOT starts_with(href, '#')),
+edges AS (SELECT key AS a, {t['host']} || {t['path']} || {t['query']} AS b FROM links WHERE {t['host']} <> ''),
 sym AS (SELECT a, b FROM edges WHERE a IS NOT NULL AND b IS NOT NULL AND a <> b UNION SELECT b, a FROM edges WHERE a IS NOT NULL AND b IS NOT NULL AND a <> b),
 reach AS (SELECT a AS s, a AS n FROM sym UNION SELECT reach.s, sym.b FROM reach JOIN sym ON reach.n = sym.a),
 nodes AS (SELECT n, {node['host']} AS host, {node['path']} AS path FROM (SELECT DISTINCT a AS n FROM sym)),
@@ -68,11 +65,12 @@ words AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS word
 kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS t FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY 1)
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id"""
 
-_OP8 = """WITH w AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+_OP8 = r"""WITH w AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
 win AS (SELECT doc_id, unnest(range(1, len(ls) - 1)) AS i, unnest(list_transform(range(1, len(ls) - 1), lambda i: array_to_string(ls[i:i + 2], chr(10)))) AS t FROM w WHERE len(ls) >= 3),
 later AS (SELECT doc_id, i FROM win QUALIFY row_number() OVER (PARTITION BY t ORDER BY doc_id, i) > 1),
-gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 3)) AS i FROM later),
 lines AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS line FROM w),
+again AS (SELECT doc_id, i FROM lines WHERE len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 8 QUALIFY row_number() OVER (PARTITION BY line ORDER BY doc_id, i) > 1),
+gone AS (SELECT doc_id, unnest(range(i, i + 3)) AS i FROM later UNION SELECT doc_id, i FROM again),
 kept AS (SELECT doc_id, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS t FROM lines ANTI JOIN gone USING (doc_id, i) GROUP BY 1)
 SELECT w.doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(ls), 0) - coalesce(n, 0) AS BIGINT) AS n_removed, CASE WHEN text IS NOT NULL THEN sha256(coalesce(t, '')) END AS kept_sha256
 FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id"""

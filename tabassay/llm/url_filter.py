@@ -21,7 +21,7 @@ _LINK = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
 _HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
 _REFRESH = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
 _TO = r"(?is)\bcontent\s*=\s*[\"']?[^\"'>;]*;\s*url\s*=\s*[\"']?([^\"'\s>]+)"
-_TRACKING = r"([?&])(?:(?:utm_[a-z]+|gclid|fbclid|ref)=[^&]*(?:&|$))+"
+_TRACKING = r"^(utm_[a-z]+|gclid|fbclid|ref)="
 
 
 def _part(url: Column, group: int) -> Column:
@@ -45,24 +45,29 @@ def key_of(url: Column) -> Column:
 
 def canonical_key(key: Column) -> Column:
     """Key without tracking parameters and without a closing slash: aliases by their form alone."""
-    return F.regexp_replace(F.regexp_replace(key, _TRACKING, "$1"), r"[/?&]+$", "")
+    query = F.array_join(F.filter(F.split(F.regexp_extract(key, r"(?s)\?(.*)$", 1), "&"), lambda x: (x != "") & ~x.rlike(_TRACKING)), "&")
+    path = F.rtrim(F.split_part(key, F.lit("?"), F.lit(1)), F.lit("/"))
+    return F.when(query != "", F.concat(path, F.lit("?"), query)).otherwise(path)
 
 
 def _target(base: Column, href: Column) -> Column:
+    """Key of the url that href names on a page at base; a fragment alone names the page itself."""
     host, path = host_of(base), path_of(base)
+    href = F.replace(href, F.lit("&amp;"), F.lit("&"))
     whole = (
         F.when(href.contains("://"), href)
         .when(href.startswith("//"), F.concat(F.lit("x:"), href))
         .when(href.startswith("/"), F.concat(F.lit("x://"), host, href))
+        .when(href.startswith("?"), F.concat(F.lit("x://"), host, path, href))
         .otherwise(F.concat(F.lit("x://"), host, F.regexp_replace(path, r"[^/]*$", ""), href))
     )
-    return F.when(href != "", canonical_key(key_of(whole)))
+    return F.when((href != "") & ~href.startswith("#"), key_of(whole))
 
 
-def alias_edges(pages: DataFrame) -> DataFrame:
-    """Edges (a, b) between url keys: canonical links and meta refreshes of the html, and tracking variants."""
+def alias_edges(pages: DataFrame, by_form: bool = False) -> DataFrame:
+    """Edges (a, b) between url keys: canonical links and meta refreshes of the html; by_form adds urls that differ in tracking parameters or a closing slash only."""
     url = F.col("url")
-    targets = [canonical_key(key_of(url))]
+    targets = [canonical_key(key_of(url))] if by_form else [F.lit(None).cast("string")]
     if "html" in pages.columns:
         targets += [_target(url, F.regexp_extract(F.regexp_extract("html", tag, 0), place, 1)) for tag, place in ((_LINK, _HREF), (_REFRESH, _TO))]
     edges = pages.select(key_of(url).alias("a"), F.explode(F.array(*targets)).alias("b"))
@@ -104,24 +109,28 @@ def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
         .groupBy("host", "path").agg(F.max(order).alias("best"))
         .select("host", "path", F.col("best.rule").alias("rule"), F.col("best.action").alias("action"))
     )
-    return urls.join(found, ["host", "path"], "left")
+    none = {"rule": F.lit(None).cast("string"), "action": F.lit(None).cast("string")}
+    return urls.filter("host != ''").join(found, ["host", "path"], "left").unionByName(urls.filter("host = ''").withColumns(none))
 
 
-def judge(pages: DataFrame, rules: DataFrame, edges: DataFrame | None = None, default: str = "allow") -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, edges: DataFrame | None = None, default: str = "allow", by_form: bool = False) -> DataFrame:
     """One row for each row of pages: page_id, host, path, rule, verdict, alias_verdict.
 
     pages needs page_id and url (html is used if there); edges (a, b) of url keys come from the
-    pages themselves unless given. A page that a rule fits has that rule's verdict. Every other
+    pages themselves unless given (by_form: urls that differ in form alone are aliases as well). A page that a rule fits has that rule's verdict. Every other
     page takes alias_verdict: allow if a member of its class is allowed by a rule, else block if
-    one is blocked, else null; then default stands. Null urls, urls without :// and empty tables
-    are judged by default; repeated rows are judged alike; further columns are not read.
+    one is blocked, else null; then default stands. Null urls and urls without :// are judged by
+    default, an empty table gives an empty one; repeated rows are judged alike; urls and pages of
+    any length are read whole; further columns are not read.
     """
     urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), key_of(F.col("url")).alias("_key"))
-    classes = components(alias_edges(pages) if edges is None else edges)
+    classes = components(alias_edges(pages, by_form) if edges is None else edges)
     node = F.concat(F.lit("x://"), F.col("node"))
     ruled = match_rules(classes.select("node", "component", host_of(node).alias("host"), path_of(node).alias("path")), rules)
     decided = ruled.groupBy("component").agg(F.max((F.col("action") == "allow")).alias("allow"), F.max((F.col("action") == "block")).alias("block"))
     verdicts = decided.filter("allow OR block").select("component", F.when(F.col("allow"), "allow").otherwise("block").alias("alias_verdict"))
     aliases = classes.join(verdicts, "component").select(F.col("node").alias("_key"), "alias_verdict")
-    found = match_rules(urls, rules).join(aliases, "_key", "left")
+    # Urls without a host have no alias; joined, they would all wait for one task.
+    ruled = match_rules(urls, rules)
+    found = ruled.filter("_key IS NOT NULL").join(aliases, "_key", "left").unionByName(ruled.filter("_key IS NULL").withColumn("alias_verdict", F.lit(None).cast("string")))
     return found.select("page_id", "host", "path", "rule", F.coalesce("action", "alias_verdict", F.lit(default)).alias("verdict"), "alias_verdict")

@@ -75,15 +75,20 @@ def substrings(docs, size: int = 35):
     return sorted(out)
 
 
-def repeated_lines(docs, size: int = 3):
+def repeated_lines(docs, size: int = 3, long: int = 8):
     split = [(i, [] if t is None else t.split("\n")) for i, t in docs]
     first = {}
     for i, lines in sorted(split, key=lambda x: x[0]):
         for j in range(len(lines) - size + 1):
             first.setdefault(tuple(lines[j : j + size]), (i, j))
+    alone = {}
+    for i, lines in sorted(split, key=lambda x: x[0]):
+        for j, line in enumerate(lines):
+            if len(words(line)) >= long:
+                alone.setdefault(line, (i, j))
     out = {}
     for i, lines in split:
-        gone = [False] * len(lines)
+        gone = [alone.get(x, (i, j)) != (i, j) for j, x in enumerate(lines)]
         for j in range(len(lines) - size + 1):
             if first[tuple(lines[j : j + size])] != (i, j):
                 gone[j : j + size] = [True] * size

@@ -79,12 +79,22 @@ def test_aliases_share_decisions(spark):
         (5, "http://free.com/z", link("/p")), (6, "http://free.com/other", None), (7, None, None), (8, "no scheme", None), (9, "http://copy.com/1?utm_a=1&ref=2#f", None), (1, "http://bad.net/x", None), (10, "x://y.net/en/a", link("http://example.net/en/q")),
     ]
     pages = spark.createDataFrame([(a, b, c, "h", "r") for a, b, c in rows], PAGES)
-    got = {r["page_id"]: (r["verdict"], r["rule"]) for r in url_filter.judge(pages, spark.createDataFrame(Q.URL_RULES, "host string, path string, action string")).collect()}
+    got = {r["page_id"]: (r["verdict"], r["rule"]) for r in url_filter.judge(pages, spark.createDataFrame(Q.URL_RULES, "host string, path string, action string"), by_form=True).collect()}
     assert got == {1: ("block", "net/"), 2: ("block", None), 3: ("block", None), 4: ("allow", None), 5: ("allow", None), 6: ("allow", None), 7: ("allow", None), 8: ("allow", None), 9: ("block", None), 10: ("block", "net/")}
     none = spark.createDataFrame([], "host string, path string, action string")
     assert {r["verdict"] for r in url_filter.judge(pages, none).collect()} == {"allow"} and url_filter.judge(pages.limit(0), none).count() == 0
 
 
+def test_long_urls_and_relative_links(spark):
+    many = "http://copy.com/1?" + "&".join(f"utm_a={i}" for i in range(20_000))
+    link = '<link rel="canonical" href="{}">'.format
+    rows = [(1, many, None), (2, "http://bad.net/a/b?x=1&y=2", None), (3, "http://copy.com/1", link("http://bad.net/a/b?x=1&amp;y=2")), (4, "http://q.com/p", link("?z=1")), (5, "http://q.com/p?z=1", link("http://bad.net/a/b?x=1&y=2")), (6, "http://alone.com/p", link("#top")), (7, "http://bad.net/" + "p/" * 500_000, None)]
+    pages, rules = spark.createDataFrame(rows, "page_id long, url string, html string"), spark.createDataFrame(Q.URL_RULES, "host string, path string, action string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(pages, rules).collect()}
+    assert got == {1: "allow", 2: "block", 3: "block", 4: "block", 5: "block", 6: "allow", 7: "block"}
+    assert {r["page_id"]: r["verdict"] for r in url_filter.judge(pages, rules, by_form=True).collect()}[1] == "block"
+
+
 def test_many_rules_take_the_joined_way(spark, monkeypatch):
     urls = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", url_filter.host_of(F.col("url")).alias("host"), url_filter.path_of(F.col("url")).alias("path"))
     rules = spark.createDataFrame(Q.URL_RULES, "host string, path string, action string")
@@ -231,6 +241,23 @@ def test_lines(odd, empty, unique):
     assert line_dedup.dedup(empty).count() == 0
 
 
+def test_long_lines_go_by_themselves(spark):
+    line = "one two three four five six seven eight"
+    rows = [(1, f"a\n{line}\nb"), (2, f"{line}\n{line} nine"), (3, line[:-6]), (4, line[:-6]), (5, f"x y z\n{line}"), (6, f" {line}\n" + line + " nine"), (7, line + "\n" + line)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute.repeated_lines(rows) and got[2] == f"{line} nine" and got[7] == ""
+    kept = {r["doc_id"]: r["text"] for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), long_words=0).collect()}
+    assert kept == dict(rows)
+
+
+def test_marks_of_repeated_rows_are_counted_once(spark):
+    rows = [(1, prose(1, 60))] * 2000 + [(None, prose(1, 60))] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = _repeats.repeated(df, _repeats.Shape("words", 35, 5), keep_first=False).collect()
+    assert len(marks) == 2 and all(len(r["marks"]) <= 26 for r in marks)
+    assert {r["n_removed"] for r in substring_dedup.dedup(df).collect()} == {60}
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_lines_of_repetitive_texts(spark, seed):
     draw = random.Random(seed)
