@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabassay.operators.ranking import quantiles
+
 #: Distinct values of a text column beyond which one-hot columns are refused.
 MAX_LEVELS = 1000
 
@@ -15,9 +17,12 @@ def is_text(df: DataFrame, column: str) -> bool:
 
 
 def levels(df: DataFrame, columns: list[str]) -> dict[str, list[str]]:
-    """Sorted distinct values of each column, in one aggregation."""
+    """Sorted distinct values of each column, in one aggregation; columns of too many are refused before their values are gathered."""
     if not columns:
         return {}
+    about = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
+    if long := [c for c in columns if about[c] > 1.3 * MAX_LEVELS]:
+        raise ValueError(f"too many levels to encode: {long}")
     row = df.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in columns]).first()
     if long := [c for c in columns if len(row[c]) > MAX_LEVELS]:
         raise ValueError(f"too many levels to encode: {long}")
@@ -43,11 +48,8 @@ def quoted(name: str) -> Column:
 
 
 def medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
-    """Exact median of each column, in one aggregation; 0 for a column of nulls."""
-    if not columns:
-        return {}
-    row = df.agg(*[F.percentile(quoted(c), F.lit(0.5)).alias(c) for c in columns]).first()
-    return {c: (0.0 if row[c] is None else float(row[c])) for c in columns}
+    """Exact median of each column; 0 for a column of nulls."""
+    return {c: 0.0 if v is None else float(v) for c, v in quantiles(df, columns, 0.5).items()} if columns else {}
 
 
 def fill(df: DataFrame, values: dict[str, float]) -> DataFrame:
@@ -63,8 +65,3 @@ def moments(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]
 
 def scaled(df: DataFrame, stats: dict[str, tuple[float, float]]) -> DataFrame:
     return df.withColumns({c: (quoted(c) - F.lit(m)) / F.lit(s) for c, (m, s) in stats.items()})
-
-
-def aligned(df: DataFrame, columns: list[str]) -> DataFrame:
-    """columns in order; those that df lacks are 0.0, its others go."""
-    return df.select(*[quoted(c).alias(c) if c in df.columns else F.lit(0.0).alias(c) for c in columns])

@@ -102,10 +102,15 @@ def mutual_information(df: DataFrame, a: list[str], b: list[str]) -> DataFrame:
     joint = df.groupBy(*[quoted(c).alias(f"_a{i}") for i, c in enumerate(a)], *[quoted(c).alias(f"_b{i}") for i, c in enumerate(b)]).agg(F.count("*").alias("n"))
     ka, kb = [f"_a{i}" for i in range(len(a))], [f"_b{i}" for i in range(len(b))]
     # The table of counts is as small as the domains are; the sums over it need no join.
-    both = joint.withColumns({"na": F.sum("n").over(Window.partitionBy(*ka)), "nb": F.sum("n").over(Window.partitionBy(*kb)), "t": F.sum("n").over(Window.partitionBy(F.lit(1)))})
+    whole = F.broadcast(df.agg(F.count("*").alias("t")))
+    both = joint.withColumns({"na": F.sum("n").over(Window.partitionBy(*ka)), "nb": F.sum("n").over(Window.partitionBy(*kb))}).crossJoin(whole)
     return both.agg(F.coalesce(F.sum(F.col("n") / F.col("t") * F.ln(F.col("n") * F.col("t") / (F.col("na") * F.col("nb")))), F.lit(0.0)).alias("mi"))
 
 
+#: Values of a column of a network at most.
+MAX_VALUES = 5000
+
+
 class DPBayesianNetwork:
     """PrivBayes: a noisy greedy network of at most `degree` parents, noisy conditional tables, ancestral sampling.
 
@@ -128,7 +133,11 @@ class DPBayesianNetwork:
         ends = df.agg(*[f(quoted(c)).cast("double").alias(f"{k}{i}") for i, c in enumerate(wide) for k, f in (("lo", F.min), ("hi", F.max))]).first() if wide else {}
         self.ranges = {c: (ends[f"lo{i}"] or 0.0, max(ends[f"hi{i}"] or 0.0, (ends[f"lo{i}"] or 0.0) + 1e-9)) for i, c in enumerate(wide)}
         self.coded = df.select(*[self._code(c).alias(c) for c in self.columns]).cache()
-        n = self.coded.count()
+        # Conditional tables hold every combination of values, so columns of very many values are refused.
+        known = self.coded.agg(F.count("*").alias("_n"), *[F.approx_count_distinct(quoted(c)).alias(c) for c in self.columns]).first()
+        if long := [c for c in self.columns if known[c] > MAX_VALUES]:
+            raise ValueError(f"too many values for a conditional table: {long}")
+        n = known["_n"]
         self.parents = self._network(max(1, n))
         self.tables = [self._table(c, p) for c, p in self.parents]
         return self
@@ -273,6 +282,8 @@ def _cut(df: DataFrame) -> DataFrame:
     context, path = df.sparkSession.sparkContext, df.sparkSession.conf.get("spark.checkpoint.dir", None)
     if path and not context.getCheckpointDir():
         context.setCheckpointDir(path)
+    if not context.getCheckpointDir() and not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return df.checkpoint() if context.getCheckpointDir() else df.cache()
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tabassay.functions.rng import order_key
 from tabassay.operators.encode import quoted
+from tabassay.operators.ranking import quantiles
 
 #: Reference rows that are broadcast at most, and only while rows times features stay below the second bound.
 BROADCAST_ROWS, BROADCAST_CELLS = 20_000, 2_000_000
@@ -111,9 +112,11 @@ def pairwise_sample(train: DataFrame, features: list[str], metric: str = "euclid
 
 def dcr_summary(distances: DataFrame, percentile: float = 5) -> DataFrame:
     """One row over distances (dcr): percentile, mean, median, min, population deviation, close matches below min + deviation."""
-    stats = distances.agg(
-        F.percentile("dcr", F.lit(percentile / 100)).alias("dcr_percentile"), F.avg("dcr").alias("dcr_mean"), F.percentile("dcr", F.lit(0.5)).alias("dcr_median"),
-        F.min("dcr").alias("dcr_min"), F.stddev_pop("dcr").alias("dcr_std"), F.count("dcr").alias("n"),
-    )
-    close = distances.crossJoin(F.broadcast(stats.select("dcr_min", "dcr_std"))).agg(F.count_if(F.col("dcr") < F.col("dcr_min") + F.col("dcr_std")).alias("n_close_matches"))
-    return stats.crossJoin(close).withColumn("pct_close_matches", F.try_divide(F.col("n_close_matches") * F.lit(100.0), F.col("n")))
+    kept = distances.select("dcr").cache()
+    low, middle = (quantiles(kept, ["dcr"], p)["dcr"] for p in (percentile / 100, 0.5))
+    mean, least, spread, n = kept.agg(F.avg("dcr"), F.min("dcr"), F.stddev_pop("dcr"), F.count("dcr")).first()
+    close = kept.filter(F.col("dcr") < F.lit(least) + F.lit(spread)).count() if n else 0
+    kept.unpersist()
+    row = (low, mean, middle, least, spread, n, close, close * 100.0 / n if n else None)
+    names = "dcr_percentile double, dcr_mean double, dcr_median double, dcr_min double, dcr_std double, n long, n_close_matches long, pct_close_matches double"
+    return distances.sparkSession.createDataFrame([row], names)

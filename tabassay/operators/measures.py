@@ -9,9 +9,13 @@ from tabassay.functions.recode import binarize
 from tabassay.operators import encode, learn, linking, metrics, sampling
 
 
+def labelled(real: DataFrame, synthetic: DataFrame, label: str) -> DataFrame:
+    """Real rows (label 0) and synthetic ones (1) by column name; a column that one side lacks is null."""
+    return real.withColumn(label, F.lit(0)).unionByName(synthetic.withColumn(label, F.lit(1)), allowMissingColumns=True)
+
+
 def _union(real: DataFrame, synthetic: DataFrame, label: str) -> DataFrame:
-    marked = real.withColumn(label, F.lit(0)).unionByName(synthetic.withColumn(label, F.lit(1)), allowMissingColumns=True)
-    return marked.withColumn("row_id", F.xxhash64(label, "row_id"))
+    return labelled(real, synthetic, label).withColumn("row_id", F.xxhash64(label, "row_id"))
 
 
 def _columns(*frames: DataFrame) -> list[str]:
@@ -21,7 +25,7 @@ def _columns(*frames: DataFrame) -> list[str]:
 def _prepared(df: DataFrame, columns: list[str], *keep: str) -> tuple[DataFrame, list[str]]:
     """Encoded and median-filled features over the pooled rows, and their names."""
     features = encode.encoded(df, columns)
-    flat = df.select(*keep, *[e.alias(n) for n, e in features.items()]).cache()
+    flat = df.select(*keep, *[e.alias(n) for n, e in features.items()])
     return encode.fill(flat, encode.medians(flat, list(features))), list(features)
 
 
@@ -43,6 +47,7 @@ def propensity_auc(real: DataFrame, synthetic: DataFrame, n_estimators: int = 10
     if importance and kind == "gbt":
         weights = model.fit(folded).featureImportances.toArray()
         found = dict(sorted(zip(names, map(float, weights), strict=True), key=lambda x: -x[1]))
+    folded.unpersist()
     return {"auc": mean, "auc_fidelity": 1 - 2 * abs(mean - 0.5), "fold_aucs": fold_aucs, "feature_importance": found}
 
 
@@ -62,6 +67,7 @@ def propensity_auc_no_cv(real: DataFrame, synthetic: DataFrame, n_estimators: in
     model = learn.classifier("gbt", len(names), trees=n_estimators, depth=max_depth, seed=random_state).fit(rows)
     auc = _auc(learn.scores(model, rows, "label"))
     importance = dict(sorted(zip(names, map(float, model.featureImportances.toArray()), strict=True), key=lambda x: -x[1]))
+    rows.unpersist()
     return {"auc": auc, "auc_fidelity": 1 - 2 * abs(auc - 0.5), "feature_importance": importance}
 
 
@@ -79,6 +85,7 @@ def propensity_auc_holdout(real_train: DataFrame, real_holdout: DataFrame, synth
     held = encode.fill(other.select("label", *[encode.quoted(n) if n in other.columns else F.lit(0.0).alias(n) for n in names]), middle)
     model = learn.classifier("gbt", len(names), trees=n_estimators, depth=max_depth, seed=random_state).fit(learn.vectors(encode.fill(flat, middle), names, "label"))
     auc = _auc(learn.scores(model, learn.vectors(held, names, "label"), "label"))
+    flat.unpersist()
     return {"auc": auc, "auc_fidelity": 1 - 2 * abs(auc - 0.5), "n_train": train.count(), "n_holdout": test.count()}
 
 
@@ -126,7 +133,7 @@ def _membership(train: DataFrame, test: DataFrame) -> tuple[DataFrame, list[str]
     columns = _columns(train)
     known = encode.levels(df, [c for c in columns if encode.is_text(df, c)])
     features = encode.encoded(df, columns, known)
-    flat = df.select("row_id", "label", *[e.alias(n) for n, e in features.items()]).cache()
+    flat = df.select("row_id", "label", *[e.alias(n) for n, e in features.items()])
     middle = encode.medians(flat, list(features))
     return encode.fill(flat, middle), list(features), known, middle
 
@@ -149,6 +156,7 @@ def membership_inference_privacy(train: DataFrame, test: DataFrame, synthetic: D
         pooled = pooled.union(p)
     auc = _auc(pooled)
     hit = _attacked(synthetic, fitted, _columns(train), names, known, middle).agg(metrics.membership_rates(None, "score").alias("rate"), F.avg("score").alias("mean")).first()
+    rows.unpersist()
     valid = auc is not None and auc >= min_attack_auc
     return {
         "attack_success_rate": hit["rate"], "attack_auc": auc, "attack_valid": valid, "mean_membership_confidence": hit["mean"],
@@ -179,6 +187,11 @@ class Utility:
         self.make = lambda: learn.classifier(evaluator, len(self.names), 1, n_estimators, max_depth, (100, 50), seed=random_state)
         self.test = self._ready(test).cache()
         self.real = self.make().fit(self._ready(train))
+        flat.unpersist()
+
+    def close(self) -> None:
+        """Releases the encoded test rows."""
+        self.test.unpersist()
 
     def _flat(self, df: DataFrame) -> DataFrame:
         have = encode.encoded(df, [c for c in self.columns if c in df.columns], self.known, drop_first=False)
@@ -202,11 +215,15 @@ def tstr_utility(train: DataFrame, synthetic: DataFrame, test: DataFrame, target
     """F1 and AUC on real test rows of models trained on real and on synthetic rows, their ratios, and utility_score = min(1, f1_ratio)."""
     if _single_class(synthetic, target):
         raise ValueError("the synthetic target has one class only")
-    predicted = (real or Utility(train, test, target, evaluator, **settings)).predictions(synthetic).cache()
+    used = real or Utility(train, test, target, evaluator, **settings)
+    predicted = used.predictions(synthetic).cache()
     row = predicted.agg(metrics.f1(F.col("pred_real"), F.col("label")).alias("r"), metrics.f1(F.col("pred_synth"), F.col("label")).alias("s")).first()
     aucs = [_auc(predicted.withColumnRenamed(c, "score")) or 0.0 for c in ("score_real", "score_synth")]
     ratio = lambda s, r: s / r if r > 0 else 0.0
     f1_ratio = ratio(row["s"], row["r"])
+    predicted.unpersist()
+    if real is None:
+        used.close()
     return {
         "f1_real": row["r"], "f1_synthetic": row["s"], "f1_ratio": f1_ratio, "auc_real": aucs[0], "auc_synthetic": aucs[1], "auc_ratio": ratio(aucs[1], aucs[0]),
         "utility_score": min(1.0, f1_ratio),
@@ -251,6 +268,8 @@ def compare_fairness_across_methods(train: DataFrame, tables: dict[str, DataFram
         overall = tstr_utility(train, df, test, target, real=whole)
         r = fairness_gap(train, df, test, target, subgroup, min_subgroup_size, overall=overall, without=without)
         rows.append((name, float(r["max_gap"]), float(r["mean_gap"]), r["worst_subgroup"], float(r["overall_utility"]), float(r["fairness_score"])))
+    whole.close()
+    without.close()
     return train.sparkSession.createDataFrame(rows, "method string, max_gap double, mean_gap double, worst_subgroup string, overall_utility double, fairness_score double")
 
 

@@ -8,6 +8,42 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 256
+#: Rows among which a rank is looked up in a single task at most, unless values repeat.
+EDGE_ROWS = 200_000
+
+
+def value_at(df: DataFrame, column: str, rank: int, n: int) -> object:
+    """The value of 0-based rank among the n rows of df whose numeric column is known and no NaN.
+
+    Approximate quantiles around the rank bound ever fewer rows, which are counted, until few are left.
+    """
+    at, before = df.filter(F.col(f"`{column}`").isNotNull()).select(F.col(f"`{column}`").alias("v")), 0
+    while n > EDGE_ROWS:
+        share = (rank + 0.5) / n
+        low, high = at.agg(F.percentile_approx("v", F.array(*[F.lit(min(1.0, max(0.0, share + d))) for d in (-0.002, 0.002)]), F.lit(2000)).alias("q")).first()["q"]
+        below, inside = at.agg(F.count_if(F.col("v") < low), F.count_if(F.col("v").between(low, high))).first()
+        if low == high and below <= rank < below + inside:
+            return low
+        if not below <= rank < below + inside or inside == n:
+            break  # the bounds miss the rank or bound nothing
+        at, rank, n = at.filter(F.col("v").between(low, high)), rank - below, inside
+    return at.orderBy("v").offset(rank).limit(1).first()["v"]
+
+
+def quantiles(df: DataFrame, columns: list[str], share: float) -> dict[str, float | None]:
+    """Exact quantile of each column, linear between ranks. Small tables take one aggregation, large ones bounded lookups."""
+    name = lambda c: F.col(f"`{c}`")
+    sizes = df.agg(*[F.count(name(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    if max(sizes, default=0) <= EDGE_ROWS:
+        row = df.agg(*[F.percentile(name(c), F.lit(share)).alias(f"q{i}") for i, c in enumerate(columns)]).first()
+        return {c: row[f"q{i}"] for i, c in enumerate(columns)}
+    out: dict[str, float | None] = {}
+    for i, c in enumerate(columns):
+        n = sizes[f"n{i}"]
+        at = (n - 1) * share
+        low = float(value_at(df, c, int(at), n)) if n else None
+        out[c] = low if not n or at == int(at) else low + (at - int(at)) * (float(value_at(df, c, int(at) + 1, n)) - low)
+    return out
 
 
 def range_bucket(df: DataFrame, column: str, buckets: int = BUCKETS) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabassay.functions.rng import order_key
-from tabassay.operators.ranking import range_bucket, ranked
+from tabassay.operators.ranking import range_bucket, ranked, value_at
 
 
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
@@ -79,9 +79,9 @@ def stratified_folds(df: DataFrame, label: str, k: int, seed: int = 42, row_id:
 
 
 def halves(df: DataFrame, row_id: str = "row_id") -> tuple[DataFrame, DataFrame]:
-    """Rows before and from floor(n / 2) in row order, cut at an exact rank of the id."""
+    """Rows before and from floor(n / 2) in row order, cut at an exact rank of the numeric id."""
     n = df.count()
     if n < 2:
         return df.limit(0), df
-    cut = df.select(row_id).orderBy(row_id).offset(n // 2).limit(1).first()[0]
+    cut = value_at(df, row_id, n // 2, n)
     return df.filter(F.col(row_id) < cut), df.filter(F.col(row_id) >= cut)

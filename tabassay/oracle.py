@@ -7,7 +7,8 @@ from itertools import combinations
 from tabassay.constants import CORE_METRICS, EFFICIENCY_TABLE, EXPECTED_CORRELATIONS, HEURISTIC, HEURISTIC_INFORMED, METHODS, OBJECTIVES, PROFILES, REFERENCE_POINTS, RUNTIME_MINUTES
 
 PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
-SIMULATIONS = 2000
+#: Draws of the Monte-Carlo ranking and of the sweep over inflation factors, and of the value of information.
+SIMULATIONS, VOI_SIMULATIONS = 10_000, 50_000
 
 
 def _case(column: str, table: dict, default: str = "NULL") -> str:
@@ -136,15 +137,16 @@ def _pick(table: dict[str, str]) -> str:
 
 
 STRATEGIES = f"strategies AS (SELECT profile, avg(value) AS s1_random, {_pick(HEURISTIC)} AS s2_heuristic, {_pick(HEURISTIC_INFORMED)} AS s2_informed, max(value) AS s4_benchmark FROM mv GROUP BY 1)"
-ROUGH = f"""rough AS (SELECT profile, avg(value) AS s3_rough FROM (SELECT profile, sim, arg_max(value, value + 0.15e0 * {_normal("'s3'", "sim", "method", "42")}) AS value
-  FROM mv, range({SIMULATIONS}) t(sim) GROUP BY 1, 2) GROUP BY 1)"""
+def _rough(n: int) -> str:
+    return f"""rough AS (SELECT profile, avg(value) AS s3_rough FROM (SELECT profile, sim, arg_max(value, value + 0.15e0 * {_normal("'s3'", "sim", "method", "42")}) AS value
+  FROM mv, range({n}) t(sim) GROUP BY 1, 2) GROUP BY 1)"""
 
 
-def _oracle(name: str, inflation: float) -> str:
+def _oracle(name: str, inflation: float, n: int) -> str:
     draws = {m: f"(m_{m} + {inflation}e0 * s_{m} * " + _normal("'oracle'", "sim", "method", f"'{m}'", "42") + ")" for m in CORE_METRICS}
     columns = ", ".join(f"{_scaled(draws[m], f'lo_{m}', f'hi_{m}', m in ('privacy_dcr', 'utility_tstr'))} AS {OBJECTIVES[m]}" for m in CORE_METRICS)
     ends = ", ".join(f"min(m_{m}) OVER () AS lo_{m}, max(m_{m}) OVER () AS hi_{m}" for m in CORE_METRICS)
-    return f"""{name}_draws AS (SELECT sim, method, {columns}, {_case("method", EFFICIENCY_TABLE, "0e0")} AS efficiency FROM (SELECT *, {ends} FROM stats), range({SIMULATIONS}) t(sim)),
+    return f"""{name}_draws AS (SELECT sim, method, {columns}, {_case("method", EFFICIENCY_TABLE, "0e0")} AS efficiency FROM (SELECT *, {ends} FROM stats), range({n}) t(sim)),
 {name} AS (SELECT profile, avg(top) AS oracle_raw FROM (SELECT profile, sim, max({_profile_sum()}) AS top FROM {name}_draws, {PROFILE_NAMES} GROUP BY 1, 2) GROUP BY 1)"""
 
 
@@ -156,7 +158,8 @@ def _voi(oracle: str) -> str:
   FROM strategies JOIN rough USING (profile) JOIN {oracle} USING (profile)"""
 
 
-VOI_BASE = (RESULTS, STATS, VALUES_VOI, STRATEGIES, ROUGH)
+VOI_BASE = (RESULTS, STATS, VALUES_VOI, STRATEGIES)
+FACTORS = (1.0, 1.25, 1.5, 1.75, 2.0)
 VOI_COLUMNS = ("s1_random", "s2_heuristic", "s2_informed", "s3_rough", "s4_benchmark", "oracle", "value_of_prioritization", "value_of_information", "total_improvement", "pct_from_prioritization", "pct_from_information")
 
 
@@ -289,14 +292,14 @@ def oracle_sql() -> dict[str, str]:
     pair_stats = "round((mean_1 - mean_2) / sqrt(pooled * (1e0 / n_1 + 1e0 / n_2)), 6) AS t, round(u, 6) AS u, round((mean_1 - mean_2) / sqrt(pooled), 6) AS cohens_d"
     tier_order = f"{_case('a.method', {k: str(v) for k, v in TIER.items()})} < {_case('b.method', {k: str(v) for k, v in TIER.items()})}"
     efficiency = lambda x: _with(RESULTS, select=f"SELECT method, round(avg({x}), 6) AS mean FROM results GROUP BY 1")
-    dcr_near = _near("euclidean", 8)
+    dcr_near = _near("euclidean", 64)
     per_record = lambda metric, n: _with(*_near(metric, n), select="SELECT row_id, round(dcr, 6) AS dcr, closest FROM near")
     some = "picked AS (SELECT t, e FROM train ORDER BY md5(concat_ws(':', t, 'pairs', 42)), t LIMIT 1000)"
     pair_distance = "pd AS (SELECT list_distance(a.e, b.e) AS d FROM picked a JOIN picked b ON a.t < b.t)"
     # The measure scales both sides by the train side's moments first.
-    stats8 = ", ".join(f"avg(e[{i}]) AS m{i}, CASE WHEN stddev_pop(e[{i}]) = 0 THEN 1e0 ELSE stddev_pop(e[{i}]) END AS s{i}" for i in range(1, 65))
-    flat = "[" + ", ".join(f"(e[{i}] - m{i}) / s{i}" for i in range(1, 9)) + "]"
-    scaled = f"mom AS (SELECT {stats8.split(', avg(e[9])')[0]} FROM raw_train), train AS (SELECT t, {flat} AS e FROM raw_train, mom), synth AS (SELECT row_id, {flat} AS e FROM raw_synth, mom)"
+    moments = ", ".join(f"avg(e[{i}]) AS m{i}, CASE WHEN stddev_pop(e[{i}]) = 0 THEN 1e0 ELSE stddev_pop(e[{i}]) END AS s{i}" for i in range(1, 65))
+    flat = "[" + ", ".join(f"(e[{i}] - m{i}) / s{i}" for i in range(1, 65)) + "]"
+    scaled = f"mom AS (SELECT {moments} FROM raw_train), train AS (SELECT t, {flat} AS e FROM raw_train, mom), synth AS (SELECT row_id, {flat} AS e FROM raw_synth, mom)"
     return {
         "method_means": _with(RESULTS, MEANS, select=f"SELECT method, {_r(*CORE_METRICS)} FROM means"),
         "method_means_std": _with(*bars, select=f"SELECT method, metric, {_r('mean', 'std')}, n FROM ms"),
@@ -339,10 +342,10 @@ def oracle_sql() -> dict[str, str]:
         "mc_optimality": _monte_carlo(),
         "voi_method_values": _with(RESULTS, STATS, VALUES_VOI, select="SELECT profile, method, round(value, 6) AS value FROM mv"),
         "voi_strategies": _with(RESULTS, STATS, VALUES_VOI, STRATEGIES, select=f"SELECT profile, {_r('s1_random', 's2_heuristic', 's2_informed', 's4_benchmark')} FROM strategies"),
-        "voi_s3_mc": _with(*VOI_BASE, select="SELECT profile, round(s3_rough, 6) AS s3_rough FROM rough"),
-        "voi_oracle_mc": _with(RESULTS, STATS, _oracle("orc", 1.5), select="SELECT profile, round(oracle_raw, 6) AS oracle_raw FROM orc"),
-        "voi_decomposition": _with(*VOI_BASE, _oracle("orc", 1.5), f"voi AS ({_voi('orc')})", select=f"SELECT archetype, {_r(*VOI_COLUMNS)} FROM voi"),
-        "inflation_sensitivity": _with(*VOI_BASE, _oracle("o1", 1.0), _oracle("o2", 2.0), f"v AS (SELECT 1e0 AS factor, * FROM ({_voi('o1')}) UNION ALL SELECT 2e0, * FROM ({_voi('o2')}))",
+        "voi_s3_mc": _with(*VOI_BASE, _rough(VOI_SIMULATIONS), select="SELECT profile, round(s3_rough, 6) AS s3_rough FROM rough"),
+        "voi_oracle_mc": _with(RESULTS, STATS, _oracle("orc", 1.5, VOI_SIMULATIONS), select="SELECT profile, round(oracle_raw, 6) AS oracle_raw FROM orc"),
+        "voi_decomposition": _with(*VOI_BASE, _rough(VOI_SIMULATIONS), _oracle("orc", 1.5, VOI_SIMULATIONS), f"voi AS ({_voi('orc')})", select=f"SELECT archetype, {_r(*VOI_COLUMNS)} FROM voi"),
+        "inflation_sensitivity": _with(*VOI_BASE, _rough(SIMULATIONS), *[_oracle(f"o{i}", f, SIMULATIONS) for i, f in enumerate(FACTORS)], "v AS (" + " UNION ALL ".join(f"SELECT {f}e0 AS factor, * FROM ({_voi(f'o{i}')})" for i, f in enumerate(FACTORS)) + ")",
           select="""SELECT factor, round(avg(pct_from_prioritization), 6) AS mean_pct_prioritization, round(avg(pct_from_information), 6) AS mean_pct_information, round(avg(oracle), 6) AS mean_oracle,
           round(avg(s4_benchmark), 6) AS mean_s4, round(avg(oracle - s4_benchmark), 6) AS mean_evpi_gap FROM v GROUP BY 1"""),
         "anova_kruskal": _with(RESULTS, LONG, BETWEEN.format(long="long"), KRUSKAL, select=f"""SELECT metric, round((ssb / (k - 1)) / (ssw / (n - k)), 6) AS anova_f, round(h, 6) AS kruskal_h, round(ssb / (ssb + ssw), 6) AS eta_squared,
@@ -374,17 +377,20 @@ def oracle_sql() -> dict[str, str]:
         "marginals_sample": _with(MICRO, _drawn("segment"), _drawn("status"), select="SELECT id AS row_id, segment, status FROM drawn_segment JOIN drawn_status USING (id)"),
         "mutual_information": _with(MICRO, "j AS (SELECT segment, status, count(*) AS n FROM micro GROUP BY 1, 2)", select="""SELECT round(sum(n / CAST(t AS DOUBLE) * ln(n * CAST(t AS DOUBLE) / (na * nb))), 6) AS mi FROM
           (SELECT n, sum(n) OVER () AS t, sum(n) OVER (PARTITION BY segment) AS na, sum(n) OVER (PARTITION BY status) AS nb FROM j)"""),
-        "dcr_nn_per_record": per_record("euclidean", 8),
-        "dcr_nn_64": per_record("euclidean", 64),
-        "dcr_cityblock": per_record("cityblock", 8),
-        "dcr_cosine": per_record("cosine", 8),
+        "dcr_nn_per_record": per_record("euclidean", 64),
+        "dcr_cityblock": per_record("cityblock", 64),
+        "dcr_cosine": per_record("cosine", 64),
         "dcr_summary": _with(*dcr_near, DCR, select=f"""SELECT {_r('dcr_percentile', 'dcr_mean', 'dcr_median', 'dcr_min', 'dcr_std')}, n, (SELECT count(*) FROM near WHERE near.dcr < dcr_min + dcr_std) AS n_close_matches,
           round((SELECT count(*) FROM near WHERE near.dcr < dcr_min + dcr_std) * 100e0 / n, 6) AS pct_close_matches FROM dcr"""),
-        "typical_distance": _with(_vec(8), some, pair_distance, select="SELECT count(*) AS pairs, round(quantile_cont(d, 0.5), 6) AS typical_distance FROM pd"),
-        "dcr_privacy": _with(_vec(8).replace("train AS", "raw_train AS").replace("synth AS", "raw_synth AS"), scaled, dcr_near[1], DCR, some, pair_distance, "ty AS (SELECT quantile_cont(d, 0.5) AS typical_distance FROM pd)",
+        "typical_distance": _with(_vec(64), some, pair_distance, select="SELECT count(*) AS pairs, round(quantile_cont(d, 0.5), 6) AS typical_distance FROM pd"),
+        "dcr_privacy": _with(_vec(64).replace("train AS", "raw_train AS").replace("synth AS", "raw_synth AS"), scaled, dcr_near[1], DCR, some, pair_distance, "ty AS (SELECT quantile_cont(d, 0.5) AS typical_distance FROM pd)",
           select=f"SELECT {_r('dcr_percentile', 'dcr_mean', 'typical_distance')}, round(least(1e0, dcr_percentile / (2e0 * typical_distance)), 6) AS privacy_score FROM dcr, ty"),
-        "dcr_per_record_measure": per_record("euclidean", 8).replace("closest FROM near", "closest AS closest_train_id FROM near"),
-        "union_by_name": _with(MICRO, select="SELECT row_id, segment, age, 0 AS label FROM micro UNION ALL SELECT row_id, segment, NULL, 1 FROM micro WHERE row_id % 3 = 0"),
+        "dcr_compared": _with(_vec(64).replace("train AS", "raw_train AS").replace("synth AS", "raw_synth AS"), scaled.replace("synth AS (SELECT row_id", "both_sides AS (SELECT 'odd' AS method, row_id").replace("FROM raw_synth, mom)", "FROM raw_synth, mom UNION ALL SELECT 'copies', t, e FROM train)"),
+          f"near AS (SELECT s.method, s.row_id, min({_DISTANCES['euclidean']}) AS dcr FROM both_sides s, train t GROUP BY 1, 2)", some, pair_distance, "ty AS (SELECT quantile_cont(d, 0.5) AS typical_distance FROM pd)",
+          "dcr AS (SELECT method, quantile_cont(dcr, 0.05) AS dcr_percentile, avg(dcr) AS dcr_mean, min(dcr) AS dcr_min, count(*) AS n_synthetic FROM near GROUP BY 1)",
+          select=f"SELECT method, {_r('dcr_percentile', 'dcr_mean', 'dcr_min')}, n_synthetic, round(typical_distance, 6) AS typical_distance, round(least(1e0, dcr_percentile / (2e0 * typical_distance)), 6) AS privacy_score FROM dcr, ty"),
+        "dcr_per_record_measure": per_record("euclidean", 64).replace("closest FROM near", "closest AS closest_train_id FROM near"),
+        "union_by_name": _with(MICRO, select="SELECT row_id, segment, age, 0 AS label FROM micro UNION ALL SELECT row_id, segment, NULL, 1 FROM micro"),
         "running_means": _with(RESULTS, select="SELECT method, count(*) AS n, " + ", ".join(f"round(avg({m}), 6) AS {m}" for m in CORE_METRICS) + " FROM results GROUP BY 1"),
         "auc_exact_ranks": _auc(""),
         "auc_by_group": _auc("grp"),

@@ -135,6 +135,7 @@ def run(
             synthetic = io.read_external(spark, path)
         synthetic = sampling.with_row_id(io.restore_types(synthetic, train)).cache()
         if skip_measures:
+            synthetic.unpersist()
             return run_id, None, True
         found = compute_all_measures(train, test, synthetic, config, trees, min_subgroup_size, real, without)
         synthetic.unpersist()
@@ -155,6 +156,11 @@ def run(
                 state["completed"].append(run_id)
                 state["results"].append(row)
             io.save_checkpoint(checkpoint, state)
+    for kept in (real, without):
+        if kept is not None:
+            kept.close()
+    train.unpersist()
+    test.unpersist()
     rows = [{k: v for k, v in x.items() if k != "seconds"} for x in state["results"]]
     frame = spark.createDataFrame(rows, io.RESULT_SCHEMA) if rows else spark.createDataFrame([], io.RESULT_SCHEMA)
     if rows:

@@ -21,9 +21,6 @@ from tabassay.streaming.results import running_means
 Query = Callable[[SparkSession, str], DataFrame]
 #: Order priorities stand for the five methods, in their order.
 PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
-SIMULATIONS = 2000
-
-
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -71,8 +68,8 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def vectors(spark: SparkSession, sf_dir: str, n: int = 8) -> tuple[DataFrame, DataFrame, list[str]]:
-    """(train, synthetic, features): even and odd vectors on their first components."""
+def vectors(spark: SparkSession, sf_dir: str, n: int = 64) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(train, synthetic, features): even and odd vectors on all their components."""
     names = [f"f{i}" for i in range(n)]
     flat = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(names)])
     return flat.filter("row_id % 2 = 0"), flat.filter("row_id % 2 = 1"), names
@@ -91,9 +88,9 @@ def _res(make: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, d: r6(make(results(spark, d)))
 
 
-def _nearest(metric: str, n: int = 8) -> Query:
+def _nearest(metric: str) -> Query:
     def query(spark: SparkSession, d: str) -> DataFrame:
-        train, synthetic, names = vectors(spark, d, n)
+        train, synthetic, names = vectors(spark, d)
         return r6(linking.nearest(synthetic, train, names, metric))
 
     return query
@@ -211,6 +208,11 @@ def _propensity(spark: SparkSession, d: str) -> DataFrame:
     return _row(spark, measures.propensity_auc(train, synthetic), "auc", "auc_fidelity")
 
 
+def _propensity_robust(spark: SparkSession, d: str) -> DataFrame:
+    train, _, synthetic = _tables(spark, d)
+    return _row(spark, measures.propensity_auc_robustness(train, synthetic), "gbt_auc", "lr_auc", "mlp_auc")
+
+
 def _propensity_holdout(spark: SparkSession, d: str) -> DataFrame:
     train, test, synthetic = _tables(spark, d)
     return _row(spark, measures.propensity_auc_holdout(train, test, synthetic), "auc", "auc_fidelity")
@@ -267,7 +269,7 @@ def _dcr_records(spark: SparkSession, d: str) -> DataFrame:
 def _appended(spark: SparkSession, d: str) -> DataFrame:
     """Real and synthetic rows by column name, labelled; a column that one side lacks is null."""
     df = micro(spark, d)
-    return df.select("row_id", "segment", "age").withColumn("label", F.lit(0)).unionByName(df.filter("row_id % 3 = 0").select("segment", "row_id").withColumn("label", F.lit(1)), allowMissingColumns=True)
+    return measures.labelled(df.select("row_id", "segment", "age"), df.select("segment", "row_id"), "label")
 
 
 def _auc(spark: SparkSession, d: str) -> DataFrame:
@@ -353,13 +355,13 @@ QUERIES: dict[str, Query] = {
     "pareto_privacy_fidelity": _res(D.pareto_privacy_fidelity),
     "pareto_fidelity_utility": _res(D.pareto_fidelity_utility),
     "pareto_fidelity_utility_legacy": _res(lambda df: D.pareto_fidelity_utility(df, legacy=True)),
-    "mc_optimality": _res(lambda df: V.monte_carlo_optimality(df, n_simulations=SIMULATIONS)),
+    "mc_optimality": _res(lambda df: V.monte_carlo_optimality(df)),
     "voi_method_values": _res(V.method_values),
     "voi_strategies": _res(lambda df: V.strategies(V.method_values(df))),
-    "voi_s3_mc": _res(lambda df: V.rough_estimates(V.method_values(df), SIMULATIONS)),
-    "voi_oracle_mc": _res(lambda df: V.oracle_values(df, n_simulations=SIMULATIONS)),
-    "voi_decomposition": _res(lambda df: V.value_of_information(df, SIMULATIONS)),
-    "inflation_sensitivity": _res(lambda df: V.inflation_sensitivity(df, (1.0, 2.0), SIMULATIONS)),
+    "voi_s3_mc": _res(lambda df: V.rough_estimates(V.method_values(df))),
+    "voi_oracle_mc": _res(lambda df: V.oracle_values(df)),
+    "voi_decomposition": _res(lambda df: V.value_of_information(df)),
+    "inflation_sensitivity": _res(lambda df: V.inflation_sensitivity(df)),
     "anova_kruskal": _res(lambda df: S.omnibus(df).select("metric", "anova_f", "kruskal_h", "eta_squared", "effect", "n_groups")),
     "omnibus_p_values": _res(lambda df: S.omnibus(df).select("metric", "anova_p", "kruskal_p")),
     "levene_w": _res(lambda df: S.levene(df).select("metric", "statistic")),
@@ -392,7 +394,6 @@ QUERIES: dict[str, Query] = {
     "privbayes_sample": _privbayes,
     "cart_sample": _cart,
     "dcr_nn_per_record": _nearest("euclidean"),
-    "dcr_nn_64": _nearest("euclidean", 64),
     "dcr_cityblock": _nearest("manhattan"),
     "dcr_cosine": _nearest("cosine"),
     "dcr_summary": _dcr_summary,
@@ -422,6 +423,7 @@ QUERIES: dict[str, Query] = {
     "propensity_holdout": _propensity_holdout,
     "propensity_lr": _propensity_linear,
     "propensity_no_cv": _propensity_training,
+    "propensity_robustness": _propensity_robust,
     "tstr_per_subgroup": _subgroup_utility,
     "mi_lr": _membership,
     "mi_per_record": _membership_records,
