@@ -22,9 +22,12 @@ from pyspark.sql import functions as F
 from tabassay.llm._shared import batched
 from tabassay.llm._text import LOWER, column_bytes, slices
 
-#: Bounds of the labelled sample that the automata are built from, for each language.
+#: Bounds of the labelled sample that the automata are built from, for each language: rows, characters of a row that is taken first, bytes.
 SAMPLE_DOCS, SAMPLE_TEXT, SAMPLE_BYTES = 40, 4000, 40_000
-PIECE = 512
+#: Languages at most; each costs a worker about 20 MB.
+MAX_LANGUAGES = 64
+#: Bytes that are parsed in one go, and those that are parsed in step. A phrase also ends where a piece does, in every language alike.
+PIECE, STEP_BYTES = 4096, 4 << 20
 UNDETERMINED = "und"
 
 _FOLDED = LOWER.copy()  # ASCII letters in lower case, every other ASCII byte a space, the rest as it is
@@ -142,6 +145,8 @@ def train(labelled: DataFrame, docs: int = SAMPLE_DOCS, text: int = SAMPLE_TEXT,
     short = F.length("text") <= text
     found = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count_if(short).alias("n")).collect()}
     langs = sorted(found)
+    if len(langs) > MAX_LANGUAGES:
+        raise ValueError(f"{len(langs)} languages are more than {MAX_LANGUAGES}")
     # One pass for all languages: each has its own share of the hashes, a little over what is wanted.
     span, most = 1 << 30, F.lit(0)
     for lang, n in found.items():
@@ -150,7 +155,8 @@ def train(labelled: DataFrame, docs: int = SAMPLE_DOCS, text: int = SAMPLE_TEXT,
     sample = {lang: sorted((r for r in picked if r["lang"] == lang), key=lambda r: (r["h"], r["text"]))[:docs] for lang in langs}
     for lang in [x for x in langs if sum(len(r["text"].encode()) + 1 for r in sample[x]) <= size]:  # short texts do not reach size: long ones fill it
         sample[lang] += rows.filter((F.col("lang") == lang) & ~short).orderBy(F.xxhash64("doc_id", "text"), "text").limit(-(-size // text)).select(F.substring("text", 1, size).alias("text")).collect()
-    return Model(langs, [b"\n".join(r["text"].encode() for r in sample[lang])[:size] for lang in langs])
+    whole = {lang: b"\n".join(r["text"].encode() for r in sample[lang])[:size] for lang in langs}
+    return Model(langs, [whole[lang].decode("utf-8", "ignore").encode() for lang in langs])
 
 
 def _has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -166,7 +172,7 @@ def _predict(batches: Iterable[pa.RecordBatch], model: Model) -> Iterator[pa.Rec
     for batch in batches:
         data, offsets = column_bytes(batch.column(1))
         best, score = np.full(batch.num_rows, len(model.langs)), np.zeros(batch.num_rows)
-        for lo, hi in slices(offsets) if model.langs else ():
+        for lo, hi in slices(offsets, STEP_BYTES) if model.langs else ():
             part, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
             phrases, lengths = model.phrases(part, at)
             entropy = phrases * model.tables()[3] / np.maximum(lengths, 1)[:, None]

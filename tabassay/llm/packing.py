@@ -42,6 +42,9 @@ _PARTS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[" + _LETTER + rb"]+|[" + _NUMBER
 _LOWER_LATIN = bytes(b + 32 if 65 <= b <= 90 or (192 <= b <= 222 and b != 215) else b for b in range(256))
 
 
+_TRIALS = ["Don't STOP\u00a0now: it's 2024, we've 1,234.50 \u00bd!", "  two  spaces\n\nand\ttabs ", "\u00c9cole \u00e9t\u00e9 na\u00efve \u00d7 \u00df\u00aa", "\u65e5\u672c\u8a9e text \U0001f600", "x_y=z; a<b>c {d} [e] #1 @f $9 %", "'tis 'S 'RE ''ll don''t"]
+
+
 class _Known(dict):
     """Remembered ids; others are looked for among those of the batch at hand."""
 
@@ -64,6 +67,8 @@ class _Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known = {"latin-1": _Known(), "utf-8": _Known()}
+        self.by_parts = True
+        self.by_parts = all(a == struct.pack(f"<{len(b)}I", *b) for a, b in zip(self.texts(_TRIALS), (self.tokenizer.encode(t, add_special_tokens=False).ids for t in _TRIALS), strict=True))
 
     def _encode(self, new: list[str]) -> Iterator[bytes]:
         for i in range(0, len(new), 8192):
@@ -80,7 +85,7 @@ class _Encoder:
     def texts(self, texts: list[str]) -> Iterator[bytes]:
         split: list[tuple[str, list[bytes]]] = []
         for t in texts:
-            if "<|" in t:
+            if "<|" in t or not self.by_parts:
                 split.append(("", []))
                 continue
             try:
@@ -123,7 +128,10 @@ def _pieces(batches: Iterable[pa.RecordBatch], path: str, capacity: int, end: by
 
 
 def tokenised(documents: DataFrame, path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
-    """Pieces of each document's ids and a closing end_id, cut every capacity ids; null texts are empty."""
+    """Pieces of each document's ids and a closing end_id, cut every capacity ids; null texts are empty.
+
+    A tokenizer whose pre-tokens are not those of the pattern above is found out on a few texts and reads whole texts itself.
+    """
     run = partial(_pieces, path=path, capacity=capacity, end=np.array([end_id], "<u4").tobytes())
     return documents.select(F.col("doc_id").cast("long"), "text").transform(batched, run, PIECES)
 
@@ -165,32 +173,38 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
 
     Every piece is placed, none is cut; ties are broken by doc_id, piece and the pieces' other
     columns. An empty table gives an empty table. Repeated rows are placed as often as they occur.
+    Columns named sequence_id or offset are replaced, all others pass through.
     """
-    spark = pieces.sparkSession
+    names = {c: c if c in ("doc_id", "piece", "length") else f"_c{i}" for i, c in enumerate(pieces.columns)}
+    spark, pieces = pieces.sparkSession, pieces.toDF(*names.values())
     sizes = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     if sizes and not 0 < min(sizes) <= max(sizes) <= capacity:
         raise ValueError(f"lengths must lie between 1 and {capacity}")
     groups = max(1, -(-max(sizes.values(), default=1) // RANK_GROUP))
     plan = best_fit(sizes, capacity)
-    schema = "length long, lo long, hi long, first long, each long, base long"
+    schema = "length long, _lo long, _hi long, _first long, _each long, _base long"
     others = [c for c in pieces.columns if c not in ("doc_id", "piece", "length")]
     keyed = pieces.withColumn("_g", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).cast("int"))
     at = Window.partitionBy("length").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
-    before = keyed.groupBy("length", "_g").agg(F.count("*").alias("n")).withColumn("_before", F.coalesce(F.sum("n").over(at), F.lit(0))).drop("n")
+    before = keyed.groupBy("length", "_g").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(at), F.lit(0))).drop("_n")
     own = F.row_number().over(Window.partitionBy("length", "_g").orderBy("doc_id", "piece", *others)) - 1
     ranked = keyed.withColumn("_own", own).join(before, ["length", "_g"]).withColumn("_rank", F.col("_own") + F.col("_before"))
     # Intervals of one length are cut at every multiple of `step`, so that a rank finds few of them by an equi-join.
     step = max(1, max(sizes.values(), default=1) // 256)
     intervals = spark.createDataFrame(plan, schema)
-    cut = intervals.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("lo") / step), F.floor((F.col("hi") - 1) / step))))
-    placed = ranked.withColumn("_cell", F.floor(F.col("_rank") / step)).join(cut, ["length", "_cell"]).filter("_rank >= lo AND _rank < hi")
-    nth = F.col("_rank") - F.col("lo")
+    cut = intervals.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_lo") / step), F.floor((F.col("_hi") - 1) / step))))
+    placed = ranked.withColumn("_cell", F.floor(F.col("_rank") / step)).join(cut, ["length", "_cell"]).filter("_rank >= _lo AND _rank < _hi")
+    nth = F.col("_rank") - F.col("_lo")
     return placed.select(
-        *pieces.columns, (F.col("first") + F.floor(nth / F.col("each"))).cast("long").alias("sequence_id"),
-        (F.col("base") + (nth % F.col("each")) * F.col("length")).cast("long").alias("offset"),
+        *[F.col(inner).alias(c) for c, inner in names.items() if c not in ("sequence_id", "offset")], (F.col("_first") + F.floor(nth / F.col("_each"))).cast("long").alias("sequence_id"),
+        (F.col("_base") + (nth % F.col("_each")) * F.col("length")).cast("long").alias("offset"),
     )
 
 
 def pack_documents(documents: DataFrame, path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
-    """tokenised() and pack(): one row for each piece of each document (doc_id, text)."""
+    """tokenised() and pack(): one row for each piece of each document (doc_id, text).
+
+    A null text is an empty one, whose one piece is end_id; very long texts become many pieces;
+    repeated rows are packed as often as they occur; other columns are not read.
+    """
     return pack(table(tokenised(documents, path, capacity, end_id), "pieces"), capacity)

@@ -180,6 +180,25 @@ def test_packing_spreads_equal_lengths(spark, monkeypatch):
     assert len(got) == 500 == len({(r["sequence_id"], r["offset"]) for r in got}) and len({r["sequence_id"] for r in got}) == 250
     with pytest.raises(ValueError):
         packing.pack(pieces.withColumn("length", F.lit(3000)))
+    inner = ["first", "lo", "hi", "each", "base", "n", "_lo", "_rank", "_g", "_cell", "_own", "_before", "offset", "_c0"]
+    odd = packing.pack(pieces.select("*", *[F.lit("x").alias(c) for c in inner]))
+    assert odd.columns == ["doc_id", "piece", "length", *[c for c in inner if c != "offset"], "sequence_id", "offset"]
+    assert all(r["lo"] == r["_rank"] == r["_c0"] == "x" for r in odd.collect())
+
+
+def test_another_tokenizer_reads_whole_texts():
+    import public_tokenizers
+    from pathlib import Path as P
+    from tokenizers import Tokenizer
+
+    texts = ["Don't STOP now: it's 2024!", "École été 日本語", "a  b\n\nc", ""]
+    for path in sorted(P(public_tokenizers.path("word_bpe_49k.json")).parent.glob("*.json")):
+        try:
+            tokenizer = Tokenizer.from_file(str(path))
+        except Exception:  # not every file beside it is one
+            continue
+        got = [np.frombuffer(packing.token_bytes(t, str(path)), "<u4").tolist() for t in texts]
+        assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts], path
 
 
 @pytest.mark.parametrize("seed", range(5))
@@ -316,7 +335,7 @@ def test_top_k(spark):
     rows += [(100, None, 1), (101, [1.0, None, 0.0, 0.0, 0.0, 0.0], 1), (102, [float("nan")] * 6, 1), (103, [float("inf")] * 6, 1), (None, [1.0] * 6, 1), (120, [3.0e9, -2.0e9, 1.0, 0.0, 0.0, 0.5], 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int")
     vectors = topk.quantised(df)
-    got = sorted(map(tuple, topk.top_k(vectors, vectors.filter("vec_id % 20 = 0"), 7, 2, 16).collect()))
+    got = sorted(map(tuple, topk.top_k(vectors, vectors.filter("vec_id % 20 = 0"), 7, 4, 16).collect()))
     clean = [(i, v) for i, v, _ in rows if i is not None]
     want = [(q, r, i, min(max(s, -(2**63)), 2**63 - 1)) for q, r, i, s in brute.top(clean, 7)]
     assert got == want
@@ -324,6 +343,34 @@ def test_top_k(spark):
     assert topk.top_k(vectors.limit(1), vectors.limit(1)).count() == 0
 
 
+def test_top_k_of_repeated_ids(spark):
+    rows = [(0, [2, 1]), (0, [1, 5]), (1, [3, 3]), (1, [3, 3]), (2, [-4, 0]), (3, [1]), (20, [7])]
+    df = spark.createDataFrame([(i, v, 9, 9) for i, v in rows], "vec_id long, v array<long>, b int, dims int")
+    got = sorted(map(tuple, topk.top_k(df, df.filter("vec_id % 20 = 0"), 3, 4, 2).collect()))
+    assert got == [(0, 1, 1, 18), (0, 2, 1, 18), (0, 3, 2, -4), (20, 1, 3, 7)]
+
+
+def test_top_k_stops_early():
+    draw = np.random.default_rng(1)
+    block = draw.integers(-3, 4, (400, 6))
+    block[:30] *= 20
+    places = np.argsort(-block, axis=0, kind="stable")
+    lists, queries = np.take_along_axis(block, places, axis=0).T, draw.integers(-5, 6, (9, 6))
+    scores = queries @ block.T
+    kth = np.sort(scores, axis=1)[:, -5]
+    reads = []
+    for floor in (np.full(9, -np.inf), kth.astype(float)):
+        q, c, s, read = topk.block_top(np.full(9, -1), queries, floor, np.arange(400), lists, places.T, 5)
+        reads.append(read)
+        for i in range(9):
+            want = sorted(((-scores[i, j], j) for j in range(400)))[:5]
+            assert [(-int(b), int(a)) for a, b in zip(c[q == i], s[q == i], strict=True)] == want
+    # A score known from elsewhere leaves most of the lists unread.
+    assert reads[1].sum() < 0.5 * reads[0].sum() and (reads[1] <= reads[0]).all()
+    far, *_ = topk.survivors(queries, lists, places.T, np.zeros((9, 400), bool), np.full(9, 1e9), 5)
+    assert not far.any()
+
+
 def test_covered():
     marks = [{"pos": 1, "n": 2, "offsets": None}, {"pos": 5, "n": 3, "offsets": [2]}]
     assert _repeats.covered(10, marks, 2).tolist() == [False, True, True, True, False, False, False, True, True, False]

@@ -9,6 +9,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 import brute
@@ -51,7 +52,7 @@ def test_quality_stage(spark, stages):
 def test_line_stage(stages):
     want = brute.repeated_lines(list(texts(stages[1]).items()))
     got = texts(stages[2])
-    assert got == {i: t for i, t in want.items() if t == stages_text(stages[1], i) or t.strip(" ")}
+    assert got == {i: t for i, t in want.items() if t == stages_text(stages[1], i) or brute.words(t)}
     assert all(r["n_chars"] == len(r["text"]) for r in stages[2])
 
 
@@ -95,3 +96,20 @@ def test_stages_take_empty_and_odd_tables(spark):
     for name, stage in P.STAGES:
         assert stage(spark, empty, SF).count() == 0, name
         assert stage(spark, odd, SF).count() >= 0, name
+
+
+def test_stages_take_any_column(spark):
+    names = ["score", "n_removed", "n_lines", "t", "marks", "first", "lo", "hi", "each", "base", "n", "x", "_c0", "_t", "_other0", "kept", "component_id", "items", "quality", "w", "_id", "_hash"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 150").select("*", *[F.lit(c).alias(c) for c in names])
+    for name, stage in P.STAGES[:-1]:
+        plain, odd = stage(spark, docs.drop(*names), SF), stage(spark, docs, SF)
+        assert odd.columns == docs.columns, name
+        assert all(r[c] == c for r in odd.collect() for c in names), name
+        assert sorted(map(str, odd.drop(*names).collect())) == sorted(map(str, plain.collect())), name
+    assert P.STAGES[-1][1](spark, docs, SF).count() == P.STAGES[-1][1](spark, docs.drop(*names), SF).count()
+
+
+def test_line_stage_drops_documents_cut_down_to_white_space(spark):
+    line = "one two three four five six seven eight"
+    docs = spark.createDataFrame([(1, line), (2, f"\t\n{line}\n \r"), (3, "\t\n")], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in dict(P.STAGES)["line_dedup"](spark, docs, SF).collect()) == [1, 3]
