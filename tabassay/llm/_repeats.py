@@ -150,7 +150,7 @@ def repeated(documents: DataFrame, shape: Shape, keep_first: bool) -> DataFrame:
 
     spans = hits.groupBy("ah", "rh").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "t", "pos")).alias("f"), F.first("n").alias("n"), F.max("self").alias("s"))
     spans = table(spans, "spans")
-    varied = spans.groupBy("ah").agg(F.count("*").alias("k"), F.max("s").alias("s")).filter("k > 1 OR s").select("ah")
+    varied = table(spans.groupBy("ah").agg(F.count("*").alias("k"), F.max("s").alias("s")).filter("k > 1 OR s").select("ah"), "varied")
     mixed = table(spans.join(varied, "ah", "left_semi"), "mixed")
     asked = mixed.select("f.doc_id", "f.t", F.struct(F.col("f.pos").alias("pos"), "n", "ah", "rh", "c").alias("x")).groupBy("doc_id", "t").agg(F.collect_list("x").alias("wanted"))
     # A repeated row sends its windows again, but its spans count twice or more in any case.
@@ -171,7 +171,7 @@ def repeated(documents: DataFrame, shape: Shape, keep_first: bool) -> DataFrame:
     marked = marks.filter(whole | F.col("offsets").isNotNull()).select("doc_id", "t", F.struct("pos", "n", F.when(~whole, F.col("offsets")).alias("offsets")).alias("x"))
     # Repeated rows of one document have the same marks, which count once.
     out = table(marked.groupBy("doc_id", "t").agg(F.collect_set("x").alias("marks")), "marks")
-    discard(seeds, hits, spans, mixed, windows, totals, state)
+    discard(seeds, hits, spans, varied, mixed, windows, totals, state)
     return out
 
 
