@@ -323,6 +323,12 @@ def test_contamination(spark, odd, empty, unique):
     assert {r["n_hit"] for r in decontamination.contamination(odd, bench.limit(0)).collect()} == {0}
 
 
+def test_an_item_without_id_is_not_the_item_null(spark, odd):
+    bench = spark.createDataFrame([(None, "one"), ("null", "One two"), ("", "one")], "item_id string, text string")
+    got = {r["doc_id"]: r["items"] for r in decontamination.contamination(odd, bench).collect()}
+    assert got[3] == [None, ""] and got[4] == [None, "", "null"] and got[1] == []
+
+
 def test_contamination_by_shuffle_agrees(spark, odd, monkeypatch):
     bench = spark.createDataFrame([(1, prose(1, 60)), (2, "one"), (5, "One two")], "item_id long, text string")
     few = sorted(map(str, decontamination.contamination(odd, bench).collect()))
