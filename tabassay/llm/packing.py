@@ -1,18 +1,18 @@
 """Best-fit packing of tokenised documents into sequences of bounded length.
 
-The whole corpus is tokenised once, in Arrow batches, into narrow piece rows. Range-sorting the
-pieces by length makes equal lengths exchangeable, so what a bulk-synchronous round needs of the
-sorted documents and of the sorted gaps is their run-length form: at most `capacity` lengths on
-one side and runs of equal gaps on the other, whatever the number of documents. In every round the
-longest unplaced length sweeps the gaps from its successor (the smallest gap that takes it)
-upwards, the documents of that length are dealt to the gaps by rank, filled gaps become smaller
-ones, and the next round begins. The rounds yield placements by rank interval; documents find
-theirs by their distributed rank among equal lengths.
+The whole corpus is tokenised once, in Arrow batches, into narrow piece rows. Pieces of one length
+are exchangeable, and so are equal gaps, so a bulk-synchronous round holds both range-sorted in
+run-length form: at most `capacity` lengths and `capacity` gap sizes, whatever the number of
+documents. A round matches every active length at once: along the sorted sizes documents count up
+and gaps count down, and on each level of that count a document's successor is the gap that comes
+next, the smallest one that no longer document has taken. Ranks among equals resolve conflicts, gaps
+that could take more documents of the same length do, the gaps are updated, and the round's table
+is written for the next one. Rounds yield placements by rank interval; documents find theirs by
+their distributed rank among equal lengths.
 """
 
 from __future__ import annotations
 
-import bisect
 import os
 import re
 import struct
@@ -26,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabassay.llm._shared import batched, table
+from tabassay.llm._shared import batched, discard, table
 from tabassay.llm._text import column_bytes, slices
 
 #: Words, and parts of words, whose ids a worker remembers at most; others are encoded whenever they come.
 CACHE_WORDS = 800_000
 #: Rows of one length in one rank group; further rows of that length open further groups.
 RANK_GROUP = 20_000
+#: A round places lengths from the longest one left down to this share of it.
+BAND = 0.5
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -136,36 +138,95 @@ def tokenised(documents: DataFrame, path: str, capacity: int = 2048, end_id: int
     return documents.select(F.col("doc_id").cast("long"), "text").transform(batched, run, PIECES)
 
 
-def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
-    """Placements (length, first rank, last rank + 1, first sequence, documents a sequence, offset) for counts by length.
+def _match(left: DataFrame, gaps: DataFrame) -> DataFrame:
+    """(length, gap, m): how many documents of a length have a gap of that size as successor, from left (length, n) and gaps (gap, number).
 
-    Rounds run from the longest length down. Gaps are runs (gap, first sequence, number) in order;
-    a round touches each run at most once and splits at most one, so there are at most two runs
-    for each length.
+    The count over the sorted sizes is cut into cells at every level where a size begins or ends;
+    within a cell documents and gaps alternate, and a document goes with the gap behind it.
     """
-    gaps: list[tuple[int, int, int]] = []
-    placed, opened = [], 0
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            at = bisect.bisect_left(gaps, (length, -1, -1))
-            if at == len(gaps):
-                each = capacity // length
-                number = left // each if left >= each else 1
-                run = (capacity, opened, number)
-                opened += number
-            else:
-                run = gaps.pop(at)
-            gap, first, number = run
-            each = min(gap // length, left)
-            used = min(number, left // each)
-            placed.append((length, rank, rank + used * each, first, each, capacity - gap))
-            rank, left = rank + used * each, left - used * each
-            if used < number:
-                bisect.insort(gaps, (gap, first + used, number - used))
-            if gap - each * length:
-                bisect.insort(gaps, (gap - each * length, first, used))
-    return placed
+    sizes = left.select(F.col("length").alias("size"), F.lit(0).alias("kind"), "n").union(gaps.groupBy("gap").agg(F.sum("number").alias("n")).select("gap", F.lit(1), "n"))
+    step = F.when(F.col("kind") == 0, F.col("n")).otherwise(-F.col("n"))
+    walk = sizes.withColumn("after", F.sum(step).over(Window.orderBy("size", "kind"))).withColumn("before", F.col("after") - step)
+    ends = walk.select("size", "kind", F.explode(F.array(F.least("before", "after"), F.greatest("before", "after"))).alias("level"))
+    ends = ends.withColumn("cell", F.dense_rank().over(Window.orderBy("level")))
+    widths = ends.groupBy("cell").agg(F.min("level").alias("level")).select("cell", (F.lead("level").over(Window.orderBy("level")) - F.col("level")).alias("m"))
+    spans = ends.groupBy("size", "kind").agg(F.min("cell").alias("lo"), F.max("cell").alias("hi")).filter("lo < hi")
+    cells = spans.select("size", "kind", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("cell"))
+    along = Window.partitionBy("cell").orderBy("size", "kind")
+    pairs = cells.withColumns({"gap": F.lead("size").over(along), "then": F.lead("kind").over(along)}).filter("kind = 0 AND then = 1")
+    return pairs.join(widths, "cell").groupBy(F.col("size").alias("length"), "gap").agg(F.sum("m").alias("m"))
+
+
+def _before(value: str, keys: list[str], order: list) -> F.Column:
+    """Sum of value over the rows before this one."""
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(value).over(w), F.lit(0).cast("long"))
+
+
+ROUND = ["length", "lo", "hi", "each", "base", "gap", "first", "number"]
+
+
+def _round(left: DataFrame, gaps: DataFrame, capacity: int) -> DataFrame:
+    """One round over documents left (length, lo, n) and gaps (gap, first, number), placing lengths within BAND of the longest.
+
+    Rows with `each` are placements: ranks lo to hi of a length go to `number` sequences from
+    `first`, `each` to a sequence, from offset `base`, and leave it `gap`. Rows with a gap alone are
+    gaps that got nothing, rows with a length alone are the documents there were.
+    """
+    matched = _match(left.withColumn("_most", F.max("length").over(Window.partitionBy())).filter(F.col("length") >= F.col("_most") * BAND), gaps)
+    # Gaps of one size are dealt to their lengths by rank; those that no length wants come last.
+    dealt = matched.unionByName(gaps.groupBy("gap").agg(F.sum("number").alias("m")).withColumn("length", F.lit(None).cast("long")))
+    dealt = dealt.withColumn("from", _before("m", ["gap"], [F.col("length").asc_nulls_last()]))
+    dealt = dealt.withColumn("m", F.when(F.col("length").isNull(), F.col("m") - F.col("from")).otherwise(F.col("m")))
+    runs = gaps.withColumn("at", _before("number", ["gap"], ["first"]))
+    a, b = F.greatest("from", "at"), F.least(F.col("from") + F.col("m"), F.col("at") + F.col("number"))
+    met = runs.join(dealt, "gap").filter(a < b).select("gap", "length", (F.col("first") + a - F.col("at")).alias("first"), (b - a).alias("u"))
+    # Lengths with more documents than gaps fill their gaps further, in rank order.
+    want = met.join(left, "length", "left").withColumn("more", F.floor(F.col("gap") / F.col("length")).cast("long") - 1)
+    want = want.withColumns({"spare": F.col("n") - F.sum("u").over(Window.partitionBy("length")), "asked": F.col("u") * F.col("more")}).withColumn("got", _before("asked", ["length"], ["gap", "first"]))
+    want = want.withColumn("extra", F.greatest(F.lit(0).cast("long"), F.least("asked", F.col("spare") - F.col("got"))))
+    want = want.withColumns({"full": F.coalesce(F.expr("extra div nullif(more, 0)"), F.lit(0).cast("long"))}).withColumn("part", F.col("extra") - F.col("full") * F.col("more"))
+    one = F.when(F.col("part") > 0, 1).otherwise(0).cast("long")
+    each = [(F.col("full"), F.col("more") + 1, F.lit(0)), (one, F.col("part") + 1, F.col("full")), (F.col("u") - F.col("full") - one, F.lit(1), F.col("full") + one)]
+    split = F.array(*[F.struct(k.cast("long").alias("number"), e.cast("long").alias("each"), skip.cast("long").alias("skip")) for k, e, skip in each])
+    parts = want.select("length", "gap", F.col("lo").alias("start"), F.col("first").alias("at"), F.inline(split)).filter("number > 0")
+    parts = parts.withColumns({"each": F.when(F.col("length").isNotNull(), F.col("each")), "first": F.col("at") + F.col("skip")}).withColumn("docs", F.col("number") * F.col("each"))
+    parts = parts.withColumn("lo", F.col("start") + _before("docs", ["length"], ["gap", "first"])).withColumns({"hi": F.col("lo") + F.col("docs"), "base": F.lit(capacity) - F.col("gap")})
+    placed = parts.withColumn("gap", F.col("gap") - F.coalesce(F.col("each") * F.col("length"), F.lit(0))).withColumn("base", F.when(F.col("each").isNotNull(), F.col("base")))
+    none = F.lit(None).cast("long")
+    return placed.select(*[F.col(c).cast("long") for c in ROUND]).union(left.select("length", "lo", F.col("lo") + F.col("n"), *[none.alias(c) for c in ROUND[3:]]))
+
+
+def best_fit(counts: DataFrame, capacity: int) -> DataFrame:
+    """Placements (length, lo, hi, first, each, base) for counts (length, n): see _round. Written, and read back.
+
+    Sequences are opened for the lengths that no gap takes: one for each document over half the
+    capacity, and otherwise as many as their ids fill. Only sums and maxima of a round reach the driver.
+    """
+    spark, none = counts.sparkSession, F.lit(None).cast("long")
+    state = table(counts.select("length", F.lit(0).cast("long").alias("lo"), F.col("n").alias("hi"), *[none.alias(c) for c in ROUND[3:]]), "packing-round")
+    rounds, opened = [state], 0
+    was = F.col("each").isNull()
+    while True:
+        every = state.groupBy("length").agg(
+            F.coalesce(F.max(F.when(~was, F.col("hi"))), F.max(F.when(was, F.col("lo")))).alias("lo"), F.max(F.when(was, F.col("hi"))).alias("hi"), F.max("gap").alias("widest")
+        )
+        left = every.filter("lo < hi").select("length", "lo", (F.col("hi") - F.col("lo")).alias("n"))
+        seen = every.withColumn("widest", F.coalesce(F.max("widest").over(Window.partitionBy()), F.lit(0))).filter("lo < hi").withColumn("n", F.when(F.col("length") > F.col("widest"), F.col("hi") - F.col("lo")))
+        shortest, ids, big = seen.agg(F.min("length"), F.sum(F.col("n") * F.col("length")), F.sum(F.when(F.col("length") * 2 > capacity, F.col("n")))).first()
+        if shortest is None:
+            break
+        gaps = state.filter(F.col("gap") >= shortest).select("gap", "first", "number")
+        if ids:
+            new = max(big or 0, -(-ids // capacity))
+            gaps = gaps.union(spark.sql(f"VALUES ({capacity}L, {opened}L, {new}L)"))
+            opened += new
+        state = table(_round(left, gaps, capacity), "packing-round")
+        rounds.append(state)
+    placed = spark.read.schema(state.schema).parquet(*[r._written_at for r in rounds]).filter("each IS NOT NULL")
+    plan = table(placed.select("length", "lo", "hi", "first", "each", "base"), "packing-plan")
+    discard(*rounds)
+    return plan
 
 
 def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
@@ -176,13 +237,14 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     Columns named sequence_id or offset are replaced, all others pass through.
     """
     names = {c: c if c in ("doc_id", "piece", "length") else f"_c{i}" for i, c in enumerate(pieces.columns)}
-    spark, pieces = pieces.sparkSession, pieces.toDF(*names.values())
-    sizes = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    if sizes and not 0 < min(sizes) <= max(sizes) <= capacity:
+    pieces = pieces.toDF(*names.values())
+    counts = table(pieces.groupBy(F.col("length").cast("long").alias("length")).agg(F.count("*").alias("n")), "lengths")
+    shortest, longest, most = counts.agg(F.min("length"), F.max("length"), F.coalesce(F.max("n"), F.lit(1))).first()
+    if longest is not None and not 0 < shortest <= longest <= capacity:
         raise ValueError(f"lengths must lie between 1 and {capacity}")
-    groups = max(1, -(-max(sizes.values(), default=1) // RANK_GROUP))
-    plan = best_fit(sizes, capacity)
-    schema = "length long, _lo long, _hi long, _first long, _each long, _base long"
+    groups = -(-most // RANK_GROUP)
+    plan = best_fit(counts, capacity)
+    intervals = plan.toDF("length", *[f"_{c}" for c in plan.columns[1:]])
     others = [c for c in pieces.columns if c not in ("doc_id", "piece", "length")]
     keyed = pieces.withColumn("_g", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).cast("int"))
     at = Window.partitionBy("length").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
@@ -190,8 +252,7 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     own = F.row_number().over(Window.partitionBy("length", "_g").orderBy("doc_id", "piece", *others)) - 1
     ranked = keyed.withColumn("_own", own).join(before, ["length", "_g"]).withColumn("_rank", F.col("_own") + F.col("_before"))
     # Intervals of one length are cut at every multiple of `step`, so that a rank finds few of them by an equi-join.
-    step = max(1, max(sizes.values(), default=1) // 256)
-    intervals = spark.createDataFrame(plan, schema)
+    step = max(1, most // 256)
     cut = intervals.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_lo") / step), F.floor((F.col("_hi") - 1) / step))))
     placed = ranked.withColumn("_cell", F.floor(F.col("_rank") / step)).join(cut, ["length", "_cell"]).filter("_rank >= _lo AND _rank < _hi")
     nth = F.col("_rank") - F.col("_lo")

@@ -133,3 +133,32 @@ def top(vectors, k: int = 20, every: int = 20):
             scored = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in clean if i != q)[:k]
             out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored)]
     return sorted(out)
+
+
+def sequences(lengths, capacity: int, band: float = 0.5) -> int:
+    """Sequences that rounds of successor matching fill, one document and one gap at a time, on a stack."""
+    left, gaps, opened = Counter(lengths), Counter(), 0
+    while left:
+        longest, widest = max(left), max(gaps, default=0)
+        if longest > widest:
+            over = [k for k, n in left.items() if k > widest for _ in range(n)]
+            new = max(sum(2 * k > capacity for k in over), -(-sum(over) // capacity))
+            gaps[capacity] += new
+            opened += new
+        waiting: list[int] = []
+        met: list[tuple[int, int]] = []
+        for size in range(1, capacity + 1):
+            waiting += [size] * (left[size] if size >= band * longest else 0)
+            for _ in range(gaps[size]):
+                if not waiting:
+                    break
+                met.append((size, waiting.pop()))
+        left.subtract(k for _, k in met)
+        for gap, k in sorted(met):
+            more = min(gap // k - 1, left[k])
+            left[k] -= more
+            gaps[gap] -= 1
+            gaps[gap - k * (1 + more)] += 1
+        left, gaps = +left, +gaps
+        gaps.pop(0, None)
+    return opened

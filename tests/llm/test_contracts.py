@@ -76,6 +76,7 @@ def test_op4(spark, docs):
             at += length
         assert at <= Q.CAPACITY
     assert len(sequences) <= -(-total // Q.CAPACITY) * 1.02 + 1
+    assert len(sequences) == brute.sequences([r.length for r in got], Q.CAPACITY)
 
 
 def test_op5(spark):

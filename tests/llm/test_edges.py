@@ -202,10 +202,10 @@ def test_another_tokenizer_reads_whole_texts():
 
 
 @pytest.mark.parametrize("seed", range(5))
-def test_best_fit_is_near_the_bound(seed):
+def test_best_fit_is_near_the_bound(spark, seed):
     draw = random.Random(seed)
     counts = {draw.randint(1, 100): draw.randint(1, 60) for _ in range(40)}
-    plan = packing.best_fit(counts, 100)
+    plan = packing.best_fit(spark.createDataFrame(list(counts.items()), "length long, n long"), 100).collect()
     bins: dict[int, list] = {}
     for length, lo, hi, first, each, base in plan:
         for r in range(lo, hi):
