@@ -202,13 +202,14 @@ def best_fit(counts: DataFrame, capacity: int) -> DataFrame:
 
     Sequences are opened for the lengths that no gap takes: one for each document over half the
     capacity, and otherwise as many as their ids fill. Only sums and maxima of a round reach the driver.
+    A round's tables are bounded by the capacity alone and stay in one partition.
     """
     spark, none = counts.sparkSession, F.lit(None).cast("long")
-    state = table(counts.select("length", F.lit(0).cast("long").alias("lo"), F.col("n").alias("hi"), *[none.alias(c) for c in ROUND[3:]]), "packing-round")
+    state = table(counts.coalesce(1).select("length", F.lit(0).cast("long").alias("lo"), F.col("n").alias("hi"), *[none.alias(c) for c in ROUND[3:]]), "packing-round")
     rounds, opened = [state], 0
     was = F.col("each").isNull()
     while True:
-        every = state.groupBy("length").agg(
+        every = state.coalesce(1).groupBy("length").agg(
             F.coalesce(F.max(F.when(~was, F.col("hi"))), F.max(F.when(was, F.col("lo")))).alias("lo"), F.max(F.when(was, F.col("hi"))).alias("hi"), F.max("gap").alias("widest")
         )
         left = every.filter("lo < hi").select("length", "lo", (F.col("hi") - F.col("lo")).alias("n"))
@@ -216,10 +217,10 @@ def best_fit(counts: DataFrame, capacity: int) -> DataFrame:
         shortest, ids, big = seen.agg(F.min("length"), F.sum(F.col("n") * F.col("length")), F.sum(F.when(F.col("length") * 2 > capacity, F.col("n")))).first()
         if shortest is None:
             break
-        gaps = state.filter(F.col("gap") >= shortest).select("gap", "first", "number")
+        gaps = state.coalesce(1).filter(F.col("gap") >= shortest).select("gap", "first", "number")
         if ids:
             new = max(big or 0, -(-ids // capacity))
-            gaps = gaps.union(spark.sql(f"VALUES ({capacity}L, {opened}L, {new}L)"))
+            gaps = gaps.union(spark.sql(f"VALUES ({capacity}L, {opened}L, {new}L)")).coalesce(1)
             opened += new
         state = table(_round(left, gaps, capacity), "packing-round")
         rounds.append(state)
