@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabassay.llm import decontamination, language_id, line_dedup, lm_scoring, near_dedup, packing, quality, substring_dedup, topk, url_filter
+from tabassay.llm import change_applier, decontamination, language_id, line_dedup, lm_scoring, near_dedup, packing, quality, substring_dedup, topk, url_filter
 from tabassay.llm._shared import fold, read
 
 CAPACITY = 2048
@@ -70,6 +70,25 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
 
 
+def client_changes(changes: DataFrame) -> DataFrame:
+    """Distinct rows of client_changes, numbered and cut into ten batches of a delayed day.
+
+    The number is the rank over all rows; rows without valid_at, and those whose hash is divisible by 11, vanish after that.
+    """
+    rows = change_applier.ranked(changes.distinct())
+    h = F.coalesce(F.crc32(F.col("change_id").cast("string")), F.lit(0))
+    rows = rows.filter(F.col("valid_at").isNotNull() & (h % 11 != 0))
+    day = F.unix_date(F.to_date("valid_at")) + 5 * (h % 4)
+    batch = F.least(F.lit(10), 1 + F.floor((F.col("day") - 19723) * 10 / F.lit(160)))
+    cents = F.floor(100 * F.col("balance") + 0.5)
+    return rows.withColumn("day", day).select("client_id", "n", "change_id", "day", "op", "city", cents.alias("cents"), batch.alias("batch"))
+
+
+def op13_sequenced_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = change_applier.apply(client_changes(read(spark, sf_dir, "client_changes")), batches=10)
+    return done.select("change_id", "client_id", "status", "batch", "missed", "city", "cents", "current")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -77,5 +96,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = [op1_url_filters, op2_language_id, op3_near_dedup, op4_best_fit_packing, op5_quality_classifier, op6_substring_dedup, op7_lm_scoring, op8_line_dedup, op9_benchmark_decontamination, op10_exact_top_k]
+    ops = [op1_url_filters, op2_language_id, op3_near_dedup, op4_best_fit_packing, op5_quality_classifier, op6_substring_dedup, op7_lm_scoring, op8_line_dedup, op9_benchmark_decontamination, op10_exact_top_k, op13_sequenced_changes]
     return {f.__name__: f for f in ops} | {"pipeline": pipeline}
