@@ -32,6 +32,9 @@ _OUT = "change_id long, client string, n long, op string, status string, batch i
 _COLUMNS = ["client", "n", "change_id", "day", "op", "city", "cents"]
 _CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # Each start is one micro-batch: a store that is closed with its task leaves nothing on the executor.
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+    "spark.sql.streaming.minBatchesToRetain": "2",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
 }
