@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabassay.llm import change_applier, collocations, decontamination, language_id, line_dedup, lm_scoring, near_dedup, packing, quality, substring_dedup, topk, url_filter
+from tabassay.llm import change_applier, collocations, decontamination, language_id, line_dedup, lm_scoring, near_dedup, packing, quality, substring_dedup, suffix_repeats, topk, url_filter
 from tabassay.llm._shared import fold, read
 
 CAPACITY = 2048
@@ -70,6 +70,10 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
 
 
+def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_repeats.dedup(read(spark, sf_dir, "documents"), size=400, digest=True)
+
+
 def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(read(spark, sf_dir, "documents"), least=30, max_words=4, percent=80, top=2000)
 
@@ -100,5 +104,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = [op1_url_filters, op2_language_id, op3_near_dedup, op4_best_fit_packing, op5_quality_classifier, op6_substring_dedup, op7_lm_scoring, op8_line_dedup, op9_benchmark_decontamination, op10_exact_top_k, op12_phrase_collocations, op13_sequenced_changes]
+    ops = [op1_url_filters, op2_language_id, op3_near_dedup, op4_best_fit_packing, op5_quality_classifier, op6_substring_dedup, op7_lm_scoring, op8_line_dedup, op9_benchmark_decontamination, op10_exact_top_k, op11_suffix_array_dedup, op12_phrase_collocations, op13_sequenced_changes]
     return {f.__name__: f for f in ops} | {"pipeline": pipeline}
