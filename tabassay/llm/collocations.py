@@ -4,7 +4,7 @@ Texts are packed into shards of one language. A shard's words become ids, its su
 by prefix doubling over those ids, and the intervals of the common-prefix array are its phrases with
 their counts, which are added up by phrase over all shards. Phrases grow by rounds (one word, two,
 all others): a longer phrase is looked for only where its parts are frequent, which each shard
-learns as a list of its own places, so nothing is broadcast.
+learns from the frequent parts themselves while they are few bytes, else as a list of its own places.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +24,8 @@ from tabassay.llm._text import LOWER, column_bytes, slices
 
 #: Bytes of a shard, unless one piece is longer.
 SHARD_BYTES = 1 << 21
+#: Bytes of frequent parts that are sent to every task; more are joined with the shards' own phrases.
+SENT_BYTES = 1 << 25
 #: Bytes of an Arrow batch of shards.
 BATCH_BYTES = 1 << 23
 
@@ -125,10 +129,10 @@ def _phrases(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Arra
     return pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(words[at])).cast(pa.string())
 
 
-def count_shard(words: np.ndarray, known: np.ndarray | None, part: int, least: int, most: int) -> Iterator[tuple[int, pa.Array, np.ndarray, np.ndarray]]:
+def count_shard(words: np.ndarray, known: np.ndarray | pa.Array | None, part: int, least: int, most: int) -> Iterator[tuple[int, pa.Array, np.ndarray, np.ndarray]]:
     """Phrases of least to most words: for each length their words, counts and a place of each.
 
-    known: places, in this shard, of one occurrence of each frequent phrase of `part` words; a longer phrase's
+    known: frequent phrases of `part` words, or places in this shard of one occurrence of each; a longer phrase's
     parts of that length must all be frequent. None: every phrase counts.
     """
     ends = np.flatnonzero((words == 0x20) | (words == 0x0A))
@@ -141,13 +145,19 @@ def count_shard(words: np.ndarray, known: np.ndarray | None, part: int, least: i
     last = np.flatnonzero(words[ends] == 0x0A)
     room = last[np.searchsorted(last, np.arange(len(ends)))] - np.arange(len(ends)) + 1
     if known is not None:
-        frequent = room >= part
-        key = ids
+        whole = np.flatnonzero(room >= part)
+        key = ids[whole]
         for k in range(1, part):
-            _, key = np.unique(key * (int(ids.max()) + 1) + np.r_[ids[k:], np.zeros(min(k, len(ids)), np.int64)], return_inverse=True)
+            key = np.unique(key * (int(ids.max()) + 1) + ids[whole + k], return_inverse=True)[1]
         good = np.zeros(int(key.max(initial=0)) + 1, bool)
-        good[key[known]] = True
-        frequent &= good[key]
+        if isinstance(known, pa.Array):
+            values, at = np.unique(key, return_index=True)
+            at = whole[at]
+            good[values] = pc.is_in(_phrases(words, starts[at], ends[at + part - 1]), value_set=known).to_numpy(zero_copy_only=False)
+        else:
+            good[key[np.searchsorted(whole, known)]] = True
+        frequent = np.zeros(len(ends), bool)
+        frequent[whole] = good[key]
         # Frequent parts in a row from each place bound the words of a phrase there.
         stop = np.flatnonzero(np.r_[~frequent, True])
         run = stop[np.searchsorted(stop, np.arange(len(ends)))] - np.arange(len(ends))
@@ -158,11 +168,14 @@ def count_shard(words: np.ndarray, known: np.ndarray | None, part: int, least: i
         yield n, _phrases(words, starts[at], ends[at + n - 1]), size, at
 
 
-def _count(batches: Iterable[pa.RecordBatch], part: int, least: int, most: int, local: bool) -> Iterator[pa.RecordBatch]:
+def _count(batches: Iterable[pa.RecordBatch], part: int, least: int, most: int, local: bool, sent: Broadcast | None) -> Iterator[pa.RecordBatch]:
     """From (shard, lang, words, known) rows of _LOCAL, or of _COUNTS."""
     for batch in batches:
         for shard, lang, words, known in zip(*(batch.column(i) for i in range(4)), strict=True):
-            places = known.values.to_numpy(zero_copy_only=False) if part and known.values is not None else np.zeros(0, np.int64) if part else None
+            if sent is not None:
+                places = sent.value.get(lang.as_py(), pa.array([], pa.string()))
+            else:
+                places = known.values.to_numpy(zero_copy_only=False) if part and known.values is not None else np.zeros(0, np.int64) if part else None
             for n, phrases, size, at in count_shard(np.frombuffer(words.as_buffer(), np.uint8), places, part, least, most):
                 m = len(size)
                 columns = {"lang": pa.array([lang.as_py()] * m, pa.string()), "n": pa.array(np.full(m, n, np.int32)), "phrase": phrases, "c": pa.array(size.astype(np.int64))}
@@ -172,6 +185,16 @@ def _count(batches: Iterable[pa.RecordBatch], part: int, least: int, most: int,
                     yield pa.RecordBatch.from_arrays([c.slice(lo, 50_000) for c in columns.values()], names=list(columns))
 
 
+def _sent(frequent: DataFrame) -> Broadcast | None:
+    """The phrases of each language for every task, unless they are over SENT_BYTES."""
+    size = frequent.agg(F.sum(F.octet_length("phrase") + 16)).first()[0] or 0
+    if size > SENT_BYTES:
+        return None
+    rows = frequent.select("lang", "phrase").toArrow()
+    lang = rows.column("lang")
+    return frequent.sparkSession.sparkContext.broadcast({k: rows.column("phrase").filter(pc.equal(lang, k)).combine_chunks() for k in pc.unique(lang).to_pylist()})
+
+
 def phrase_counts(documents: DataFrame, least: int, max_words: int, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
     """Written tables: phrases (lang, n, phrase, f) of 1 to max_words words with f >= least, and all words of each language (lang, total).
 
@@ -184,26 +207,29 @@ def phrase_counts(documents: DataFrame, least: int, max_words: int, shard_bytes:
     try:
         packed = documents.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text").transform(batched, partial(_pack, size=shard_bytes), _SHARD)
         shards = table(packed.withColumn("shard", F.monotonically_increasing_id()), "shards")
-        found, known, part, local = [], None, 0, None
+        bare = shards.withColumn("known", F.lit(None).cast("array<int>"))
+        found, lists, part, sent = [], None, 0, None
         for low, high in ((1, 1), (2, 2), (3, max_words)):
             if low > max_words:
                 break
-            source = shards.select("shard", "lang", "words", F.lit(None).cast("array<int>").alias("known")) if known is None else shards.join(known, "shard").select("shard", "lang", "words", "known")
-            more = high < max_words
-            got = source.transform(batched, partial(_count, part=part, least=low, most=high, local=more), _LOCAL if more else _COUNTS)
-            done = [local] if local is not None else []
-            if more:
-                got = local = table(got, "local")
+            source = bare if lists is None else shards.join(lists, "shard")
+            count = partial(_count, part=part, least=low, most=high, sent=sent)
+            got = source.select("shard", "lang", "words", "known").transform(batched, partial(count, local=False), _COUNTS)
+            summed = got.groupBy("lang", "n", "phrase").agg(F.sum("c").alias("f"))
+            if low == 1:
+                summed = table(summed, "words")
+                totals = table(summed.groupBy("lang").agg(F.sum("f").alias("total")), "totals")
+            frequent = table(summed.filter(F.col("f") >= least), "phrases")
             if low == 1:
-                totals = table(got.groupBy("lang").agg(F.sum("c").alias("total")), "totals")
-            frequent = table(got.groupBy("lang", "n", "phrase").agg(F.sum("c").alias("f")).filter(F.col("f") >= least), "phrases")
-            discard(*done)
+                discard(summed)
             found.append(frequent)
-            if more:
-                known = local.join(frequent.select("lang", "phrase"), ["lang", "phrase"], "left_semi").groupBy("shard").agg(F.collect_list("at").alias("known"))
-                part = low
+            if high < max_words:
+                sent, lists, part = _sent(frequent), None, low
+                if sent is None:
+                    own = source.select("shard", "lang", "words", "known").transform(batched, partial(count, local=True), _LOCAL)
+                    lists = own.join(frequent.select("lang", "phrase"), ["lang", "phrase"], "left_semi").groupBy("shard").agg(F.collect_list("at").alias("known"))
         out = table(reduce(DataFrame.unionByName, found), "phrases")
-        discard(shards, *found, *([local] if local is not None else []))
+        discard(shards, *found)
         return out, totals
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch") if old is None else spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", old)

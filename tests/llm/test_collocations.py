@@ -60,6 +60,15 @@ def test_random_texts(spark, seed):
     assert got(C.collocations(df, least=5, max_words=2)) == plain(docs, 5, 2)
 
 
+def test_parts_that_are_not_sent(spark, monkeypatch):
+    rng = random.Random(5)
+    docs = [(rng.choice(["en", "de"]), " ".join(rng.choices("abcdefgh", k=100)) + rng.choice(["", ".", ", "])) for _ in range(40)]
+    df = spark.createDataFrame(docs, SCHEMA).repartition(3)
+    want = got(C.collocations(df, least=6))
+    monkeypatch.setattr(C, "SENT_BYTES", 0)
+    assert got(C.collocations(df, least=6)) == want == plain(docs, least=6)
+
+
 def test_shards_of_any_size_give_the_same_counts(spark):
     docs = [("en", " ".join(random.Random(i).choices("abcdefg", k=300)) + ".") for i in range(30)]
     df = spark.createDataFrame(docs, SCHEMA).repartition(3)
