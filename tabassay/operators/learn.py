@@ -1,8 +1,8 @@
-"""Classifiers of MLlib behind one interface: vectors in, probability of class 1 out."""
+"""The network of MLlib: vectors in, probability of class 1 out."""
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
+from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -18,14 +18,8 @@ def vectors(df: DataFrame, features: list[str], *keep: str) -> DataFrame:
     return VectorAssembler(inputCols=plain, outputCol="features", handleInvalid="error").transform(renamed).select(*keep, "features")
 
 
-def classifier(kind: str, n_features: int, n_rows: int = 1, trees: int = 100, depth: int = 3, hidden: tuple[int, ...] = (64, 32), iterations: int = 500, seed: int = 42):
-    if kind == "gbt":
-        return GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.1, seed=seed, maxBins=256, cacheNodeIds=True, checkpointInterval=10)
-    if kind == "lr":
-        return LogisticRegression(maxIter=1000, regParam=1.0 / max(1, n_rows), elasticNetParam=0.0, standardization=False)
-    if kind == "mlp":
-        return MultilayerPerceptronClassifier(layers=[n_features, *hidden, 2], maxIter=iterations, seed=seed)
-    raise ValueError(f"unknown classifier {kind}")
+def network(n_features: int, hidden: tuple[int, ...] = (64, 32), iterations: int = 500, seed: int = 42) -> MultilayerPerceptronClassifier:
+    return MultilayerPerceptronClassifier(layers=[n_features, *hidden, 2], maxIter=iterations, seed=seed)
 
 
 def scores(model, df: DataFrame, *keep: str) -> DataFrame:

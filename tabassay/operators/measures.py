@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabassay.functions.recode import binarize
-from tabassay.operators import encode, learn, linking, metrics, sampling
+from tabassay.operators import boost, encode, learn, linking, metrics, sampling
 
 
 def labelled(real: DataFrame, synthetic: DataFrame, label: str) -> DataFrame:
@@ -33,42 +33,92 @@ def _auc(scored: DataFrame, label: str = "label") -> float | None:
     return metrics.auc(scored, label).first()["auc"]
 
 
-def propensity_auc(real: DataFrame, synthetic: DataFrame, n_estimators: int = 100, max_depth: int = 3, n_splits: int = 3, random_state: int = 42, kind: str = "gbt", importance: bool = True) -> dict:
-    """Cross-validated AUC of telling real rows from synthetic ones; 0.5 is perfect fidelity. Both frames have row_id."""
+def _without(fold: str, k: int, more: int = 0) -> Column:
+    """Bit m of model m: models 0 to k - 1 leave out the fold of their number, `more` further ones take every row."""
+    return sum((F.when(F.col(fold) != i, F.lit(1 << i)).otherwise(F.lit(0)) for i in range(k)), F.lit((1 << (k + more)) - (1 << k)))
+
+
+def _by_fold(scored: DataFrame, k: int) -> list[float | None]:
+    """AUC of each fold's rows under the model that has not seen them, in one job."""
+    held = scored.select("label", F.col("keep").alias("fold"), F.element_at("score", F.col("keep") + 1).alias("score"))
+    found = {r["fold"]: r["auc"] for r in metrics.auc(held, by=["fold"]).collect()}
+    return [found.get(i) for i in range(k)]
+
+
+def _folded(real: DataFrame, synthetic: DataFrame, n_splits: int, seed: int) -> tuple[DataFrame, list[str]]:
+    """Encoded rows of both tables with label and fold, in memory, and the features' names."""
     df = _union(real, synthetic, "label")
     flat, names = _prepared(df, _columns(real, synthetic), "row_id", "label")
-    if kind != "gbt":
-        flat = encode.scaled(flat, encode.moments(flat, names))
-    folded = learn.vectors(sampling.stratified_folds(flat, "label", n_splits, random_state), names, "label", "fold").cache()
-    model = learn.classifier(kind, len(names), folded.count(), n_estimators, max_depth, seed=random_state)
-    fold_aucs = [_auc(learn.scores(model.fit(folded.filter(F.col("fold") != k)), folded.filter(F.col("fold") == k), "label")) for k in range(n_splits)]
-    mean = sum(fold_aucs) / len(fold_aucs)
-    found = {}
-    if importance and kind == "gbt":
-        weights = model.fit(folded).featureImportances.toArray()
-        found = dict(sorted(zip(names, map(float, weights), strict=True), key=lambda x: -x[1]))
+    return sampling.stratified_folds(flat, "label", n_splits, seed).select("row_id", "label", F.col("fold").cast("int").alias("fold"), *[encode.quoted(n) for n in names]).cache(), names
+
+
+def _boosted_folds(folded: DataFrame, names: list[str], k: int, trees: int, depth: int, whole: bool) -> tuple[list[float | None], dict[str, float]]:
+    """AUCs of trees boosted for all folds at once, and the feature importance of one more model on all rows."""
+    matrix = boost.Matrix(folded, names, "label", _without("fold", k, int(whole)), k + int(whole), "fold", boost.cut_points(folded, names))
+    models = boost.boost(matrix, trees, depth)
+    aucs = _by_fold(matrix.scored(), k)
+    matrix.close()
+    return aucs, models[k].importance() if whole else {}
+
+
+def _linear_folds(folded: DataFrame, names: list[str], k: int) -> list[float | None]:
+    """AUCs of logistic regressions on scaled features, all folds at once."""
+    matrix = boost.Matrix(encode.scaled(folded, encode.moments(folded, names)), names, "label", _without("fold", k), k, "fold")
+    aucs = _by_fold(matrix.scored(boost.Linear(boost.logistic(matrix))), k)
+    matrix.close()
+    return aucs
+
+
+def _network_folds(folded: DataFrame, names: list[str], k: int, seed: int) -> list[float | None]:
+    rows = learn.vectors(encode.scaled(folded, encode.moments(folded, names)), names, "label", "fold").cache()
+    model = learn.network(len(names), seed=seed)
+    parts = [learn.scores(model.fit(rows.filter(F.col("fold") != i)), rows.filter(F.col("fold") == i), "label") for i in range(k)]
+    aucs = [_auc(p) for p in parts]
+    rows.unpersist()
+    return aucs
+
+
+def propensity_auc(real: DataFrame, synthetic: DataFrame, n_estimators: int = 100, max_depth: int = 3, n_splits: int = 3, random_state: int = 42, kind: str = "gbt", importance: bool = True) -> dict:
+    """Cross-validated AUC of telling real rows from synthetic ones; 0.5 is perfect fidelity. Both frames have row_id; kind is gbt, lr or mlp."""
+    folded, names = _folded(real, synthetic, n_splits, random_state)
+    found: dict[str, float] = {}
+    if kind == "gbt":
+        fold_aucs, found = _boosted_folds(folded, names, n_splits, n_estimators, max_depth, importance)
+    elif kind == "lr":
+        fold_aucs = _linear_folds(folded, names, n_splits)
+    elif kind == "mlp":
+        fold_aucs = _network_folds(folded, names, n_splits, random_state)
+    else:
+        raise ValueError(f"unknown classifier {kind}")
     folded.unpersist()
+    mean = sum(fold_aucs) / len(fold_aucs)
     return {"auc": mean, "auc_fidelity": 1 - 2 * abs(mean - 0.5), "fold_aucs": fold_aucs, "feature_importance": found}
 
 
 def propensity_auc_robustness(real: DataFrame, synthetic: DataFrame, n_splits: int = 3, random_state: int = 42, n_estimators: int = 100) -> dict:
-    """Mean and fold AUCs of three classifier families."""
-    out = {}
-    for kind in ("gbt", "lr", "mlp"):
-        found = propensity_auc(real, synthetic, n_estimators, n_splits=n_splits, random_state=random_state, kind=kind, importance=False)
-        out |= {f"{kind}_auc": found["auc"], f"{kind}_fold_aucs": found["fold_aucs"]}
-    return out
+    """Mean and fold AUCs of three classifier families on the same encoded rows and folds."""
+    folded, names = _folded(real, synthetic, n_splits, random_state)
+    found = {"gbt": _boosted_folds(folded, names, n_splits, n_estimators, 3, False)[0], "lr": _linear_folds(folded, names, n_splits), "mlp": _network_folds(folded, names, n_splits, random_state)}
+    folded.unpersist()
+    return {k: v for kind, aucs in found.items() for k, v in ((f"{kind}_auc", sum(aucs) / len(aucs)), (f"{kind}_fold_aucs", aucs))}
+
+
+def _boosted(rows: DataFrame, names: list[str], trees: int, depth: int) -> tuple[boost.Boosted, float | None]:
+    """Trees boosted on all rows (label, names...), and their AUC on those rows."""
+    matrix = boost.Matrix(rows, names, "label", F.lit(1), 1, cuts=boost.cut_points(rows, names))
+    (model,) = boost.boost(matrix, trees, depth)
+    auc = _auc(matrix.scored().select("label", F.col("score")[0].alias("score")))
+    matrix.close()
+    return model, auc
 
 
 def propensity_auc_no_cv(real: DataFrame, synthetic: DataFrame, n_estimators: int = 100, max_depth: int = 3, random_state: int = 42) -> dict:
     """Training AUC, biased upward; kept for comparison with older results."""
     flat, names = _prepared(_union(real, synthetic, "label"), _columns(real, synthetic), "label")
-    rows = learn.vectors(flat, names, "label").cache()
-    model = learn.classifier("gbt", len(names), trees=n_estimators, depth=max_depth, seed=random_state).fit(rows)
-    auc = _auc(learn.scores(model, rows, "label"))
-    importance = dict(sorted(zip(names, map(float, model.featureImportances.toArray()), strict=True), key=lambda x: -x[1]))
+    rows = flat.cache()
+    model, auc = _boosted(rows, names, n_estimators, max_depth)
     rows.unpersist()
-    return {"auc": auc, "auc_fidelity": 1 - 2 * abs(auc - 0.5), "feature_importance": importance}
+    return {"auc": auc, "auc_fidelity": 1 - 2 * abs(auc - 0.5), "feature_importance": model.importance()}
 
 
 def propensity_auc_holdout(real_train: DataFrame, real_holdout: DataFrame, synthetic: DataFrame, n_estimators: int = 100, max_depth: int = 3, random_state: int = 42) -> dict:
@@ -83,8 +133,8 @@ def propensity_auc_holdout(real_train: DataFrame, real_holdout: DataFrame, synth
     middle = encode.medians(flat, names)
     other = test.select("label", *[e.alias(n) for n, e in encode.encoded(test, [c for c in columns if c in test.columns], known).items()])
     held = encode.fill(other.select("label", *[encode.quoted(n) if n in other.columns else F.lit(0.0).alias(n) for n in names]), middle)
-    model = learn.classifier("gbt", len(names), trees=n_estimators, depth=max_depth, seed=random_state).fit(learn.vectors(encode.fill(flat, middle), names, "label"))
-    auc = _auc(learn.scores(model, learn.vectors(held, names, "label"), "label"))
+    model, _ = _boosted(encode.fill(flat, middle), names, n_estimators, max_depth)
+    auc = _auc(boost.predict([model], held, "label"))
     flat.unpersist()
     return {"auc": auc, "auc_fidelity": 1 - 2 * abs(auc - 0.5), "n_train": train.count(), "n_holdout": test.count()}
 
@@ -138,25 +188,21 @@ def _membership(train: DataFrame, test: DataFrame) -> tuple[DataFrame, list[str]
     return encode.fill(flat, middle), list(features), known, middle
 
 
-def _attacked(synthetic: DataFrame, model, columns: list[str], names: list[str], known: dict, middle: dict) -> DataFrame:
+def _attacked(synthetic: DataFrame, weights, columns: list[str], names: list[str], known: dict, middle: dict) -> DataFrame:
     have = encode.encoded(synthetic, [c for c in columns if c in synthetic.columns], known)
     flat = synthetic.select("row_id", *[(have[n] if n in have else F.lit(0.0)).alias(n) for n in names])
-    return learn.scores(model, learn.vectors(encode.fill(flat, middle), names, "row_id"), "row_id")
+    return boost.predict_linear(weights, encode.fill(flat, middle), names, "row_id")
 
 
 def membership_inference_privacy(train: DataFrame, test: DataFrame, synthetic: DataFrame, random_state: int = 42, min_attack_auc: float = 0.6) -> dict:
     """Attack that tells training members from others, applied to synthetic rows; valid only if its own pooled AUC reaches min_attack_auc."""
     flat, names, known, middle = _membership(train, test)
-    rows = learn.vectors(sampling.stratified_folds(flat, "label", 5, shuffle=False), names, "label", "fold").cache()
-    model = learn.classifier("lr", len(names), rows.count())
-    fitted = model.fit(rows)
-    parts = [learn.scores(model.fit(rows.filter(F.col("fold") != k)), rows.filter(F.col("fold") == k), "label") for k in range(5)]
-    pooled = parts[0]
-    for p in parts[1:]:
-        pooled = pooled.union(p)
-    auc = _auc(pooled)
-    hit = _attacked(synthetic, fitted, _columns(train), names, known, middle).agg(metrics.membership_rates(None, "score").alias("rate"), F.avg("score").alias("mean")).first()
-    rows.unpersist()
+    rows = sampling.stratified_folds(flat, "label", 5, shuffle=False).withColumn("fold", F.col("fold").cast("int"))
+    matrix = boost.Matrix(rows, names, "label", _without("fold", 5, 1), 6, "fold")
+    weights = boost.logistic(matrix)
+    auc = _auc(matrix.scored(boost.Linear(weights)).select("label", F.element_at("score", F.col("keep") + 1).alias("score")))
+    matrix.close()
+    hit = _attacked(synthetic, weights[5], _columns(train), names, known, middle).agg(metrics.membership_rates(None, "score").alias("rate"), F.avg("score").alias("mean")).first()
     valid = auc is not None and auc >= min_attack_auc
     return {
         "attack_success_rate": hit["rate"], "attack_auc": auc, "attack_valid": valid, "mean_membership_confidence": hit["mean"],
@@ -168,8 +214,10 @@ def membership_inference_privacy(train: DataFrame, test: DataFrame, synthetic: D
 def membership_inference_per_record(train: DataFrame, test: DataFrame, synthetic: DataFrame) -> DataFrame:
     """synthetic with membership_prob and is_likely_member."""
     flat, names, known, middle = _membership(train, test)
-    fitted = learn.classifier("lr", len(names), flat.count()).fit(learn.vectors(flat, names, "label"))
-    scored = _attacked(synthetic, fitted, _columns(train), names, known, middle)
+    matrix = boost.Matrix(flat, names, "label", F.lit(1), 1)
+    weights = boost.logistic(matrix)[0]
+    matrix.close()
+    scored = _attacked(synthetic, weights, _columns(train), names, known, middle)
     return synthetic.join(scored.select("row_id", F.col("score").alias("membership_prob"), (F.col("score") > 0.5).cast("int").alias("is_likely_member")), "row_id", "left")
 
 
@@ -184,11 +232,25 @@ class Utility:
         flat = self._flat(train).cache()
         self.middle = encode.medians(flat, self.names)
         self.stats = encode.moments(encode.fill(flat, self.middle), self.names)
-        self.make = lambda: learn.classifier(evaluator, len(self.names), 1, n_estimators, max_depth, (100, 50), seed=random_state)
+        self.evaluator, self.trees, self.depth, self.seed = evaluator, n_estimators, max_depth, random_state
         self.test = self._ready(test).cache()
-        self.real = self.make().fit(self._ready(train))
+        self.real = self._fitted(train)
         flat.unpersist()
 
+    def _fitted(self, df: DataFrame):
+        ready = self._ready(df)
+        if self.evaluator == "mlp":
+            return learn.network(len(self.names), (100, 50), seed=self.seed).fit(learn.vectors(ready, self.names, "row_id", "label"))
+        if self.evaluator != "gbt":
+            raise ValueError(f"unknown classifier {self.evaluator}")
+        return _boosted(ready, self.names, self.trees, self.depth)[0]
+
+    def _scores(self, model) -> DataFrame:
+        """(row_id, label, score, pred) of the test rows."""
+        if self.evaluator == "mlp":
+            return learn.scores(model, learn.vectors(self.test, self.names, "row_id", "label"), "row_id", "label")
+        return boost.predict([model], self.test, "row_id", "label").withColumn("pred", (F.col("score") > 0.5).cast("int"))
+
     def close(self) -> None:
         """Releases the encoded test rows."""
         self.test.unpersist()
@@ -198,12 +260,11 @@ class Utility:
         return df.select("row_id", F.col(self.target).cast("int").alias("label"), *[(have[n] if n in have else F.lit(0.0)).alias(n) for n in self.names])
 
     def _ready(self, df: DataFrame) -> DataFrame:
-        return learn.vectors(encode.scaled(encode.fill(self._flat(df), self.middle), self.stats), self.names, "row_id", "label")
+        return encode.scaled(encode.fill(self._flat(df), self.middle), self.stats)
 
     def predictions(self, synthetic: DataFrame) -> DataFrame:
         """(row_id, label, score_real, pred_real, score_synth, pred_synth) of the test rows."""
-        model = self.make().fit(self._ready(synthetic))
-        a, b = learn.scores(self.real, self.test, "row_id", "label"), learn.scores(model, self.test, "row_id")
+        a, b = self._scores(self.real), self._scores(self._fitted(synthetic))
         return a.select("row_id", "label", F.col("score").alias("score_real"), F.col("pred").alias("pred_real")).join(b.select("row_id", F.col("score").alias("score_synth"), F.col("pred").alias("pred_synth")), "row_id")
 
 
