@@ -23,11 +23,13 @@ from tabassay.llm._shared import batched, discard, table
 from tabassay.llm._text import LOWER, column_bytes, slices
 
 #: Bytes of a shard, unless one piece is longer.
-SHARD_BYTES = 1 << 21
+SHARD_BYTES = 1 << 20
 #: Bytes of frequent parts that are sent to every task; more are joined with the shards' own phrases.
 SENT_BYTES = 1 << 25
 #: Bytes of an Arrow batch of shards.
-BATCH_BYTES = 1 << 23
+BATCH_BYTES = 1 << 22
+#: Phrases whose words are gathered at once.
+AT_ONCE = 20_000
 
 _BREAK = np.zeros(256, bool)
 _BREAK[[ord(c) for c in ".,;:!?"] + list(range(0x0A, 0x0E))] = True
@@ -123,14 +125,16 @@ def intervals(ids: np.ndarray, order: np.ndarray, words: int) -> tuple[np.ndarra
 
 def _phrases(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     """Strings words[starts[i]:ends[i]]."""
-    size = ends - starts
-    offsets = np.r_[0, np.cumsum(size)]
-    at = np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], size)
+    size = (ends - starts).astype(np.int32)
+    offsets = np.zeros(len(size) + 1, np.int64)
+    np.cumsum(size, out=offsets[1:])
+    at = np.repeat((starts - offsets[:-1]).astype(np.int32), size)
+    at += np.arange(offsets[-1], dtype=np.int32)
     return pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(words[at])).cast(pa.string())
 
 
 def count_shard(words: np.ndarray, known: np.ndarray | pa.Array | None, part: int, least: int, most: int) -> Iterator[tuple[int, pa.Array, np.ndarray, np.ndarray]]:
-    """Phrases of least to most words: for each length their words, counts and a place of each.
+    """Phrases of least to most words, some AT_ONCE at a time: their length, words, counts and a place of each.
 
     known: frequent phrases of `part` words, or places in this shard of one occurrence of each; a longer phrase's
     parts of that length must all be frequent. None: every phrase counts.
@@ -153,7 +157,8 @@ def count_shard(words: np.ndarray, known: np.ndarray | pa.Array | None, part: in
         if isinstance(known, pa.Array):
             values, at = np.unique(key, return_index=True)
             at = whole[at]
-            good[values] = pc.is_in(_phrases(words, starts[at], ends[at + part - 1]), value_set=known).to_numpy(zero_copy_only=False)
+            parts = [_phrases(words, starts[a], ends[a + part - 1]) for a in np.split(at, range(AT_ONCE, len(at), AT_ONCE))]
+            good[values] = pc.is_in(pa.chunked_array(parts), value_set=known).to_numpy()
         else:
             good[key[np.searchsorted(whole, known)]] = True
         frequent = np.zeros(len(ends), bool)
@@ -165,7 +170,9 @@ def count_shard(words: np.ndarray, known: np.ndarray | pa.Array | None, part: in
     order = suffix_array(ids, np.flatnonzero(room >= least), most)
     for n in range(least, most + 1):
         at, size = intervals(ids, order[room[order] >= n], n)
-        yield n, _phrases(words, starts[at], ends[at + n - 1]), size, at
+        for lo in range(0, len(at), AT_ONCE):
+            here = at[lo : lo + AT_ONCE]
+            yield n, _phrases(words, starts[here], ends[here + n - 1]), size[lo : lo + AT_ONCE], here
 
 
 def _count(batches: Iterable[pa.RecordBatch], part: int, least: int, most: int, local: bool, sent: Broadcast | None) -> Iterator[pa.RecordBatch]:
@@ -181,8 +188,7 @@ def _count(batches: Iterable[pa.RecordBatch], part: int, least: int, most: int,
                 columns = {"lang": pa.array([lang.as_py()] * m, pa.string()), "n": pa.array(np.full(m, n, np.int32)), "phrase": phrases, "c": pa.array(size.astype(np.int64))}
                 if local:
                     columns = {"shard": pa.array(np.full(m, shard.as_py(), np.int64))} | columns | {"at": pa.array(at.astype(np.int32))}
-                for lo in range(0, m, 50_000):
-                    yield pa.RecordBatch.from_arrays([c.slice(lo, 50_000) for c in columns.values()], names=list(columns))
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
 def _sent(frequent: DataFrame) -> Broadcast | None:
