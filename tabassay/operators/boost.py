@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabassay.operators.encode import quoted
+from tabassay.session import shared_folder
 
 #: Bins of a feature, rows of a block, trees between two writings of the blocks, and tasks whose sums the driver adds up itself.
 BINS, BLOCK_ROWS, CUT, FEW_TASKS = 256, 8192, 20, 64
@@ -129,17 +130,15 @@ class Matrix:
     def _written(self, df: DataFrame) -> DataFrame:
         """df at rest: in the checkpoint folder, or in memory where a local session has none. What was at rest before goes."""
         spark = df.sparkSession
-        path = spark.conf.get("spark.checkpoint.dir", None)
+        path = shared_folder(spark)
         old, before = getattr(self, "path", None), getattr(self, "blocks", None)
         if path:
-            self.path = f"{path.rstrip('/')}/blocks-{uuid.uuid4().hex}"
+            self.path = f"{path}/blocks-{uuid.uuid4().hex}"
             df.write.parquet(self.path)
             out = spark.read.schema(_BLOCK).parquet(self.path).cache()
-        elif spark.sparkContext.master.split("[")[0] == "local" and not spark.sparkContext.master.startswith("local-cluster"):
+        else:
             out = df.cache()
             out.count()
-        else:
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         self._release(spark, old, before)
         return out
 

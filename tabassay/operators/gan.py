@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from tabassay.operators.encode import levels, quoted
 from tabassay.operators.generators import CATEGORY_THRESHOLD, value_column_types
+from tabassay.operators.ranking import histograms
 
 #: Modes of a number, cells of its histogram, rounds of the mixture fit, and the least weight of a mode.
 MODES, CELLS, ROUNDS, LEAST_WEIGHT = 10, 4096, 100, 0.005
@@ -405,7 +406,7 @@ class ConditionalGAN:
         index = {c: f"c{i}" for i, c in enumerate(self.columns)}
         known = levels(plain, [index[c] for c in text])
         columns = []
-        histograms = self._histograms(plain, [index[c] for c in wide])
+        histograms = histograms(plain, [index[c] for c in wide], CELLS)
         for c in self.columns:
             if kinds[c]:
                 columns.append(Column(c, [None, *known[index[c]]]))
@@ -427,24 +428,6 @@ class ConditionalGAN:
         self.net.generator = pickle.loads(model)
         return self
 
-    def _histograms(self, plain: DataFrame, columns: list[str]) -> dict[str, tuple[float, float, dict[int, int]]]:
-        """Ends and counts of CELLS equal cells of each column: integers, so that partitions do not show."""
-        if not columns:
-            return {}
-        clean = {c: F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c)) for c in columns}
-        ends = plain.agg(*[f(clean[c]).alias(f"{k}{c}") for c in columns for k, f in (("lo", F.min), ("hi", F.max))]).first()
-        cells = []
-        for c in columns:
-            lo, hi = ends[f"lo{c}"], ends[f"hi{c}"]
-            lo, hi = (0.0, 0.0) if lo is None else (lo, hi)
-            cell = F.least(F.lit(CELLS - 1), F.floor((clean[c] - F.lit(lo)) / F.lit((hi - lo) or 1.0) * CELLS)).cast("int")
-            cells.append(F.struct(F.lit(c).alias("c"), cell.alias("k")))
-        counted = plain.select(F.explode(F.array(*cells)).alias("x")).groupBy("x.c", "x.k").agg(F.count("*").alias("n"))
-        out = {c: (0.0 if ends[f"lo{c}"] is None else ends[f"lo{c}"], 0.0 if ends[f"hi{c}"] is None else ends[f"hi{c}"], {}) for c in columns}
-        for r in counted.filter("k IS NOT NULL").collect():  # CELLS rows a column at most
-            out[r["c"]][2][r["k"]] = r["n"]
-        return out
-
     @staticmethod
     def _modes(name: str, histogram: tuple[float, float, dict[int, int]]) -> Column:
         lo, hi, counts = histogram

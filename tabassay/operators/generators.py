@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from tabassay.functions.rng import order_key, uniform
 from tabassay.operators.encode import is_text, quoted
 from tabassay.operators.ranking import ranked, shifted
+from tabassay.session import shared_folder
 from tabassay.sources.io import read_external, restore_types
 
 #: Distinct values up to which a numeric column is drawn like a category.
@@ -53,8 +54,13 @@ def frequencies(df: DataFrame, column: str) -> DataFrame:
     return spread.select("value", (F.col("n") / F.col("_all")).alias("p"), ((F.col("_run") - F.col("n")) / F.col("_all")).alias("lo"), (F.col("_run") / F.col("_all")).alias("hi"))
 
 
-def indexed(df: DataFrame, order: list[Column], keys: list[str] | None = None, buckets: int = 64) -> DataFrame:
-    """Adds i = 1..n in each key's rows; ranks are taken in hash buckets, so no key fills one task."""
+#: Rows of a hash bucket in which ranks are taken, and the fewest buckets.
+BUCKET_ROWS, LEAST_BUCKETS = 100_000, 64
+
+
+def indexed(df: DataFrame, order: list[Column], keys: list[str] | None = None, buckets: int | None = None) -> DataFrame:
+    """Adds i = 1..n in each key's rows; ranks are taken in hash buckets, as many as the rows need, so no key fills one task."""
+    buckets = buckets or max(LEAST_BUCKETS, df.count() // BUCKET_ROWS)
     return ranked(df, keys or [], F.pmod(F.xxhash64(*order), F.lit(buckets)), order, "i")
 
 
@@ -279,11 +285,9 @@ class SequentialCART:
 
 def _cut(df: DataFrame) -> DataFrame:
     """Ends the lineage of an iterative plan in the session's checkpoint folder, where there is one."""
-    context, path = df.sparkSession.sparkContext, df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if path and not context.getCheckpointDir():
+    context, path = df.sparkSession.sparkContext, shared_folder(df.sparkSession) if not df.sparkSession.sparkContext.getCheckpointDir() else None
+    if path:
         context.setCheckpointDir(path)
-    if not context.getCheckpointDir() and not context.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return df.checkpoint() if context.getCheckpointDir() else df.cache()
 
 
@@ -314,8 +318,22 @@ class External:
         return restore_types(found, self.like).orderBy(order_key(F.col("row_id"), "external")).limit(n)
 
 
+def _conditional_gan(seed: int) -> Generator:
+    from tabassay.operators.gan import ConditionalGAN
+
+    return ConditionalGAN(random_state=seed)
+
+
+def _row_language_model(seed: int) -> Generator:
+    from tabassay.operators.rowlm import RowLanguageModel
+
+    return RowLanguageModel(random_state=seed)
+
+
 REGISTRY: dict[str, Callable[[int], Generator]] = {
     "independent_marginals": lambda seed: IndependentMarginals(seed),
     "dpbn": lambda seed: DPBayesianNetwork(epsilon=1.0, random_state=seed),
     "synthpop": lambda seed: SequentialCART(random_state=seed),
+    "ctgan": _conditional_gan,
+    "great": _row_language_model,
 }

@@ -72,3 +72,19 @@ def ranked(df: DataFrame, by: list[str], bucket: Column, order: list[Column], na
     own = rows.withColumn("_own", F.row_number().over(Window.partitionBy(*by, "_b").orderBy(*order)))
     out = shifted(own, by, F.lit(1), "_before")
     return out.withColumn(name, F.col("_own") + F.col("_before")).drop("_b", "_own", "_before")
+
+
+def histograms(df: DataFrame, columns: list[str], cells: int) -> dict[str, tuple[float, float, dict[int, int]]]:
+    """Ends and counts of equal cells of each numeric column, nulls and what is not finite left out: integers, so that partitions do not show."""
+    if not columns:
+        return {}
+    name = lambda c: F.col(f"`{c}`").cast("double")
+    clean = {c: F.when(~F.isnan(name(c)) & (F.abs(name(c)) < float("inf")), name(c)) for c in columns}
+    row = df.agg(*[f(clean[c]).alias(f"{k}{i}") for i, c in enumerate(columns) for k, f in (("lo", F.min), ("hi", F.max))]).first()
+    ends = {c: tuple(0.0 if row[f"{k}{i}"] is None else row[f"{k}{i}"] for k in ("lo", "hi")) for i, c in enumerate(columns)}
+    cell = {c: F.least(F.lit(cells - 1), F.floor((clean[c] - F.lit(lo)) / F.lit((hi - lo) or 1.0) * cells)).cast("int") for c, (lo, hi) in ends.items()}
+    each = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), cell[c].alias("k")) for c in columns])).alias("x"))
+    out = {c: (*ends[c], {}) for c in columns}
+    for r in each.filter("x.k IS NOT NULL").groupBy("x.c", "x.k").agg(F.count("*").alias("n")).collect():  # `cells` rows a column at most
+        out[r["c"]][2][r["k"]] = r["n"]
+    return out

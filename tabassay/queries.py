@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tabassay.constants import METHODS, PROFILES
 
 from tabassay.functions.rng import uniform
-from tabassay.operators import encode, generators, linking, measures, metrics, sampling
+from tabassay.operators import encode, gan, generators, linking, measures, metrics, rowlm, sampling
 from tabassay.plans import decision as D
 from tabassay.plans import experiment, plotdata
 from tabassay.plans import simulation as V
@@ -189,7 +189,15 @@ def _privbayes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _cart(spark: SparkSession, d: str) -> DataFrame:
-    return generators.SequentialCART(5, max_depth=5).fit_sample(micro(spark, d).select("row_id", "segment", "status", "price"), 500)
+    return generators.SequentialCART(5).fit_sample(micro(spark, d).select("row_id", "segment", "status", "price"), 500)
+
+
+def _conditional_gan(spark: SparkSession, d: str) -> DataFrame:
+    return gan.ConditionalGAN(random_state=42).fit_sample(micro(spark, d), 500)
+
+
+def _row_language_model(spark: SparkSession, d: str) -> DataFrame:
+    return rowlm.RowLanguageModel(random_state=42).fit_sample(micro(spark, d), 500)
 
 
 def _tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -392,7 +400,7 @@ QUERIES: dict[str, Query] = {
     "marginals_bootstrap": _marginals_bootstrap,
     "mutual_information": _mutual_information,
     "privbayes_sample": _privbayes,
-    "cart_sample": _cart,
+    "cart_sample": _cart, "gan_sample": _conditional_gan, "row_lm_sample": _row_language_model,
     "dcr_nn_per_record": _nearest("euclidean"),
     "dcr_cityblock": _nearest("manhattan"),
     "dcr_cosine": _nearest("cosine"),

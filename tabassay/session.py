@@ -26,3 +26,12 @@ def prepare(spark: SparkSession) -> SparkSession:
     if root not in known:
         environment["PYTHONPATH"] = os.pathsep.join([*known, root])
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder that spark.checkpoint.dir names; None in a local session without one. Any other master without one raises."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not path and master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return path.rstrip("/") if path else None
