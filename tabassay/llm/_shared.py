@@ -28,11 +28,11 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends here and a lost executor costs nothing."""
+def table(df: DataFrame, name: str, **options: object) -> DataFrame:
+    """Write df (with options of the writer) to the shared folder and read it back: lineage ends here and a lost executor costs nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out

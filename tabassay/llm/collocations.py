@@ -28,6 +28,8 @@ SHARD_BYTES = 1 << 20
 SENT_BYTES = 1 << 25
 #: Bytes of an Arrow batch of shards.
 BATCH_BYTES = 1 << 22
+#: Shards of a row group, which one task reads.
+TASK_ROWS = 4
 #: Phrases whose words are gathered at once.
 AT_ONCE = 20_000
 
@@ -189,6 +191,7 @@ def _count(batches: Iterable[pa.RecordBatch], part: int, least: int, most: int,
                 if local:
                     columns = {"shard": pa.array(np.full(m, shard.as_py(), np.int64))} | columns | {"at": pa.array(at.astype(np.int32))}
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+            pa.default_memory_pool().release_unused()
 
 
 def _sent(frequent: DataFrame) -> Broadcast | None:
@@ -208,11 +211,14 @@ def phrase_counts(documents: DataFrame, least: int, max_words: int, shard_bytes:
     count again; an empty table has no phrases. A text is split between pieces if it is long.
     """
     spark = documents.sparkSession
-    old = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    # A task counts some TASK_ROWS shards, so that its sums stay small.
+    settings = {"spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES, "spark.sql.files.maxPartitionBytes": BATCH_BYTES}
+    old = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         packed = documents.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text").transform(batched, partial(_pack, size=shard_bytes), _SHARD)
-        shards = table(packed.withColumn("shard", F.monotonically_increasing_id()), "shards")
+        shards = table(packed.withColumn("shard", F.monotonically_increasing_id()), "shards", **{"parquet.block.row.count.limit": TASK_ROWS})
         bare = shards.withColumn("known", F.lit(None).cast("array<int>"))
         found, lists, part, sent = [], None, 0, None
         for low, high in ((1, 1), (2, 2), (3, max_words)):
@@ -238,7 +244,8 @@ def phrase_counts(documents: DataFrame, least: int, max_words: int, shard_bytes:
         discard(shards, *found)
         return out, totals
     finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch") if old is None else spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", old)
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def collocations(documents: DataFrame, least: int = 30, max_words: int = 4, percent: int = 80, top: int = 2000) -> DataFrame:
