@@ -17,10 +17,9 @@ from tabassay.llm._shared import lower_ascii, within
 #: More rules than this are joined on host suffixes instead of being written into the plan.
 MAX_LITERAL_RULES = 64
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)(\?[^#]*)?"
-_LINK = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
+_CANONICAL = r"(?i)\brel\s*=\s*[\"']?canonical\b"
 _HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-_REFRESH = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
-_TO = r"(?is)\bcontent\s*=\s*[\"']?[^\"'>;]*;\s*url\s*=\s*[\"']?([^\"'\s>]+)"
+_REFRESH = r"(?i)\bhttp-equiv\s*=\s*[\"']?refresh\b"
 _TRACKING = r"^(utm_[a-z]+|gclid|fbclid|ref)="
 
 
@@ -64,12 +63,30 @@ def _target(base: Column, href: Column) -> Column:
     return F.when((href != "") & ~href.startswith("#"), key_of(whole))
 
 
+def _tag(html: Column, name: str, mark: str) -> Column:
+    """The first tag of a name (up to its >, without it) that holds the mark; null if none does. Parts are cut before they are searched, so the work is linear."""
+    parts = F.split(html, ">")
+    tags = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda p: F.regexp_extract(p, rf"(?is)<{name}\b.*", 0))
+    return F.try_element_at(F.filter(tags, lambda t: t.rlike(mark)), F.lit(1))
+
+
+def _refresh_url(tag: Column) -> Column:
+    """What follows url= behind the first ; that ends a content's opening words."""
+    parts = F.split(tag, ";")
+    opens = lambda p: (F.size(F.split(p, r"(?i)\bcontent\s*=\s*")) > 1) & F.element_at(F.split(p, r"(?i)\bcontent\s*=\s*"), -1).rlike(r"^[\"']?[^\"']*$")
+    named = lambda p: F.regexp_extract(p, r"(?i)^\s*url\s*=\s*[\"']?([^\"'\s]+)", 1)
+    pairs = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.when(opens(F.element_at(parts, i)), named(F.element_at(parts, i + 1))))
+    return F.when(F.size(parts) > 1, F.try_element_at(F.filter(pairs, lambda u: u != ""), F.lit(1)))
+
+
 def alias_edges(pages: DataFrame, by_form: bool = False) -> DataFrame:
     """Edges (a, b) between url keys: canonical links and meta refreshes of the html; by_form adds urls that differ in tracking parameters or a closing slash only."""
     url = F.col("url")
     targets = [canonical_key(key_of(url))] if by_form else [F.lit(None).cast("string")]
     if "html" in pages.columns:
-        targets += [_target(url, F.regexp_extract(F.regexp_extract("html", tag, 0), place, 1)) for tag, place in ((_LINK, _HREF), (_REFRESH, _TO))]
+        html = F.col("html")
+        found = (F.regexp_extract(_tag(html, "link", _CANONICAL), _HREF, 1), _refresh_url(_tag(html, "meta", _REFRESH)))
+        targets += [_target(url, F.coalesce(t, F.lit(""))) for t in found]
     edges = pages.select(key_of(url).alias("a"), F.explode(F.array(*targets)).alias("b"))
     return edges.filter("a IS NOT NULL AND b IS NOT NULL AND a != b")
 
