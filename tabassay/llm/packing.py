@@ -18,12 +18,13 @@ import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache, partial
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabassay.llm._shared import batched, discard, table
@@ -197,6 +198,17 @@ def _round(left: DataFrame, gaps: DataFrame, capacity: int) -> DataFrame:
     return placed.select(*[F.col(c).cast("long") for c in ROUND]).union(left.select("length", "lo", F.col("lo") + F.col("n"), *[none.alias(c) for c in ROUND[3:]]))
 
 
+@contextmanager
+def _planned_once(spark: SparkSession) -> Iterator[None]:
+    """No adaptive planning: a round's tables are one small partition each, and planning them anew stage by stage takes longer than they do."""
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+
+
 def best_fit(counts: DataFrame, capacity: int) -> DataFrame:
     """Placements (length, lo, hi, first, each, base) for counts (length, n): see _round. Written, and read back.
 
@@ -244,7 +256,8 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     if longest is not None and not 0 < shortest <= longest <= capacity:
         raise ValueError(f"lengths must lie between 1 and {capacity}")
     groups = -(-most // RANK_GROUP)
-    plan = best_fit(counts, capacity)
+    with _planned_once(pieces.sparkSession):
+        plan = best_fit(counts, capacity)
     intervals = plan.toDF("length", *[f"_{c}" for c in plan.columns[1:]])
     others = [c for c in pieces.columns if c not in ("doc_id", "piece", "length")]
     keyed = pieces.withColumn("_g", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).cast("int"))
