@@ -200,6 +200,35 @@ pr AS (SELECT p.metric, method_1, method_2, method, rank() OVER (PARTITION BY p.
 us AS (SELECT metric, method_1, method_2, sum(CASE WHEN method = method_1 THEN r ELSE 0e0 END) - count(*) FILTER (method = method_1) * (count(*) FILTER (method = method_1) + 1) / 2e0 AS u FROM pr GROUP BY 1, 2, 3)"""
 
 
+def _p_f(f: str, d1: str, d2: str) -> str:
+    """Upper tail of the F distribution for even degrees of freedom, a finite binomial sum."""
+    x, n = f"({d2} / ({d2} + {d1} * ({f})))", f"(({d1} + {d2}) // 2 - 1)"
+    return f"list_sum(list_transform(range({d2} // 2, {n} + 1), lambda j: factorial(CAST({n} AS INT)) / CAST(factorial(CAST(j AS INT)) * factorial(CAST({n} - j AS INT)) AS DOUBLE) * pow({x}, j) * pow(1e0 - {x}, {n} - j)))"
+
+
+def _p_chi2(x: str, df: str) -> str:
+    """Upper tail of the chi-squared distribution for an even number of degrees of freedom."""
+    return f"exp(-({x}) / 2) * list_sum(list_transform(range(0, {df} // 2), lambda j: pow(({x}) / 2, j) / CAST(factorial(CAST(j AS INT)) AS DOUBLE)))"
+
+
+def _p_t(t: str, df: str) -> str:
+    """Two-sided tail of Student's t for an even number of degrees of freedom."""
+    c = f"({df} / ({df} + ({t}) * ({t})))"
+    return f"1e0 - abs({t}) / sqrt({df} + ({t}) * ({t})) * list_sum(list_transform(range(0, {df} // 2), lambda j: CAST(factorial(CAST(2 * j AS INT)) AS DOUBLE) / CAST(factorial(CAST(j AS INT)) * factorial(CAST(j AS INT)) AS DOUBLE) / pow(4, j) * pow({c}, j)))"
+
+
+#: Tails of U for two samples of five without ties, from all choices of five ranks of ten.
+_U_TAILS = """chosen AS (WITH RECURSIVE c(i, k, s) AS (SELECT 0, 0, 0 UNION ALL SELECT i + 1, k + b, s + b * (i + 1) FROM c, (VALUES (0), (1)) t(b) WHERE i < 10) SELECT s - 15 AS u FROM c WHERE i = 10 AND k = 5),
+tails AS (SELECT u.u, least(1e0, 2e0 * (SELECT count(*) FROM chosen WHERE chosen.u >= u.u) / 252) AS p FROM (SELECT range AS u FROM range(26)) u)"""
+
+
+def _tested(first: str, methods: str) -> list[str]:
+    """CTEs up to tested: metric, method_1, method_2, t_p, mw_p and the corrected level; methods: their number."""
+    t = "((mean_1 - mean_2) / sqrt(pooled * (1e0 / n_1 + 1e0 / n_2)))"
+    return [RESULTS, LONG, _pairwise(first), _U_TAILS, f"""tested AS (SELECT metric, method_1, method_2, {_p_t(t, '(n_1 + n_2 - 2)')} AS t_p, p AS mw_p, 0.05e0 / ({methods} * ({methods} - 1) / 2) AS level
+  FROM pairs JOIN us USING (metric, method_1, method_2) JOIN tails ON tails.u = CAST(ceil(greatest(us.u, n_1 * n_2 - us.u)) AS BIGINT) AND n_1 = 5 AND n_2 = 5)"""]
+
+
 TIER = {"ctgan": 0, "dpbn": 1, "great": 2}
 
 
@@ -351,6 +380,10 @@ def oracle_sql() -> dict[str, str]:
         "anova_kruskal": _with(RESULTS, LONG, BETWEEN.format(long="long"), KRUSKAL, select=f"""SELECT metric, round((ssb / (k - 1)) / (ssw / (n - k)), 6) AS anova_f, round(h, 6) AS kruskal_h, round(ssb / (ssb + ssw), 6) AS eta_squared,
           {_effect('ssb / (ssb + ssw)', (0.01, 0.06, 0.14))} AS effect, k AS n_groups FROM ss JOIN kw USING (metric)"""),
         "levene_w": level,
+        "omnibus_p_values": _with(RESULTS, LONG, BETWEEN.format(long="long"), KRUSKAL, select=f"""SELECT metric, round({_p_f('(ssb / (k - 1)) / (ssw / (n - k))', '(k - 1)', '(n - k)')}, 6) + 0e0 AS anova_p, round({_p_chi2('h', '(k - 1)')}, 6) + 0e0 AS kruskal_p FROM ss JOIN kw USING (metric)"""),
+        "pairwise_p_values": _with(*_tested("a.method < b.method", "5"), select="SELECT metric, method_1, method_2, round(t_p, 6) + 0e0 AS t_p, t_p < level AS t_significant, round(mw_p, 6) + 0e0 AS mw_p, mw_p < level AS mw_significant, round(level, 6) AS adjusted_alpha FROM tested"),
+        "middle_tier_counts": _with(*_tested(tier_order, "3"), select="""SELECT metric, count(*) FILTER (t_p < level) AS n_significant_t, count(*) FILTER (mw_p < level) AS n_significant_mw,
+          count(*) FILTER (t_p < level OR mw_p < level) > 0 AS any_significant FROM tested GROUP BY 1"""),
         "pairwise_t_u_d": _with(RESULTS, LONG, _pairwise("a.method < b.method"), select=f"""SELECT metric, method_1, method_2, n_1, n_2, round(mean_1 - mean_2, 6) AS mean_diff, {pair_stats},
           {_effect('abs((mean_1 - mean_2) / sqrt(pooled))', (0.2, 0.5, 0.8))} AS effect FROM pairs JOIN us USING (metric, method_1, method_2)"""),
         "middle_tier_pairs": _with(RESULTS, LONG, _pairwise(tier_order), select=f"SELECT metric, method_1, method_2, {_r('mean_1', 'mean_2')}, {pair_stats}, round(0.05e0 / 3, 6) AS adjusted_alpha FROM pairs JOIN us USING (metric, method_1, method_2)"),
