@@ -29,7 +29,7 @@ SENT_BYTES = 1 << 25
 #: Bytes of an Arrow batch of shards.
 BATCH_BYTES = 1 << 22
 #: Shards of a row group, which one task reads.
-TASK_ROWS = 4
+TASK_ROWS = 8
 #: Phrases whose words are gathered at once.
 AT_ONCE = 20_000
 
@@ -38,8 +38,9 @@ _BREAK[[ord(c) for c in ".,;:!?"] + list(range(0x0A, 0x0E))] = True
 _GAP = _BREAK.copy()
 _GAP[[0x20, 0x09]] = True
 _SHARD = "lang string, words binary"
-_LOCAL = "shard long, lang string, n int, phrase string, c long, at int"
-_COUNTS = "lang string, n int, phrase string, c long"
+_LOCAL = "shard long, lang string, phrase string, at int"
+#: The key is the language, a tab and the phrase, which has none: one short column to shuffle.
+_COUNTS = "key string, c long"
 
 
 def normalised(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -187,9 +188,10 @@ def _count(batches: Iterable[pa.RecordBatch], part: int, least: int, most: int,
                 places = known.values.to_numpy(zero_copy_only=False) if part and known.values is not None else np.zeros(0, np.int64) if part else None
             for n, phrases, size, at in count_shard(np.frombuffer(words.as_buffer(), np.uint8), places, part, least, most):
                 m = len(size)
-                columns = {"lang": pa.array([lang.as_py()] * m, pa.string()), "n": pa.array(np.full(m, n, np.int32)), "phrase": phrases, "c": pa.array(size.astype(np.int64))}
                 if local:
-                    columns = {"shard": pa.array(np.full(m, shard.as_py(), np.int64))} | columns | {"at": pa.array(at.astype(np.int32))}
+                    columns = {"shard": pa.array(np.full(m, shard.as_py(), np.int64)), "lang": pa.array([lang.as_py()] * m, pa.string()), "phrase": phrases, "at": pa.array(at.astype(np.int32))}
+                else:
+                    columns = {"key": pc.binary_join_element_wise(pa.scalar(lang.as_py()), phrases, "\t"), "c": pa.array(size.astype(np.int64))}
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
             pa.default_memory_pool().release_unused()
 
@@ -211,8 +213,8 @@ def phrase_counts(documents: DataFrame, least: int, max_words: int, shard_bytes:
     count again; an empty table has no phrases. A text is split between pieces if it is long.
     """
     spark = documents.sparkSession
-    # A task counts some TASK_ROWS shards, so that its sums stay small.
-    settings = {"spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES, "spark.sql.files.maxPartitionBytes": BATCH_BYTES}
+    # A task counts TASK_ROWS shards, so that its sums stay small.
+    settings = {"spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES, "spark.sql.files.maxPartitionBytes": 2 * BATCH_BYTES}
     old = {k: spark.conf.get(k, None) for k in settings}
     for k, v in settings.items():
         spark.conf.set(k, v)
@@ -227,11 +229,14 @@ def phrase_counts(documents: DataFrame, least: int, max_words: int, shard_bytes:
             source = bare if lists is None else shards.join(lists, "shard")
             count = partial(_count, part=part, least=low, most=high, sent=sent)
             got = source.select("shard", "lang", "words", "known").transform(batched, partial(count, local=False), _COUNTS)
-            summed = got.groupBy("lang", "n", "phrase").agg(F.sum("c").alias("f"))
+            summed = got.groupBy("key").agg(F.sum("c").alias("f"))
+            phrase = F.substring_index("key", "\t", -1)
+            lang = F.expr("substring(key, 1, length(key) - length(substring_index(key, '\t', -1)) - 1)")
             if low == 1:
                 summed = table(summed, "words")
-                totals = table(summed.groupBy("lang").agg(F.sum("f").alias("total")), "totals")
-            frequent = table(summed.filter(F.col("f") >= least), "phrases")
+                totals = table(summed.groupBy(lang.alias("lang")).agg(F.sum("f").alias("total")), "totals")
+            frequent = summed.filter(F.col("f") >= least).select(lang.alias("lang"), F.size(F.split(phrase, " ", -1)).alias("n"), phrase.alias("phrase"), "f")
+            frequent = table(frequent, "phrases")
             if low == 1:
                 discard(summed)
             found.append(frequent)
