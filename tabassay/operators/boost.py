@@ -25,6 +25,8 @@ from tabassay.session import shared_folder
 
 #: Bins of a feature, rows of a block, trees between two writings of the blocks, and tasks whose sums the driver adds up itself.
 BINS, BLOCK_ROWS, CUT, FEW_TASKS = 256, 8192, 20, 64
+#: Rows that a task of a pass has at least; a pass over fewer is mostly the starting of tasks.
+TASK_ROWS = 25_000
 RATE = 0.1
 
 _BLOCK = "n int, x binary, y binary, use binary, margins binary, keep binary"
@@ -125,6 +127,7 @@ class Matrix:
         self.kind, self.width = (np.uint8 if cuts is not None else np.float64), len(names)
         rows = df.select(F.col(label).cast("int"), use.cast("long"), F.col(keep) if keep else F.lit(0).alias("keep"), *[quoted(c).cast("double") for c in names]).toDF("y", "use", "keep", *[f"f{i}" for i in range(len(names))])
         self.keep_type = rows.schema["keep"].dataType.simpleString()
+        self.tasks = 0
         self.blocks = self._written(rows.mapInArrow(partial(_store, width=self.width, cuts=cuts, models=models), _BLOCK))
 
     def _written(self, df: DataFrame) -> DataFrame:
@@ -135,10 +138,15 @@ class Matrix:
         if path:
             self.path = f"{path}/blocks-{uuid.uuid4().hex}"
             df.write.parquet(self.path)
-            out = spark.read.schema(_BLOCK).parquet(self.path).cache()
+            out = spark.read.schema(_BLOCK).parquet(self.path)
+            if not self.tasks:
+                n = out.agg(F.sum("n")).first()[0] or 0
+                self.tasks = max(1, min(out.rdd.getNumPartitions(), n // TASK_ROWS))
+            out = out.coalesce(self.tasks).cache()
         else:
             out = df.cache()
             out.count()
+            self.tasks = out.rdd.getNumPartitions()
         self._release(spark, old, before)
         return out
 
@@ -156,7 +164,7 @@ class Matrix:
     def summed(self, work: Callable) -> dict[object, np.ndarray]:
         """Arrays by key, added up over all blocks; work yields (key, array) for a task's blocks."""
         tasks = self.blocks.mapInArrow(partial(_partial, work=work, width=self.width, models=self.models, kind=self.kind), "key string, part binary")
-        if self.blocks.rdd.getNumPartitions() > FEW_TASKS:
+        if self.tasks > FEW_TASKS:
             tasks = tasks.repartition(FEW_TASKS, "key").mapInArrow(_merge, "key string, part binary")
         out: dict[object, np.ndarray] = {}
         for r in tasks.collect():  # a task's sums are as large as the models, not the rows

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabassay.functions.recode import binarize
-from tabassay.operators import boost, encode, learn, linking, metrics, sampling
+from tabassay.operators import boost, encode, linking, metrics, network, sampling
 
 
 def labelled(real: DataFrame, synthetic: DataFrame, label: str) -> DataFrame:
@@ -70,11 +70,10 @@ def _linear_folds(folded: DataFrame, names: list[str], k: int) -> list[float | N
 
 
 def _network_folds(folded: DataFrame, names: list[str], k: int, seed: int) -> list[float | None]:
-    rows = learn.vectors(encode.scaled(folded, encode.moments(folded, names)), names, "label", "fold").cache()
-    model = learn.network(len(names), seed=seed)
-    parts = [learn.scores(model.fit(rows.filter(F.col("fold") != i)), rows.filter(F.col("fold") == i), "label") for i in range(k)]
-    aucs = [_auc(p) for p in parts]
-    rows.unpersist()
+    """AUCs of networks of 64 and 32 units on scaled features, all folds at once."""
+    matrix = boost.Matrix(encode.scaled(folded, encode.moments(folded, names)), names, "label", _without("fold", k), k, "fold")
+    aucs = _by_fold(matrix.scored(network.Networks(*network.train(matrix, (64, 32), seed=seed))), k)
+    matrix.close()
     return aucs
 
 
@@ -240,16 +239,15 @@ class Utility:
     def _fitted(self, df: DataFrame):
         ready = self._ready(df)
         if self.evaluator == "mlp":
-            return learn.network(len(self.names), (100, 50), seed=self.seed).fit(learn.vectors(ready, self.names, "row_id", "label"))
+            return network.fit(ready, self.names, (100, 50), self.seed)
         if self.evaluator != "gbt":
             raise ValueError(f"unknown classifier {self.evaluator}")
         return _boosted(ready, self.names, self.trees, self.depth)[0]
 
     def _scores(self, model) -> DataFrame:
         """(row_id, label, score, pred) of the test rows."""
-        if self.evaluator == "mlp":
-            return learn.scores(model, learn.vectors(self.test, self.names, "row_id", "label"), "row_id", "label")
-        return boost.predict([model], self.test, "row_id", "label").withColumn("pred", (F.col("score") > 0.5).cast("int"))
+        scored = network.predict(model, self.test, self.names, "row_id", "label") if self.evaluator == "mlp" else boost.predict([model], self.test, "row_id", "label")
+        return scored.withColumn("pred", (F.col("score") > 0.5).cast("int"))
 
     def close(self) -> None:
         """Releases the encoded test rows."""

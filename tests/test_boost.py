@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabassay.operators import boost
+from tabassay.operators import boost, network
 
 
 def plain_boost(x, y, trees, depth, rate=0.1):
@@ -91,6 +91,7 @@ def test_many_tasks_are_added_up_by_key(spark, data, monkeypatch):
     names = ["a", "b", "c x"]
     cuts = boost.cut_points(df, names)
     out = []
+    monkeypatch.setattr(boost, "TASK_ROWS", 10)
     for few in (64, 1):
         monkeypatch.setattr(boost, "FEW_TASKS", few)
         matrix = boost.Matrix(df, names, "label", use(), 4, "row_id", cuts)
@@ -117,3 +118,32 @@ def test_bins_of_many_values(spark):
     wide, narrow = boost.cut_points(df, ["x", "y"])
     assert 200 < len(wide) <= 255 and narrow.tolist() == [0.5, 1.5, 2.5, 3.5, 4.5, 5.5]
     assert boost.binned(np.array([[0.0, 0.0], [4999.0, 6.0]]), [wide, narrow]).tolist() == [[0, 0], [len(wide), 6]]
+
+
+def test_network_gradient_equals_differences():
+    rng = np.random.default_rng(3)
+    layers = (3, 4, 2, 1)
+    w, x, y = network.initial(layers, 1), rng.normal(size=(9, 3)), rng.integers(0, 2, 9)
+
+    def loss(w):
+        f = network.margins(x, w, layers)
+        squares = sum((p * p).sum() for p in network._split(w, layers)[::2])
+        return (np.logaddexp(0, f) - y * f).mean() + network.DECAY / len(y) * squares / 2
+
+    g, _ = network.gradient(x, y, w, layers)
+    for i in rng.integers(0, len(w), 12):
+        step = np.zeros(len(w))
+        step[i] = 1e-6
+        assert g[i] == pytest.approx((loss(w + step) - loss(w - step)) / 2e-6, abs=1e-6)
+
+
+def test_networks_of_all_folds_learn(spark, data):
+    x, y, fold, df = data
+    matrix = boost.Matrix(df, ["a", "b", "c x"], "label", use(), 4, "row_id")
+    weights, layers = network.train(matrix, (16, 8), epochs=150)
+    scored = {r["keep"]: r["score"] for r in matrix.scored(network.Networks(weights, layers)).collect()}
+    matrix.close()
+    for m in range(3):
+        held = np.flatnonzero(fold == m)
+        assert np.mean([(scored[i][m] > 0.5) == y[i] for i in held]) > 0.65
+    assert weights.shape[0] == 4 and np.mean([(scored[i][3] > 0.5) == y[i] for i in range(200)]) > 0.75
