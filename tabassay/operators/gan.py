@@ -406,12 +406,12 @@ class ConditionalGAN:
         index = {c: f"c{i}" for i, c in enumerate(self.columns)}
         known = levels(plain, [index[c] for c in text])
         columns = []
-        histograms = histograms(plain, [index[c] for c in wide], CELLS)
+        counted = histograms(plain, [index[c] for c in wide], CELLS)
         for c in self.columns:
             if kinds[c]:
                 columns.append(Column(c, [None, *known[index[c]]]))
             else:
-                columns.append(self._modes(c, histograms[index[c]]))
+                columns.append(self._modes(c, counted[index[c]]))
         counts = []
         for c in columns:
             if c.categories is not None:
