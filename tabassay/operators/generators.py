@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from tabassay.functions.rng import order_key, uniform
 from tabassay.operators.encode import is_text, quoted
 from tabassay.operators.ranking import ranked, shifted
-from tabassay.session import shared_folder
+from tabassay.session import cut
 from tabassay.sources.io import read_external, restore_types
 
 #: Distinct values up to which a numeric column is drawn like a category.
@@ -266,7 +266,7 @@ class SequentialCART:
             coder = self._coder(df, c)
             ready, out = (x.withColumn(f"_x{k}", coder(x)) for x in (ready, out))
             codes[c] = coder
-            out = _cut(out)
+            out = cut(out)
         return out.select("row_id", *[quoted(c) for c in columns])
 
     def _coder(self, df: DataFrame, c: str) -> Callable[[DataFrame], Column]:
@@ -283,14 +283,6 @@ class SequentialCART:
         return self.fit(df).sample(n)
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Ends the lineage of an iterative plan in the session's checkpoint folder, where there is one."""
-    context, path = df.sparkSession.sparkContext, shared_folder(df.sparkSession) if not df.sparkSession.sparkContext.getCheckpointDir() else None
-    if path:
-        context.setCheckpointDir(path)
-    return df.checkpoint() if context.getCheckpointDir() else df.cache()
-
-
 def generate_synthpop(df: DataFrame, n: int, minbucket: int = 5, random_state: int = 42) -> DataFrame:
     return SequentialCART(minbucket, random_state=random_state).fit_sample(df, n)
 

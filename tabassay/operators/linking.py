@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -13,11 +14,14 @@ from pyspark.sql import functions as F
 from tabassay.functions.rng import order_key
 from tabassay.operators.encode import quoted
 from tabassay.operators.ranking import quantiles
+from tabassay.session import cut
 
 #: Reference rows that are broadcast at most, and only while rows times features stay below the second bound.
 BROADCAST_ROWS, BROADCAST_CELLS = 20_000, 2_000_000
 #: Feature count up to which the distance is written out as column arithmetic.
 FLAT_FEATURES = 96
+#: Pivots and blocks of train rows at most, rows of a block in a task, rows bounded and copies made at a time.
+MAX_PIVOTS, MAX_BLOCKS, BLOCK_ROWS, MAPPED_ROWS, COPIED_ROWS = 2048, 65_536, 4096, 64, 8192
 _METRICS = {"manhattan": "cityblock", "cityblock": "cityblock", "euclidean": "euclidean", "cosine": "cosine"}
 
 
@@ -50,7 +54,7 @@ def nearest(synthetic: DataFrame, train: DataFrame, features: list[str], metric:
     """(row_id, dcr, closest) for each synthetic row: distance and id of its nearest train row, ties to the smaller id.
 
     A small train side is broadcast and the minimum is kept while pairs stream by. A larger one is
-    met block by block: every task holds one block of each side, and block minima are merged.
+    met block by block, where the triangle inequality leaves a block in question (PivotedNearest).
     """
     metric = metric_name(metric)
     s = synthetic.select(row_id, *[quoted(c) for c in features])
@@ -61,7 +65,13 @@ def nearest(synthetic: DataFrame, train: DataFrame, features: list[str], metric:
         pairs = spread.alias("s").crossJoin(F.broadcast(t.alias("t"))).select(F.col(f"s.{row_id}").alias(row_id), F.col("t._t").alias("_t"), flat_distance(features, metric).alias("_d"))
         best = pairs.filter("_d IS NOT NULL").groupBy(row_id).agg(F.min("_d").alias("_d"), F.min(F.struct("_d", "_t")).alias("_b"))
         return best.select(row_id, finish(metric, F.col("_d")).alias("dcr"), F.col("_b._t").alias("closest"))
-    return blocked_nearest(s, t, features, metric, row_id)
+    return pivoted_nearest(s, t, features, metric, row_id)
+
+
+def pivoted_nearest(s: DataFrame, t: DataFrame, features: list[str], metric: str, row_id: str = "row_id") -> DataFrame:
+    """nearest() by blocks around pivots, for train rows (_t, features) of any number."""
+    found = PivotedNearest(s, t, features, metric, row_id).rows()
+    return found.select(row_id, finish(metric, F.col("_d")).alias("dcr"), F.col("_t").alias("closest"))
 
 
 def _block_minimum(metric: str) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
@@ -76,29 +86,225 @@ def _block_minimum(metric: str) -> Callable[[np.ndarray, np.ndarray], np.ndarray
     return distances
 
 
-def blocked_nearest(s: DataFrame, t: DataFrame, features: list[str], metric: str, row_id: str, block: int = 4096) -> DataFrame:
-    """nearest() for train sides (_t, features) of any size: a grid of row blocks, each cell a task of bounded memory."""
-    distances = _block_minimum(metric)
-    ns, nt = max(1, -(-s.count() // block)), max(1, -(-t.count() // block))
-    left = s.withColumn("_p", F.pmod(F.xxhash64(row_id), F.lit(ns)).cast("int")).withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(nt - 1))))
-    right = t.withColumn("_q", F.pmod(F.xxhash64("_t"), F.lit(nt)).cast("int")).withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(ns - 1))))
-
-    def meet(ours: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        if not len(ours) or not len(theirs):
-            return pd.DataFrame({row_id: [], "_d": [], "_t": []})
-        theirs = theirs.sort_values("_t")
-        a, b, out = ours[features].to_numpy(float), theirs[features].to_numpy(float), []
-        for i in range(0, len(a), 512):
-            d = distances(a[i : i + 512], b)
-            d = np.where(np.isnan(d), np.inf, d)
-            at = d.argmin(axis=1)
-            out.append(pd.DataFrame({row_id: ours[row_id].to_numpy()[i : i + 512], "_d": d[np.arange(len(at)), at], "_t": theirs["_t"].to_numpy()[at]}))
-        return pd.concat(out)[lambda x: np.isfinite(x["_d"])]
-
-    kinds = f"{row_id} {dict(s.dtypes)[row_id]}, _d double, _t {dict(t.dtypes)['_t']}"
-    cells = left.groupBy("_p", "_q").cogroup(right.groupBy("_p", "_q")).applyInPandas(meet, kinds)
-    best = cells.groupBy(row_id).agg(F.min(F.struct("_d", "_t")).alias("_b"))
-    return best.select(row_id, finish(metric, F.col("_b._d")).alias("dcr"), F.col("_b._t").alias("closest"))
+def _finite(df: DataFrame, features: list[str], metric: str) -> DataFrame:
+    """Rows that have a distance: every feature known and finite, and for cosine not all zero."""
+    good = reduce(lambda a, b: a & b, [F.abs(quoted(c)) < F.lit(float("inf")) for c in features])
+    return df.filter(good & (reduce(lambda a, b: a | b, [quoted(c) != 0 for c in features]) if metric == "cosine" else F.lit(True)))
+
+
+def _points(rows: np.ndarray, metric: str) -> np.ndarray:
+    """Rows as points of a space in which the triangle inequality holds: cosine distance is half the squared distance of unit vectors."""
+    return rows / np.linalg.norm(rows, axis=1)[:, None] if metric == "cosine" else rows
+
+
+def _to_pivots(points: np.ndarray, pivots: np.ndarray, metric: str) -> np.ndarray:
+    """True distances of points to pivots, by the coordinate: products of rows lose the digits that bounds need."""
+    total = np.zeros((len(points), len(pivots)))
+    for i in range(points.shape[1]):
+        step = points[:, [i]] - pivots[:, i]
+        total += np.abs(step) if metric == "cityblock" else step * step
+    return total if metric == "cityblock" else np.sqrt(total)
+
+
+def _radius(metric: str, d: np.ndarray) -> np.ndarray:
+    """The distance between points that a value before finish() stands for."""
+    return d if metric == "cityblock" else np.sqrt(d) if metric == "euclidean" else np.sqrt(np.maximum(2 * d, 0))
+
+
+@dataclass
+class Blocks:
+    """The stored blocks of the train rows: which pivot, distances to it from lo to hi, and in how many parts a block is held.
+
+    There are MAX_PIVOTS + MAX_BLOCKS of them at most, whatever the number of rows.
+    """
+
+    metric: str
+    pivots: np.ndarray
+    keys: np.ndarray
+    pivot: np.ndarray
+    lo: np.ndarray
+    hi: np.ndarray
+    parts: np.ndarray
+
+    def home(self, points: np.ndarray) -> np.ndarray:
+        """Number of the block that most likely holds a point's nearest row: of its nearest pivot, the ring it would lie in."""
+        d = _to_pivots(points, self.pivots, self.metric)
+        own = d[:, self.pivot]
+        gap = np.maximum(0, np.maximum(self.lo - own, own - self.hi))
+        return np.where(self.pivot == d.argmin(axis=1)[:, None], gap, np.inf).argmin(axis=1)
+
+    def open(self, points: np.ndarray, reach: np.ndarray) -> np.ndarray:
+        """(point, block): whether a row of the block can be as near as reach, by the triangle inequality; rounding is allowed for."""
+        d = _to_pivots(points, self.pivots, self.metric)
+        own = d[:, self.pivot]
+        least = np.maximum(np.maximum(own - self.hi, self.lo - own), (own - d.min(axis=1)[:, None]) / 2)
+        return least <= reach[:, None] + 1e-7 * (1 + own)
+
+
+def _nearer(metric: str, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Value before finish() and position of the first nearest row of b for each row of a; no row of b is missing."""
+    best, at = np.full(len(a), np.inf), np.zeros(len(a), np.int64)
+    for i in range(0, len(a), 512):
+        some = a[i : i + 512]
+        if metric == "euclidean":
+            # A matrix product finds the rows within rounding of the least; those alone are measured by the coordinate.
+            rough = (some * some).sum(axis=1)[:, None] + (b * b).sum(axis=1) - 2 * (some @ b.T)
+            slack = 1e-9 * ((some * some).sum(axis=1) + (b * b).sum(axis=1).max())
+            r, c = np.nonzero(rough <= (rough.min(axis=1) + slack)[:, None])
+            d = np.zeros(len(r))
+            for k in range(a.shape[1]):
+                d += (some[r, k] - b[c, k]) ** 2
+            order = np.lexsort((c, d, r))
+            first = order[np.r_[True, r[order][1:] != r[order][:-1]]]
+            best[i : i + 512], at[i : i + 512] = d[first], c[first]
+            continue
+        d = _block_minimum(metric)(some, b)
+        at[i : i + 512] = d.argmin(axis=1)
+        best[i : i + 512] = d[np.arange(len(some)), at[i : i + 512]]
+    return best, at
+
+
+def _undecided(frame: pd.DataFrame, names: list[str], blocks: Blocks) -> tuple[np.ndarray, np.ndarray]:
+    """Row and block numbers that are still to meet: the home block only where it is held in more parts than one."""
+    d = frame["_d"].to_numpy(float)
+    left = blocks.open(_points(frame[names].to_numpy(float), blocks.metric), _radius(blocks.metric, d))
+    left &= (frame["_b"].to_numpy()[:, None] != blocks.keys) | (blocks.parts > 1) | ~np.isfinite(d)[:, None]
+    return np.nonzero(left)
+
+
+class PivotedNearest:
+    """Exact nearest rows of train sides of any size: blocks around pivots, most of which the triangle inequality rules out.
+
+    Equal train rows are one. A bounded number of pivots splits them into cells and rings of about
+    BLOCK_ROWS rows. A synthetic row first meets the block it would lie in; the distance found there
+    rules out every block that cannot hold a nearer or equally near row, and only copies for the
+    others are shuffled, in tasks of BLOCK_ROWS rows of either side at most about. How many are left depends on the
+    data: few where rows cluster, nearly all for independent coordinates in many dimensions (see tried()).
+    Rows with null or not finite features, for cosine also zero rows, have no distance: they are left out on both sides.
+    """
+
+    def __init__(self, s: DataFrame, t: DataFrame, features: list[str], metric: str, row_id: str, block: int = BLOCK_ROWS):
+        self.features, self.metric, self.row_id, self.block, self.spark = features, metric, row_id, block, s.sparkSession
+        self.names = [f"_f{i}" for i in range(len(features))]
+        plain = [quoted(c).cast("double").alias(n) for c, n in zip(features, self.names, strict=True)]
+        known = _finite(t.select("_t", *plain), self.names, metric).groupBy(*self.names).agg(F.min("_t").alias("_t"))
+        self.t = cut(known)
+        self.s = _finite(s.select(row_id, *plain), self.names, metric).withColumn("_r", F.pmod(F.xxhash64(row_id), F.lit(1 << 30)))
+        self.types = ", ".join(f"{n} double" for n in self.names)
+        self.id_type, self.t_type = dict(s.dtypes)[row_id], dict(t.dtypes)["_t"]
+        self.n = self.t.count()
+        if self.n:
+            self._arrange()
+
+    def _mapped(self, df: DataFrame, kinds: str, each: Callable[[pd.DataFrame], Iterator[pd.DataFrame]]) -> DataFrame:
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                for i in range(0, len(frame), MAPPED_ROWS):
+                    yield from each(frame.iloc[i : i + MAPPED_ROWS])
+
+        return df.mapInPandas(run, kinds)
+
+    def _arrange(self) -> None:
+        names, metric, block = self.names, self.metric, self.block
+        many = int(min(MAX_PIVOTS, max(1, BROADCAST_CELLS // len(names)), -(-4 * self.n // block)))
+        chosen = self.t.orderBy(order_key(F.col("_t"), "pivots"), "_t").limit(many).toPandas()  # a bounded number of rows
+        pivots = _points(chosen[names].to_numpy(float), metric)
+        shared = self.spark.sparkContext.broadcast(pivots)
+
+        def assign(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            d = _to_pivots(_points(frame[names].to_numpy(float), metric), shared.value, metric)
+            yield frame.assign(_c=d.argmin(axis=1), _p=d.min(axis=1))
+
+        near = cut(self._mapped(self.t, f"{self.types}, _t {self.t_type}, _c long, _p double", assign))
+        ring_rows = max(block, -(-self.n // MAX_BLOCKS))
+        cells = near.groupBy("_c").agg(F.ceil(F.count("*") / ring_rows).alias("_k"), F.min("_p").alias("_lo"), F.max("_p").alias("_hi"))
+        ring = F.coalesce(F.least(F.col("_k") - 1, F.floor(F.try_divide(F.col("_p") - F.col("_lo"), F.col("_hi") - F.col("_lo")) * F.col("_k"))), F.lit(0))
+        ringed = near.join(F.broadcast(cells), "_c").withColumn("_b", F.col("_c") * F.lit(1 << 20) + ring).drop("_k", "_lo", "_hi")
+        # One row for each block, of which there are MAX_PIVOTS + MAX_BLOCKS at most.
+        table = ringed.groupBy("_b").agg(F.count("*").alias("n"), F.min("_p").alias("lo"), F.max("_p").alias("hi")).toPandas().sort_values("_b")
+        keys = table["_b"].to_numpy(np.int64)
+        self.blocks = Blocks(metric, pivots, keys, keys >> 20, table["lo"].to_numpy(), table["hi"].to_numpy(), -(-table["n"].to_numpy(np.int64) // block))
+        self.shared = self.spark.sparkContext.broadcast(self.blocks)
+        parts = self._by_block({"_m": self.blocks.parts})
+        self.stored = ringed.join(F.broadcast(parts), "_b").withColumn("_h", F.pmod(F.xxhash64("_t", F.lit(1)), F.col("_m"))).select("_b", "_h", "_t", *names)
+
+    def _by_block(self, columns: dict[str, np.ndarray]) -> DataFrame:
+        return self.spark.createDataFrame(pd.DataFrame({"_b": self.blocks.keys, **{k: v.astype(np.int64) for k, v in columns.items()}}))
+
+    def _meet(self, copies: DataFrame, splits: np.ndarray) -> DataFrame:
+        """The best of one part of a block for each copy (.., _b, _h, _x); a part goes to as many tasks as its copies need."""
+        names, metric, row_id = self.names, self.metric, self.row_id
+        wanted = F.broadcast(self._by_block({"_n": splits}).filter("_n > 0"))
+        parts = self.stored.join(wanted, "_b").withColumn("_x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))).drop("_n")
+
+        def meet(ours: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+            out = ours[[row_id, *names]].assign(_r=ours["_r"], _b=ours["_b"], _d=np.inf)
+            if not len(ours) or not len(theirs):
+                return out.assign(_t=None)
+            theirs = theirs.sort_values("_t")
+            out["_d"], at = _nearer(metric, ours[names].to_numpy(float), theirs[names].to_numpy(float))
+            return out.assign(_t=theirs["_t"].to_numpy()[at])
+
+        kinds = f"{row_id} {self.id_type}, {self.types}, _r long, _b long, _d double, _t {self.t_type}"
+        return copies.groupBy("_b", "_h", "_x").cogroup(parts.groupBy("_b", "_h", "_x")).applyInPandas(meet, kinds)
+
+    def _splits(self, counts: DataFrame) -> np.ndarray:
+        """In how many tasks a block's copies are taken; counts (_b, n) has one row for each block."""
+        found = dict(counts.groupBy("_b").agg(F.sum("n").alias("n")).toPandas().itertuples(index=False, name=None))
+        return np.array([-(-int(found.get(k, 0)) // self.block) for k in self.blocks.keys], np.int64)
+
+    def first(self) -> DataFrame:
+        """Every synthetic row with the best of its home block (_d infinite where that part is empty), stored."""
+        names, metric, row_id, shared = self.names, self.metric, self.row_id, self.shared
+        kinds = f"{row_id} {self.id_type}, {self.types}, _r long, _b long, _h long"
+
+        def home(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            at = shared.value.home(_points(frame[names].to_numpy(float), metric))
+            yield frame[[row_id, *names, "_r"]].assign(_b=shared.value.keys[at], _h=frame["_r"].to_numpy() % shared.value.parts[at])
+
+        placed = cut(self._mapped(self.s, kinds, home))
+        splits = self._splits(placed.groupBy("_b").agg(F.count("*").alias("n")))
+        spread = placed.join(F.broadcast(self._by_block({"_n": splits})), "_b").withColumn("_x", F.pmod(F.xxhash64("_r", F.lit(2)), F.col("_n"))).drop("_n")
+        return cut(self._meet(spread, splits))
+
+    def _counted(self, first: DataFrame) -> DataFrame:
+        shared, names = self.shared, self.names
+
+        def count(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            numbers, n = np.unique(_undecided(frame, names, shared.value)[1], return_counts=True)
+            yield pd.DataFrame({"_b": shared.value.keys[numbers], "n": n})
+
+        return self._mapped(first, "_b long, n long", count)
+
+    def tried(self) -> tuple[int, int]:
+        """Pairs of a synthetic row and a block that are left after the home blocks, and how many there are in all."""
+        if not self.n:
+            return 0, 0
+        first = self.first()
+        return int(self._counted(first).agg(F.sum("n")).first()[0] or 0), first.count() * len(self.blocks.keys)
+
+    def rows(self) -> DataFrame:
+        """(row_id, _d, _t) of the nearest train row, ties to the smaller id."""
+        names, row_id = self.names, self.row_id
+        if not self.n:
+            return self.spark.createDataFrame([], f"{row_id} {self.id_type}, _d double, _t {self.t_type}")
+        first, shared = self.first(), self.shared
+        splits = self._splits(self._counted(first))
+        dealt = self.spark.sparkContext.broadcast(splits)
+        kinds = f"{row_id} {self.id_type}, {self.types}, _r long, _b long, _h long, _x long"
+
+        def copy(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            r, b = _undecided(frame, names, shared.value)
+            parts = shared.value.parts[b]
+            r, b, h = np.repeat(r, parts), np.repeat(b, parts), np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+            for i in range(0, len(r), COPIED_ROWS):
+                some = frame.iloc[r[i : i + COPIED_ROWS]][[row_id, *names, "_r"]]
+                at = b[i : i + COPIED_ROWS]
+                yield some.assign(_b=shared.value.keys[at], _h=h[i : i + COPIED_ROWS], _x=some["_r"].to_numpy() % dealt.value[at])
+
+        later = self._meet(self._mapped(first, kinds, copy), splits)
+        both = first.select(row_id, "_d", "_t").union(later.select(row_id, "_d", "_t")).filter(F.col("_t").isNotNull())
+        return both.groupBy(row_id).agg(F.min(F.struct("_d", "_t")).alias("_b")).select(row_id, "_b._d", "_b._t")
 
 
 def pairwise_sample(train: DataFrame, features: list[str], metric: str = "euclidean", n: int = 1000, seed: int = 42, row_id: str = "row_id") -> DataFrame:

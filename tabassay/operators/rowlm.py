@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tabassay.functions.rng import order_key, uniform
 from tabassay.operators.encode import quoted
 from tabassay.operators.generators import CATEGORY_THRESHOLD, indexed
-from tabassay.operators.generators import _cut as cut_lineage
+from tabassay.session import cut as cut_lineage
 from tabassay.operators.generators import value_column_types
 from tabassay.operators.ranking import histograms
 

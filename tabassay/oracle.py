@@ -411,6 +411,7 @@ def oracle_sql() -> dict[str, str]:
         "mutual_information": _with(MICRO, "j AS (SELECT segment, status, count(*) AS n FROM micro GROUP BY 1, 2)", select="""SELECT round(sum(n / CAST(t AS DOUBLE) * ln(n * CAST(t AS DOUBLE) / (na * nb))), 6) AS mi FROM
           (SELECT n, sum(n) OVER () AS t, sum(n) OVER (PARTITION BY segment) AS na, sum(n) OVER (PARTITION BY status) AS nb FROM j)"""),
         "dcr_nn_per_record": per_record("euclidean", 64),
+        "dcr_pivoted": per_record("euclidean", 64),
         "dcr_cityblock": per_record("cityblock", 64),
         "dcr_cosine": per_record("cosine", 64),
         "dcr_summary": _with(*dcr_near, DCR, select=f"""SELECT {_r('dcr_percentile', 'dcr_mean', 'dcr_median', 'dcr_min', 'dcr_std')}, n, (SELECT count(*) FROM near WHERE near.dcr < dcr_min + dcr_std) AS n_close_matches,

@@ -96,6 +96,11 @@ def _nearest(metric: str) -> Query:
     return query
 
 
+def _pivoted(spark: SparkSession, d: str) -> DataFrame:
+    train, synthetic, names = vectors(spark, d)
+    return r6(linking.pivoted_nearest(synthetic, train.withColumnRenamed("row_id", "_t"), names, "euclidean"))
+
+
 def _dcr_summary(spark: SparkSession, d: str) -> DataFrame:
     train, synthetic, names = vectors(spark, d)
     return r6(linking.dcr_summary(linking.nearest(synthetic, train, names)))
@@ -404,6 +409,7 @@ QUERIES: dict[str, Query] = {
     "dcr_nn_per_record": _nearest("euclidean"),
     "dcr_cityblock": _nearest("manhattan"),
     "dcr_cosine": _nearest("cosine"),
+    "dcr_pivoted": _pivoted,
     "dcr_summary": _dcr_summary,
     "typical_distance": _typical,
     "dcr_privacy": _dcr_privacy,

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 #: Rows of an Arrow batch at most; long texts make the usual batches of 10,000 heavy.
@@ -35,3 +35,11 @@ def shared_folder(spark: SparkSession) -> str | None:
     if not path and master != "local" and not master.startswith("local["):
         raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return path.rstrip("/") if path else None
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Ends the lineage of an iterative plan in the session's checkpoint folder, where there is one."""
+    context, path = df.sparkSession.sparkContext, shared_folder(df.sparkSession) if not df.sparkSession.sparkContext.getCheckpointDir() else None
+    if path:
+        context.setCheckpointDir(path)
+    return df.checkpoint() if context.getCheckpointDir() else df.cache()
