@@ -2,48 +2,97 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 256
-#: Rows among which a rank is looked up in a single task at most, unless values repeat.
+#: Rows among which a rank is looked up in a single task at most.
 EDGE_ROWS = 200_000
 
 
-def value_at(df: DataFrame, column: str, rank: int, n: int) -> object:
-    """The value of 0-based rank among the n rows of df whose numeric column is known and no NaN.
-
-    Approximate quantiles around the rank bound ever fewer rows, which are counted, until few are left.
+@dataclass
+class _Sought:
+    """A rank that is looked for: between the ends, both left out (None: no end), lie n values, and rank counts from there."""
+
+    column: str
+    rank: int
+    n: int
+    low: object = None
+    high: object = None
+    found: object = None
+
+    def inside(self) -> Column:
+        """The column's value where it lies between the ends, else null."""
+        v = F.col(f"`{self.column}`")
+        known = v.isNotNull()
+        for end, keep in ((self.low, v > F.lit(self.low)), (self.high, v < F.lit(self.high))):
+            known = known & keep if end is not None else known
+        return F.when(known, v)
+
+    def narrowed(self, a: object, b: object, below: int, at_a: int, between: int, at_b: int) -> None:
+        """Goes on with the part that holds the rank; ties with either end are counted out, so that every step gets on."""
+        bounds = [below, below + at_a, below + at_a + between, below + at_a + between + at_b]
+        part = sum(self.rank >= x for x in bounds)
+        if part in (1, 3):
+            self.found = a if part == 1 else b
+            return
+        start, stop = {0: (0, bounds[0]), 2: (bounds[1], bounds[2]), 4: (bounds[3], self.n)}[part]
+        self.low, self.high = {0: (self.low, a), 2: (a, b), 4: (b, self.high)}[part]
+        self.rank, self.n = self.rank - start, stop - start
+
+
+def values_at(df: DataFrame, sought: list[tuple[str, int, int]]) -> list[object]:
+    """The values of (column, 0-based rank, n): rank among the n rows of df whose numeric column is known and no NaN.
+
+    All ranks are looked up together: one pass takes approximate quantiles around each, the next counts
+    what lies below, between and at them, and the search goes on strictly between. When EDGE_ROWS values
+    or fewer are left of every rank, one pass more sorts those.
     """
-    at, before = df.filter(F.col(f"`{column}`").isNotNull()).select(F.col(f"`{column}`").alias("v")), 0
-    while n > EDGE_ROWS:
-        share = (rank + 0.5) / n
-        low, high = at.agg(F.percentile_approx("v", F.array(*[F.lit(min(1.0, max(0.0, share + d))) for d in (-0.002, 0.002)]), F.lit(2000)).alias("q")).first()["q"]
-        below, inside = at.agg(F.count_if(F.col("v") < low), F.count_if(F.col("v").between(low, high))).first()
-        if low == high and below <= rank < below + inside:
-            return low
-        if not below <= rank < below + inside or inside == n:
-            break  # the bounds miss the rank or bound nothing
-        at, rank, n = at.filter(F.col("v").between(low, high)), rank - below, inside
-    return at.orderBy("v").offset(rank).limit(1).first()["v"]
+    ranks = [_Sought(*x) for x in sought]
+    while wide := [r for r in ranks if r.found is None and r.n > EDGE_ROWS]:
+        near = [[min(1.0, max(0.0, (r.rank + 0.5) / r.n + d)) for d in (-0.002, 0.002)] for r in wide]
+        ends = df.agg(*[F.percentile_approx(r.inside(), F.array(*map(F.lit, q)), F.lit(2000)).alias(f"q{i}") for i, (r, q) in enumerate(zip(wide, near, strict=True))]).first()
+        counts = []
+        for i, r in enumerate(wide):
+            v, (a, b) = r.inside(), ends[f"q{i}"]
+            parts = [v < a, v == a, (v > a) & (v < b), (v == b) & F.lit(a != b)]
+            counts += [F.count_if(F.coalesce(p, F.lit(False))).alias(f"n{i}_{k}") for k, p in enumerate(parts)]
+        row = df.agg(*counts).first()
+        for i, r in enumerate(wide):
+            r.narrowed(*ends[f"q{i}"], *[row[f"n{i}_{k}"] for k in range(4)])
+    if rest := [i for i, r in enumerate(ranks) if r.found is None]:
+        kinds = {df.schema[ranks[i].column].dataType for i in rest}
+        value = lambda i: ranks[i].inside() if len(kinds) == 1 else ranks[i].inside().cast("double")
+        each = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), value(i).alias("v")) for i in rest])).alias("x")).select("x.i", "x.v").filter("v IS NOT NULL")
+        wanted = F.element_at(F.create_map(*[F.lit(y) for i in rest for y in (i, ranks[i].rank + 1)]), F.col("i"))
+        numbered = each.withColumn("n", F.row_number().over(Window.partitionBy("i").orderBy("v")))
+        for r in numbered.filter(F.col("n") == wanted).collect():  # one row for each rank
+            ranks[r["i"]].found = r["v"]
+    return [r.found for r in ranks]
+
+
+def value_at(df: DataFrame, column: str, rank: int, n: int) -> object:
+    """values_at() of one rank."""
+    return values_at(df, [(column, rank, n)])[0]
 
 
 def quantiles(df: DataFrame, columns: list[str], share: float) -> dict[str, float | None]:
-    """Exact quantile of each column, linear between ranks. Small tables take one aggregation, large ones bounded lookups."""
+    """Exact quantile of each column, linear between ranks. Small tables take one aggregation, large ones bounded lookups of all columns together."""
     name = lambda c: F.col(f"`{c}`")
     sizes = df.agg(*[F.count(name(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
     if max(sizes, default=0) <= EDGE_ROWS:
         row = df.agg(*[F.percentile(name(c), F.lit(share)).alias(f"q{i}") for i, c in enumerate(columns)]).first()
         return {c: row[f"q{i}"] for i, c in enumerate(columns)}
-    out: dict[str, float | None] = {}
-    for i, c in enumerate(columns):
-        n = sizes[f"n{i}"]
-        at = (n - 1) * share
-        low = float(value_at(df, c, int(at), n)) if n else None
-        out[c] = low if not n or at == int(at) else low + (at - int(at)) * (float(value_at(df, c, int(at) + 1, n)) - low)
-    return out
+    known = {c: sizes[f"n{i}"] for i, c in enumerate(columns) if sizes[f"n{i}"]}
+    places = {c: (n - 1) * share for c, n in known.items()}
+    sought = [(c, r, known[c]) for c, at in places.items() for r in sorted({math.floor(at), math.ceil(at)})]
+    found = {(c, r): float(v) for (c, r, _), v in zip(sought, values_at(df, sought), strict=True)}
+    ends = {c: (found[c, math.floor(at)], found[c, math.ceil(at)]) for c, at in places.items()}
+    return {c: ends[c][0] + (places[c] % 1) * (ends[c][1] - ends[c][0]) if c in ends else None for c in columns}
 
 
 def range_bucket(df: DataFrame, column: str, buckets: int = BUCKETS) -> Column:

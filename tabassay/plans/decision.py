@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from tabassay.constants import CORE_METRICS, EFFICIENCY_TABLE, HIGHER_IS_BETTER, OBJECTIVES, PROFILES, RUNTIME_MINUTES
 from tabassay.functions import values as V
+from tabassay.operators.ranking import range_bucket
+
+#: Points of one bucket of frontier(), and its buckets at most.
+BUCKET_POINTS, MAX_BUCKETS = 100_000, 4096
 
 
 def lookup(table: dict, key: Column, default: float | None = None) -> Column:
@@ -216,13 +220,27 @@ def correlation_adjusted(values: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rank_methods(profile_scores(collapsed(values), collapsed_profiles())), breakeven(values)
 
 
+def frontier(points: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
+    """Adds optimal to points: no other is at least as good in both columns and better in one. A point with a null is optimal.
+
+    Points of one x are dominated by their greatest y, and by the greatest y of any greater x: a running
+    maximum inside range buckets of x, shifted by the maxima of the buckets above. Nothing is broadcast but
+    one row for each bucket.
+    """
+    known = points.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    best = known.groupBy(F.col(x).alias("_x")).agg(F.max(y).alias("_y"))
+    bucket = range_bucket(best, "_x", max(2, min(MAX_BUCKETS, best.count() // BUCKET_POINTS)))
+    own = best.withColumn("_b", bucket).withColumn("_in", F.max("_y").over(Window.partitionBy("_b").orderBy(F.desc("_x")).rowsBetween(Window.unboundedPreceding, -1)))
+    tops = own.groupBy("_b").agg(F.max("_y").alias("_top"))
+    above = tops.withColumn("_over", F.max("_top").over(Window.partitionBy(F.lit(1)).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1))).drop("_top")
+    leading = own.join(F.broadcast(above), "_b").filter(F.coalesce(F.col("_y") > F.greatest("_in", "_over"), F.lit(True))).select("_x", "_y")
+    joined = points.join(leading, (F.col(x) == F.col("_x")) & (F.col(y) == F.col("_y")), "left")
+    return joined.withColumn("optimal", F.col("_x").isNotNull() | F.col(x).isNull() | F.col(y).isNull()).drop("_x", "_y")
+
+
 def pareto(means: DataFrame, x: Column, y: Column) -> DataFrame:
-    """(method, x, y, optimal): optimal where no other method is at least as good in both and better in one."""
-    points = means.select("method", x.alias("x"), y.alias("y"))
-    other = points.select(F.col("method").alias("_m"), F.col("x").alias("_x"), F.col("y").alias("_y"))
-    worse = (F.col("_x") >= F.col("x")) & (F.col("_y") >= F.col("y")) & ((F.col("_x") > F.col("x")) | (F.col("_y") > F.col("y")))
-    best = points.join(F.broadcast(other), worse, "left_anti").select("method").withColumn("optimal", F.lit(True))
-    return points.join(F.broadcast(best), "method", "left").withColumn("optimal", F.coalesce("optimal", F.lit(False)))
+    """(method, x, y, optimal): frontier() of the methods."""
+    return frontier(means.select("method", x.alias("x"), y.alias("y")))
 
 
 def pareto_privacy_fidelity(results: DataFrame) -> DataFrame:

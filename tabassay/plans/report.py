@@ -16,39 +16,42 @@ def _label(method: str) -> str:
     return METHOD_LABELS.get(method, method)
 
 
-def _bar(x: float, width: int) -> str:
-    full = max(0, min(width, int(x * width)))
-    return "█" * full + "░" * (width - full)
-
-
 def _number(x: float | None, form: str = ".4f") -> str:
     return "n/a" if x is None else format(x, form)
 
 
+#: The least normalised value that each word stands for.
+STRENGTHS = {"strong": 0.7, "moderate": 0.4, "weak": 0.0}
+
+
+def _strength(value: float) -> str:
+    return next(word for word, least in STRENGTHS.items() if value > least or word == "weak")
+
+
 def recommendation(results: DataFrame, weights: dict[str, float], profile_name: str = "Custom") -> str:
-    """Ranking under one set of weights, with the leader's strengths and weaknesses; any number of methods."""
+    """Who leads under one set of weights and by how much, what every method gets from each objective, and where the leader stands.
+
+    Any number of methods. A cell of the table is the objective's part of the score: its weight times the normalised value.
+    """
     D.check_weights(weights)
     normal = D.normalize(D.method_scores(results)).cache()
     ranked = D.rank_methods(D.weighted(normal, D.profile_table(results.sparkSession, {"p": weights}))).orderBy("rank", "method").collect()
-    lines = [RULE, "MADA RECOMMENDATION REPORT", f"Profile: {profile_name}", RULE, "", "Weights"]
-    lines += [f"  {o.capitalize():<12} {_bar(w, 20)} {w:.0%}" for o, w in sorted(weights.items(), key=lambda x: -x[1])]
-    lines += ["", "METHOD RANKINGS"] + [f"  {r['rank']:<3} {_label(r['method']):<24} {r['score']:.4f}" for r in ranked]
+    values = {(r["method"], OBJECTIVES[r["metric"]]): r["value"] for r in normal.filter(normal.metric.isin(*OBJECTIVES)).collect()}
+    normal.unpersist()
     if not ranked:
-        return "\n".join([*lines, "", "No results.", RULE])
-    top = ranked[0]
-    lines += ["", "RECOMMENDATION", f"  Primary: {_label(top['method'])}"]
-    if len(ranked) > 1:
-        lines.append(f"  Score advantage: +{top['score'] - ranked[1]['score']:.4f} over {_label(ranked[1]['method'])}")
-    own = {r["metric"]: r["value"] for r in normal.filter(normal.method == top["method"]).collect()}
-    lines += ["", "TOP METHOD PROFILE"]
-    weak = []
-    for metric, objective in OBJECTIVES.items():
-        if (v := own.get(metric)) is not None:
-            word = "Strong" if v > 0.7 else "Moderate" if v > 0.4 else "Weak"
-            lines.append(f"  {objective.capitalize():<12} {_bar(v, 15)} {v:.2f} ({word})")
-            weak += [objective] if v < 0.4 else []
-    lines += ["", "TRADE-OFF CONSIDERATIONS", f"  Low in: {', '.join(weak)}" if weak else "  No objective is weak.", RULE]
-    return "\n".join(lines)
+        return f"RECOMMENDATION ({profile_name}): none, as there are no results."
+    leader, *others = ranked
+    lead = f", {_number(leader['score'] - others[0]['score'])} ahead of {_label(others[0]['method'])}" if others else ", the only method"
+    objectives = sorted(weights, key=lambda o: (-weights[o], o))
+    table = [["", "method", "score", *[f"{o} {weights[o]:.0%}" for o in objectives]]]
+    for r in ranked:
+        parts = [values.get((r["method"], o)) for o in objectives]
+        table.append([str(r["rank"]), _label(r["method"]), _number(r["score"]), *[_number(None if v is None else v * weights[o], ".3f") for o, v in zip(objectives, parts, strict=True)]])
+    widths = [max(map(len, column)) for column in zip(*table, strict=True)]
+    rows = ["  ".join(cell.ljust(w) if i < 2 else cell.rjust(w) for i, (cell, w) in enumerate(zip(row, widths, strict=True))).rstrip() for row in table]
+    own = {o: values[leader["method"], o] for o in OBJECTIVES.values() if values.get((leader["method"], o)) is not None}
+    stands = [f"{_label(leader['method'])} is {word} in " + ", ".join(f"{o} ({v:.2f})" for o, v in own.items() if _strength(v) == word) + "." for word in STRENGTHS if any(_strength(v) == word for v in own.values())]
+    return "\n".join([f"RECOMMENDATION ({profile_name}): {_label(leader['method'])}{lead}", "", *rows, "", *stands])
 
 
 def all_profiles(results: DataFrame) -> str:

@@ -5,7 +5,9 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from tabassay.config import DatasetConfig
 from tabassay.operators import encode, generators, measures, ranking, sampling
+from tabassay.plans import decision
 
 
 @pytest.fixture
@@ -47,3 +49,23 @@ def test_columns_of_too_many_values_are_refused(spark):
 def test_union_by_name(spark):
     both = measures.labelled(spark.range(2).select("id", F.lit(1).alias("x")), spark.range(3).select("id"), "label")
     assert sorted(map(str, both.collect())) == sorted(["Row(id=0, x=1, label=0)", "Row(id=1, x=1, label=0)", *[f"Row(id={i}, x=None, label=1)" for i in range(3)]])
+
+
+def test_quantiles_of_columns_of_two_values(spark):
+    df = spark.range(10_000_000).select((F.col("id") % 2).cast("double").alias("half"), F.when(F.col("id") % 10 < 4, 0.0).when(F.col("id") % 10 < 8, 1.0).otherwise(F.col("id") / 1e7).alias("edges"))
+    assert ranking.quantiles(df, ["half", "edges"], 0.5) == {"half": 0.5, "edges": pytest.approx(0.5, abs=1e-6)}
+    assert ranking.values_at(df, [("half", 4_999_999, 10_000_000), ("half", 5_000_000, 10_000_000), ("edges", 9_999_999, 10_000_000), ("edges", 0, 10_000_000)]) == [0.0, 1.0, 1.0, 0.0]
+
+
+def test_frontier_of_many_points(spark, monkeypatch):
+    monkeypatch.setattr(decision, "BUCKET_POINTS", 20)
+    draw = [(float(i * 7919 % 211), float(i * 104729 % 197)) for i in range(1500)] + [(205.0, None), (None, None), (210.0, 3.0), (210.0, 3.0)]
+    df = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(draw)], "id int, x double, y double")
+    got = {r["id"]: r["optimal"] for r in decision.frontier(df).collect()}
+    beaten = lambda x, y: any(a is not None and b is not None and a >= x and b >= y and (a > x or b > y) for a, b in draw)
+    assert got == {i: x is None or y is None or not beaten(x, y) for i, (x, y) in enumerate(draw)}
+
+
+def test_settings_are_faulted_together():
+    with pytest.raises(ValueError, match="train_fraction.*no categorical.*sample_size"):
+        DatasetConfig("n", "p", "y", "g", [], [], train_fraction=1.0, sample_size=0).validate()
