@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from itertools import combinations
 from typing import Protocol
@@ -29,16 +30,31 @@ def _numeric(df: DataFrame, column: str) -> bool:
     return isinstance(df.schema[column].dataType, T.NumericType)
 
 
-def distinct_values(df: DataFrame) -> dict[str, int]:
+def distinct_values(df: DataFrame, columns: list[str] | None = None) -> dict[str, int]:
     """Number of distinct values of each column, in one pass."""
-    columns = [c for c in df.columns if c != "row_id"]
+    columns = [c for c in df.columns if c != "row_id"] if columns is None else columns
+    if not columns:
+        return {}
     row = df.agg(*[F.count_distinct(quoted(c)).alias(c) for c in columns]).first()
     return {c: row[c] for c in columns}
 
 
 def value_column_types(df: DataFrame, threshold: int = CATEGORY_THRESHOLD, counts: dict[str, int] | None = None) -> dict[str, bool]:
     """Whether each column is categorical: not numeric, or at most threshold distinct values."""
-    return {c: not _numeric(df, c) or n <= threshold for c, n in (counts or distinct_values(df)).items()}
+    columns = [c for c in df.columns if c != "row_id"]
+    numbers = [c for c in columns if _numeric(df, c)]
+    few = {c: n <= threshold for c, n in counts.items()} if counts is not None else few_values(df, numbers, threshold)
+    return {c: not _numeric(df, c) or few[c] for c in columns}
+
+
+def few_values(df: DataFrame, columns: list[str], most: int) -> dict[str, bool]:
+    """Whether each column has at most `most` distinct values, null left out. A sketch tells clear cases, near ones are counted exactly."""
+    if not columns:
+        return {}
+    about = df.agg(*[F.approx_count_distinct(quoted(c), 0.02).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    near = [c for i, c in enumerate(columns) if about[f"n{i}"] <= 2 * most]
+    exact = distinct_values(df, near)
+    return {c: c in exact and exact[c] <= most for c in columns}
 
 
 def frequencies(df: DataFrame, column: str) -> DataFrame:
@@ -71,8 +87,10 @@ class IndependentMarginals:
         self.seed = random_state
 
     def fit(self, df: DataFrame) -> IndependentMarginals:
-        self.df, self.counts = df, distinct_values(df)
-        self.kinds = value_column_types(df, counts=self.counts)
+        self.df, self.kinds = df, value_column_types(df)
+        categories = [c for c, categorical in self.kinds.items() if categorical]
+        row = df.agg(F.count("*"), *[F.approx_count_distinct(quoted(c)) for c in categories]).first()
+        self.counts = dict(zip(categories, row[1:], strict=True))
         return self
 
     def sample(self, n: int) -> DataFrame:
@@ -113,6 +131,29 @@ def mutual_information(df: DataFrame, a: list[str], b: list[str]) -> DataFrame:
     return both.agg(F.coalesce(F.sum(F.col("n") / F.col("t") * F.ln(F.col("n") * F.col("t") / (F.col("na") * F.col("nb")))), F.lit(0.0)).alias("mi"))
 
 
+#: Sets of columns that are counted in one job.
+SETS_A_JOB = 200
+
+
+def entropies(df: DataFrame, sets: list[frozenset[str]]) -> dict[frozenset[str], float]:
+    """Entropy in nats of the joint values of each set of columns; nulls are values. All sets are counted in one pass by grouping sets.
+
+    A set comes back as its number; the driver sees one row for each, the counts stay where they are.
+    """
+    if long := [c for c in df.columns if c == "_set"]:
+        raise ValueError(f"the name is taken: {long}")
+    out: dict[frozenset[str], float] = {}
+    for start in range(0, len(sets), SETS_A_JOB):
+        some = sets[start : start + SETS_A_JOB]
+        used = sorted(set().union(*some))
+        # Bit i of grouping_id, from the left, is set where column i is not in the set.
+        number = {sum(1 << (len(used) - 1 - i) for i, c in enumerate(used) if c not in s): s for s in some}
+        counts = df.groupingSets([[quoted(c) for c in sorted(s)] for s in some], *[quoted(c) for c in used]).agg(F.grouping_id().alias("_set"), F.count("*").cast("double").alias("n"))
+        sums = counts.groupBy("_set").agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.ln("n")).alias("l"))
+        out |= {number[r["_set"]]: math.log(r["t"]) - r["l"] / r["t"] for r in sums.collect()}
+    return out
+
+
 #: Values of a column of a network at most.
 MAX_VALUES = 5000
 
@@ -155,24 +196,21 @@ class DPBayesianNetwork:
         return F.least(F.lit(self.bins - 1), F.floor((quoted(c).cast("double") - F.lit(lo)) / F.lit(hi - lo) * self.bins)).cast("int").cast("string")
 
     def _network(self, n: int) -> list[tuple[str, tuple[str, ...]]]:
-        import math
-
         import numpy as np
 
         draw = np.random.Generator(np.random.PCG64(self.seed))
         order = [self.columns[int(draw.integers(len(self.columns)))]]
         out: list[tuple[str, tuple[str, ...]]] = [(order[0], ())]
+        known: dict[frozenset[str], float] = {}
         steps = max(1, len(self.columns) - 1)
         sensitivity = (2 / n) * math.log((n + 1) / 2) + ((n - 1) / n) * math.log((n + 1) / max(1, n - 1)) if n > 1 else 1.0
         scale = 2 * sensitivity * steps / (self.epsilon / 2)
         while len(order) < len(self.columns):
             choices = [(c, p) for c in self.columns if c not in order for p in combinations(order, min(self.degree, len(order)))]
-            found = [mutual_information(self.coded, [c], list(p)).withColumn("k", F.lit(i)) for i, (c, p) in enumerate(choices)]
-            every = found[0]
-            for f in found[1:]:
-                every = every.union(f)
-            mi = {r["k"]: r["mi"] for r in every.collect()}  # one number for each candidate, of the columns alone
-            score = np.array([mi[i] for i in range(len(choices))]) / scale
+            # Only sets with the column that came last are new; what earlier steps counted is kept.
+            wanted = {s for c, p in choices for s in (frozenset([c]), frozenset(p), frozenset([c, *p]))}
+            known |= entropies(self.coded, sorted(wanted - known.keys(), key=sorted))
+            score = np.array([max(0.0, known[frozenset([c])] + known[frozenset(p)] - known[frozenset([c, *p])]) for c, p in choices]) / scale
             p = np.exp(score - score.max())
             c, parents = choices[int(draw.choice(len(choices), p=p / p.sum()))]
             order.append(c)

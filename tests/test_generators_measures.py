@@ -50,6 +50,21 @@ def test_same_seed_same_rows(people):
     assert rows_of(a) == rows_of(b)
 
 
+def test_entropies_of_all_sets_in_one_pass(spark):
+    df = spark.range(500).select(F.when(F.col("id") % 7 > 0, F.col("id") % 3).alias("a b"), (F.col("id") % 4).alias("c"), F.when(F.col("id") % 5 > 1, F.lit("x")).alias("d"))
+    sets = [frozenset(s) for s in (["a b"], ["c"], ["d"], ["a b", "c"], ["a b", "d"], ["c", "d"], ["a b", "c", "d"])]
+    h = generators.entropies(df, sets)
+    assert set(h) == set(sets)
+    for a, b in ((["a b"], ["c"]), (["c"], ["a b", "d"]), (["d"], ["c"])):
+        want = generators.mutual_information(df, a, b).first()["mi"]
+        assert h[frozenset(a)] + h[frozenset(b)] - h[frozenset(a + b)] == pytest.approx(want, abs=1e-9)
+
+
+def test_kinds_of_columns_by_few_values(spark):
+    df = spark.range(3000).select(F.col("id").alias("row_id"), (F.col("id") % 20).alias("twenty"), (F.col("id") % 21).alias("more"), F.col("id").alias("all"), F.lit(None).cast("int").alias("none"), F.col("id").cast("string").alias("text"))
+    assert generators.value_column_types(df) == {"twenty": True, "more": False, "all": False, "none": True, "text": True}
+
+
 def test_marginals_keep_nulls_and_constant_columns(spark):
     df = spark.createDataFrame([(i, "x", None if i % 2 else "y") for i in range(40)], "row_id int, c string, n string")
     got = generators.IndependentMarginals().fit_sample(df, 80)
