@@ -52,8 +52,11 @@ def cmd_analyze(args: argparse.Namespace) -> None:
 
 
 def cmd_recommend(args: argparse.Namespace) -> None:
-    from tabassay.plans.report import all_profiles, recommendation
+    from tabassay.plans.report import all_profiles, overview, recommendation
 
+    if args.overview:
+        print(overview(_results(args.results)))
+        return
     if args.all:
         print(all_profiles(_results(args.results)))
         return
@@ -79,8 +82,11 @@ def cmd_statistics(args: argparse.Namespace) -> None:
 
 
 def cmd_voi(args: argparse.Namespace) -> None:
-    from tabassay.plans.report import value_of_information, voi_latex
+    from tabassay.plans.report import inflation, value_of_information, voi_latex
 
+    if args.inflation:
+        print(inflation(_results(args.results), args.n_simulations))
+        return
     print((voi_latex if args.latex else value_of_information)(_results(args.results), args.n_simulations))
 
 
@@ -107,6 +113,8 @@ def parser() -> argparse.ArgumentParser:
     sub.choices["recommend"].add_argument("--profile", default="balanced")
     sub.choices["recommend"].add_argument("--weights")
     sub.choices["recommend"].add_argument("--all", action="store_true", help="every profile")
+    sub.choices["recommend"].add_argument("--overview", action="store_true", help="scores, normalised scores and every profile")
+    sub.choices["voi"].add_argument("--inflation", action="store_true", help="how far the result depends on the inflation of uncertainty")
     sub.choices["voi"].add_argument("--n-simulations", type=int, default=50_000)
     sub.choices["voi"].add_argument("--latex", action="store_true")
     return out

@@ -79,9 +79,14 @@ def stratified_folds(df: DataFrame, label: str, k: int, seed: int = 42, row_id:
 
 
 def halves(df: DataFrame, row_id: str = "row_id") -> tuple[DataFrame, DataFrame]:
-    """Rows before and from floor(n / 2) in row order, cut at an exact rank of the numeric id."""
-    n = df.count()
-    if n < 2:
+    """Rows before and from floor(n / 2) in row order, cut at an exact rank of the numeric id.
+
+    Null ids stand last, all in the second half. Rows of the id at the cut stay together, in the second half.
+    """
+    n, known = df.agg(F.count("*"), F.count(row_id)).first()
+    if n < 2 or not known:
         return df.limit(0), df
-    cut = value_at(df, row_id, n // 2, n)
-    return df.filter(F.col(row_id) < cut), df.filter(F.col(row_id) >= cut)
+    if n // 2 >= known:
+        return df.filter(F.col(row_id).isNotNull()), df.filter(F.col(row_id).isNull())
+    first = F.coalesce(F.col(row_id) < value_at(df, row_id, n // 2, known), F.lit(False))
+    return df.filter(first), df.filter(~first)

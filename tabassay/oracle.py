@@ -160,6 +160,15 @@ def _voi(oracle: str) -> str:
 
 VOI_BASE = (RESULTS, STATS, VALUES_VOI, STRATEGIES)
 FACTORS = (1.0, 1.25, 1.5, 1.75, 2.0)
+
+
+def _sweep() -> tuple[str, ...]:
+    """The rows of every inflation factor, as v."""
+    draws = [_oracle(f"o{i}", f, SIMULATIONS) for i, f in enumerate(FACTORS)]
+    each = " UNION ALL ".join(f"SELECT {f}e0 AS factor, * FROM ({_voi(f'o{i}')})" for i, f in enumerate(FACTORS))
+    return (*VOI_BASE, _rough(SIMULATIONS), *draws, f"v AS ({each})")
+
+
 VOI_COLUMNS = ("s1_random", "s2_heuristic", "s2_informed", "s3_rough", "s4_benchmark", "oracle", "value_of_prioritization", "value_of_information", "total_improvement", "pct_from_prioritization", "pct_from_information")
 
 
@@ -374,7 +383,9 @@ def oracle_sql() -> dict[str, str]:
         "voi_s3_mc": _with(*VOI_BASE, _rough(VOI_SIMULATIONS), select="SELECT profile, round(s3_rough, 6) AS s3_rough FROM rough"),
         "voi_oracle_mc": _with(RESULTS, STATS, _oracle("orc", 1.5, VOI_SIMULATIONS), select="SELECT profile, round(oracle_raw, 6) AS oracle_raw FROM orc"),
         "voi_decomposition": _with(*VOI_BASE, _rough(VOI_SIMULATIONS), _oracle("orc", 1.5, VOI_SIMULATIONS), f"voi AS ({_voi('orc')})", select=f"SELECT archetype, {_r(*VOI_COLUMNS)} FROM voi"),
-        "inflation_sensitivity": _with(*VOI_BASE, _rough(SIMULATIONS), *[_oracle(f"o{i}", f, SIMULATIONS) for i, f in enumerate(FACTORS)], "v AS (" + " UNION ALL ".join(f"SELECT {f}e0 AS factor, * FROM ({_voi(f'o{i}')})" for i, f in enumerate(FACTORS)) + ")",
+        "inflation_verdict": _with(*_sweep(), """sweep AS (SELECT factor, avg(pct_from_prioritization) AS pct FROM v GROUP BY 1)""",
+          select="""SELECT min(factor) AS least_factor, max(factor) AS greatest_factor, round(min(pct), 6) AS least_pct, round(max(pct), 6) AS greatest_pct, CASE WHEN min(pct) > 50 THEN 'robust' ELSE 'sensitive' END AS verdict FROM sweep"""),
+        "inflation_sensitivity": _with(*_sweep(),
           select="""SELECT factor, round(avg(pct_from_prioritization), 6) AS mean_pct_prioritization, round(avg(pct_from_information), 6) AS mean_pct_information, round(avg(oracle), 6) AS mean_oracle,
           round(avg(s4_benchmark), 6) AS mean_s4, round(avg(oracle - s4_benchmark), 6) AS mean_evpi_gap FROM v GROUP BY 1"""),
         "anova_kruskal": _with(RESULTS, LONG, BETWEEN.format(long="long"), KRUSKAL, select=f"""SELECT metric, round((ssb / (k - 1)) / (ssw / (n - k)), 6) AS anova_f, round(h, 6) AS kruskal_h, round(ssb / (ssb + ssw), 6) AS eta_squared,

@@ -117,6 +117,33 @@ def value_of_information(results: DataFrame, n_simulations: int = 50_000) -> str
     return "\n".join(lines)
 
 
+def inflation(results: DataFrame, n_simulations: int = 10_000) -> str:
+    """The value of information at each inflation factor, and whether its main finding holds at all of them."""
+    sweep = V.inflation_sensitivity(results, n_simulations=n_simulations).cache()
+    rows, end = sweep.orderBy("factor").collect(), V.inflation_verdict(sweep).first()
+    sweep.unpersist()
+    lines = ["UNCERTAINTY INFLATION", f"{'factor':>8}{'% prioritization':>18}{'% information':>15}{'oracle':>10}{'gap':>10}"]
+    lines += [f"{r['factor']:>8.2f}{r['mean_pct_prioritization']:>18.1f}{r['mean_pct_information']:>15.1f}{_number(r['mean_oracle']):>10}{_number(r['mean_evpi_gap']):>10}" for r in rows]
+    if end["verdict"]:
+        lines.append(f"Prioritization brings {end['least_pct']:.0f}% to {end['greatest_pct']:.0f}% of the value; that it is the greater part is {end['verdict']} to the factor.")
+    return "\n".join(lines)
+
+
+def overview(results: DataFrame) -> str:
+    """A first look for a newcomer: mean scores, their normalised values, every profile's leader, and the balanced recommendation."""
+    scores = D.method_scores(results).cache()
+    parts = [("MEAN SCORES (time in minutes)", {(r["method"], r["metric"]): r["mean"] for r in scores.collect()})]
+    parts.append(("NORMALISED, 1 IS BEST", {(r["method"], r["metric"]): r["value"] for r in D.normalize(scores).collect()}))
+    lines: list[str] = []
+    for title, cells in parts:
+        metrics = [m for m in OBJECTIVES if any(m == k[1] for k in cells)]
+        lines += [title, f"{'':<24}" + "".join(f"{m:>18}" for m in metrics)]
+        lines += [f"{_label(method):<24}" + "".join(f"{_number(cells.get((method, m))):>18}" for m in metrics) for method in sorted({k[0] for k in cells})]
+        lines.append("")
+    scores.unpersist()
+    return "\n".join([*lines, all_profiles(results)])
+
+
 def latex_table(frame: DataFrame, columns: list[str], caption: str) -> str:
     """A small frame as a LaTeX table; numbers with three decimals."""
     cell = lambda v: f"{v:.3f}" if isinstance(v, float) else str(v).replace("_", r"\_")

@@ -120,3 +120,18 @@ def inflation_sensitivity(results: DataFrame, factors: tuple[float, ...] = (1.0,
         ).select(F.lit(float(f)).alias("factor"), "*")
         out = each if out is None else out.union(each)
     return out
+
+
+#: Fixed value: the share in percent above which ordering methods accounts for most of the value.
+MAJORITY = 50.0
+
+
+def inflation_verdict(sensitivity: DataFrame) -> DataFrame:
+    """One row over inflation_sensitivity(): ends of the factors and of the mean share of prioritization, and whether it is robust.
+
+    It is 'robust' if the share is a majority at every factor, else 'sensitive'; no factors: no verdict.
+    """
+    pct = F.col("mean_pct_prioritization")
+    ends = sensitivity.agg(F.min("factor").alias("least_factor"), F.max("factor").alias("greatest_factor"), F.min(pct).alias("least_pct"), F.max(pct).alias("greatest_pct"))
+    word = F.when(F.col("least_pct") > MAJORITY, "robust").when(F.col("least_pct").isNotNull(), "sensitive")
+    return ends.withColumn("verdict", word)

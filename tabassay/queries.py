@@ -375,6 +375,7 @@ QUERIES: dict[str, Query] = {
     "voi_oracle_mc": _res(lambda df: V.oracle_values(df)),
     "voi_decomposition": _res(lambda df: V.value_of_information(df)),
     "inflation_sensitivity": _res(lambda df: V.inflation_sensitivity(df)),
+    "inflation_verdict": _res(lambda df: V.inflation_verdict(V.inflation_sensitivity(df))),
     "anova_kruskal": _res(lambda df: S.omnibus(df).select("metric", "anova_f", "kruskal_h", "eta_squared", "effect", "n_groups")),
     "omnibus_p_values": _res(lambda df: S.omnibus(df).select("metric", "anova_p", "kruskal_p")),
     "levene_w": _res(lambda df: S.levene(df).select("metric", "statistic")),

@@ -113,3 +113,11 @@ def test_figures_and_reports(results):
     one = results.filter("method = 'ctgan'")
     assert "RECOMMENDATION" in report.recommendation(one, PROFILES["balanced"])
     assert "SKIPPED" in report.verification(one)
+    assert "NORMALISED" in report.overview(results) and "Strong in" not in text and "strong in" in text
+
+
+def test_verdict_on_inflation(spark, results):
+    sweep = lambda *pct: spark.createDataFrame([(1.0 + i / 4, p) for i, p in enumerate(pct)], "factor double, mean_pct_prioritization double")
+    assert tuple(M.inflation_verdict(sweep(51.0, 60.0)).first()) == (1.0, 1.25, 51.0, 60.0, "robust")
+    assert M.inflation_verdict(sweep(50.0, 60.0)).first()["verdict"] == "sensitive" and M.inflation_verdict(sweep()).first()["verdict"] is None
+    assert "to the factor" in report.inflation(results, 50)

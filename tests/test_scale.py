@@ -38,6 +38,12 @@ def test_halves(spark, narrow):
     assert first.count() == 500 and second.count() == 501 and first.agg(F.max("row_id")).first()[0] < second.agg(F.min("row_id")).first()[0]
 
 
+def test_halves_of_null_and_repeated_ids(spark):
+    ids = lambda *x: [sorted(r["row_id"] or -1 for r in h.collect()) for h in sampling.halves(spark.createDataFrame([(i,) for i in x], "row_id long"))]
+    assert ids(1, 2, 3, None) == [[1, 2], [-1, 3]] and ids(1, None, None, None) == [[1], [-1, -1, -1]]
+    assert ids(None, None) == [[], [-1, -1]] and ids(1, 2, 2, 2) == [[1], [2, 2, 2]]
+
+
 def test_columns_of_too_many_values_are_refused(spark):
     df = spark.range(20_000).select(F.col("id").alias("row_id"), F.concat(F.lit("v"), "id").alias("name"))
     with pytest.raises(ValueError):
