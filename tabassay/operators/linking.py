@@ -65,12 +65,12 @@ def nearest(synthetic: DataFrame, train: DataFrame, features: list[str], metric:
         pairs = spread.alias("s").crossJoin(F.broadcast(t.alias("t"))).select(F.col(f"s.{row_id}").alias(row_id), F.col("t._t").alias("_t"), flat_distance(features, metric).alias("_d"))
         best = pairs.filter("_d IS NOT NULL").groupBy(row_id).agg(F.min("_d").alias("_d"), F.min(F.struct("_d", "_t")).alias("_b"))
         return best.select(row_id, finish(metric, F.col("_d")).alias("dcr"), F.col("_b._t").alias("closest"))
-    return pivoted_nearest(s, t, features, metric, row_id)
+    return blocked_nearest(s, t, features, metric, row_id)
 
 
-def pivoted_nearest(s: DataFrame, t: DataFrame, features: list[str], metric: str, row_id: str = "row_id") -> DataFrame:
+def blocked_nearest(s: DataFrame, t: DataFrame, features: list[str], metric: str, row_id: str = "row_id", block: int = BLOCK_ROWS) -> DataFrame:
     """nearest() by blocks around pivots, for train rows (_t, features) of any number."""
-    found = PivotedNearest(s, t, features, metric, row_id).rows()
+    found = PivotedNearest(s, t, features, metric, row_id, block).rows()
     return found.select(row_id, finish(metric, F.col("_d")).alias("dcr"), F.col("_t").alias("closest"))
 
 

@@ -98,7 +98,7 @@ def _nearest(metric: str) -> Query:
 
 def _pivoted(spark: SparkSession, d: str) -> DataFrame:
     train, synthetic, names = vectors(spark, d)
-    return r6(linking.pivoted_nearest(synthetic, train.withColumnRenamed("row_id", "_t"), names, "euclidean"))
+    return r6(linking.blocked_nearest(synthetic, train.withColumnRenamed("row_id", "_t"), names, "euclidean"))
 
 
 def _dcr_summary(spark: SparkSession, d: str) -> DataFrame:

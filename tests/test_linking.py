@@ -82,8 +82,8 @@ def test_bounds_rule_out_most_blocks_of_clustered_rows(tables):
 
 def test_empty_sides(tables):
     _, _, sd, td = tables
-    assert linking.pivoted_nearest(sd.limit(0), td, NAMES, "euclidean").count() == 0
-    none = linking.pivoted_nearest(sd, td.limit(0), NAMES, "euclidean")
+    assert linking.blocked_nearest(sd.limit(0), td, NAMES, "euclidean").count() == 0
+    none = linking.blocked_nearest(sd, td.limit(0), NAMES, "euclidean")
     assert none.count() == 0 and none.columns == ["row_id", "dcr", "closest"]
 
 
