@@ -1,14 +1,17 @@
 """Boosted trees and logistic regressions for several overlapping training sets at once, on one stored matrix.
 
-Rows are stored as blocks of a binned (or plain) matrix with the set of models that train on each row.
+Rows are stored as blocks of a binned (or plain) matrix with the set of models that train on each row; binned
+rows that are equal in every bin, label, set and kept column are one row with a count.
 One pass over the blocks serves every model: boosting adds up the histograms of all models' open nodes,
 Newton's method their gradients and Hessians. A pass is one job whose tasks each return sums of the
 models' own size; where the tasks are many, the sums are added up by key before they are collected.
-Scores of boosting so far are kept in the blocks and written anew every few trees.
+Passes read the blocks as a persisted RDD of arrays: a model takes hundreds of them, and a plan for each costs more
+than the pass. Scores of boosting so far are kept beside the blocks and renewed every few trees.
 """
 
 from __future__ import annotations
 
+import operator
 import pickle
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -17,19 +20,20 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import RDD, StorageLevel
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tabassay.operators.encode import quoted
 from tabassay.session import shared_folder
 
-#: Bins of a feature, rows of a block, trees between two writings of the blocks, and tasks whose sums the driver adds up itself.
+#: Bins of a feature, rows of a block, trees between two renewals of the stored scores, and tasks whose sums the driver adds up itself.
 BINS, BLOCK_ROWS, CUT, FEW_TASKS = 256, 8192, 20, 64
 #: Rows that a task of a pass has at least; a pass over fewer is mostly the starting of tasks.
 TASK_ROWS = 25_000
 RATE = 0.1
 
-_BLOCK = "n int, x binary, y binary, use binary, margins binary, keep binary"
+_BLOCK = "n int, x binary, y binary, use binary, c binary, keep binary"
 
 
 @dataclass
@@ -75,6 +79,16 @@ class Boosted:
         return dict(sorted(zip(self.names, (share / total).tolist(), strict=True), key=lambda x: -x[1]))
 
 
+@dataclass
+class Forest:
+    """Margins of several boosted models on binned rows."""
+
+    models: list[Boosted]
+
+    def __call__(self, codes: np.ndarray) -> np.ndarray:
+        return np.stack([m.margins(codes) for m in self.models], axis=1)
+
+
 def cut_points(df: DataFrame, names: list[str]) -> list[np.ndarray]:
     """Bounds between the bins of each feature: midpoints of up to BINS distinct values, else quantiles."""
     if not names:
@@ -99,138 +113,144 @@ def _matrix(batch: pa.RecordBatch, first: int, width: int) -> np.ndarray:
     return np.stack([batch.column(first + i).to_numpy(zero_copy_only=False) for i in range(width)], axis=1).astype(np.float64) if width else np.zeros((len(batch), 0))
 
 
-def _store(batches: Iterable[pa.RecordBatch], width: int, cuts: list[np.ndarray] | None, models: int) -> Iterator[pa.RecordBatch]:
-    """From (label, use, keep, features...) blocks of _BLOCK."""
-    for batch in batches:
-        for lo in range(0, len(batch), BLOCK_ROWS):
-            b = batch.slice(lo, BLOCK_ROWS)
-            x = _matrix(b, 3, width)
-            x = binned(x, cuts) if cuts is not None else x
-            y, use = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            parts = [x, y.astype(np.int8), use.astype(np.int64), np.zeros((len(b), models))]
-            columns = [pa.array([len(b)], pa.int32()), *[pa.array([p.tobytes()], pa.binary()) for p in parts], pa.array([pickle.dumps(b.column(2).to_numpy(zero_copy_only=False))], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["n", "x", "y", "use", "margins", "keep"])
+def _coded(batches: Iterable[pa.RecordBatch], width: int, cuts: list[np.ndarray] | None) -> Iterator[pa.RecordBatch]:
+    """From (y, use, keep, features...) rows (y, use, keep, x); x has the row's bins, or its plain numbers."""
+    for b in batches:
+        x = _matrix(b, 3, width)
+        x = np.ascontiguousarray(x if cuts is None else binned(x, cuts))
+        step = width * x.itemsize
+        bytes_ = pa.Array.from_buffers(pa.binary(), len(b), [None, pa.py_buffer(np.arange(len(b) + 1, dtype=np.int32) * np.int32(step)), pa.py_buffer(x.tobytes())])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), bytes_], names=["y", "use", "keep", "x"])
 
 
-def _blocks(batches: Iterable[pa.RecordBatch], width: int, models: int, kind: type) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]]:
+def _store(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """From (y, use, keep, x, c) blocks of _BLOCK."""
     for batch in batches:
-        for n, x, y, use, margins, keep in zip(*(batch.column(i) for i in range(6)), strict=True):
-            n = n.as_py()
-            yield np.frombuffer(x.as_buffer(), kind).reshape(n, width), np.frombuffer(y.as_buffer(), np.int8), np.frombuffer(use.as_buffer(), np.int64), np.frombuffer(margins.as_buffer(), np.float64).reshape(n, models), keep.as_py()
+        for lo in range(0, len(batch), rows):
+            b = batch.slice(lo, rows)
+            y, use, keep, c = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 4))
+            parts = [b"".join(b.column(3).to_pylist()), y.astype(np.int8).tobytes(), use.astype(np.int64).tobytes(), c.astype(np.int64).tobytes(), pickle.dumps(keep)]
+            yield pa.RecordBatch.from_arrays([pa.array([len(b)], pa.int32()), *[pa.array([p], pa.binary()) for p in parts]], names=["n", "x", "y", "use", "c", "keep"])
+
+
+def _arrays(n: int, x: bytes, y: bytes, use: bytes, c: bytes, width: int, kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    return np.frombuffer(x, kind).reshape(n, width), np.frombuffer(y, np.int8), np.frombuffer(use, np.int64), np.frombuffer(c, np.int64)
+
+
+def _opened(row: Row, width: int, models: int, kind: type) -> tuple[np.ndarray, ...]:
+    """A block for passes: x, y, use, margins (none yet), count."""
+    x, y, use, c = _arrays(row.n, row.x, row.y, row.use, row.c, width, kind)
+    return x, y, use, np.zeros((row.n, models)), c
 
 
 class Matrix:
-    """Stored blocks of a DataFrame's features, label (0 or 1), use (bit m: model m trains on the row) and one more column to keep."""
+    """Stored blocks of a DataFrame's features, label (0 or 1), use (bit m: model m trains on the row) and one more column to keep.
+
+    With cuts the rows are binned, and equal ones are stored once with their count.
+    """
 
     def __init__(self, df: DataFrame, names: list[str], label: str, use: Column, models: int, keep: str | None = None, cuts: list[np.ndarray] | None = None):
         self.names, self.models, self.cuts = names, models, cuts
         self.kind, self.width = (np.uint8 if cuts is not None else np.float64), len(names)
+        self.fitted: Callable[[np.ndarray], np.ndarray] | None = None
         rows = df.select(F.col(label).cast("int"), use.cast("long"), F.col(keep) if keep else F.lit(0).alias("keep"), *[quoted(c).cast("double") for c in names]).toDF("y", "use", "keep", *[f"f{i}" for i in range(len(names))])
         self.keep_type = rows.schema["keep"].dataType.simpleString()
-        self.tasks = 0
-        self.blocks = self._written(rows.mapInArrow(partial(_store, width=self.width, cuts=cuts, models=models), _BLOCK))
+        coded = rows.mapInArrow(partial(_coded, width=self.width, cuts=cuts), f"y int, use long, keep {self.keep_type}, x binary")
+        counted = coded.withColumn("c", F.lit(1).cast("long")) if cuts is None else coded.groupBy("y", "use", "keep", "x").agg(F.count("*").alias("c"))
+        self.blocks = self._written(counted.mapInArrow(partial(_store, rows=min(BLOCK_ROWS, TASK_ROWS)), _BLOCK))
+        found = self.blocks.agg(F.sum("n").alias("n"), F.count("*").alias("blocks")).first()
+        self.rows = found["n"] or 0
+        self.tasks = max(1, min(found["blocks"], self.rows // TASK_ROWS, 3 * df.sparkSession.sparkContext.defaultParallelism))
+        self.stored = self._kept(self.blocks.repartition(self.tasks).rdd.map(partial(_opened, width=self.width, models=models, kind=self.kind)))
 
     def _written(self, df: DataFrame) -> DataFrame:
-        """df at rest: in the checkpoint folder, or in memory where a local session has none. What was at rest before goes."""
-        spark = df.sparkSession
-        path = shared_folder(spark)
-        old, before = getattr(self, "path", None), getattr(self, "blocks", None)
-        if path:
-            self.path = f"{path}/blocks-{uuid.uuid4().hex}"
-            df.write.parquet(self.path)
-            out = spark.read.schema(_BLOCK).parquet(self.path)
-            if not self.tasks:
-                n = out.agg(F.sum("n")).first()[0] or 0
-                self.tasks = max(1, min(out.rdd.getNumPartitions(), n // TASK_ROWS))
-            out = out.coalesce(self.tasks).cache()
-        else:
-            out = df.cache()
-            out.count()
-            self.tasks = out.rdd.getNumPartitions()
-        self._release(spark, old, before)
+        """df at rest: in the checkpoint folder, or in memory where a local session has none."""
+        path = shared_folder(df.sparkSession)
+        if not path:
+            return df.cache()
+        self.path = f"{path}/blocks-{uuid.uuid4().hex}"
+        df.write.parquet(self.path)
+        return df.sparkSession.read.schema(_BLOCK).parquet(self.path)
+
+    def _kept(self, rdd: RDD) -> RDD:
+        """rdd persisted, in place of what passes read before."""
+        out, old = rdd.persist(StorageLevel.MEMORY_AND_DISK), getattr(self, "stored", None)
+        out.count()
+        if old is not None:
+            old.unpersist()
         return out
 
-    @staticmethod
-    def _release(spark, path: str | None, blocks: DataFrame | None) -> None:
-        if blocks is not None:
-            blocks.unpersist()
-        if path:
+    def close(self) -> None:
+        self.stored.unpersist()
+        self.blocks.unpersist()
+        if path := getattr(self, "path", None):
+            spark = self.blocks.sparkSession
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
-    def close(self) -> None:
-        self._release(self.blocks.sparkSession, getattr(self, "path", None), self.blocks)
-
     def summed(self, work: Callable) -> dict[object, np.ndarray]:
-        """Arrays by key, added up over all blocks; work yields (key, array) for a task's blocks."""
-        tasks = self.blocks.mapInArrow(partial(_partial, work=work, width=self.width, models=self.models, kind=self.kind), "key string, part binary")
+        """Arrays by key, added up over all blocks; work(x, y, use, margins, count) yields (key, array) for a task's blocks."""
+        parts = self.stored.mapPartitions(partial(_partial, work=work))
         if self.tasks > FEW_TASKS:
-            tasks = tasks.repartition(FEW_TASKS, "key").mapInArrow(_merge, "key string, part binary")
+            parts = parts.reduceByKey(operator.add, FEW_TASKS)
         out: dict[object, np.ndarray] = {}
-        for r in tasks.collect():  # a task's sums are as large as the models, not the rows
-            part = pickle.loads(r["part"])
-            out[r["key"]] = out[r["key"]] + part if r["key"] in out else part
+        for key, part in parts.collect():  # a task's sums are as large as the models, not the rows
+            out[key] = out[key] + part if key in out else part
         return out
 
     def advance(self, trees: list[list[Tree]], priors: np.ndarray | None = None) -> None:
         """Adds trees (a list for each model) to the stored margins; priors set them first."""
-        self.blocks = self._written(self.blocks.mapInArrow(partial(_advance, trees=trees, priors=priors, width=self.width, models=self.models), _BLOCK))
+        self.stored = self._kept(self.stored.map(partial(_advanced, trees=trees, priors=priors)))
 
     def scored(self, of: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
-        """(label, keep, use, score array of every model's chance of label 1)."""
-        return self.blocks.mapInArrow(partial(_scored, width=self.width, models=self.models, kind=self.kind, of=of), f"label int, keep {self.keep_type}, use long, score array<double>")
+        """(label, keep, use, score array of every model's chance of label 1), a row for each row of the table; margins are of(x), or the boosted models'."""
+        return self.blocks.mapInArrow(partial(_scored, width=self.width, models=self.models, kind=self.kind, of=of or self.fitted), f"label int, keep {self.keep_type}, use long, score array<double>")
 
 
-def _partial(batches: Iterable[pa.RecordBatch], work: Callable, width: int, models: int, kind: type) -> Iterator[pa.RecordBatch]:
+def _partial(blocks: Iterable[tuple[np.ndarray, ...]], work: Callable) -> Iterable[tuple[str, np.ndarray]]:
     sums: dict[str, np.ndarray] = {}
-    for x, y, use, margins, _ in _blocks(batches, width, models, kind):
-        for key, part in work(x, y, use, margins):
+    for block in blocks:
+        for key, part in work(*block):
             sums[key] = sums[key] + part if key in sums else part
-    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([pickle.dumps(v) for v in sums.values()], pa.binary())], names=["key", "part"])
+    return sums.items()
 
 
-def _merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[str, np.ndarray] = {}
-    for b in batches:
-        for key, part in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            got = pickle.loads(part)
-            sums[key] = sums[key] + got if key in sums else got
-    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([pickle.dumps(v) for v in sums.values()], pa.binary())], names=["key", "part"])
-
-
-def _advance(batches: Iterable[pa.RecordBatch], trees: list[list[Tree]], priors: np.ndarray | None, width: int, models: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for x, _, _, margins, _ in _blocks([batch], width, models, np.uint8):
-            margins = margins.copy() if priors is None else np.tile(priors, (len(x), 1))
-            for m, own in enumerate(trees):
-                for t in own:
-                    margins[:, m] += t.value[t.leaf(x)]
-            out.append(margins.tobytes())
-        columns = [batch.column(i) for i in range(6)]
-        columns[4] = pa.array(out, pa.binary())
-        yield pa.RecordBatch.from_arrays(columns, names=["n", "x", "y", "use", "margins", "keep"])
+def _advanced(block: tuple[np.ndarray, ...], trees: list[list[Tree]], priors: np.ndarray | None) -> tuple[np.ndarray, ...]:
+    x, y, use, margins, count = block
+    margins = margins.copy() if priors is None else np.tile(priors, (len(x), 1))
+    for m, own in enumerate(trees):
+        for t in own:
+            margins[:, m] += t.value[t.leaf(x)]
+    return x, y, use, margins, count
 
 
 def _scored(batches: Iterable[pa.RecordBatch], width: int, models: int, kind: type, of: Callable | None) -> Iterator[pa.RecordBatch]:
-    for x, y, use, margins, keep in _blocks(batches, width, models, kind):
-        p = chance(margins if of is None else of(x))
-        yield pa.RecordBatch.from_arrays([pa.array(y.astype(np.int32)), pa.array(pickle.loads(keep)), pa.array(use), pa.FixedSizeListArray.from_arrays(pa.array(p.ravel()), models).cast(pa.list_(pa.float64()))], names=["label", "keep", "use", "score"])
+    for batch in batches:
+        for row in batch.to_pylist():
+            x, y, use, count = _arrays(*(row[k] for k in ("n", "x", "y", "use", "c")), width, kind)
+            p = chance(np.zeros((len(x), models)) if of is None else of(x))
+            keep = pickle.loads(row["keep"])
+            # Many equal rows go out some at a time.
+            ends = np.cumsum(count)
+            for lo in range(0, int(ends[-1]) if len(ends) else 0, BLOCK_ROWS):
+                at = np.searchsorted(ends, np.arange(lo, min(lo + BLOCK_ROWS, int(ends[-1]))), side="right")
+                yield pa.RecordBatch.from_arrays([pa.array(y[at].astype(np.int32)), pa.array(keep[at]), pa.array(use[at]), pa.FixedSizeListArray.from_arrays(pa.array(p[at].ravel()), models).cast(pa.list_(pa.float64()))], names=["label", "keep", "use", "score"])
 
 
 def chance(margin: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
 
 
-def _priors(x: np.ndarray, y: np.ndarray, use: np.ndarray, margins: np.ndarray) -> Iterator[tuple[str, np.ndarray]]:
+def _priors(x: np.ndarray, y: np.ndarray, use: np.ndarray, margins: np.ndarray, count: np.ndarray) -> Iterator[tuple[str, np.ndarray]]:
     for m in range(margins.shape[1]):
-        on = (use >> m) & 1 == 1
-        yield str(m), np.array([on.sum(), y[on].sum()], np.float64)
+        on = np.where((use >> m) & 1 == 1, count, 0)
+        yield str(m), np.array([on.sum(), (on * y).sum()], np.float64)
 
 
-def histograms(x: np.ndarray, y: np.ndarray, use: np.ndarray, margins: np.ndarray, recent: list[list[Tree]], open_: list[Tree], nodes: list[list[int]], sizes: list[int]) -> Iterator[tuple[str, np.ndarray]]:
+def histograms(x: np.ndarray, y: np.ndarray, use: np.ndarray, margins: np.ndarray, count: np.ndarray, recent: list[list[Tree]], open_: list[Tree], nodes: list[list[int]], sizes: list[int]) -> Iterator[tuple[str, np.ndarray]]:
     """For each model's open nodes, by feature and bin: residuals, their variances p(1-p), rows."""
     ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    bins = int(ends[-1])
     for m, wanted in enumerate(nodes):
         if not wanted:
             continue
@@ -239,13 +259,15 @@ def histograms(x: np.ndarray, y: np.ndarray, use: np.ndarray, margins: np.ndarra
         for t in recent[m]:
             f += t.value[t.leaf(codes)]
         p = chance(f)
-        stats = np.stack([y[rows] - p, p * (1 - p), np.ones(len(rows))])
+        stats = np.stack([y[rows] - p, p * (1 - p), np.ones(len(rows))]) * count[rows]
         at = open_[m].leaf(codes) if len(open_[m].feature) else np.zeros(len(rows), np.int64)
-        for node in wanted:
-            here = np.flatnonzero(at == node)
-            key = (codes[here].astype(np.int64) + ends[:-1]).ravel()
-            part = np.stack([np.bincount(key, np.repeat(s[here], x.shape[1]), minlength=int(ends[-1])) for s in stats])
-            yield f"{m} {node}", part
+        slots = np.full(max(len(open_[m].feature), 1), -1)
+        slots[wanted] = np.arange(len(wanted))
+        here = np.flatnonzero(slots[at] >= 0)
+        key = (codes[here].astype(np.int64) + ends[:-1] + slots[at[here]][:, None] * bins).ravel()
+        part = np.stack([np.bincount(key, np.repeat(s[here], x.shape[1]), minlength=bins * len(wanted)) for s in stats])
+        for i, node in enumerate(wanted):
+            yield f"{m} {node}", part[:, i * bins : (i + 1) * bins]
 
 
 def best_split(h: np.ndarray, sizes: list[int]) -> tuple[float, int, int] | None:
@@ -310,9 +332,10 @@ def boost(matrix: Matrix, trees: int = 100, depth: int = 3, rate: float = RATE)
             model.trees.append(grown[m])
             model.gains.append(gains[m])
             recent[m].append(grown[m])
-        if len(recent[0]) == CUT or t == trees - 1:
+        if len(recent[0]) == CUT and t < trees - 1:
             matrix.advance(recent)
             recent = [[] for _ in models]
+    matrix.fitted = Forest(models)
     return models
 
 
@@ -334,7 +357,7 @@ def predict(models: list[Boosted], df: DataFrame, *keep: str) -> DataFrame:
     return out.toDF(*keep, *(["score"] if len(models) == 1 else [f"score{i}" for i in range(len(models))]))
 
 
-def _newton(x: np.ndarray, y: np.ndarray, use: np.ndarray, margins: np.ndarray, weights: np.ndarray) -> Iterator[tuple[str, np.ndarray]]:
+def _newton(x: np.ndarray, y: np.ndarray, use: np.ndarray, margins: np.ndarray, count: np.ndarray, weights: np.ndarray) -> Iterator[tuple[str, np.ndarray]]:
     """For each model the gradient and Hessian of the log loss at its weights, with the loss; the intercept comes last."""
     x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
     for m, w in enumerate(weights):

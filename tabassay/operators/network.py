@@ -73,7 +73,7 @@ def gradient(x: np.ndarray, y: np.ndarray, weights: np.ndarray, layers: tuple[in
     return np.concatenate(out), loss
 
 
-def _epoch(x: np.ndarray, y: np.ndarray, use: np.ndarray, _: np.ndarray, state: list[np.ndarray], layers: tuple[int, ...], epoch: int, seed: int, done: np.ndarray) -> Iterator[tuple[str, np.ndarray]]:
+def _epoch(x: np.ndarray, y: np.ndarray, use: np.ndarray, _: np.ndarray, count: np.ndarray, state: list[np.ndarray], layers: tuple[int, ...], epoch: int, seed: int, done: np.ndarray) -> Iterator[tuple[str, np.ndarray]]:
     """For each model still in training its weights and moments after this block, times its rows, with loss and rows."""
     for m, s in enumerate(state):
         rows = np.flatnonzero((use >> m) & 1)

@@ -147,3 +147,16 @@ def test_networks_of_all_folds_learn(spark, data):
         held = np.flatnonzero(fold == m)
         assert np.mean([(scored[i][m] > 0.5) == y[i] for i in held]) > 0.65
     assert weights.shape[0] == 4 and np.mean([(scored[i][3] > 0.5) == y[i] for i in range(200)]) > 0.75
+
+
+def test_equal_binned_rows_are_stored_once(spark):
+    x = np.array([[i % 4, i // 4 % 3] for i in range(240)], float)
+    y = np.array([int(i % 4 > 1) ^ int(i % 7 == 0) for i in range(240)])
+    df = spark.createDataFrame([(*map(float, x[i]), int(y[i])) for i in range(240)], "a double, b double, label int").repartition(4)
+    matrix = boost.Matrix(df, ["a", "b"], "label", F.lit(1), 1, cuts=boost.cut_points(df, ["a", "b"]))
+    assert matrix.blocks.agg(F.sum("n")).first()[0] == 24
+    boost.boost(matrix, trees=6, depth=2)
+    got = sorted((r["label"], r["score"][0]) for r in matrix.scored().collect())
+    matrix.close()
+    want = sorted(zip(y.tolist(), plain_boost(x, y, 6, 2), strict=True))
+    assert [g[0] for g in got] == [w[0] for w in want] and [g[1] for g in got] == pytest.approx([w[1] for w in want], abs=1e-9)
