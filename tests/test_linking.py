@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -94,3 +96,13 @@ def test_nearest_takes_blocks_beyond_the_broadcast(tables, monkeypatch):
     monkeypatch.setattr(linking, "BROADCAST_ROWS", 100)
     many = {r["row_id"]: (r["dcr"], r["closest"]) for r in linking.nearest(sd, td, NAMES).collect()}
     assert many == few
+
+
+def test_cityblock_distances_take_little_more_than_their_result():
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=(200, 9)), rng.normal(size=(1000, 9))
+    tracemalloc.start()
+    got = linking._block_minimum("cityblock")(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got == sum(np.abs(a[:, [i]] - b[:, i]) for i in range(9))).all() and peak < 1.5 * got.nbytes
