@@ -7,6 +7,8 @@ Newton's method their gradients and Hessians. A pass is one job whose tasks each
 models' own size; where the tasks are many, the sums are added up by key before they are collected.
 Passes read the blocks as a persisted RDD of arrays: a model takes hundreds of them, and a plan for each costs more
 than the pass. Scores of boosting so far are kept beside the blocks and renewed every few trees.
+Binned tables of few different rows, however many rows they count, are boosted in one job: a task for each model
+takes its counted rows and grows the same trees from the same sums.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ from tabassay.session import shared_folder
 BINS, BLOCK_ROWS, CUT, FEW_TASKS = 256, 8192, 20, 64
 #: Rows that a task of a pass has at least; a pass over fewer is mostly the starting of tasks.
 TASK_ROWS = 25_000
+#: Bins of all different rows up to which a model is boosted in one task; a pass over them takes less than the job around it.
+SMALL_CELLS = 2_000_000
 RATE = 0.1
 
 _BLOCK = "n int, x binary, y binary, use binary, c binary, keep binary"
@@ -161,7 +165,14 @@ class Matrix:
         found = self.blocks.agg(F.sum("n").alias("n"), F.count("*").alias("blocks")).first()
         self.rows = found["n"] or 0
         self.tasks = max(1, min(found["blocks"], self.rows // TASK_ROWS, 3 * df.sparkSession.sparkContext.defaultParallelism))
-        self.stored = self._kept(self.blocks.repartition(self.tasks).rdd.map(partial(_opened, width=self.width, models=models, kind=self.kind)))
+        self.held: RDD | None = None
+
+    @property
+    def stored(self) -> RDD:
+        """The blocks as passes read them, persisted by the first."""
+        if self.held is None:
+            self.held = self._kept(self.blocks.repartition(self.tasks).rdd.map(partial(_opened, width=self.width, models=self.models, kind=self.kind)))
+        return self.held
 
     def _written(self, df: DataFrame) -> DataFrame:
         """df at rest: in the checkpoint folder, or in memory where a local session has none."""
@@ -174,14 +185,15 @@ class Matrix:
 
     def _kept(self, rdd: RDD) -> RDD:
         """rdd persisted, in place of what passes read before."""
-        out, old = rdd.persist(StorageLevel.MEMORY_AND_DISK), getattr(self, "stored", None)
+        out, old = rdd.persist(StorageLevel.MEMORY_AND_DISK), self.held
         out.count()
         if old is not None:
             old.unpersist()
         return out
 
     def close(self) -> None:
-        self.stored.unpersist()
+        if self.held is not None:
+            self.held.unpersist()
         self.blocks.unpersist()
         if path := getattr(self, "path", None):
             spark = self.blocks.sparkSession
@@ -200,11 +212,15 @@ class Matrix:
 
     def advance(self, trees: list[list[Tree]], priors: np.ndarray | None = None) -> None:
         """Adds trees (a list for each model) to the stored margins; priors set them first."""
-        self.stored = self._kept(self.stored.map(partial(_advanced, trees=trees, priors=priors)))
+        self.held = self._kept(self.stored.map(partial(_advanced, trees=trees, priors=priors)))
+
+    def scored(self, of: Callable[[np.ndarray], np.ndarray] | None = None, counted: bool = False) -> DataFrame:
+        """(label, keep, use, score array of every model's chance of label 1), a row for each row of the table; margins are of(x), or the boosted models'.
 
-    def scored(self, of: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
-        """(label, keep, use, score array of every model's chance of label 1), a row for each row of the table; margins are of(x), or the boosted models'."""
-        return self.blocks.mapInArrow(partial(_scored, width=self.width, models=self.models, kind=self.kind, of=of or self.fitted), f"label int, keep {self.keep_type}, use long, score array<double>")
+        Counted, equal rows stay one row with their number n.
+        """
+        kinds = f"label int, keep {self.keep_type}, use long, score array<double>" + ", n long" * counted
+        return self.blocks.mapInArrow(partial(_scored, width=self.width, models=self.models, kind=self.kind, of=of or self.fitted, counted=counted), kinds)
 
 
 def _partial(blocks: Iterable[tuple[np.ndarray, ...]], work: Callable) -> Iterable[tuple[str, np.ndarray]]:
@@ -224,17 +240,21 @@ def _advanced(block: tuple[np.ndarray, ...], trees: list[list[Tree]], priors: np
     return x, y, use, margins, count
 
 
-def _scored(batches: Iterable[pa.RecordBatch], width: int, models: int, kind: type, of: Callable | None) -> Iterator[pa.RecordBatch]:
+def _scored(batches: Iterable[pa.RecordBatch], width: int, models: int, kind: type, of: Callable | None, counted: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
             x, y, use, count = _arrays(*(row[k] for k in ("n", "x", "y", "use", "c")), width, kind)
             p = chance(np.zeros((len(x), models)) if of is None else of(x))
             keep = pickle.loads(row["keep"])
+            scores = lambda at: pa.FixedSizeListArray.from_arrays(pa.array(p[at].ravel()), models).cast(pa.list_(pa.float64()))  # noqa: B023, E731
+            if counted:
+                yield pa.RecordBatch.from_arrays([pa.array(y.astype(np.int32)), pa.array(keep), pa.array(use), scores(slice(None)), pa.array(count)], names=["label", "keep", "use", "score", "n"])
+                continue
             # Many equal rows go out some at a time.
             ends = np.cumsum(count)
             for lo in range(0, int(ends[-1]) if len(ends) else 0, BLOCK_ROWS):
                 at = np.searchsorted(ends, np.arange(lo, min(lo + BLOCK_ROWS, int(ends[-1]))), side="right")
-                yield pa.RecordBatch.from_arrays([pa.array(y[at].astype(np.int32)), pa.array(keep[at]), pa.array(use[at]), pa.FixedSizeListArray.from_arrays(pa.array(p[at].ravel()), models).cast(pa.list_(pa.float64()))], names=["label", "keep", "use", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(y[at].astype(np.int32)), pa.array(keep[at]), pa.array(use[at]), scores(at)], names=["label", "keep", "use", "score"])
 
 
 def chance(margin: np.ndarray) -> np.ndarray:
@@ -289,8 +309,61 @@ def best_split(h: np.ndarray, sizes: list[int]) -> tuple[float, int, int] | None
     return best
 
 
+class Counted:
+    """One model's different binned rows with their counts, in a task: what boosting asks of a Matrix."""
+
+    models = 1
+
+    def __init__(self, names: list[str], cuts: list[np.ndarray], x: np.ndarray, y: np.ndarray, count: np.ndarray):
+        self.names, self.cuts = names, cuts
+        self.block = x, y, np.ones(len(x), np.int64), np.zeros((len(x), 1)), count
+
+    def summed(self, work: Callable) -> dict[str, np.ndarray]:
+        return dict(work(*self.block))
+
+    def advance(self, trees: list[list[Tree]], priors: np.ndarray | None = None) -> None:
+        self.block = _advanced(self.block, trees, priors)
+
+
+def _dealt(block: tuple[np.ndarray, ...], models: int) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
+    """The rows of a block that each model trains on."""
+    x, y, use, _, count = block
+    for m in range(models):
+        rows = np.flatnonzero((use >> m) & 1)
+        yield m, (x[rows], y[rows], count[rows])
+
+
+def _fitted(parts: Iterable[tuple[int, tuple[np.ndarray, ...]]], names: list[str], cuts: list[np.ndarray], trees: int, depth: int, rate: float) -> Iterator[tuple[int, Boosted]]:
+    """Boosts each model that a task holds. Rows that differ in what is kept alone are added up; their order does not depend on the blocks'."""
+    found: dict[int, list[tuple[np.ndarray, ...]]] = {}
+    for m, part in parts:
+        found.setdefault(m, []).append(part)
+    for m, own in found.items():
+        x, y, count = (np.concatenate(a) for a in zip(*own, strict=True))
+        rows, at = np.unique(np.c_[x, y.astype(np.uint8)], axis=0, return_inverse=True)
+        total = np.zeros(len(rows), np.int64)
+        np.add.at(total, at.ravel(), count)
+        yield m, boosted(Counted(names, cuts, np.ascontiguousarray(rows[:, :-1]), rows[:, -1].astype(np.int8), total), trees, depth, rate, 1)[0]
+
+
 def boost(matrix: Matrix, trees: int = 100, depth: int = 3, rate: float = RATE) -> list[Boosted]:
-    """Gradient boosting of every model: trees on the residuals of the log loss, leaves by one Newton step times rate. matrix keeps the scores."""
+    """Gradient boosting of every model: trees on the residuals of the log loss, leaves by one Newton step times rate. matrix keeps the models.
+
+    Up to SMALL_CELLS different rows times features, whatever they count, models are boosted side by side, each in a task; beyond, by passes over the blocks.
+    """
+    if 0 < matrix.rows * matrix.width <= SMALL_CELLS:
+        opened = matrix.blocks.rdd.map(partial(_opened, width=matrix.width, models=matrix.models, kind=matrix.kind))
+        dealt = opened.flatMap(partial(_dealt, models=matrix.models)).partitionBy(matrix.models, int)
+        found = dict(dealt.mapPartitions(partial(_fitted, names=matrix.names, cuts=matrix.cuts, trees=trees, depth=depth, rate=rate)).collect())
+        models = [found[m] for m in range(matrix.models)]
+    else:
+        models = boosted(matrix, trees, depth, rate, CUT)
+    matrix.fitted = Forest(models)
+    return models
+
+
+def boosted(matrix: Matrix | Counted, trees: int, depth: int, rate: float, every: int) -> list[Boosted]:
+    """boost() by sums over matrix, whose scores are renewed after `every` trees."""
     models = [Boosted(matrix.names, matrix.cuts) for _ in range(matrix.models)]
     sizes = [len(c) + 1 for c in matrix.cuts]
     found = matrix.summed(_priors)
@@ -332,10 +405,9 @@ def boost(matrix: Matrix, trees: int = 100, depth: int = 3, rate: float = RATE)
             model.trees.append(grown[m])
             model.gains.append(gains[m])
             recent[m].append(grown[m])
-        if len(recent[0]) == CUT and t < trees - 1:
+        if len(recent[0]) == every and t < trees - 1:
             matrix.advance(recent)
             recent = [[] for _ in models]
-    matrix.fitted = Forest(models)
     return models
 
 

@@ -29,8 +29,8 @@ def _prepared(df: DataFrame, columns: list[str], *keep: str) -> tuple[DataFrame,
     return encode.fill(flat, encode.medians(flat, list(features))), list(features)
 
 
-def _auc(scored: DataFrame, label: str = "label") -> float | None:
-    return metrics.auc(scored, label).first()["auc"]
+def _auc(scored: DataFrame, label: str = "label", count: str | None = None) -> float | None:
+    return metrics.auc(scored, label, count=count).first()["auc"]
 
 
 def _without(fold: str, k: int, more: int = 0) -> Column:
@@ -40,8 +40,8 @@ def _without(fold: str, k: int, more: int = 0) -> Column:
 
 def _by_fold(scored: DataFrame, k: int) -> list[float | None]:
     """AUC of each fold's rows under the model that has not seen them, in one job."""
-    held = scored.select("label", F.col("keep").alias("fold"), F.element_at("score", F.col("keep") + 1).alias("score"))
-    found = {r["fold"]: r["auc"] for r in metrics.auc(held, by=["fold"]).collect()}
+    held = scored.select("label", F.col("keep").alias("fold"), F.element_at("score", F.col("keep") + 1).alias("score"), "n")
+    found = {r["fold"]: r["auc"] for r in metrics.auc(held, by=["fold"], count="n").collect()}
     return [found.get(i) for i in range(k)]
 
 
@@ -56,7 +56,7 @@ def _boosted_folds(folded: DataFrame, names: list[str], k: int, trees: int, dept
     """AUCs of trees boosted for all folds at once, and the feature importance of one more model on all rows."""
     matrix = boost.Matrix(folded, names, "label", _without("fold", k, int(whole)), k + int(whole), "fold", boost.cut_points(folded, names))
     models = boost.boost(matrix, trees, depth)
-    aucs = _by_fold(matrix.scored(), k)
+    aucs = _by_fold(matrix.scored(counted=True), k)
     matrix.close()
     return aucs, models[k].importance() if whole else {}
 
@@ -64,7 +64,7 @@ def _boosted_folds(folded: DataFrame, names: list[str], k: int, trees: int, dept
 def _linear_folds(folded: DataFrame, names: list[str], k: int) -> list[float | None]:
     """AUCs of logistic regressions on scaled features, all folds at once."""
     matrix = boost.Matrix(encode.scaled(folded, encode.moments(folded, names)), names, "label", _without("fold", k), k, "fold")
-    aucs = _by_fold(matrix.scored(boost.Linear(boost.logistic(matrix))), k)
+    aucs = _by_fold(matrix.scored(boost.Linear(boost.logistic(matrix)), True), k)
     matrix.close()
     return aucs
 
@@ -72,7 +72,7 @@ def _linear_folds(folded: DataFrame, names: list[str], k: int) -> list[float | N
 def _network_folds(folded: DataFrame, names: list[str], k: int, seed: int) -> list[float | None]:
     """AUCs of networks of 64 and 32 units on scaled features, all folds at once."""
     matrix = boost.Matrix(encode.scaled(folded, encode.moments(folded, names)), names, "label", _without("fold", k), k, "fold")
-    aucs = _by_fold(matrix.scored(network.Networks(*network.train(matrix, (64, 32), seed=seed))), k)
+    aucs = _by_fold(matrix.scored(network.Networks(*network.train(matrix, (64, 32), seed=seed)), True), k)
     matrix.close()
     return aucs
 
@@ -102,11 +102,11 @@ def propensity_auc_robustness(real: DataFrame, synthetic: DataFrame, n_splits: i
     return {k: v for kind, aucs in found.items() for k, v in ((f"{kind}_auc", sum(aucs) / len(aucs)), (f"{kind}_fold_aucs", aucs))}
 
 
-def _boosted(rows: DataFrame, names: list[str], trees: int, depth: int) -> tuple[boost.Boosted, float | None]:
-    """Trees boosted on all rows (label, names...), and their AUC on those rows."""
+def _boosted(rows: DataFrame, names: list[str], trees: int, depth: int, judged: bool = False) -> tuple[boost.Boosted, float | None]:
+    """Trees boosted on all rows (label, names...), and if judged their AUC on those rows."""
     matrix = boost.Matrix(rows, names, "label", F.lit(1), 1, cuts=boost.cut_points(rows, names))
     (model,) = boost.boost(matrix, trees, depth)
-    auc = _auc(matrix.scored().select("label", F.col("score")[0].alias("score")))
+    auc = _auc(matrix.scored(counted=True).select("label", F.col("score")[0].alias("score"), "n"), count="n") if judged else None
     matrix.close()
     return model, auc
 
@@ -115,7 +115,7 @@ def propensity_auc_no_cv(real: DataFrame, synthetic: DataFrame, n_estimators: in
     """Training AUC, biased upward; kept for comparison with older results."""
     flat, names = _prepared(_union(real, synthetic, "label"), _columns(real, synthetic), "label")
     rows = flat.cache()
-    model, auc = _boosted(rows, names, n_estimators, max_depth)
+    model, auc = _boosted(rows, names, n_estimators, max_depth, True)
     rows.unpersist()
     return {"auc": auc, "auc_fidelity": 1 - 2 * abs(auc - 0.5), "feature_importance": model.importance()}
 

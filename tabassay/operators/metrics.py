@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from tabassay.operators.ranking import range_bucket, shifted
 
 
-def auc(scored: DataFrame, label: str = "label", score: str = "score", by: list[str] | None = None) -> DataFrame:
-    """(by..., auc): exact ROC AUC by average ranks; null if a class is missing.
+def auc(scored: DataFrame, label: str = "label", score: str = "score", by: list[str] | None = None, count: str | None = None) -> DataFrame:
+    """(by..., auc): exact ROC AUC by average ranks; null if a class is missing. count names a column of how many rows a row stands for.
 
     Equal scores are counted together first. The running count of negatives below a score is taken
     in ranges of scores and shifted by the ranges before, so no task orders all scores.
     """
     by = by or []
-    tied = scored.filter(F.col(score).isNotNull()).groupBy(*by, score).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum((1 - F.col(label)).cast("long")).alias("n"))
+    times = F.col(count) if count else F.lit(1)
+    tied = scored.filter(F.col(score).isNotNull()).groupBy(*by, score).agg(F.sum(F.col(label).cast("long") * times).alias("p"), F.sum((1 - F.col(label)).cast("long") * times).alias("n"))
     rows = tied.withColumn("_b", range_bucket(scored, score))
     below = Window.partitionBy(*by, "_b").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
     counted = shifted(rows.withColumn("below", F.coalesce(F.sum("n").over(below), F.lit(0))), by, F.col("n"), "_before")

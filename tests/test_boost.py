@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabassay.operators import boost, network
+from tabassay.operators import boost, metrics, network
 
 
 def plain_boost(x, y, trees, depth, rate=0.1):
@@ -160,3 +160,30 @@ def test_equal_binned_rows_are_stored_once(spark):
     matrix.close()
     want = sorted(zip(y.tolist(), plain_boost(x, y, 6, 2), strict=True))
     assert [g[0] for g in got] == [w[0] for w in want] and [g[1] for g in got] == pytest.approx([w[1] for w in want], abs=1e-9)
+
+
+def test_few_different_rows_are_boosted_in_one_job(spark, data, monkeypatch):
+    """Trees of tasks and of passes are the same, and no pass is made for few different rows."""
+    df, names = data[3], ["a", "b", "c x"]
+    cuts, out = boost.cut_points(df, names), []
+    for cells in (boost.SMALL_CELLS, 0):
+        monkeypatch.setattr(boost, "SMALL_CELLS", cells)
+        matrix = boost.Matrix(df, names, "label", use(), 4, "fold", cuts)
+        models = boost.boost(matrix, trees=12, depth=3)
+        assert (matrix.held is None) == (cells > 0)
+        scored = matrix.scored(counted=True).collect()
+        assert sum(r["n"] for r in scored) == 200
+        out.append((models, sorted((r["label"], r["keep"], r["n"], [round(s, 9) for s in r["score"]]) for r in scored)))
+        matrix.close()
+    (one, ours), (other, theirs) = out
+    assert ours == theirs
+    for a, b in zip(one, other, strict=True):
+        assert a.prior == pytest.approx(b.prior) and a.importance() == pytest.approx(b.importance())
+        assert all(x.feature.tolist() == y.feature.tolist() and x.cut.tolist() == y.cut.tolist() and x.value == pytest.approx(y.value) for x, y in zip(a.trees, b.trees, strict=True))
+
+
+def test_auc_of_counted_rows(spark):
+    rows = [(1, 0.5, 3), (0, 0.5, 2), (1, 0.9, 4), (0, 0.1, 5)]
+    df = spark.createDataFrame(rows, "label int, score double, n long")
+    long = spark.createDataFrame([(y, s) for y, s, n in rows for _ in range(n)], "label int, score double")
+    assert metrics.auc(df, count="n").first()["auc"] == pytest.approx(metrics.auc(long).first()["auc"])
