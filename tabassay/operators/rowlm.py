@@ -3,7 +3,8 @@
 Columns are read in order. A token's contexts are the tokens of the earlier columns that tell most about
 it, from `order` of them down to none; how often each was seen, and with how many different values, decides how
 far a row backs off (Witten-Bell). The value is that of a random source row with the same
-context, found by one join on context and rank, so only values of the source come out, in their types.
+context, so only values of the source come out, in their types. Its rank is looked up: counts of the contexts' hash
+buckets tell the bucket, and only rows of such buckets are ranked.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tabassay.functions.rng import order_key, uniform
 from tabassay.operators.encode import quoted
-from tabassay.operators.generators import CATEGORY_THRESHOLD, indexed
+from tabassay.operators.generators import BUCKET_ROWS, CATEGORY_THRESHOLD, LEAST_BUCKETS
 from tabassay.session import cut as cut_lineage
 from tabassay.operators.generators import value_column_types
 from tabassay.operators.ranking import histograms
@@ -24,6 +25,8 @@ from tabassay.operators.ranking import histograms
 TOKENS = 200
 #: Equal cells of a number's histogram, from which its cells of equal counts are made.
 CELLS = 4096
+#: Drawn rows up to which they are broadcast to the source rows.
+NEAR_ROWS = 100_000
 
 
 class RowLanguageModel:
@@ -43,6 +46,7 @@ class RowLanguageModel:
         tokens = self._tokens(df)
         rows = df.select("row_id", *[quoted(c).alias(f"v{i}") for i, c in enumerate(self.columns)], *[t.alias(f"t{i}") for i, t in enumerate(tokens)])
         self.rows = cut_lineage(rows)
+        self.total = self.rows.count()
         self.contexts = self._contexts()
         return self
 
@@ -94,8 +98,11 @@ class RowLanguageModel:
         for i, c in enumerate(self.columns):
             context = self.contexts[i]
             levels = range(len(context) + 1)
-            source = self.rows.select(F.explode(F.array(*[self._key(j, context) for j in levels])).alias("key"), "row_id", F.col(f"v{i}").alias("v"), F.col(f"t{i}").alias("t"))
-            sizes = source.groupBy("key").agg(F.count("*").alias("n"), (F.approx_count_distinct("v") + F.max(F.col("v").isNull().cast("int"))).alias("k"))
+            order = [order_key(F.col("row_id"), c, self.seed), F.col("row_id")]
+            buckets = max(LEAST_BUCKETS, self.total * len(levels) // BUCKET_ROWS)
+            kept = self.rows.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(buckets)))
+            source = kept.select(F.explode(F.array(*[self._key(j, context) for j in levels])).alias("key"), "_b", "row_id", F.col(f"v{i}").alias("v"), F.col(f"t{i}").alias("t"))
+            sizes = cut_lineage(source.groupBy("key").agg(F.count("*").alias("n"), (F.approx_count_distinct("v") + F.max(F.col("v").isNull().cast("int"))).alias("k")))
             at = out.withColumn("_at", F.lit(None).cast("struct<key:bigint,n:bigint>"))
             for j in reversed(levels):
                 # The longest context that was seen and that the draw accepts; none at all is always accepted.
@@ -103,14 +110,31 @@ class RowLanguageModel:
                 at = at.withColumn("_want", self._key(j, context)).join(named, F.col("_want") == F.col("_key"), "left")
                 taken = F.col("_n").isNotNull() & (F.lit(j == 0) | (uniform(F.col("row_id"), c, "level", j, self.seed) * (F.col("_n") + F.col("_k")) < F.col("_n")))
                 at = at.withColumn("_at", F.coalesce("_at", F.when(taken, F.struct(F.col("_want").alias("key"), F.col("_n").alias("n"))))).drop("_want", "_key", "_n", "_k")
-            ranked = indexed(source, [order_key(F.col("row_id"), c, self.seed), F.col("row_id")], ["key"]).select(F.col("key").alias("_key"), F.col("i").cast("long").alias("_i"), F.col("v").alias(f"v{i}"), F.col("t").alias(f"t{i}"))
-            drawn = at.withColumn("_r", (F.floor(uniform(F.col("row_id"), c, "rank", self.seed) * F.col("_at.n")) + 1).cast("long"))
-            out = cut_lineage(drawn.join(ranked, (F.col("_at.key") == F.col("_key")) & (F.col("_r") == F.col("_i"))).drop("_at", "_r", "_key", "_i"))
+            drawn = at.withColumn("_r", (F.floor(uniform(F.col("row_id"), c, "rank", self.seed) * F.col("_at.n")) + 1).cast("long")).withColumn("key", F.col("_at.key")).drop("_at")
+            out = cut_lineage(_picked(source, drawn, order, n <= NEAR_ROWS).withColumnsRenamed({"v": f"v{i}", "t": f"t{i}"}))
         return out.select("row_id", *[F.col(f"v{i}").alias(c) for i, c in enumerate(self.columns)])
 
     def fit_sample(self, df: DataFrame, n: int) -> DataFrame:
         return self.fit(df).sample(n)
 
 
+def _picked(source: DataFrame, drawn: DataFrame, order: list[Column], near: bool) -> DataFrame:
+    """drawn (..., key, _r) with v and t of source's row of that key and rank, key and _r dropped; a key's rows stand by bucket _b, then in order.
+
+    With near, drawn is small enough to be broadcast.
+    """
+    sent = F.broadcast if near else lambda df: df
+    counts = source.join(sent(drawn.select("key").distinct()), "key", "left_semi").groupBy("key", "_b").agg(F.count("*").alias("_c"))
+    earlier = Window.partitionBy("key").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    run = counts.withColumn("_before", F.coalesce(F.sum("_c").over(earlier), F.lit(0)))
+    # A key has some hundred buckets; the one that holds the rank is found by its count.
+    found = drawn.join(run, "key").filter((F.col("_r") > F.col("_before")) & (F.col("_r") <= F.col("_before") + F.col("_c")))
+    place = cut_lineage(found.withColumn("_i", F.col("_r") - F.col("_before")).drop("_r", "_before", "_c"))
+    edge = source.join(sent(place.select("key", "_b").distinct()), ["key", "_b"], "left_semi")
+    numbered = edge.withColumn("_i", F.row_number().over(Window.partitionBy("key", "_b").orderBy(*order)).cast("long")).drop("row_id")
+    # Rows at a sought rank alone go on to the draws.
+    return place.join(numbered, ["key", "_b", "_i"]).drop("key", "_b", "_i")
+
+
 def generate_row_lm(df: DataFrame, n: int, random_state: int = 42, **settings) -> DataFrame:
     return RowLanguageModel(random_state=random_state, **settings).fit_sample(df, n)

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabassay.functions.rng import normal, uniform
+from tabassay.functions.rng import order_key
 from tabassay.operators import gan, generators, measures, rowlm
 
 
@@ -106,3 +107,15 @@ def test_row_model_keeps_values_and_shares(spark, linked):
 def test_row_model_does_not_depend_on_partitions(spark, linked):
     a, b = (rowlm.RowLanguageModel(random_state=3).fit(linked.repartition(k)).sample(50) for k in (1, 5))
     assert rows(a) == rows(b)
+
+
+def test_rows_at_ranks_are_those_of_a_full_ranking(spark):
+    """A looked-up rank gives the row that ranking every row gives, broadcast or not,."""
+    order = [order_key(F.col("row_id"), "c", 1), F.col("row_id")]
+    source = spark.range(6000).select((F.col("id") % 3).alias("key"), F.pmod(F.xxhash64(order_key(F.col("id"), "c", 1), "id"), F.lit(64)).alias("_b"), F.col("id").alias("row_id"), (F.col("id") * 7).alias("v"), F.lit("x").alias("t"))
+    drawn = spark.createDataFrame([(i, i % 3, 1 + i * 661 % 2000) for i in range(9)] + [(9, 0, 2000), (10, 1, 1), (11, 1, 1)], "row_id long, key long, _r long")
+    ranked = generators.indexed(source.drop("_b"), order, ["key"], 64)
+    want = drawn.join(ranked.select("key", F.col("i").cast("long").alias("_r"), "v", "t"), ["key", "_r"]).select("row_id", "v", "t")
+    for near in (True, False):
+        got = rowlm._picked(source, drawn, order, near)
+        assert sorted(map(tuple, got.select("row_id", "v", "t").collect())) == sorted(map(tuple, want.collect()))
