@@ -5,11 +5,12 @@ by prefix doubling over those ids, and the intervals of the common-prefix array
 their counts, which are added up by phrase over all shards. Phrases grow by rounds (one word, two,
 all others): a longer phrase is looked for only where its parts are frequent, which each shard
 learns from the frequent parts themselves while they are few bytes, else as a list of its own places.
+Where the frequent words are sent, phrases of two to CODED words are shuffled as numbers of their words, not as text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import partial, reduce
 
 import numpy as np
@@ -28,6 +29,8 @@ SHARD_BYTES = 1 << 20
 SENT_BYTES = 1 << 25
 #: Bytes of an Arrow batch of shards.
 BATCH_BYTES = 1 << 22
+#: Words of a phrase at most that are coded: two numbers in each of two columns.
+CODED = 4
 #: Shards of a row group, which one task reads.
 TASK_ROWS = 8
 #: Phrases whose words are gathered at once.
@@ -41,6 +44,9 @@ _SHARD = "lang string, words binary"
 _LOCAL = "shard long, lang string, phrase string, at int"
 #: The key is the language, a tab and the phrase, which has none: one short column to shuffle.
 _COUNTS = "key string, c long"
+#: Numbers of the first two words, and of the next two, if there are any.
+_PAIRS, _CODES = "a long, c long", "a long, b long, c long"
+_FREQUENT = "lang string, n int, phrase string, f long"
 
 
 def normalised(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -136,8 +142,50 @@ def _phrases(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Arra
     return pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(words[at])).cast(pa.string())
 
 
-def count_shard(words: np.ndarray, known: np.ndarray | pa.Array | None, part: int, least: int, most: int) -> Iterator[tuple[int, pa.Array, np.ndarray, np.ndarray]]:
-    """Phrases of least to most words, some AT_ONCE at a time: their length, words, counts and a place of each.
+class Vocabulary:
+    """Frequent words of all languages under one numbering, those of a language in a row."""
+
+    def __init__(self, words: dict[str, pa.Array]):
+        self.words, self.langs = words, list(words)
+        self.first = np.cumsum([0, *map(len, words.values())])
+        self.size = int(self.first[-1])
+
+    def numbers(self, lang: str, words: pa.Array) -> np.ndarray:
+        """Number of each word, -1 if it is none of the language's."""
+        if lang not in self.words:
+            return np.full(len(words), -1, np.int64)
+        at = pc.fill_null(pc.index_in(words.cast(pa.string()), value_set=self.words[lang]), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        return np.where(at < 0, -1, at + self.first[self.langs.index(lang)])
+
+    def coded(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes (a, b) of phrases of 2 to CODED words, a row of numbers each."""
+        more = np.zeros((len(numbers), CODED - 2), np.int64)
+        more[:, : numbers.shape[1] - 2] = numbers[:, 2:] + 1
+        return numbers[:, 0] * self.size + numbers[:, 1], more[:, 0] * (self.size + 1) + more[:, 1]
+
+    def decoded(self, a: np.ndarray, b: np.ndarray) -> tuple[pa.Array, pa.Array, pa.Array]:
+        """Language, length and words of each coded phrase."""
+        every = pa.concat_arrays(list(self.words.values()))
+        at = np.stack([a // self.size, a % self.size, b // (self.size + 1) - 1, b % (self.size + 1) - 1], axis=1)
+        parts = [pa.array(np.where(k < 0, 0, k)) for k in at.T]
+        phrase = pc.binary_join_element_wise(every.take(parts[0]), every.take(parts[1]), " ")
+        for k in (2, 3):
+            phrase = pc.if_else(pa.array(at[:, k] >= 0), pc.binary_join_element_wise(phrase, every.take(parts[k]), " "), phrase)
+        lang = pa.array(self.langs, pa.string()).take(pa.array(np.searchsorted(self.first, at[:, 0], side="right") - 1))
+        return lang, pa.array((at >= 0).sum(axis=1).astype(np.int32)), phrase
+
+
+def _decode(batches: Iterable[pa.RecordBatch], sent: Broadcast) -> Iterator[pa.RecordBatch]:
+    """From (a, b, f) rows of _FREQUENT."""
+    vocabulary = Vocabulary(sent.value)
+    for batch in batches:
+        a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+        if len(a):
+            yield pa.RecordBatch.from_arrays([*vocabulary.decoded(a, b), batch.column(2)], names=["lang", "n", "phrase", "f"])
+
+
+def count_shard(words: np.ndarray, known: np.ndarray | pa.Array | None, part: int, least: int, most: int, numbers: Callable[[pa.Array], np.ndarray] | None = None) -> Iterator[tuple[int, pa.Array | np.ndarray, np.ndarray, np.ndarray]]:
+    """Phrases of least to most words, some AT_ONCE at a time: their length, words (or a row of their numbers), counts and a place of each.
 
     known: frequent phrases of `part` words, or places in this shard of one occurrence of each; a longer phrase's
     parts of that length must all be frequent. None: every phrase counts.
@@ -147,7 +195,9 @@ def count_shard(words: np.ndarray, known: np.ndarray | pa.Array | None, part: in
     bare = np.ones(len(words), bool)
     bare[ends] = False
     offsets = np.r_[0, np.cumsum(ends - starts)]
-    ids = pa.LargeStringArray.from_buffers(len(ends), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(words[bare])).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    encoded = pa.LargeStringArray.from_buffers(len(ends), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(words[bare])).dictionary_encode()
+    ids = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    number = numbers(encoded.dictionary) if numbers else None
     # Words from each place to the end of its piece.
     last = np.flatnonzero(words[ends] == 0x0A)
     room = last[np.searchsorted(last, np.arange(len(ends)))] - np.arange(len(ends)) + 1
@@ -175,21 +225,26 @@ def count_shard(words: np.ndarray, known: np.ndarray | pa.Array | None, part: in
         at, size = intervals(ids, order[room[order] >= n], n)
         for lo in range(0, len(at), AT_ONCE):
             here = at[lo : lo + AT_ONCE]
-            yield n, _phrases(words, starts[here], ends[here + n - 1]), size[lo : lo + AT_ONCE], here
+            yield n, _phrases(words, starts[here], ends[here + n - 1]) if number is None else number[ids[here[:, None] + np.arange(n)]], size[lo : lo + AT_ONCE], here
 
 
-def _count(batches: Iterable[pa.RecordBatch], part: int, least: int, most: int, local: bool, sent: Broadcast | None) -> Iterator[pa.RecordBatch]:
-    """From (shard, lang, words, known) rows of _LOCAL, or of _COUNTS."""
+def _count(batches: Iterable[pa.RecordBatch], part: int, least: int, most: int, local: bool, sent: Broadcast | None, coded: Broadcast | None = None) -> Iterator[pa.RecordBatch]:
+    """From (shard, lang, words, known) rows of _LOCAL, or of _COUNTS; of _PAIRS or _CODES if coded."""
+    vocabulary = Vocabulary(coded.value) if coded is not None else None
     for batch in batches:
         for shard, lang, words, known in zip(*(batch.column(i) for i in range(4)), strict=True):
             if sent is not None:
                 places = sent.value.get(lang.as_py(), pa.array([], pa.string()))
             else:
                 places = known.values.to_numpy(zero_copy_only=False) if part and known.values is not None else np.zeros(0, np.int64) if part else None
-            for n, phrases, size, at in count_shard(np.frombuffer(words.as_buffer(), np.uint8), places, part, least, most):
+            numbers = partial(vocabulary.numbers, lang.as_py()) if vocabulary else None
+            for n, phrases, size, at in count_shard(np.frombuffer(words.as_buffer(), np.uint8), places, part, least, most, numbers):
                 m = len(size)
                 if local:
                     columns = {"shard": pa.array(np.full(m, shard.as_py(), np.int64)), "lang": pa.array([lang.as_py()] * m, pa.string()), "phrase": phrases, "at": pa.array(at.astype(np.int32))}
+                elif vocabulary:
+                    a, b = vocabulary.coded(phrases)
+                    columns = {"a": pa.array(a)} | ({"b": pa.array(b)} if most > 2 else {}) | {"c": pa.array(size.astype(np.int64))}
                 else:
                     columns = {"key": pc.binary_join_element_wise(pa.scalar(lang.as_py()), phrases, "\t"), "c": pa.array(size.astype(np.int64))}
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
@@ -222,26 +277,34 @@ def phrase_counts(documents: DataFrame, least: int, max_words: int, shard_bytes:
         packed = documents.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text").transform(batched, partial(_pack, size=shard_bytes), _SHARD)
         shards = table(packed.withColumn("shard", F.monotonically_increasing_id()), "shards", **{"parquet.block.row.count.limit": TASK_ROWS})
         bare = shards.withColumn("known", F.lit(None).cast("array<int>"))
-        found, lists, part, sent = [], None, 0, None
+        found, lists, part, sent, coded = [], None, 0, None, None
         for low, high in ((1, 1), (2, 2), (3, max_words)):
             if low > max_words:
                 break
             source = bare if lists is None else shards.join(lists, "shard")
             count = partial(_count, part=part, least=low, most=high, sent=sent)
-            got = source.select("shard", "lang", "words", "known").transform(batched, partial(count, local=False), _COUNTS)
-            summed = got.groupBy("key").agg(F.sum("c").alias("f"))
+            by_number = coded is not None and high <= CODED
+            kinds = _COUNTS if not by_number else _CODES if high > 2 else _PAIRS
+            got = source.select("shard", "lang", "words", "known").transform(batched, partial(count, local=False, coded=coded if by_number else None), kinds)
+            keys = [c for c in got.columns if c != "c"]
+            summed = got.groupBy(*keys).agg(F.sum("c").alias("f"))
             phrase = F.substring_index("key", "\t", -1)
             lang = F.expr("substring(key, 1, length(key) - length(substring_index(key, '\t', -1)) - 1)")
             if low == 1:
                 summed = table(summed, "words")
                 totals = table(summed.groupBy(lang.alias("lang")).agg(F.sum("f").alias("total")), "totals")
-            frequent = summed.filter(F.col("f") >= least).select(lang.alias("lang"), F.size(F.split(phrase, " ", -1)).alias("n"), phrase.alias("phrase"), "f")
+            frequent = summed.filter(F.col("f") >= least)
+            if by_number:
+                frequent = frequent.select("a", "b" if "b" in keys else F.lit(0).cast("long").alias("b"), "f").mapInArrow(partial(_decode, sent=coded), _FREQUENT)
+            else:
+                frequent = frequent.select(lang.alias("lang"), F.size(F.split(phrase, " ", -1)).alias("n"), phrase.alias("phrase"), "f")
             frequent = table(frequent, "phrases")
             if low == 1:
                 discard(summed)
             found.append(frequent)
             if high < max_words:
                 sent, lists, part = _sent(frequent), None, low
+                coded = sent if low == 1 and sent is not None and sent.value else coded
                 if sent is None:
                     own = source.select("shard", "lang", "words", "known").transform(batched, partial(count, local=True), _LOCAL)
                     lists = own.join(frequent.select("lang", "phrase"), ["lang", "phrase"], "left_semi").groupBy("shard").agg(F.collect_list("at").alias("known"))

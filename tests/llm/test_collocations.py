@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tabassay.llm import collocations as C
@@ -89,3 +90,20 @@ def test_suffix_array_and_intervals():
     for n in (1, 2, 3, 4):
         at, size = C.intervals(ids, order, n)
         assert {tuple(ids[i : i + n]): c for i, c in zip(at, size, strict=True)} == Counter(tuple(ids[i : i + n]) for i in range(496))
+
+
+def test_phrases_as_numbers_of_words(spark, monkeypatch):
+    """Codes give back language, length and words; counts are the same where words are sent and pairs are not."""
+    v = C.Vocabulary({"en": pa.array(["a", "b", "cc"]), "de": pa.array(["b", "ä"])})
+    phrases = [("en", "a b"), ("de", "ä b ä"), ("en", "cc cc a b"), ("de", "b b b"), ("en", "a a")]
+    codes = [v.coded(v.numbers(lang, pa.array(p.split(), pa.large_string()))[None, :]) for lang, p in phrases]
+    a, b = (np.concatenate(x) for x in zip(*codes, strict=True))
+    lang, n, phrase = (x.to_pylist() for x in v.decoded(a, b))
+    assert list(zip(lang, phrase, strict=True)) == phrases and n == [2, 3, 4, 3, 2] and len(set(zip(a, b, strict=True))) == 5
+    assert v.numbers("fr", pa.array(["a"])).tolist() == [-1] and v.numbers("de", pa.array(["a", "b"])).tolist() == [-1, 3]
+    rng = random.Random(6)
+    docs = [(rng.choice(["en", "de", None]), " ".join(rng.choices(["a", "b", "Äx", "x\x00y", "dd"], k=100)) + rng.choice(["", ".", ", "])) for _ in range(40)]
+    df = spark.createDataFrame(docs, SCHEMA).repartition(3)
+    # 15 words and 75 pairs: the first are sent, the second are not.
+    monkeypatch.setattr(C, "SENT_BYTES", 500)
+    assert got(C.collocations(df, least=6)) == plain(docs, least=6)
