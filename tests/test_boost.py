@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabassay.operators import boost, metrics, network
+from tabassay.operators import boost, measures, metrics, network
 
 
 def plain_boost(x, y, trees, depth, rate=0.1):
@@ -187,3 +187,13 @@ def test_auc_of_counted_rows(spark):
     df = spark.createDataFrame(rows, "label int, score double, n long")
     long = spark.createDataFrame([(y, s) for y, s, n in rows for _ in range(n)], "label int, score double")
     assert metrics.auc(df, count="n").first()["auc"] == pytest.approx(metrics.auc(long).first()["auc"])
+
+
+def test_rows_not_trained_on_are_scored_by_their_bins(spark, data):
+    df, names = data[3], ["a", "b", "c x"]
+    train, held = df.filter("fold = 0"), df.filter("fold > 0")
+    matrix = boost.Matrix(train, names, "label", F.lit(1), 1, cuts=boost.cut_points(train, names))
+    (model,) = boost.boost(matrix, trees=5, depth=2)
+    matrix.close()
+    want = metrics.auc(boost.predict([model], held, "label")).first()["auc"]
+    assert 0.5 < want < 1 and measures._judged(model, held, names) == pytest.approx(want, abs=1e-12)
