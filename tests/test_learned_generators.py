@@ -110,7 +110,7 @@ def test_row_model_does_not_depend_on_partitions(spark, linked):
 
 
 def test_rows_at_ranks_are_those_of_a_full_ranking(spark):
-    """A looked-up rank gives the row that ranking every row gives, broadcast or not,."""
+    """A looked-up rank gives the row that ranking every row gives, broadcast or not."""
     order = [order_key(F.col("row_id"), "c", 1), F.col("row_id")]
     source = spark.range(6000).select((F.col("id") % 3).alias("key"), F.pmod(F.xxhash64(order_key(F.col("id"), "c", 1), "id"), F.lit(64)).alias("_b"), F.col("id").alias("row_id"), (F.col("id") * 7).alias("v"), F.lit("x").alias("t"))
     drawn = spark.createDataFrame([(i, i % 3, 1 + i * 661 % 2000) for i in range(9)] + [(9, 0, 2000), (10, 1, 1), (11, 1, 1)], "row_id long, key long, _r long")
