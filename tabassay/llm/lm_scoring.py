@@ -277,10 +277,10 @@ class Mixer:
             stretched.append(s)
             slots.append(slot)
         gate = gate.astype(np.int64)
-        dot = self.weights[0][gate]
+        dot = self.weights[0].take(gate, mode="clip")
         dot *= stretched[0]
         for k in (1, 2):
-            part = self.weights[k][gate]
+            part = self.weights[k].take(gate, mode="clip")
             part *= stretched[k]
             dot += part
         return bounds, bit, slots, gate, stretched, np.clip(dot, -11, 11, out=dot)
@@ -297,9 +297,11 @@ class Mixer:
             place -= lo
             gate *= BINS
             gate += lo
-            final = self.refine[gate]
+            final = self.refine.take(gate, mode="clip")
             gate += 1
-            place *= self.refine[gate] - final
+            above = self.refine.take(gate, mode="clip")
+            above -= final
+            place *= above
             final += place
             final += dot
             final *= np.float32(0.5) - bit.astype(np.float32)
@@ -324,9 +326,10 @@ class Learner:
             bounds, bit, slots, gate, stretched, dot = self.mixer.mixed(self.codes, sym[a : a + SYMBOLS], ctx[:, a : a + SYMBOLS])
             near = np.rint((np.clip(dot, -8, 8) + np.float32(8)) * np.float32((BINS - 1) / 16)).astype(np.int64) + gate * BINS
             error = bit.astype(np.float32)
-            seen, hit = np.divmod(np.bincount(near, weights=bit + float(1 << 24), minlength=len(self.seen)), 1 << 24)
+            both = np.bincount(near, weights=bit + float(1 << 24), minlength=len(self.seen))
+            seen = np.floor(both * 2.0**-24)
             self.seen += seen
-            self.hit += hit
+            self.hit += both - seen * 2.0**24
             error -= 1 / (1 + np.exp(-dot))
             slope = np.stack([np.bincount(gate, weights=error * s, minlength=GATES) for s in stretched]) / len(bit)
             self.step += 1
@@ -482,8 +485,8 @@ _SCORED = (
 
 
 def _earlier(row: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """How often each hash stood earlier in its row."""
-    order = np.lexsort((h, row))
+    """How often each hash stood earlier in its row; rows ascend, so that one stable sort keeps those of a hash in order."""
+    order = np.argsort(h, kind="stable")
     r, x = row[order], h[order]
     new = np.r_[True, (r[1:] != r[:-1]) | (x[1:] != x[:-1])] if len(r) else np.zeros(0, bool)
     heads = np.flatnonzero(new)

@@ -215,3 +215,19 @@ def test_scores_do_not_depend_on_the_head(spark, monkeypatch):
         assert base[0][i] == pytest.approx(base[1][i], rel=1e-9)
         # A head of three words leaves the others to their counts, not to their spellings.
         assert found[1][i] > 2.5 * found[0][i]
+
+
+def test_earlier_occurrences_take_one_sort(monkeypatch):
+    def twice(*_):
+        raise AssertionError("a sort by text and hash where one by hash is enough")
+
+    monkeypatch.setattr(np, "lexsort", twice)
+    rng = np.random.default_rng(5)
+    row, h = np.sort(rng.integers(0, 7, 500)), rng.integers(0, 20, 500).astype(np.uint64) << np.uint64(59)
+    seen: dict[tuple, int] = {}
+    want = []
+    for key in zip(row.tolist(), h.tolist(), strict=True):
+        want.append(seen.get(key, 0))
+        seen[key] = want[-1] + 1
+    assert L._earlier(row, h).tolist() == want
+    assert L._earlier(row[:0], h[:0]).tolist() == []
