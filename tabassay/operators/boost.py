@@ -27,10 +27,13 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tabassay.operators.encode import quoted
+from tabassay.operators.ranking import cut_values, value_counts
 from tabassay.session import shared_folder
 
 #: Bins of a feature, rows of a block, trees between two renewals of the stored scores, and tasks whose sums the driver adds up itself.
 BINS, BLOCK_ROWS, CUT, FEW_TASKS = 256, 8192, 20, 64
+#: Rows of a task that are added up before they are shuffled.
+COUNT_ROWS = 100_000
 #: Rows that a task of a pass has at least; a pass over fewer is mostly the starting of tasks.
 TASK_ROWS = 25_000
 #: Bins of all different rows up to which a model is boosted in one task; a pass over them takes less than the job around it.
@@ -97,14 +100,11 @@ def cut_points(df: DataFrame, names: list[str]) -> list[np.ndarray]:
     """Bounds between the bins of each feature: midpoints of up to BINS distinct values, else quantiles."""
     if not names:
         return []
-    count = df.agg(*[F.approx_count_distinct(quoted(c), 0.02).alias(f"f{i}") for i, c in enumerate(names)]).first()
-    few = [i for i in range(len(names)) if count[i] <= 0.8 * BINS]
-    grid = F.array(*[F.lit(k / BINS) for k in range(1, BINS)])
-    row = df.agg(*[(F.array_sort(F.collect_set(quoted(c))) if i in few else F.percentile_approx(quoted(c), grid, F.lit(20 * BINS))).alias(f"f{i}") for i, c in enumerate(names)]).first()
+    few = value_counts(df, names, int(0.8 * BINS))
     out = []
-    for i in range(len(names)):
-        v = np.unique(np.array(row[i] or [], np.float64))
-        out.append((v[1:] + v[:-1]) / 2 if i in few else v)
+    for c in names:
+        v = np.unique(np.array(list(few[c]) if c in few else cut_values(df, c, BINS), np.float64))
+        out.append((v[1:] + v[:-1]) / 2 if c in few else v)
     return out
 
 
@@ -118,13 +118,33 @@ def _matrix(batch: pa.RecordBatch, first: int, width: int) -> np.ndarray:
 
 
 def _coded(batches: Iterable[pa.RecordBatch], width: int, cuts: list[np.ndarray] | None) -> Iterator[pa.RecordBatch]:
-    """From (y, use, keep, features...) rows (y, use, keep, x); x has the row's bins, or its plain numbers."""
+    """From (y, use, keep, features...) rows (y, use, keep, x, c); x has the row's bins, of which equal ones that stand near are counted, or its plain numbers."""
+    rows = _plain(batches, width, cuts)
+    if cuts is None:
+        yield from rows
+        return
+    kept: list[pa.RecordBatch] = []
+    for b in rows:
+        kept.append(b)
+        if sum(map(len, kept)) >= COUNT_ROWS:
+            yield from _added(kept)
+            kept.clear()
+    yield from _added(kept) if kept else ()
+
+
+def _added(parts: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    rows = pa.Table.from_batches(parts)
+    return rows.group_by(["y", "use", "keep", "x"], use_threads=False).aggregate([("c", "sum")]).rename_columns(rows.column_names).combine_chunks().to_batches()
+
+
+def _plain(batches: Iterable[pa.RecordBatch], width: int, cuts: list[np.ndarray] | None) -> Iterator[pa.RecordBatch]:
+    """From (y, use, keep, features...) rows (y, use, keep, x, c) one for one."""
     for b in batches:
         x = _matrix(b, 3, width)
         x = np.ascontiguousarray(x if cuts is None else binned(x, cuts))
         step = width * x.itemsize
         bytes_ = pa.Array.from_buffers(pa.binary(), len(b), [None, pa.py_buffer(np.arange(len(b) + 1, dtype=np.int32) * np.int32(step)), pa.py_buffer(x.tobytes())])
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), bytes_], names=["y", "use", "keep", "x"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), bytes_, pa.array(np.ones(len(b), np.int64))], names=["y", "use", "keep", "x", "c"])
 
 
 def _store(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
@@ -159,8 +179,8 @@ class Matrix:
         self.fitted: Callable[[np.ndarray], np.ndarray] | None = None
         rows = df.select(F.col(label).cast("int"), use.cast("long"), F.col(keep) if keep else F.lit(0).alias("keep"), *[quoted(c).cast("double") for c in names]).toDF("y", "use", "keep", *[f"f{i}" for i in range(len(names))])
         self.keep_type = rows.schema["keep"].dataType.simpleString()
-        coded = rows.mapInArrow(partial(_coded, width=self.width, cuts=cuts), f"y int, use long, keep {self.keep_type}, x binary")
-        counted = coded.withColumn("c", F.lit(1).cast("long")) if cuts is None else coded.groupBy("y", "use", "keep", "x").agg(F.count("*").alias("c"))
+        coded = rows.mapInArrow(partial(_coded, width=self.width, cuts=cuts), f"y int, use long, keep {self.keep_type}, x binary, c long")
+        counted = coded if cuts is None else coded.groupBy("y", "use", "keep", "x").agg(F.sum("c").alias("c"))
         self.blocks = self._written(counted.mapInArrow(partial(_store, rows=min(BLOCK_ROWS, TASK_ROWS)), _BLOCK))
         found = self.blocks.agg(F.sum("n").alias("n"), F.count("*").alias("blocks")).first()
         self.rows = found["n"] or 0

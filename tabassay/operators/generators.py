@@ -19,6 +19,8 @@ from tabassay.sources.io import read_external, restore_types
 
 #: Distinct values up to which a numeric column is drawn like a category.
 CATEGORY_THRESHOLD = 20
+#: Distinct values of a category up to which their intervals are sent to the rows that are drawn; more are joined by a shuffle.
+SENT_VALUES = 5000
 
 
 class Generator(Protocol):
@@ -97,18 +99,19 @@ class IndependentMarginals:
         spark = self.df.sparkSession
         out = spark.range(n).withColumnRenamed("id", "row_id")
         for c, categorical in self.kinds.items():
-            u = uniform(F.col("row_id"), c, self.seed)
+            # Never null, and said to be so: a join would draw it again to drop nulls.
+            u = F.coalesce(uniform(F.col("row_id"), c, self.seed), F.lit(0.0))
             if categorical:
                 table = frequencies(self.df, c).select(F.col("value").alias(f"_{c}"), "lo", "hi")
                 # Any draw lies in one interval; both sides meet in the cells of a grid finer than the values are many.
                 grid = 1 << max(10, (4 * self.counts[c]).bit_length())
                 cells = table.withColumn("_g", F.explode(F.sequence(F.floor(F.col("lo") * grid), F.ceil(F.col("hi") * grid) - 1)))
                 drawn = out.withColumn("_u", u).withColumn("_g", F.floor(F.col("_u") * grid))
-                out = drawn.join(cells, "_g").filter("_u >= lo AND _u < hi").drop("_g", "_u", "lo", "hi").withColumnRenamed(f"_{c}", c)
+                out = drawn.join(F.broadcast(cells) if self.counts[c] <= SENT_VALUES else cells, "_g").filter("_u >= lo AND _u < hi").drop("_g", "_u", "lo", "hi").withColumnRenamed(f"_{c}", c)
             else:
                 values = self.df.filter(quoted(c).isNotNull()).select(quoted(c).alias(c), "row_id")
                 ranked = indexed(values, [F.col(c), F.col("row_id")]).select(c, "i")
-                size = ranked.agg(F.max("i").alias("_m"))
+                size = ranked.agg(F.coalesce(F.max("i"), F.lit(0)).alias("_m"))
                 drawn = out.crossJoin(F.broadcast(size)).withColumn("i", (F.floor(u * F.col("_m")) + 1).cast("long"))
                 out = drawn.join(ranked.withColumn("i", F.col("i").cast("long")), "i").drop("i", "_m")
         return out.select("row_id", *[quoted(c) for c in self.kinds])

@@ -25,7 +25,8 @@ def _columns(*frames: DataFrame) -> list[str]:
 def _prepared(df: DataFrame, columns: list[str], *keep: str) -> tuple[DataFrame, list[str]]:
     """Encoded and median-filled features over the pooled rows, and their names."""
     features = encode.encoded(df, columns)
-    flat = df.select(*keep, *[e.alias(n) for n, e in features.items()])
+    # Sketches of all parts are merged in one task, which takes as long as the parts are many.
+    flat = df.select(*keep, *[e.alias(n) for n, e in features.items()]).coalesce(3 * df.sparkSession.sparkContext.defaultParallelism)
     return encode.fill(flat, encode.medians(flat, list(features))), list(features)
 
 

@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 256
 #: Rows among which a rank is looked up in a single task at most.
 EDGE_ROWS = 200_000
+#: Distinct values of a column up to which they are counted, and the bytes of numbers that a task counts at once.
+FEW, COUNTED_BYTES = 256, 1 << 22
 
 
 @dataclass
@@ -80,8 +85,60 @@ def value_at(df: DataFrame, column: str, rank: int, n: int) -> object:
     return values_at(df, [(column, rank, n)])[0]
 
 
+def _counted(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Of a task's rows (i, v, n): how often column i has the value v; one row without v if its values are more than most."""
+    counts: dict[int, dict[float, int] | None] = {}
+    kept, size = [], 0
+
+    def work() -> None:
+        for i, column in enumerate(pa.Table.from_batches(kept).columns):
+            if counts.setdefault(i, {}) is not None:
+                # NaN is one value: it has one object.
+                for v, n in zip(*np.unique(column.drop_null().to_numpy(), return_counts=True), strict=True):
+                    key = math.nan if v != v else float(v)
+                    counts[i][key] = counts[i].get(key, 0) + int(n)
+                if len(counts[i]) > most:
+                    counts[i] = None
+        kept.clear()
+
+    for b in batches:
+        kept.append(b)
+        size += b.nbytes
+        if size > COUNTED_BYTES:
+            work()
+            size = 0
+    if kept:
+        work()
+    rows = [row for i, found in counts.items() for row in ([(i, None, 0)] if found is None else [(i, v, n) for v, n in found.items()])]
+    i, v, n = zip(*rows, strict=True) if rows else ((), (), ())
+    yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(v, pa.float64()), pa.array(n, pa.int64())], names=["i", "v", "n"])
+
+
+def value_counts(df: DataFrame, columns: list[str], most: int = FEW) -> dict[str, dict[float, int]]:
+    """How often each numeric column has each of its values, as doubles in rising order, for columns of at most `most` (null left out, NaN the last); others are not in the result.
+
+    One pass, in which a task sends no more than `most` values of a column.
+    """
+    if not columns:
+        return {}
+    rows = df.select(*[F.col(f"`{c}`").cast("double").alias(f"f{i}") for i, c in enumerate(columns)])
+    parts = rows.mapInArrow(partial(_counted, most=most), "i int, v double, n long").groupBy("i", "v").agg(F.sum("n").alias("n"))
+    # A value more than `most` tells as well as all of them that there are too many.
+    each = parts.withColumn("k", F.row_number().over(Window.partitionBy("i").orderBy("v"))).filter(F.col("k") <= most + 1)
+    found: dict[int, dict[float | None, int]] = {i: {} for i in range(len(columns))}
+    for r in each.orderBy("i", "v").collect():  # most + 1 rows a column at most
+        found[r["i"]][r["v"]] = r["n"]
+    return {c: found[i] for i, c in enumerate(columns) if None not in found[i] and len(found[i]) <= most}
+
+
+def _ranked_value(counts: dict[float, int], rank: int) -> float:
+    """The value at a 0-based rank."""
+    values = list(counts)
+    return values[int(np.searchsorted(np.cumsum(list(counts.values())), rank, side="right"))]
+
+
 def quantiles(df: DataFrame, columns: list[str], share: float) -> dict[str, float | None]:
-    """Exact quantile of each column, linear between ranks. Small tables take one aggregation, large ones bounded lookups of all columns together."""
+    """Exact quantile of each column, linear between ranks. Small tables take one aggregation; in large ones columns of few values are counted, others take bounded lookups together."""
     name = lambda c: F.col(f"`{c}`")
     sizes = df.agg(*[F.count(name(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
     if max(sizes, default=0) <= EDGE_ROWS:
@@ -90,7 +147,10 @@ def quantiles(df: DataFrame, columns: list[str], share: float) -> dict[str, floa
     known = {c: sizes[f"n{i}"] for i, c in enumerate(columns) if sizes[f"n{i}"]}
     places = {c: (n - 1) * share for c, n in known.items()}
     sought = [(c, r, known[c]) for c, at in places.items() for r in sorted({math.floor(at), math.ceil(at)})]
-    found = {(c, r): float(v) for (c, r, _), v in zip(sought, values_at(df, sought), strict=True)}
+    few = {c: n for c, n in value_counts(df, list(known)).items() if not any(map(math.isnan, n))}
+    found = {(c, r): _ranked_value(few[c], r) for c, r, _ in sought if c in few}
+    wide = [x for x in sought if x[0] not in few]
+    found |= {(c, r): float(v) for (c, r, _), v in zip(wide, values_at(df, wide), strict=True)}
     ends = {c: (found[c, math.floor(at)], found[c, math.ceil(at)]) for c, at in places.items()}
     return {c: ends[c][0] + (places[c] % 1) * (ends[c][1] - ends[c][0]) if c in ends else None for c in columns}
 
@@ -123,6 +183,22 @@ def ranked(df: DataFrame, by: list[str], bucket: Column, order: list[Column], na
     return out.withColumn(name, F.col("_own") + F.col("_before")).drop("_b", "_own", "_before")
 
 
+def cut_values(df: DataFrame, column: str, parts: int) -> list[float]:
+    """The values at the ranks ceil(k n / parts), k from 1 to parts - 1, among the n known values of a numeric column, in rising order and each once.
+
+    Exact, so partitions do not show. Equal values are counted together; their running count is taken in ranges and shifted.
+    """
+    counted = df.select(F.col(f"`{column}`").cast("double").alias("v")).filter("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("n")).cache()
+    own = F.sum("n").over(Window.partitionBy("_b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    run = shifted(counted.withColumn("_b", range_bucket(counted, "v")).withColumn("_own", own), [], F.col("n"), "_before")
+    n = F.lit(counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    upto = F.col("_own") + F.col("_before")
+    share = lambda c: F.least(F.floor(c * F.lit(parts) / n), F.lit(parts - 1))
+    found = run.filter(share(upto) > share(upto - F.col("n"))).select("v").orderBy("v").collect()  # parts - 1 rows at most
+    counted.unpersist()
+    return [r["v"] for r in found]
+
+
 def histograms(df: DataFrame, columns: list[str], cells: int) -> dict[str, tuple[float, float, dict[int, int]]]:
     """Ends and counts of equal cells of each numeric column, nulls and what is not finite left out: integers, so that partitions do not show."""
     if not columns:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -197,3 +200,21 @@ def test_rows_not_trained_on_are_scored_by_their_bins(spark, data):
     matrix.close()
     want = metrics.auc(boost.predict([model], held, "label")).first()["auc"]
     assert 0.5 < want < 1 and measures._judged(model, held, names) == pytest.approx(want, abs=1e-12)
+
+
+def test_cut_points_do_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(0, 1000, 40_000), 2)
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "few": x % 7 // 1, "all": 1.0})).repartition(3)
+    cuts = [boost.cut_points(df.repartition(k), ["x", "few", "all"]) for k in (1, 60)]
+    assert all((a == b).all() for a, b in zip(*cuts, strict=True))
+    wanted = np.unique(np.sort(x)[[-(-k * len(x) // 256) - 1 for k in range(1, 256)]])
+    assert (cuts[0][0] == wanted).all() and list(cuts[0][1]) == [0.5, 1.5, 2.5, 3.5, 4.5, 5.5] and not len(cuts[0][2])
+
+
+def test_equal_rows_of_a_task_are_added_up(spark):
+    rows = spark.range(30_000).selectExpr("id % 3 AS a", "CAST(id % 2 AS INT) AS label").coalesce(2)
+    cuts = boost.cut_points(rows, ["a"])
+    plain = rows.selectExpr("label", "2L AS use", "0 AS keep", "CAST(a AS DOUBLE) AS f0")
+    batches = plain.mapInArrow(partial(boost._coded, width=1, cuts=cuts), "y int, use long, keep int, x binary, c long")
+    assert batches.count() == 12 and batches.agg({"c": "sum"}).first()[0] == 30_000
