@@ -75,3 +75,14 @@ def test_frontier_of_many_points(spark, monkeypatch):
 def test_settings_are_faulted_together():
     with pytest.raises(ValueError, match="train_fraction.*no categorical.*sample_size"):
         DatasetConfig("n", "p", "y", "g", [], [], train_fraction=1.0, sample_size=0).validate()
+
+
+def test_quantiles_of_few_values_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "EDGE_ROWS", 10)
+    df = spark.range(1001).selectExpr("IF(id % 3 = 0, NULL, id % 5) AS a", "CAST(NULL AS DOUBLE) AS b", "IF(id = 7, DOUBLE('NaN'), id % 4D) AS c", "id * 1.5D AS d", "IF(id < 500, 0D, 1D) AS e").repartition(9)
+    counts = ranking.value_counts(df, ["a", "b", "c", "d"])
+    assert counts["a"] == dict(df.filter("a IS NOT NULL").groupBy("a").count().collect()) and counts["b"] == {} and len(counts["c"]) == 5 and "d" not in counts
+    asked = []
+    monkeypatch.setattr(ranking, "values_at", lambda df, sought, f=ranking.values_at: asked.extend(sought) or f(df, sought))
+    assert ranking.quantiles(df, ["a", "b", "d", "e"], 0.5) == {"a": 2.0, "b": None, "d": 750.0, "e": 1.0}
+    assert ranking.quantiles(df.filter("d != 1500"), ["e"], 0.5) == {"e": 0.5} and {c for c, _, _ in asked} == {"d"}
